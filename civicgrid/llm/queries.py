@@ -4,9 +4,27 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from civicgrid.llm import packing, token_frames
-from civicgrid.llm.common import table
+from civicgrid.llm import decontaminate, language_id, packing, token_frames, toxicity
+from civicgrid.llm.common import crc_bucket, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_bucket(F.col("doc_id"), 4) == 2
+    found = language_id.identify(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_bucket(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents")
+    weights = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, weights).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op5_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +35,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_frames, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_toxicity, op5_token_frames, op8_best_fit_packing)}
 ORACLE: dict[str, str] = {}
