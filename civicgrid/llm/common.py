@@ -176,3 +176,44 @@ def block_pairs(rows: DataFrame, keys: list[str], id_col: str, size: int) -> Dat
     blocks = F.ceil(F.col("_n") / size).cast("int")
     dealt = rows.join(counts, keys).withColumn("_g", blocks).withColumn("block", F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.col("_g")).cast("int"))
     return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).drop("_n", "_g", "other")
+
+
+def whole_groups(batches: Iterator, keys: list[str]) -> Iterator[tuple]:
+    """(rows, starts) of a task's rows sorted by ``keys``: each chunk holds whole groups, ``starts`` their first rows and the end.
+
+    Holds one Arrow batch and one unfinished group at a time.
+    """
+    import pandas as pd
+
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        starts = _starts(rows, keys)
+        if len(starts) > 1:
+            yield rows.iloc[: starts[-1]], starts
+        rest = rows.iloc[starts[-1] :].reset_index(drop=True) if len(rows) else rows
+    if rest is not None and len(rest):
+        yield rest, np.append(_starts(rest, keys), len(rest))
+
+
+def _starts(rows, keys: list[str]) -> np.ndarray:
+    new = np.ones(len(rows), bool)
+    if len(rows) > 1:
+        new[1:] = np.logical_or.reduce([rows[k].to_numpy()[1:] != rows[k].to_numpy()[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index that each of ``n`` nodes reaches over the links (i, j)."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        np.minimum.at(new, root[i], least)
+        np.minimum.at(new, root[j], least)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from civicgrid.llm.common import BASE, WordBatch, chunks, mix
 
 MAX_TRAIN = 8000
-EPOCHS = 3
+EPOCHS = 5
 BITS = 20
 
 
@@ -45,7 +45,7 @@ def hashed_grams(words: WordBatch) -> tuple[np.ndarray, np.ndarray]:
 class FtrlProximal:
     """Follow the regularised leader: weights come from sums of gradients, each coordinate at its own rate."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
         self.bias_z = self.bias_n = 0.0
