@@ -188,15 +188,16 @@ def whole_groups(batches: Iterator, keys: list[str]) -> Iterator[tuple]:
     rest = None
     for batch in batches:
         rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        starts = _starts(rows, keys)
+        starts = group_starts(rows, keys)
         if len(starts) > 1:
             yield rows.iloc[: starts[-1]], starts
         rest = rows.iloc[starts[-1] :].reset_index(drop=True) if len(rows) else rows
     if rest is not None and len(rest):
-        yield rest, np.append(_starts(rest, keys), len(rest))
+        yield rest, np.append(group_starts(rest, keys), len(rest))
 
 
-def _starts(rows, keys: list[str]) -> np.ndarray:
+def group_starts(rows, keys: list[str]) -> np.ndarray:
+    """First row of each run of equal ``keys``."""
     new = np.ones(len(rows), bool)
     if len(rows) > 1:
         new[1:] = np.logical_or.reduce([rows[k].to_numpy()[1:] != rows[k].to_numpy()[:-1] for k in keys])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicgrid.llm import decontaminate, language_id, ngram_join, packing, token_frames, toxicity
+from civicgrid.llm import decontaminate, language_id, ngram_join, packing, suffix_dedup, token_frames, toxicity
 from civicgrid.llm.common import crc_bucket, table
 
 
@@ -35,9 +35,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_toxicity, op5_token_frames, op8_best_fit_packing, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_toxicity, op5_token_frames, op8_best_fit_packing, op9_suffix_dedup, op10_ngram_jaccard_join)}
 ORACLE: dict[str, str] = {}
