@@ -218,3 +218,17 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if np.array_equal(new, root):
             return root
         root = new
+
+
+def linked_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """key, class_id and n_links of ``classes`` (key, weight, first_id) under ``links`` (a, b, n).
+
+    ``n`` counts rows linked to ``a`` in one task and ``b`` is connected with it;
+    class_id is the smallest first_id that links reach. The rows of a class link
+    with each other.
+    """
+    counts = links.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
+    roots = components(links.select("a", "b")).withColumnRenamed("id", "key")
+    placed = classes.select("key", "weight", "first_id").join(roots, "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    lowest = placed.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    return placed.join(lowest, "root").select("key", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicgrid.llm import decontaminate, language_id, ngram_join, packing, suffix_dedup, token_frames, toxicity
+from civicgrid.llm import decontaminate, embedding_dedup, language_id, ngram_join, packing, suffix_dedup, token_frames, toxicity
 from civicgrid.llm.common import crc_bucket, table
 
 
@@ -31,6 +31,10 @@ def op5_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.vector_classes(table(spark, sf_dir, "embeddings"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
@@ -43,5 +47,23 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_toxicity, op5_token_frames, op8_best_fit_packing, op9_suffix_dedup, op10_ngram_jaccard_join)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_toxicity, op5_token_frames, op7_embedding_dedup, op8_best_fit_packing, op9_suffix_dedup, op10_ngram_jaccard_join)}
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND list_bool_and(list_transform(e, lambda c: c IS NOT NULL AND isfinite(c))) AND list_dot_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), reach AS (
+  SELECT vec_id, vec_id AS root FROM v
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.vec_id WHERE r.root < l.b
+), least AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+ORACLE: dict[str, str] = {"op7_embedding_dedup": OP7_SQL}
