@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicgrid.llm import decontaminate, embedding_dedup, language_id, ngram_join, packing, suffix_dedup, token_frames, toxicity
+from civicgrid.llm import decontaminate, embedding_dedup, language_id, ngram_join, packing, suffix_dedup, token_frames, toxicity, url_templates, warc
 from civicgrid.llm.common import crc_bucket, table
 
 
@@ -27,10 +27,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, weights).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.build_derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages"))).withColumnRenamed("source_id", "page_id")
+
+
 def op5_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.vector_classes(table(spark, sf_dir, "embeddings"))
 
@@ -47,7 +55,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_toxicity, op5_token_frames, op7_embedding_dedup, op8_best_fit_packing, op9_suffix_dedup, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_toxicity, op4_warc_derivatives, op5_token_frames, op6_url_templates, op7_embedding_dedup, op8_best_fit_packing, op9_suffix_dedup, op10_ngram_jaccard_join)}
 OP7_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -66,4 +74,4 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM v JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
-ORACLE: dict[str, str] = {"op7_embedding_dedup": OP7_SQL}
+ORACLE: dict[str, str] = {"op6_url_templates": url_templates.judge_sql(), "op7_embedding_dedup": OP7_SQL}
