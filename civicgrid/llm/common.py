@@ -232,3 +232,24 @@ def linked_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     placed = classes.select("key", "weight", "first_id").join(roots, "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = placed.groupBy("root").agg(F.min("first_id").alias("class_id"))
     return placed.join(lowest, "root").select("key", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+
+
+def add_by_text(df: DataFrame, function, added: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``df`` as they are, and what ``function`` (texts -> one list for each column) makes of ``text``."""
+    names = [x.split()[0] for x in added.split(", ")]
+    carried = [*keep] if "text" in keep else [*keep, "text"]
+
+    def apply(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            made = function(batch.column("text").to_pylist())
+            columns = [batch.column(k) for k in keep] + [pa.array(m, TYPES[x.split()[1]](pa)) for m, x in zip(made, added.split(", "), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
+
+    plain = df.select(*carried)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name in keep]
+    return plain.mapInArrow(apply, ", ".join([*kept, added]))
+
+
+TYPES = {"string": lambda pa: pa.string(), "double": lambda pa: pa.float64(), "long": lambda pa: pa.int64(), "int": lambda pa: pa.int32(), "boolean": lambda pa: pa.bool_(), "binary": lambda pa: pa.binary()}

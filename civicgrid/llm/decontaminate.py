@@ -28,17 +28,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import WordBatch, chunks, shared_path
+from civicgrid.llm.common import WordBatch, add_by_text, chunks, shared_path
 
 WINDOW = 13
 K = 5
 BLOCK_WORDS = 2_000_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 _loaded: dict[str, BenchmarkBlock] = {}
 
@@ -175,21 +174,17 @@ def hits(encoded: list[bytes], blocks: Iterator[BenchmarkBlock]) -> list[tuple[i
     return [(int(n), int(hit[d].sum()) if d in hit else 0, sorted(items.get(d, ()))) for d, n in enumerate(batch.count)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
-    """Words of each document that stand in a benchmark window; contaminated from ``share`` of its words on."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05, keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns of ``docs`` (doc_id) and how many words stand in benchmark windows; contaminated from ``share`` of the words on."""
     folder = shared_path(docs.sparkSession, "benchmark")
     names = write_blocks(benchmark, folder, window)
     one_in = round(1 / share)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo, hi, encoded in chunks(batch["text"]):
-                found_here = hits(encoded, (load(folder, name) for name in names))
-                yield pd.DataFrame({
-                    "doc_id": batch["doc_id"].iloc[lo:hi].astype("Int64").to_numpy(),
-                    "n_words": [n for n, _, _ in found_here], "n_hit": [h for _, h, _ in found_here], "n_items": [len(i) for _, _, i in found_here],
-                    "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in found_here],
-                    "contaminated": [h > 0 and one_in * h >= n for n, h, _ in found_here],
-                })
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(judge, RESULT)
+    def judge(texts: list[str | None]) -> tuple[list, ...]:
+        found_here = [h for _, _, encoded in chunks(texts) for h in hits(encoded, (load(folder, name) for name in names))]
+        return (
+            [n for n, _, _ in found_here], [h for _, h, _ in found_here], [len(i) for _, _, i in found_here],
+            [hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in found_here], [h > 0 and one_in * h >= n for n, h, _ in found_here],
+        )
+
+    return add_by_text(docs, judge, RESULT, keep or ["doc_id"])

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicgrid.llm.common import add_by_text
+
 MAX_TRAIN = 4000
 DIMENSIONS = 4096
 UNDETERMINED = "und"
@@ -158,18 +160,18 @@ def fit(docs: DataFrame, usable: Column, limit: int = MAX_TRAIN) -> Hierarchy:
     return Hierarchy(x, [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, usable: Column, limit: int = MAX_TRAIN) -> DataFrame:
-    """Add lang_pred and score to doc_id and text; ``usable`` says which rows may teach. Other columns of ``docs`` go, but for ``keep``."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = docs.sparkSession.sparkContext.broadcast(fit(plain, usable, limit))  # some hundred KB for each pair of languages
+def identify(docs: DataFrame, usable: Column, limit: int = MAX_TRAIN, keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns of ``docs`` (doc_id), lang_pred and score; ``usable`` says which rows may teach."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang"), usable, limit))  # some hundred KB for each pair of languages
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.iloc[at : at + 512]
-                lang, score = model.value.predict(ngram_features(list(some["text"])))
-                empty = np.array([not has_letter(t) for t in some["text"]], bool)
-                lang[empty], score[empty] = UNDETERMINED, 0.0
-                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64").to_numpy(), "lang_pred": lang, "score": score})
-
-    return plain.select("doc_id", "text").mapInPandas(predict, "doc_id long, lang_pred string, score double")
+    def predict(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for at in range(0, len(texts), 512):
+            some = texts[at : at + 512]
+            lang, score = model.value.predict(ngram_features(some))
+            empty = np.array([not has_letter(t) for t in some], bool)
+            lang[empty], score[empty] = UNDETERMINED, 0.0
+            out.append((lang, score))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, object), np.empty(0))
+
+    return add_by_text(docs, predict, "lang_pred string, score double", keep or ["doc_id"])

@@ -48,7 +48,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("kept", "kept_text")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

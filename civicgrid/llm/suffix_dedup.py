@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import group_starts, materialise, mix, powers, prefix_hash, whole_groups
+from civicgrid.llm.common import TYPES, group_starts, materialise, mix, powers, prefix_hash, whole_groups
 
 LENGTH = 200
 ANCHOR = 48
@@ -253,9 +253,9 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
 NAMES = [x.split()[0] for x in ANCHORED.split(", ")]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, *more) -> DataFrame:
     """doc_id, text and what tells rows of one doc_id apart; equal rows share a key and all that is found for it."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text", *more)
 
 
 def halve(pieces: DataFrame, length: int) -> DataFrame:
@@ -360,25 +360,30 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return again.join(results, ["anchor", "segment"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text_hash, kept (the remaining bytes), n_bytes, n_removed and n_spans of every row."""
-    named = keyed(docs)
-    marked = named.join(repeats(named, length), ["doc_id", "text_hash"], "left")
+def without_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns of ``docs`` (doc_id), the remaining bytes and text (without cut characters' rests), n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+    keep = keep or ["doc_id"]
+    carried = keyed(docs, F.struct(*keep).alias("row"))
+    marked = carried.join(repeats(keyed(docs), length), ["doc_id", "text_hash"], "left").select("row", "text", "spans")
+    made = "kept binary, kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+    def remove(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, found in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = b"" if text is None else text.encode("utf-8", "replace")
                 gone = np.zeros(len(data) + 1, np.int32)
-                if found is not None:
-                    np.add.at(gone, [s["lo"] for s in found], 1)
-                    np.add.at(gone, [s["hi"] for s in found], -1)
+                for s in found or ():
+                    gone[s["lo"]] += 1
+                    gone[s["hi"]] -= 1
                 mask = np.cumsum(gone[:-1]) > 0
                 kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
-                out.append((None if doc_id == -(1 << 63) else doc_id, kept, len(data), int(mask.sum()), len(spans(mask)), hashlib.sha256(kept).hexdigest()))
-            frame = pd.DataFrame(out, columns=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                out.append((kept, kept.decode("utf-8", "ignore"), len(data), int(mask.sum()), len(spans(mask)), hashlib.sha256(kept).hexdigest()))
+            types = [TYPES[x.split()[1]](pa) for x in made.split(", ")]
+            arrays = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *arrays], ["row", *[x.split()[0] for x in made.split(", ")]])
 
-    return marked.select("doc_id", "text", "spans").mapInPandas(remove, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    row = marked.schema["row"].dataType.simpleString()
+    return marked.mapInArrow(remove, f"row {row}, {made}").select("row.*", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -2,12 +2,54 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from civicgrid.llm.common import materialise, table
+from civicgrid.llm import decontaminate, language_id, ngram_join, packing, suffix_dedup
+from civicgrid.llm.common import crc_bucket, materialise, table
 
-STAGES: list = []
-#: SQL can't express the stages; tests hold them against brute force.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go: those without any letter."""
+    found = language_id.identify(docs, crc_bucket(F.col("doc_id"), 4) != 2, keep=COLUMNS)
+    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones stays, that of the smallest doc_id."""
+    gone = ngram_join.similarity_classes(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages leave the texts, with the rest of a character that they cut; documents that had only those go."""
+    left = suffix_dedup.without_repeats(docs, keep=["doc_id", "lang", "source"]).filter("n_removed = 0 OR n_removed < n_bytes")
+    return left.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
+    return found.filter(~F.col("contaminated")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens: a row for each piece and its place."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
+STAGES = [
+    ("language_id", language),
+    ("ngram_jaccard_join", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("decontamination", benchmark_passages),
+    ("best_fit_packing", packed),
+]
+
+#: SQL can't express the tokenizer and the models; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
