@@ -3,16 +3,20 @@
 Neither pre-tokenizer ever makes a token across the boundary between a
 non-space and a following blank, so a text's ids are those of its units in
 turn. Each different unit is encoded once for each worker, which keeps up to
-``UNITS`` of them; further units are encoded and not kept.
+``UNITS`` of them; further units are encoded and not kept. New units go to the
+library many at a time, with one of the vocabulary's added tokens between them:
+the library splits a text there before all else.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 
-UNITS = 400_000
+UNITS = 600_000
+TOGETHER = 200
 LONGEST_UNIT = 40
 
 _held: dict[str, tuple] = {}
@@ -25,6 +29,8 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        added = [(k, t) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.between = (added[0][0], added[0][1].content) if added else None
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -41,16 +47,29 @@ class UnitEncoder:
             return joined
         return out
 
+    def _apart(self, ids: list[int]) -> Iterator[bytes]:
+        coded = np.array(ids, "<u4")
+        data, start = coded.tobytes(), 0
+        for cut in (4 * np.flatnonzero(coded == self.between[0])).tolist():
+            yield data[start:cut]
+            start = cut + 4
+        yield data[start:]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
         known = self.known
         split = [self.units(t) if t else [] for t in texts]
         new = list({u for units in split for u in units if u not in known})
         fresh: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for unit, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                fresh[unit] = np.array(coded.ids, "<u4").tobytes()
+        joined = [u for u in new if self.between and self.between[1][0] not in u]
+        for at in range(0, len(joined), 50 * TOGETHER):
+            some = joined[at : at + 50 * TOGETHER]
+            texts_of = [self.between[1].join(some[i : i + TOGETHER]) for i in range(0, len(some), TOGETHER)]
+            coded = (unit_ids for x in self.tokenizer.encode_batch_fast(texts_of, add_special_tokens=False) for unit_ids in self._apart(x.ids))
+            fresh.update(zip(some, coded, strict=True))
+        single = [u for u in new if u not in fresh] if len(fresh) < len(new) else []
+        for unit, coded in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            fresh[unit] = np.array(coded.ids, "<u4").tobytes()
         if len(known) + len(fresh) <= UNITS:
             known.update(fresh)
             lookup = known.__getitem__
