@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicgrid.operators import aggregates
+from civicgrid.operators import aggregates, listing, merge
+from civicgrid.plans import planning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (aggregates,):
+for _module in (aggregates, listing, planning, merge):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
