@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from civicgrid.functions import queries as texts
 from civicgrid.operators import aggregates, listing, merge
 from civicgrid.plans import planning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (aggregates, listing, planning, merge):
+for _module in (aggregates, listing, planning, merge, texts):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
