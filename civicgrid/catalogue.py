@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from civicgrid.functions import queries as texts
-from civicgrid.operators import aggregates, listing, merge
+from civicgrid.operators import aggregates, listing, merge, resolve
 from civicgrid.plans import planning
+from civicgrid.streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (aggregates, listing, planning, merge, texts):
+for _module in (aggregates, listing, planning, merge, texts, resolve, counters):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
