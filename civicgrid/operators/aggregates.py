@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicgrid.operators.registry import Registry
@@ -10,7 +10,11 @@ from civicgrid.operators.roles import COMMUNITIES_SQL, EVENTS_SQL, MEMBERS_SQL,
 
 registry = Registry()
 C, M, E = f"WITH {COMMUNITIES_SQL}", f"WITH {MEMBERS_SQL}", f"WITH {EVENTS_SQL}"
-VISIBLE = ~F.col("hidden")
+
+
+def visible() -> Column:
+    return ~F.col("hidden")
+
 #: The reports' reference day, as the events end on 30 January 2024.
 NOW = "2024-01-31 00:00:00"
 HOME = ("FRANCE", "GERMANY", "RUSSIA")
@@ -19,7 +23,7 @@ HOME = ("FRANCE", "GERMANY", "RUSSIA")
 @registry.add(f"{C} SELECT city, topic, count(*) AS n FROM communities WHERE NOT hidden GROUP BY city, topic")
 def city_topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible records by city and topic."""
-    return communities(spark, sf_dir).filter(VISIBLE).groupBy("city", "topic").agg(F.count("*").alias("n")).orderBy("city", "topic")
+    return communities(spark, sf_dir).filter(visible()).groupBy("city", "topic").agg(F.count("*").alias("n")).orderBy("city", "topic")
 
 
 @registry.add(f"{C} SELECT city, chr(123) || string_agg(topic || '=' || n, ', ' ORDER BY topic) || chr(125) AS topics FROM (SELECT city, topic, count(*) AS n FROM communities WHERE NOT hidden GROUP BY ALL) GROUP BY city")
@@ -31,22 +35,22 @@ def city_topic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(f"{C} SELECT topic, count(*) AS n FROM communities WHERE NOT hidden GROUP BY topic")
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities(spark, sf_dir).filter(VISIBLE).groupBy("topic").agg(F.count("*").alias("n"))
+    return communities(spark, sf_dir).filter(visible()).groupBy("topic").agg(F.count("*").alias("n"))
 
 
 @registry.add(f"{C} SELECT topic, count(*) AS n FROM communities WHERE NOT hidden AND city IN ('src0', 'src1', 'src2') GROUP BY topic")
 def topic_counts_for_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities(spark, sf_dir).filter(VISIBLE & F.col("city").isin("src0", "src1", "src2")).groupBy("topic").agg(F.count("*").alias("n"))
+    return communities(spark, sf_dir).filter(visible() & F.col("city").isin("src0", "src1", "src2")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
 @registry.add(f"{C} SELECT city, count(*) AS n FROM communities WHERE NOT hidden GROUP BY city")
 def city_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities(spark, sf_dir).filter(VISIBLE).groupBy("city").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "city")
+    return communities(spark, sf_dir).filter(visible()).groupBy("city").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "city")
 
 
 @registry.add(f"{C} SELECT count(*) AS n FROM communities WHERE NOT hidden")
 def total_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities(spark, sf_dir).filter(VISIBLE).agg(F.count("*").alias("n"))
+    return communities(spark, sf_dir).filter(visible()).agg(F.count("*").alias("n"))
 
 
 @registry.add("SELECT n_name AS city, count(DISTINCT s_suppkey) AS venues, count(DISTINCT c_custkey) AS persons FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -71,7 +75,7 @@ def backlog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven conditional counts in one pass."""
     text = F.col("description")
     return communities(spark, sf_dir, text=True).agg(
-        F.count("*").alias("total"), F.count_if(VISIBLE).alias("visible"), F.count_if(F.col("quality").isNull()).alias("unmeasured"), F.count_if(F.col("quality") == 0).alias("poor"),
+        F.count("*").alias("total"), F.count_if(visible()).alias("visible"), F.count_if(F.col("quality").isNull()).alias("unmeasured"), F.count_if(F.col("quality") == 0).alias("poor"),
         F.count_if(F.trim(text) == "").alias("no_text"), F.count_if(F.length(text) < 200).alias("short_text"), F.count_if(text.contains("@")).alias("with_contact"),
     )
 
@@ -94,7 +98,7 @@ count(*) FILTER (contains(description, '@')) AS has_contact, count(*) FILTER (co
 def quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine conditional and distinct aggregates of visible records."""
     text, good = F.col("description"), F.col("quality") == 1
-    return communities(spark, sf_dir, text=True).filter(VISIBLE).agg(
+    return communities(spark, sf_dir, text=True).filter(visible()).agg(
         F.count("*").alias("total"), F.countDistinct("city").alias("cities"), F.countDistinct("topic").alias("topics"), F.count_if(F.length(text) > 50).alias("has_description"), F.count_if(good).alias("good"),
         F.count_if(text.contains("@")).alias("has_contact"), F.count_if(text.contains("http")).alias("has_website"), F.countDistinct(F.when(good, F.col("city"))).alias("good_cities"), F.count_if(text.contains("@") | (F.length(text) > 50)).alias("has_any"),
     )
@@ -103,7 +107,7 @@ def quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"{C} SELECT city, count(*) AS n, count(*) FILTER (quality = 1) AS good FROM communities WHERE NOT hidden GROUP BY city ORDER BY n DESC, city LIMIT 20")
 def quality_by_city_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-20 report: the limit is the feature."""
-    return communities(spark, sf_dir).filter(VISIBLE).groupBy("city").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good")).orderBy(F.desc("n"), "city").limit(20)
+    return communities(spark, sf_dir).filter(visible()).groupBy("city").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good")).orderBy(F.desc("n"), "city").limit(20)
 
 
 @registry.add(f"{C} SELECT topic AS model, quality, count(*) AS n FROM communities GROUP BY topic, quality ORDER BY n DESC, model, quality NULLS FIRST LIMIT 15")
@@ -182,7 +186,7 @@ UNION ALL SELECT 'cities', scope, count(DISTINCT city) FROM s GROUP BY scope UNI
 def daily_summary_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics by scope (home cities, the rest, both), from one aggregation by scope."""
     scoped = members(spark, sf_dir).withColumn("scope", F.when(F.col("city").isin(*HOME), "home").otherwise("intl"))
-    wide = scoped.groupBy("scope").agg(F.count("*").alias("records"), F.count_if(VISIBLE).alias("visible"), F.countDistinct("city").alias("cities"), F.countDistinct("city", "topic").alias("pairs"))
+    wide = scoped.groupBy("scope").agg(F.count("*").alias("records"), F.count_if(visible()).alias("visible"), F.countDistinct("city").alias("cities"), F.countDistinct("city", "topic").alias("pairs"))
     rows = wide.unpivot("scope", ["records", "visible", "cities", "pairs"], "metric", "n").groupBy("metric").pivot("scope", ["home", "intl"]).agg(F.sum("n"))
     return rows.withColumn("total", F.coalesce("home", F.lit(0)) + F.coalesce("intl", F.lit(0)))
 
@@ -235,14 +239,14 @@ def report_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"{M}, c AS (SELECT city, topic, count(*) AS n FROM members WHERE NOT hidden GROUP BY ALL) SELECT city, count(*) FILTER (topic <> 'FURNITURE') AS topics, (sum(n) - coalesce(sum(n) FILTER (topic = 'FURNITURE'), 0))::BIGINT AS popular FROM c GROUP BY city")
 def popularity_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cities by different topics and records, the catch-all topic left out."""
-    counts = members(spark, sf_dir).filter(VISIBLE).groupBy("city", "topic").agg(F.count("*").alias("n"))
+    counts = members(spark, sf_dir).filter(visible()).groupBy("city", "topic").agg(F.count("*").alias("n"))
     other = F.col("topic") == "FURNITURE"
     return counts.groupBy("city").agg(F.count_if(~other).alias("topics"), (F.sum("n") - F.coalesce(F.sum(F.when(other, F.col("n"))), F.lit(0))).alias("popular")).orderBy(F.desc("topics"), F.desc("popular"), "city")
 
 
 @registry.add(f"{M}, c AS (SELECT country, city, count(*) AS n FROM members WHERE NOT hidden GROUP BY ALL) SELECT country, count(*) AS cities, sum(n)::BIGINT AS n FROM c GROUP BY country")
 def country_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return members(spark, sf_dir).filter(VISIBLE).groupBy("country").agg(F.countDistinct("city").alias("cities"), F.count("*").alias("n"))
+    return members(spark, sf_dir).filter(visible()).groupBy("country").agg(F.countDistinct("city").alias("cities"), F.count("*").alias("n"))
 
 
 @registry.add(f"{M} SELECT t.topic, count(m.id) AS n FROM (SELECT DISTINCT topic FROM members) t LEFT JOIN members m ON m.topic = t.topic AND m.city = 'PERU' AND m.score > 9000 GROUP BY t.topic")
@@ -256,7 +260,7 @@ def topic_counts_with_zeroes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"{M}, a AS (SELECT count(*) AS total, count(*) FILTER (NOT hidden) AS matched FROM members) SELECT preset, CAST(ceil((total - matched) * share) AS BIGINT) AS needed FROM a, (VALUES ('all', 1.0), ('half', 0.5), ('tenth', 0.1)) p(preset, share)")
 def run_scope_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that a run still needs, for each preset share."""
-    needed = members(spark, sf_dir).agg((F.count("*") - F.count_if(VISIBLE)).alias("left"))
+    needed = members(spark, sf_dir).agg((F.count("*") - F.count_if(visible())).alias("left"))
     presets = F.array(*[F.struct(F.lit(p).alias("preset"), F.lit(s).alias("share")) for p, s in (("all", 1.0), ("half", 0.5), ("tenth", 0.1))])
     return needed.select("left", F.explode(presets).alias("p")).select("p.preset", F.ceil(F.col("left") * F.col("p.share").cast("decimal(3,1)")).cast("long").alias("needed"))
 
@@ -296,7 +300,7 @@ def covered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"{C} SELECT city, topic, count(*) AS n, max(length(trim(description))) < 500 AS thin, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM communities WHERE NOT hidden GROUP BY ALL")
 def sitemap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with their records in order, and whether all of them are thin: one grouped query for the whole sitemap."""
-    rows = communities(spark, sf_dir, text=True).filter(VISIBLE).select("id", "city", "topic", F.length(F.trim("description")).alias("size"))
+    rows = communities(spark, sf_dir, text=True).filter(visible()).select("id", "city", "topic", F.length(F.trim("description")).alias("size"))
     return rows.groupBy("city", "topic").agg(F.count("*").alias("n"), (F.max("size") < 500).alias("thin"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicgrid.operators.registry import Registry
@@ -10,7 +10,11 @@ from civicgrid.operators.roles import COMMUNITIES_SQL, EVENTS_SQL, MEMBERS_SQL,
 
 registry = Registry()
 C, M, E, V = f"WITH {COMMUNITIES_SQL}", f"WITH {MEMBERS_SQL}", f"WITH {EVENTS_SQL}", f"WITH {VENUES_SQL}"
-VISIBLE = ~F.col("hidden")
+
+
+def visible() -> Column:
+    return ~F.col("hidden")
+
 
 
 def escape_like(text: str) -> str:
@@ -21,17 +25,17 @@ def escape_like(text: str) -> str:
 @registry.add(f"{C} SELECT id, city, topic, n_chars FROM communities WHERE NOT hidden")
 def visible_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All visible records in order of city, topic, id."""
-    return communities(spark, sf_dir).filter(VISIBLE).select("id", "city", "topic", "n_chars").orderBy("city", "topic", "id")
+    return communities(spark, sf_dir).filter(visible()).select("id", "city", "topic", "n_chars").orderBy("city", "topic", "id")
 
 
 @registry.add(f"{C} SELECT id, n_chars FROM communities WHERE city = 'src0' AND topic = 'en' AND NOT hidden")
 def pair_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities(spark, sf_dir).filter((F.col("city") == "src0") & (F.col("topic") == "en") & VISIBLE).select("id", "n_chars").orderBy("id")
+    return communities(spark, sf_dir).filter((F.col("city") == "src0") & (F.col("topic") == "en") & visible()).select("id", "n_chars").orderBy("id")
 
 
 @registry.add(f"{M} SELECT id, name, topic FROM members WHERE city = 'PERU' AND NOT hidden")
 def city_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return members(spark, sf_dir).filter((F.col("city") == "PERU") & VISIBLE).select("id", "name", "topic").orderBy("topic", "id")
+    return members(spark, sf_dir).filter((F.col("city") == "PERU") & visible()).select("id", "name", "topic").orderBy("topic", "id")
 
 
 @registry.add("SELECT id, city FROM (SELECT c_custkey AS id, n_name AS city FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
@@ -71,7 +75,7 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"{C} SELECT id FROM communities WHERE NOT hidden AND contains(lower(description), 'été')")
 def unicode_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case-folded substring search of the whole text."""
-    return communities(spark, sf_dir, text=True).filter(VISIBLE & F.lower("description").contains("été")).select("id")
+    return communities(spark, sf_dir, text=True).filter(visible() & F.lower("description").contains("été")).select("id")
 
 
 @registry.add("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY")
@@ -120,7 +124,7 @@ PAGE_SIZE = 100
 @registry.add(f"{M}, r AS (SELECT id, name, row_number() OVER (ORDER BY name, id) AS rn, count(*) OVER () AS n FROM members WHERE NOT hidden) SELECT id, name FROM r WHERE rn > (least(greatest(3, 1), CAST(ceil(n / {PAGE_SIZE}.0) AS BIGINT)) - 1) * {PAGE_SIZE} AND rn <= least(greatest(3, 1), CAST(ceil(n / {PAGE_SIZE}.0) AS BIGINT)) * {PAGE_SIZE}")
 def page_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page 3 of the listing, clamped to the pages there are."""
-    rows = members(spark, sf_dir).filter(VISIBLE).select("id", "name")
+    rows = members(spark, sf_dir).filter(visible()).select("id", "name")
     pages = max(1, -(-rows.count() // PAGE_SIZE))
     return rows.orderBy("name", "id").offset((min(max(3, 1), pages) - 1) * PAGE_SIZE).limit(PAGE_SIZE)
 
@@ -128,7 +132,7 @@ def page_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"{M}, c AS (SELECT city, country, count(*) AS n FROM members WHERE NOT hidden GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, city) AS rn, sum(n) OVER (PARTITION BY country) AS total FROM c) SELECT country, city, n, total::BIGINT AS total, dense_rank() OVER (ORDER BY total DESC, country) AS place FROM r WHERE rn <= 3")
 def top_cities_per_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three largest cities of each country, countries ranked by all their records."""
-    counts = members(spark, sf_dir).filter(VISIBLE).groupBy("city", "country").agg(F.count("*").alias("n"))
+    counts = members(spark, sf_dir).filter(visible()).groupBy("city", "country").agg(F.count("*").alias("n"))
     by_country = Window.partitionBy("country")
     ranked = counts.withColumns({"rn": F.row_number().over(by_country.orderBy(F.desc("n"), "city")), "total": F.sum("n").over(by_country)}).filter("rn <= 3")
     return ranked.select("country", "city", "n", "total", F.dense_rank().over(Window.orderBy(F.desc("total"), "country")).cast("long").alias("place"))
@@ -152,7 +156,7 @@ def related_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"{C} SELECT city, arg_min(id, topic || '/' || lpad(CAST(id AS VARCHAR), 12, '0')) AS id, max(n_chars) AS last_mod FROM communities WHERE NOT hidden GROUP BY city")
 def lastmod_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first record of each city by topic and id."""
-    return communities(spark, sf_dir).filter(VISIBLE).groupBy("city").agg(F.min_by("id", F.struct("topic", "id")).alias("id"), F.max("n_chars").alias("last_mod"))
+    return communities(spark, sf_dir).filter(visible()).groupBy("city").agg(F.min_by("id", F.struct("topic", "id")).alias("id"), F.max("n_chars").alias("last_mod"))
 
 
 @registry.add("SELECT user_id, arg_max(event_type, event_id) AS state, max(event_id) AS seq FROM events GROUP BY user_id")
