@@ -28,6 +28,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,30 +119,25 @@ def found(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def write_blocks(benchmark: DataFrame, folder: str, window: int) -> list[str]:
-    """Index the items block by block: each block is built on the driver from at most ``BLOCK_WORDS`` words at a time."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder)
-    store.create_dir(root, recursive=True)
-    names: list[str] = []
-
-    def flush(items: list[tuple[str, bytes]]) -> None:
-        name = f"{root}/block-{len(names):05d}"
-        with store.open_output_stream(name) as out:
-            out.write(pickle.dumps(BenchmarkBlock(items, window)))
-        names.append(name)
-
-    held, size = [], 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").filter(F.col("text").isNotNull()).toLocalIterator():
-        data = row["text"].encode("utf-8", "replace")
-        held.append((row["item_id"], data))
-        size += data.count(b" ") + 1
-        if size >= BLOCK_WORDS:
-            flush(held)
-            held, size = [], 0
-    if held:
-        flush(held)
-    return names
+    """Index the items in blocks of about ``BLOCK_WORDS`` words, each built and written by a task; returns the files' names."""
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
+    size = items.agg(F.sum(F.length("text") / 5 + 1).alias("n")).first()["n"] or 0
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name = f"{root}/block-{rows['block'].iloc[0]:06d}"
+        own = f"{name}.{TaskContext.get().taskAttemptId()}"
+        with store.open_output_stream(own) as out:
+            out.write(pickle.dumps(BenchmarkBlock([(i, t.encode("utf-8", "replace")) for i, t in zip(rows["item_id"], rows["text"], strict=True)], window)))
+        store.move(own, name)
+        return pd.DataFrame({"name": [name]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-int(size) // BLOCK_WORDS)))))
+    return sorted(r["name"] for r in dealt.groupBy("block").applyInPandas(build, "name string").collect())
 
 
 def load(folder: str, name: str) -> BenchmarkBlock:
