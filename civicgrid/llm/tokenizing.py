@@ -11,6 +11,7 @@ the library splits a text there before all else.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,8 @@ UNITS = 600_000
 TOGETHER = 200
 LONGEST_UNIT = 40
 
-_held: dict[str, tuple] = {}
+_RUN = re.compile(r"\s ")
+_held: dict[str, UnitEncoder] = {}
 
 
 class UnitEncoder:
@@ -28,24 +30,25 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        #: Ids of units as they stand, and of those after a blank by what follows it.
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         added = [(k, t) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.between = (added[0][0], added[0][1].content) if added else None
 
     @staticmethod
-    def units(text: str) -> list[str]:
+    def units(text: str) -> tuple[list[str], list[str]]:
+        """(units as they stand, units after a blank without it), each in order; the first come first."""
         parts = text.split(" ")
-        out = [parts[0]] + [" " + p for p in parts[1:]]
-        if "" in parts or any(p[-1].isspace() for p in parts if p and not p[-1].isalnum()):
-            # a blank after white space continues that run, so the units join
-            joined: list[str] = [out[0]]
-            for unit in out[1:]:
-                if not joined[-1] or joined[-1][-1].isspace():
-                    joined[-1] += unit
-                else:
-                    joined.append(unit)
-            return joined
-        return out
+        if not _RUN.search(text):
+            return parts[:1], parts[1:]
+        # a blank after white space continues that run, so the units join
+        joined = parts[:1]
+        for part in parts[1:]:
+            if not joined[-1] or joined[-1][-1].isspace():
+                joined[-1] += " " + part
+            else:
+                joined.append(" " + part)
+        return joined, []
 
     def _apart(self, ids: list[int]) -> Iterator[bytes]:
         coded = np.array(ids, "<u4")
@@ -55,32 +58,41 @@ class UnitEncoder:
             start = cut + 4
         yield data[start:]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        known = self.known
-        split = [self.units(t) if t else [] for t in texts]
-        new = list({u for units in split for u in units if u not in known})
-        fresh: dict[str, bytes] = {}
-        joined = [u for u in new if self.between and self.between[1][0] not in u]
+    def _encode(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        mark = self.between[1] if self.between else None
+        joined = [u for u in units if mark and mark[0] not in u]
         for at in range(0, len(joined), 50 * TOGETHER):
             some = joined[at : at + 50 * TOGETHER]
-            texts_of = [self.between[1].join(some[i : i + TOGETHER]) for i in range(0, len(some), TOGETHER)]
-            coded = (unit_ids for x in self.tokenizer.encode_batch_fast(texts_of, add_special_tokens=False) for unit_ids in self._apart(x.ids))
-            fresh.update(zip(some, coded, strict=True))
-        single = [u for u in new if u not in fresh] if len(fresh) < len(new) else []
+            together = [mark.join(some[i : i + TOGETHER]) for i in range(0, len(some), TOGETHER)]
+            coded = (ids for x in self.tokenizer.encode_batch_fast(together, add_special_tokens=False) for ids in self._apart(x.ids))
+            yield from zip(some, coded, strict=True)
+        single = [u for u in units if not mark or mark[0] in u]
         for unit, coded in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
-            fresh[unit] = np.array(coded.ids, "<u4").tobytes()
-        if len(known) + len(fresh) <= UNITS:
-            known.update(fresh)
-            lookup = known.__getitem__
+            yield unit, np.array(coded.ids, "<u4").tobytes()
+
+    def _lookup(self, side: int, wanted: set[str]):
+        """A function from unit to ids; keeps new units while there is room."""
+        known = self.known[side]
+        new = [u for u in wanted if u not in known]
+        if not new:
+            return known.__getitem__
+        if side:
+            fresh = {u[1:]: ids for u, ids in self._encode([" " + u for u in new])}
         else:
-            for unit, ids in fresh.items():
-                if len(known) >= UNITS:
-                    break
-                if len(unit) <= LONGEST_UNIT:
-                    known[unit] = ids
-            lookup = lambda u: known[u] if u in known else fresh[u]
-        return [b"".join(map(lookup, units)) for units in split]
+            fresh = dict(self._encode(new))
+        room = UNITS - len(self.known[0]) - len(self.known[1])
+        if len(fresh) <= room:
+            known.update(fresh)
+            return known.__getitem__
+        for unit in [u for u in fresh if len(u) <= LONGEST_UNIT][: max(0, room)]:
+            known[unit] = fresh[unit]
+        return lambda u: known[u] if u in known else fresh[u]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; null is empty."""
+        split = [self.units(t) if t else ([], []) for t in texts]
+        lookups = [self._lookup(side, set().union(*[units[side] for units in split])) for side in (0, 1)]
+        return [b"".join(map(lookups[0], first)) + b"".join(map(lookups[1], rest)) for first, rest in split]
 
 
 def encoder(path: str) -> UnitEncoder:
