@@ -35,7 +35,7 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.slug(F.col("p_name")).alias("slug"))
 
 
-@registry.add("SELECT event_id, CASE WHEN lower(trim(event_type)) NOT IN ('error', 'n/a', '', 'none') THEN event_type END AS kind FROM events")
+@registry.add("SELECT event_id, CASE WHEN lower(trim(event_type)) NOT IN ('error', 'n/a', 'none') THEN event_type END AS kind FROM events")
 def null_like_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that stand for nothing become null; in this table ``error`` does."""
     kind = F.when(F.col("event_type") != "error", F.col("event_type"))
@@ -67,16 +67,21 @@ def jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.to_json(thing).alias("jsonld"))
 
 
-@registry.add("SELECT page_id, url, CASE WHEN contains(h, 'example.com') THEN 'com' WHEN contains(h, 'example.net') THEN 'net' ELSE 'other' END AS platform FROM (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS h FROM pages)")
+def _platform_sql() -> str:
+    cases = " ".join("WHEN " + " OR ".join(f"contains(h, '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in T.PLATFORMS.items())
+    return f"SELECT page_id, CASE {cases} ELSE left(h, 28) END AS platform FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www[.]', '') AS h FROM pages)"
+
+
+@registry.add(_platform_sql())
 def platform_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label for the site that a link goes to."""
-    host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", "url", F.when(host.contains("example.com"), "com").when(host.contains("example.net"), "net").otherwise("other").alias("platform"))
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), "^www[.]", "")
+    return table(spark, sf_dir, "pages").select("page_id", T.platform(host).alias("platform"))
 
 
-@registry.add("SELECT o_orderkey AS id, CASE WHEN h > 0 THEN printf('%dh %02dm', h, m) WHEN m > 0 THEN printf('%dm %02ds', m, s) ELSE printf('%ds', s) END AS took FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) // 3600 AS h, CAST(floor(o_totalprice) AS BIGINT) % 3600 // 60 AS m, CAST(floor(o_totalprice) AS BIGINT) % 60 AS s FROM orders)")
+@registry.add("SELECT o_orderkey AS id, CASE WHEN s < 60 THEN printf('%.1fs', CAST(s AS DOUBLE)) ELSE printf('%dm %ds', s // 60, s % 60) END AS took FROM (SELECT o_orderkey, CAST(floor(o_totalprice / 100) AS BIGINT) AS s FROM orders)")
 def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), T.duration(F.floor("o_totalprice")).alias("took"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), T.duration(F.floor(F.col("o_totalprice") / 100)).alias("took"))
 
 
 @registry.add("SELECT o_orderkey AS id, hour(o_orderdate) * 60 + minute(o_orderdate) >= 1320 OR hour(o_orderdate) * 60 + minute(o_orderdate) < 360 AS inside FROM orders")

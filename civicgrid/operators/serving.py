@@ -12,11 +12,15 @@ registry = Registry()
 M, E, V = f"WITH {MEMBERS_SQL}", f"WITH {EVENTS_SQL}", f"WITH {VENUES_SQL}"
 
 
+#: Where accented vowels stand, behind all words of the plain vowel (125 to 127 come after z).
+AFTER = {"á": ("a", 127), "é": ("e", 127), "í": ("i", 127), "ó": ("o", 125), "ö": ("o", 126), "ő": ("o", 127), "ú": ("u", 125), "ü": ("u", 126), "ű": ("u", 127)}
+
+
 def collation_key(name: Column) -> Column:
     """Hungarian order: an accented vowel comes after every word of the plain one."""
     key = F.lower(name)
-    for letter, place in (("á", "a~"), ("é", "e~"), ("í", "i~"), ("ó", "o~"), ("ö", "o~~"), ("ő", "o~~~"), ("ú", "u~"), ("ü", "u~~"), ("ű", "u~~~")):
-        key = F.replace(key, F.lit(letter), F.lit(place))
+    for letter, (plain, place) in AFTER.items():
+        key = F.replace(key, F.lit(letter), F.lit(plain + chr(place)))
     return key
 
 
@@ -24,7 +28,7 @@ def words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
-@registry.add(f"{M} SELECT country, string_agg(CAST(id AS VARCHAR), ',' ORDER BY lower(replace(replace(name, 'á', 'a~'), 'é', 'e~')), id) AS ids FROM members GROUP BY country")
+@registry.add(f"{M} SELECT country, string_agg(CAST(id AS VARCHAR), ',' ORDER BY lower(name), id) AS ids FROM members GROUP BY country")
 def collated_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A country's records in the listing's own order."""
     keyed = members(spark, sf_dir).select("country", F.struct(collation_key(F.col("name")).alias("k"), "id").alias("r"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civicgrid.functions import text as T
 from civicgrid.operators import resolve
+from civicgrid.operators.serving import collation_key
 
 
 def apply(spark, values, column, kind="string"):
@@ -38,7 +39,11 @@ def test_cleaning(spark):
     assert apply(spark, [["a"], ["s"]], T.with_source(x, F.lit("s")), "array<string>") == [["s", "a"], ["s"]]
     assert apply(spark, ["The Club", "A Z", "az"], T.strip_articles(x)) == ["club", "z", "az"]
     assert apply(spark, ["5%_\\"], T.escape_like(x)) == ["5\\%\\_\\\\"]
-    assert apply(spark, [3725.0, 65.0, 9.0], T.duration(x), "double") == ["1h 02m", "1m 05s", "9s"]
+    assert apply(spark, [3725.0, 65.0, 9.0], T.duration(x), "double") == ["62m 5s", "1m 5s", "9.0s"]
+    assert apply(spark, ['Chess", 0.9, true, x', "Plain", '", 1"'], T.without_json_tail(x)) == ["Chess", "Plain", '", 1"']
+    assert apply(spark, ["fb.me", "a.meetup.com", "b.example.org"], T.platform(x)) == ["Facebook", "Meetup", "b.example.org"]
+    order = apply(spark, ["Ács", "Abony", "Azor", "ózd", "özd", "őz", "ozma"], collation_key(x))
+    assert sorted(range(7), key=order.__getitem__) == [1, 2, 0, 6, 3, 4, 5]
     assert apply(spark, ["Árvíztűrő FC klub klub"], T.name_tokens(x)) == [["arvizturo", "klub"]]
 
 
