@@ -23,9 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share, from ``spark.checkpoint.dir``."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = LOCAL_CHECKPOINTS
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL_CHECKPOINTS
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
