@@ -16,6 +16,7 @@ gives no rows. Only the named columns are read, so further columns can't clash.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from civicgrid.llm.common import add_by_text
 
 MAX_TRAIN = 4000
-DIMENSIONS = 4096
+BITS = 11
+DIMENSIONS = 1 << BITS
 UNDETERMINED = "und"
 
 #: Families of some languages by their ISO 639-1 codes.
@@ -58,7 +60,7 @@ def ngram_features(texts: list[str | None]) -> np.ndarray:
         for n in range(1, 5):
             gram = gram[: len(codes) - n + 1] * np.uint32(257) + codes[n - 1 :]
             keep = (codes[: len(gram)] != 32) | (codes[n - 1 :] != 32)
-            slot = ((gram * np.uint32(2654435761) + np.uint32(n * 40503)) * np.uint32(2246822519)) >> np.uint32(20)
+            slot = ((gram * np.uint32(2654435761) + np.uint32(n * 40503)) * np.uint32(2246822519)) >> np.uint32(32 - BITS)
             total += np.bincount(doc[: len(gram)][keep] + slot[keep], minlength=len(total))
         counts = total.reshape(-1, DIMENSIONS)
         out[at : at + len(encoded)] = np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
@@ -71,10 +73,10 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 1
     Each side of a machine weighs the same. Accelerated gradient steps on all rows.
     """
     centre = x.mean(axis=0)
-    x = x - centre
+    x = x - centre  # the only copy
     share = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(axis=0)), 0.5 / np.maximum(1, (y < 0).sum(axis=0)))
     w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
-    step = 1.0 / (2 * float((x * x).sum(axis=1).max(initial=0) + 1) + penalty)
+    step = 1.0 / (2 * float(np.einsum('ij,ij->i', x, x).max(initial=0) + 1) + penalty)
     vw, vb, t = w, b, 1.0
     for _ in range(rounds):
         short = np.maximum(0, 1 - y * (x @ vw + vb))
@@ -152,12 +154,17 @@ def fit(docs: DataFrame, usable: Column, limit: int = MAX_TRAIN) -> Hierarchy:
         for batch in batches:
             rows = [i for i, t in enumerate(batch["text"]) if has_letter(t)]
             x = ngram_features([batch["text"].iloc[i] for i in rows]).astype(np.float16)
-            yield pd.DataFrame({"lang": batch["lang"].iloc[rows].to_numpy(), "x": [v.tobytes() for v in x]})
+            yield pd.DataFrame({"lang": batch["lang"].iloc[rows].to_numpy(), "x": [v.tobytes() for v in x], "sample": 0})
 
-    rows = training_rows(docs, usable, limit).mapInPandas(featured, "lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["x"]))
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, DIMENSIONS), np.float32)
-    return Hierarchy(x, [r["lang"] for r in rows])
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["lang", "x"])
+        x = np.frombuffer(b"".join(rows["x"]), np.float16).reshape(len(rows), -1).astype(np.float32)
+        return pd.DataFrame({"model": [pickle.dumps(Hierarchy(x, rows["lang"].to_list()))]})
+
+    sample = training_rows(docs, usable, limit).mapInPandas(featured, "lang string, x binary, sample int")
+    # one task for the bounded sample, so that the driver only gets the model
+    fitted = sample.groupBy("sample").applyInPandas(train, "model binary").collect()
+    return pickle.loads(fitted[0]["model"]) if fitted else Hierarchy(np.zeros((0, DIMENSIONS), np.float32), [])
 
 
 def identify(docs: DataFrame, usable: Column, limit: int = MAX_TRAIN, keep: list[str] | None = None) -> DataFrame:

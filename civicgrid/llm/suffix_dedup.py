@@ -77,8 +77,22 @@ def suffix_array(text: list[int]) -> list[int]:
     top = n
     while top > 0:
         here = group[members[top - 1]]
+        if top - here == 1:
+            i = members[here]
+            j = i - 1
+            while j >= 0 and group[j] >= here:
+                j = smaller[j]
+            smaller[i] = j
+            if j >= 0 and (last := end[group[j]] - 1) > group[j]:
+                other, at = members[last], slot[j]
+                members[at], members[last] = other, j
+                slot[other], slot[j] = at, last
+                end[group[j]], end[last] = last, last + 1
+                group[j] = last
+            top = here
+            continue
         followed: dict[int, int] = {}
-        for i in sorted(members[here:top]) if top - here > 1 else (members[here],):
+        for i in sorted(members[here:top]):
             j = i - 1
             while j >= 0 and group[j] >= here:
                 j = smaller[j]
@@ -327,15 +341,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     alone = distinct.filter("members = 1").select("anchor", "segment", F.lit(0).alias("lo"), (F.col("windows") + length - 1).alias("hi"))
     wanted = distinct.filter("members > 1").groupBy("at.doc_id", "at.text_hash").agg(F.collect_list(F.struct("anchor", "segment", "at.start", "windows", "before", "weight", "members")).alias("wanted"))
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text, wanted_here in zip(batch["text"], batch["wanted"], strict=True):
-                data = text.encode("utf-8", "replace")
-                rows = [(w["anchor"], w["segment"], 0, w["windows"], w["before"], w["weight"], data[w["start"] : w["start"] + w["windows"] + length - 1], w["members"]) for w in wanted_here]
-                yield pd.DataFrame(rows, columns=["anchor", "segment", "first", "windows", "before", "weight", "bytes", "members"])
-
-    # rows of one key are equal, so one of them serves
-    fetched = docs.join(wanted, ["doc_id", "text_hash"]).select("text", "wanted").mapInPandas(fetch, PIECE.replace("part", "members"))
+    # cut inside the array, so that a text is not copied for each of its pieces
+    piece = lambda w: F.struct(w["anchor"].alias("anchor"), w["segment"].alias("segment"), F.lit(0).alias("first"), w["windows"].alias("windows"), w["before"].alias("before"), w["weight"].alias("weight"), F.substring(F.col("data"), w["start"] + 1, w["windows"] + length - 1).alias("bytes"), w["members"].alias("members"))
+    fetched = docs.join(wanted, ["doc_id", "text_hash"]).select(F.col("text").cast("binary").alias("data"), "wanted").select(F.explode(F.transform("wanted", piece)).alias("p")).select("p.*")
     pieces = materialise(fetched, "pieces")
     found = [repeated_segments(pieces.filter(F.col("members") <= GROUP).withColumn("part", F.lit(0).cast("long")), length)]
     large = pieces.filter(F.col("members") > GROUP).drop("members").withColumn("part", F.lit(0).cast("long")).dropDuplicates(["anchor", "segment"]).withColumn("lowest", F.lit(-(length - ANCHOR)))
