@@ -333,10 +333,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, text_hash and, as ``spans``, the bytes of each keyed document that repeat."""
     anchors = anchored(docs, length)
     anchors = materialise(anchors, "anchors")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # counts by anchor are tables of their own: joined straight after its aggregation, a frequent anchor's rows can't be split over tasks
+    often = materialise(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "often")
     again = materialise(anchors.join(often, "anchor"), "anchors-again")
     distinct = again.groupBy("anchor", "segment").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "text_hash", "start")).alias("at"), F.any_value("windows").alias("windows"), F.any_value("before").alias("before"))
-    groups = distinct.groupBy("anchor").agg(F.count("*").alias("members"))
+    groups = materialise(distinct.groupBy("anchor").agg(F.count("*").alias("members")), "groups")
     distinct = materialise(distinct.join(groups, "anchor"), "segments")
     alone = distinct.filter("members = 1").select("anchor", "segment", F.lit(0).alias("lo"), (F.col("windows") + length - 1).alias("hi"))
     wanted = distinct.filter("members > 1").groupBy("at.doc_id", "at.text_hash").agg(F.collect_list(F.struct("anchor", "segment", "at.start", "windows", "before", "weight", "members")).alias("wanted"))
@@ -352,9 +353,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         halves = materialise(halve(large, length), "halves")
         inside = ["anchor", "part", "lowest", F.md5("bytes").alias("same"), "before"]
         # equal halves are one, which occurs as often as all of them
-        sums = halves.groupBy(*inside).agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
-        sizes = sums.groupBy("anchor", "part").agg(F.count("*").alias("members"), F.sum("weight").alias("total"))
-        sized = halves.withColumn("same", F.md5("bytes")).drop("weight").join(sums.drop("n"), ["anchor", "part", "lowest", "same", "before"]).join(sizes, ["anchor", "part"]).filter("total > 1")
+        sums = materialise(halves.groupBy(*inside).agg(F.sum("weight").alias("weight")), "sums")
+        sizes = materialise(sums.groupBy("anchor", "part").agg(F.count("*").alias("members"), F.sum("weight").alias("total")), "sizes")
+        sized = halves.withColumn("same", F.md5("bytes")).drop("weight").join(sums, ["anchor", "part", "lowest", "same", "before"]).join(sizes, ["anchor", "part"]).filter("total > 1")
         sized = materialise(sized, "sized")
         sure = sized.filter("weight > 1 OR members = 1")
         found.append(sure.select("anchor", "segment", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + length - 1).alias("hi")))
