@@ -14,7 +14,7 @@ from civicgrid.session import let_workers_import
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/civicgrid"
 #: Bytes of text handled at once inside a task.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -232,15 +232,15 @@ def linked_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     return placed.join(lowest, "root").select("key", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
 
 
-def add_by_text(df: DataFrame, function, added: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``df`` as they are, and what ``function`` (texts -> one list for each column) makes of ``text``."""
+def add_by_text(df: DataFrame, function, added: str, keep: list[str], at_once: int = 1 << 20) -> DataFrame:
+    """``keep`` columns of ``df`` as they are, and what ``function`` (texts -> one list for each column) makes of ``text``, at most ``at_once`` rows at a time."""
     names = [x.split()[0] for x in added.split(", ")]
     carried = [*keep] if "text" in keep else [*keep, "text"]
 
     def apply(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (whole.slice(at, at_once) for whole in batches for at in range(0, max(1, whole.num_rows), at_once)):
             made = function(batch.column("text").to_pylist())
             columns = [batch.column(k) for k in keep] + [pa.array(m, TYPES[x.split()[1]](pa)) for m, x in zip(made, added.split(", "), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *names])

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import WordBatch, add_by_text, chunks, shared_path
+from civicgrid.llm.common import CHUNK_BYTES, WordBatch, add_by_text, chunks, shared_path
 
 WINDOW = 13
 K = 5
@@ -177,7 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     one_in = round(1 / share)
 
     def judge(texts: list[str | None]) -> tuple[list, ...]:
-        found_here = [h for _, _, encoded in chunks(texts) for h in hits(encoded, (load(folder, name) for name in names))]
+        found_here = [h for _, _, encoded in chunks(texts, 4 * CHUNK_BYTES) for h in hits(encoded, (load(folder, name) for name in names))]
         return (
             [n for n, _, _ in found_here], [h for _, h, _ in found_here], [len(i) for _, _, i in found_here],
             [hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in found_here], [h > 0 and one_in * h >= n for n, h, _ in found_here],

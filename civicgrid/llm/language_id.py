@@ -25,9 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import add_by_text
+from civicgrid.llm.common import add_by_text, chunks
 
 MAX_TRAIN = 4000
+#: Texts handled at once inside a task.
+ROWS = 256
 BITS = 11
 DIMENSIONS = 1 << BITS
 UNDETERMINED = "und"
@@ -52,8 +54,7 @@ def has_letter(text: str | None) -> bool:
 def ngram_features(texts: list[str | None]) -> np.ndarray:
     """One row of ``DIMENSIONS`` for each text, of length 1 (0 for a text without letters)."""
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    for at in range(0, len(texts), 128):
-        encoded = [b"" if t is None else t.lower().encode("utf-8", "replace") for t in texts[at : at + 128]]
+    for at, to, encoded in chunks([None if t is None else t.lower() for t in texts]):
         codes = LETTERS[np.frombuffer(b"    ".join(encoded) + b"    ", np.uint8)].astype(np.uint32)
         doc = np.repeat(np.arange(len(encoded), dtype=np.int64) * DIMENSIONS, [len(x) + 4 for x in encoded])[: len(codes)]
         total, gram = np.zeros(len(encoded) * DIMENSIONS), np.zeros(len(codes), np.uint32)
@@ -63,7 +64,7 @@ def ngram_features(texts: list[str | None]) -> np.ndarray:
             slot = ((gram * np.uint32(2654435761) + np.uint32(n * 40503)) * np.uint32(2246822519)) >> np.uint32(32 - BITS)
             total += np.bincount(doc[: len(gram)][keep] + slot[keep], minlength=len(total))
         counts = total.reshape(-1, DIMENSIONS)
-        out[at : at + len(encoded)] = np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
+        out[at:to] = np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
     return out
 
 
@@ -151,7 +152,7 @@ def training_rows(docs: DataFrame, usable: Column, limit: int = MAX_TRAIN) -> Da
 
 def fit(docs: DataFrame, usable: Column, limit: int = MAX_TRAIN) -> Hierarchy:
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[at : at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):
             rows = [i for i, t in enumerate(batch["text"]) if has_letter(t)]
             x = ngram_features([batch["text"].iloc[i] for i in rows]).astype(np.float16)
             yield pd.DataFrame({"lang": batch["lang"].iloc[rows].to_numpy(), "x": [v.tobytes() for v in x], "sample": 0})
@@ -172,13 +173,9 @@ def identify(docs: DataFrame, usable: Column, limit: int = MAX_TRAIN, keep: list
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang"), usable, limit))  # some hundred KB for each pair of languages
 
     def predict(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for at in range(0, len(texts), 512):
-            some = texts[at : at + 512]
-            lang, score = model.value.predict(ngram_features(some))
-            empty = np.array([not has_letter(t) for t in some], bool)
-            lang[empty], score[empty] = UNDETERMINED, 0.0
-            out.append((lang, score))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, object), np.empty(0))
-
-    return add_by_text(docs, predict, "lang_pred string, score double", keep or ["doc_id"])
+        lang, score = model.value.predict(ngram_features(texts))
+        empty = np.array([not has_letter(t) for t in texts], bool)
+        lang[empty], score[empty] = UNDETERMINED, 0.0
+        return lang, score
+
+    return add_by_text(docs, predict, "lang_pred string, score double", keep or ["doc_id"], ROWS)
