@@ -352,16 +352,16 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     while not large.isEmpty():
         halves = materialise(halve(large, length), "halves")
         inside = ["anchor", "part", "lowest", F.md5("bytes").alias("same"), "before"]
-        # equal halves are one, which occurs as often as all of them
-        sums = materialise(halves.groupBy(*inside).agg(F.sum("weight").alias("weight")), "sums")
-        sizes = materialise(sums.groupBy("anchor", "part").agg(F.count("*").alias("members"), F.sum("weight").alias("total")), "sizes")
-        sized = halves.withColumn("same", F.md5("bytes")).drop("weight").join(sums, ["anchor", "part", "lowest", "same", "before"]).join(sizes, ["anchor", "part"]).filter("total > 1")
+        # equal halves are one, which occurs as often as all of them; a row's own weight stays its own, as the next round adds again
+        sums = materialise(halves.groupBy(*inside).agg(F.sum("weight").alias("times")), "sums")
+        sizes = materialise(sums.groupBy("anchor", "part").agg(F.count("*").alias("members"), F.sum("times").alias("total")), "sizes")
+        sized = halves.withColumn("same", F.md5("bytes")).join(sums, ["anchor", "part", "lowest", "same", "before"]).join(sizes, ["anchor", "part"]).filter("total > 1")
         sized = materialise(sized, "sized")
-        sure = sized.filter("weight > 1 OR members = 1")
+        sure = sized.filter("times > 1")
         found.append(sure.select("anchor", "segment", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + length - 1).alias("hi")))
         unsure = sized.filter("members > 1")
-        found.append(repeated_segments(unsure.filter(F.col("members") <= GROUP), length))
-        large = materialise(unsure.filter((F.col("members") > GROUP) & (F.col("reach") > 1)).drop("same", "members", "total"), "large")
+        found.append(repeated_segments(unsure.filter(F.col("members") <= GROUP).withColumn("weight", F.col("times")), length))
+        large = materialise(unsure.filter((F.col("members") > GROUP) & (F.col("reach") > 1)).drop("same", "times", "members", "total"), "large")
     results = alone
     for part in found:
         results = results.unionByName(part)

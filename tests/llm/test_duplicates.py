@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from tests.llm.cases import documents, prose, rows
 
 from civicgrid.llm import common, embedding_dedup, ngram_join, suffix_dedup
@@ -126,6 +128,32 @@ def test_large_groups_are_halved_without_loss(spark, monkeypatch):
     assert removed(spark, data) == repeats_of([(d[0], d[1]) for d in data], 200)
 
 
+def headed_docs(n):
+    """A fixed header before different texts, and other texts before the same passage: at each anchor many rows share a half."""
+    header, tail = prose(51, 60)[:270], prose(52, 60)[:270]
+    out = [(3000 + i, f"{header}{i:05d} {prose(600 + i, 12)}", "en", "s", 0) for i in range(n)]
+    return out + [(4000 + i, f"{prose(700 + i, 12)} {i:05d}{tail}", "en", "s", 0) for i in range(n)]
+
+
+@pytest.mark.parametrize("by", [1, 1 << 40])
+def test_weights_do_not_compound_in_the_halving(spark, monkeypatch, by):
+    """Weights of a round add up to no more than what occurs, nor pass the largest long where they begin near 2**40."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", 2)
+    seen, halve = [], suffix_dedup.halve
+
+    def spied(pieces, length):
+        weighed = pieces if seen else pieces.withColumn("weight", F.col("weight") * by)
+        seen.append(weighed.agg(F.max("weight")).first()[0])
+        return halve(weighed, length)
+
+    monkeypatch.setattr(suffix_dedup, "halve", spied)
+    data = headed_docs(60)
+    got = removed(spark, data)
+    assert len(seen) > 3 and max(seen) <= len(data) * by
+    if by == 1:
+        assert got == repeats_of([(d[0], d[1]) for d in data], 200)
+
+
 def test_kept_text_is_whole_characters(spark):
     passage = "é" * 150
     data = [(1, "x" + passage + "ab", "en", "s", 0), (2, "y" + passage + "cd", "en", "s", 0)]
