@@ -16,7 +16,9 @@ more places, in one document or in several, judged on the input.
    A segment that is an anchor's only one needs no order: it occurs twice.
 4. Groups of more than ``GROUP`` segments are first halved again and again by
    where their windows start: each half has a longer common part, whose hash
-   deals them anew, down to single windows.
+   deals them anew, down to single windows. A half that occurs again is repeated
+   as a whole in every segment that has it; one of its rows goes on, for others
+   to be compared with, so that a group has as many rows as different halves.
 
 Null texts are empty; texts shorter than ``length`` keep all. Repeated rows are
 repeats of each other, so both lose what is long enough. An empty table gives no
@@ -303,8 +305,6 @@ def repeated_segments(pieces: DataFrame, length: int) -> DataFrame:
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, _ in whole_groups(batches, keys):
-            # repeated rows of documents bring the same piece again
-            rows = rows.drop_duplicates([*keys, "segment", "first"], ignore_index=True)
             starts = np.append(group_starts(rows, keys), len(rows))
             plain = {c: rows[c].to_numpy() for c in columns}
             held, begun = Strings(), 0
@@ -344,24 +344,25 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     # cut inside the array, so that a text is not copied for each of its pieces
     piece = lambda w: F.struct(w["anchor"].alias("anchor"), w["segment"].alias("segment"), F.lit(0).alias("first"), w["windows"].alias("windows"), w["before"].alias("before"), w["weight"].alias("weight"), F.substring(F.col("data"), w["start"] + 1, w["windows"] + length - 1).alias("bytes"), w["members"].alias("members"))
-    fetched = docs.join(wanted, ["doc_id", "text_hash"]).select(F.col("text").cast("binary").alias("data"), "wanted").select(F.explode(F.transform("wanted", piece)).alias("p")).select("p.*")
+    # repeated rows would each bring the same pieces
+    fetched = docs.dropDuplicates(["doc_id", "text_hash"]).join(wanted, ["doc_id", "text_hash"]).select(F.col("text").cast("binary").alias("data"), "wanted").select(F.explode(F.transform("wanted", piece)).alias("p")).select("p.*")
     pieces = materialise(fetched, "pieces")
     found = [repeated_segments(pieces.filter(F.col("members") <= GROUP).withColumn("part", F.lit(0).cast("long")), length)]
-    large = pieces.filter(F.col("members") > GROUP).drop("members").withColumn("part", F.lit(0).cast("long")).dropDuplicates(["anchor", "segment"]).withColumn("lowest", F.lit(-(length - ANCHOR)))
+    large = pieces.filter(F.col("members") > GROUP).drop("members").withColumn("part", F.lit(0).cast("long")).withColumn("lowest", F.lit(-(length - ANCHOR)))
     large = materialise(large.withColumn("reach", F.lit(length - ANCHOR + 1)), "large")
     while not large.isEmpty():
         halves = materialise(halve(large, length), "halves")
         inside = ["anchor", "part", "lowest", F.md5("bytes").alias("same"), "before"]
-        # equal halves are one, which occurs as often as all of them; a row's own weight stays its own, as the next round adds again
-        sums = materialise(halves.groupBy(*inside).agg(F.sum("weight").alias("times")), "sums")
-        sizes = materialise(sums.groupBy("anchor", "part").agg(F.count("*").alias("members"), F.sum("times").alias("total")), "sizes")
-        sized = halves.withColumn("same", F.md5("bytes")).join(sums, ["anchor", "part", "lowest", "same", "before"]).join(sizes, ["anchor", "part"]).filter("total > 1")
-        sized = materialise(sized, "sized")
-        sure = sized.filter("times > 1")
-        found.append(sure.select("anchor", "segment", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + length - 1).alias("hi")))
-        unsure = sized.filter("members > 1")
-        found.append(repeated_segments(unsure.filter(F.col("members") <= GROUP).withColumn("weight", F.col("times")), length))
-        large = materialise(unsure.filter((F.col("members") > GROUP) & (F.col("reach") > 1)).drop("same", "times", "members", "total"), "large")
+        # equal halves are one, which occurs as often as all of them; one row stands for them from here on
+        sums = materialise(halves.groupBy(*inside).agg(F.sum("weight").alias("times"), F.min("segment").alias("chosen")), "sums")
+        sizes = materialise(sums.groupBy("anchor", "part").agg(F.count("*").alias("members")).filter("members > 1"), "sizes")
+        sized = materialise(halves.withColumn("same", F.md5("bytes")).join(sums, ["anchor", "part", "lowest", "same", "before"]).filter("times > 1 OR segment = chosen"), "sized")
+        found.append(sized.filter("times > 1").select("anchor", "segment", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + length - 1).alias("hi")))
+        # others' spans are known: only a half that occurs once has spans to be found
+        standing = sized.filter("segment = chosen").withColumn("weight", F.col("times")).drop("same", "times", "chosen")
+        unsure = materialise(standing.join(sizes, ["anchor", "part"]), "unsure")
+        found.append(repeated_segments(unsure.filter(F.col("members") <= GROUP), length))
+        large = materialise(unsure.filter((F.col("members") > GROUP) & (F.col("reach") > 1)).drop("members"), "large")
     results = alone
     for part in found:
         results = results.unionByName(part)

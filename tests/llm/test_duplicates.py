@@ -154,6 +154,23 @@ def test_weights_do_not_compound_in_the_halving(spark, monkeypatch, by):
         assert got == repeats_of([(d[0], d[1]) for d in data], 200)
 
 
+@pytest.mark.parametrize("bound", [8, 16])
+def test_no_more_than_a_group_goes_to_a_task(spark, monkeypatch, bound):
+    """However many rows share a half, and however often a row is repeated."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", bound)
+    sizes, sort = [], suffix_dedup.repeated_segments
+
+    def spied(pieces, length):
+        sizes.extend(r["count"] for r in pieces.groupBy("anchor", "part").count().collect())
+        return sort(pieces, length)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_segments", spied)
+    data = headed_docs(60)
+    data += data[:1] * 20
+    assert removed(spark, data) == repeats_of([(d[0], d[1]) for d in data], 200)
+    assert 1 < max(sizes) <= bound
+
+
 def test_kept_text_is_whole_characters(spark):
     passage = "é" * 150
     data = [(1, "x" + passage + "ab", "en", "s", 0), (2, "y" + passage + "cd", "en", "s", 0)]
