@@ -19,9 +19,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays, that of the smallest doc_id."""
-    gone = ngram_join.similarity_classes(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One row of each group of similar ones stays, that of the smallest doc_id (none comes last).
+
+    Rows go by a 64-bit hash of doc_id and text: rows of one doc_id may differ in
+    text, and rows that are equal in both are one document.
+    """
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), *COLUMNS)
+    classes = ngram_join.similarity_classes(rows.select(F.col("key").alias("doc_id"), "text")).filter("n_links > 0")
+    classes = classes.groupBy(F.col("doc_id").alias("key")).agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+    linked = materialise(classes.join(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key"), "linked")
+    first = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")).select("first.key")
+    # tables of known size: few keys are sent to the tasks, and no text is shuffled for them
+    again = materialise(linked.filter("n > 1").join(first, "key", "left_semi").select("key"), "again")
+    gone = materialise(linked.join(first, "key", "left_anti").select("key").union(again), "gone")
+    one = rows.join(again, "key", "left_semi").groupBy("key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
+    return rows.join(gone, "key", "left_anti").select(*COLUMNS).union(one.select("row.*").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

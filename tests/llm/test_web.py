@@ -110,6 +110,28 @@ def test_pipeline_over_awkward_documents(spark):
     assert empty.count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    from tests.llm.cases import documents, prose, rows
+
+    near = prose(21, 120)
+    more = [(None, near, "en", "s", 1), (None, near, "en", "s", 1), (None, f"{near} more", "en", "s", 1), (50, near.upper(), "en", "s", 1)]  # ids before none
+    more += [(None, prose(22, 40), "en", "s", 1)] * 2  # copies without an id
+    more += [(60, prose(23, 80), "en", "s", 1), (60, prose(24, 80), "en", "s", 1), (7, prose(23, 80) + " end", "en", "s", 1)]  # one id, two texts
+    out = corpus_pipeline.near_duplicates(spark, documents(spark, rows() + more), SF)
+    assert out.columns == corpus_pipeline.COLUMNS
+    want = [r for r in rows() if r[0] not in (0, 1, 2, 3)] + [rows()[-2], more[3], more[4], more[7], more[8]]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
+def test_a_group_with_a_repeated_row_comes_out_of_the_pipeline(spark):
+    from tests.llm.cases import documents
+
+    docs = documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.materialise(stage(spark, docs, SF), f"group-{name}")
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} & {0, 1, 2, 3} == {0}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_query_runs_and_matches_its_sql(spark, name):
     out = queries.QUERIES[name](spark, SF)
