@@ -1,5 +1,6 @@
 """WARC derivatives, URL templates, the pipeline and the registered queries."""
 
+import hashlib
 import os
 
 import duckdb
@@ -132,6 +133,37 @@ def test_a_group_with_a_repeated_row_comes_out_of_the_pipeline(spark):
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} & {0, 1, 2, 3} == {0}
 
 
+def test_each_stage_against_brute_force(spark):
+    from tests.llm.cases import documents
+    from tests.llm.test_duplicates import jaccard_classes, passage_docs, repeats_of
+    from tests.llm.test_text_operators import contaminated
+
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    hit = [(5000 + i, f"word{i} {t}", "en", "s", len(t) + 6) for i, (_, t) in enumerate(items[:2])]
+    data, stages = passage_docs() + hit, dict(corpus_pipeline.STAGES)
+
+    def through(name, data):
+        return sorted((tuple(r) for r in stages[name](spark, documents(spark, data), SF).select(*corpus_pipeline.COLUMNS).collect()), key=repr)
+
+    want = sorted((d for d in data if any(c.isalpha() for c in d[1] or "")), key=repr)
+    assert (data := through("language_id", data)) == want and len(want) < len(passage_docs()) + 2
+    # a row without an id is a group of its own here
+    ids = [d[0] for d in data if d[0] is not None]
+    kept = {d for d, _, _, stays in jaccard_classes([d[:2] for d in data if d[0] is not None]) if stays}
+    before, data = data, through("ngram_jaccard_join", data)
+    assert sorted(d[0] for d in data if d[0] is not None) == sorted(kept) and len(kept) < len(ids)
+    assert all(d in before for d in data) and sum(d[0] is None for d in data) == 1
+    whole = {d: n > gone or not gone for d, n, gone, _, _ in repeats_of([d[:2] for d in data], 200)}
+    left = {d: sha for d, _, _, _, sha in repeats_of([d[:2] for d in data], 200)}
+    before, data = data, through("suffix_dedup", data)
+    assert {d[0] for d in data} == {d[0] for d in before if whole[d[0]]} and len(data) == sum(whole.values())
+    # all texts that passages are cut from are ASCII
+    assert all(hashlib.sha256(d[1].encode()).hexdigest() == left[d[0]] and d[4] == len(d[1]) for d in data)
+    clean = {d for d, *_, bad in contaminated([d[:2] for d in data], items) if not bad}
+    want = [d for d in data if d[0] in clean]
+    assert through("decontamination", data) == want and 0 < len(want) < len(data)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_query_runs_and_matches_its_sql(spark, name):
     out = queries.QUERIES[name](spark, SF)
