@@ -2,37 +2,80 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicgrid.session import let_workers_import
 
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/civicgrid"
 #: Bytes of text handled at once inside a task.
 CHUNK_BYTES = 500_000
+#: Bytes that Spark puts into one Arrow batch, unless the session says otherwise: whole texts are large rows.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Workers find this package, and no Arrow batch holds many more bytes than ``BATCH_BYTES`` (a session's own setting stands)."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return let_workers_import(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return let_workers_import(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from ``spark.checkpoint.dir``."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL_CHECKPOINTS
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    """The folder that all machines share, from ``spark.checkpoint.dir``, with its scheme.
+
+    Only a local session, whose tasks run in the driver, may leave it out: it gets
+    a temporary folder. Elsewhere that is an error, as each machine would write to
+    a disk of its own.
+    """
+    context = ready(spark).sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.gettempdir()}/checkpoints/civicgrid"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    path = context._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Schemes that Spark's file systems and Arrow's name differently.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
+
+
+def open_store(folder: str):
+    """(Arrow file system, path) for the files that tasks write themselves; ``folder`` has the scheme that Spark resolved.
+
+    Raises where Arrow has no such file system, and for a path without a scheme,
+    which each machine would take for its own disk.
+    """
+    from pyarrow import fs
+
+    scheme, found, rest = folder.partition(":")
+    if not found or "/" in scheme:
+        raise ValueError(f"{folder}: a path with its scheme is needed")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+    except Exception as error:
+        raise ValueError(f"files can't be written to {folder}: Arrow has no file system for it") from error
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
@@ -40,9 +83,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts apart; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def crc_bucket(col, n: int):
@@ -66,16 +109,22 @@ def chunks(texts, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[byt
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+HELD_POWERS = 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _table_of_powers(base: np.uint64, n: int) -> np.ndarray:
+    table = np.full(n, base, np.uint64)
+    table[0] = 1
+    return np.cumprod(table, dtype=np.uint64)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below ``n``."""
+    """BASE**i and BASE**-i modulo 2**64 for i below ``n``; a worker keeps those below ``HELD_POWERS``."""
+    if n > HELD_POWERS:
+        return _table_of_powers(BASE, n), _table_of_powers(INVERSE, n)
     if len(_powers[0]) < n:
-        for at, base in enumerate((BASE, INVERSE)):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _powers[at] = np.cumprod(table, dtype=np.uint64)
+        _powers[:] = [_table_of_powers(base, n) for base in (BASE, INVERSE)]
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -144,36 +193,36 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars: each round moves neighbours to the smallest
     one known, so that the number of rounds grows with the logarithm of the longest
-    path; every round aggregates before it shuffles and ends in a checkpoint.
+    path. What each id moves to is a table of its own, so that the joins with it
+    start from exchanges that Spark may split where an id has very many edges. An
+    edge to an id that has no smaller neighbour stays as it is.
     """
     pairs = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo < hi").distinct()
-    pairs = cut(pairs)
+    pairs = materialise(pairs, "edges")
     before = None
     while True:
-        both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("lo < hi").distinct()
-        small_min = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        pairs = large.join(small_min, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.lo", "e.hi").filter("lo < hi").distinct()
-        pairs = cut(pairs)
+        down = materialise(pairs.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m")), "least")
+        large = materialise(pairs.join(down, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct(), "large")
+        least = materialise(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), "least")
+        # an id of one smaller neighbour is placed; others bring their neighbours together
+        several = large.join(least.filter("n > 1"), "hi").filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        pairs = materialise(least.select("hi", F.col("m").alias("lo")).union(several).distinct(), "edges")
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
         before = now
-    return pairs.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("id"), "root").union(pairs.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct())
+    return pairs.select(F.col("hi").alias("id"), F.col("lo").alias("root")).union(pairs.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct())
 
 
-def block_pairs(rows: DataFrame, keys: list[str], id_col: str, size: int) -> DataFrame:
-    """Deal the rows of each group of ``keys`` to tasks that together see every pair once.
+def block_pairs(rows: DataFrame, id_col: str, blocks: Column) -> DataFrame:
+    """Deal rows to tasks that together see every pair of a group once.
 
-    A group of n rows is split into about n / ``size`` blocks by the hash of
-    ``id_col``; ``left`` and ``right`` name the two blocks that a task compares and
-    ``block`` the row's own. No task holds more than about two blocks.
+    ``blocks`` is the number of blocks that a row's group is split into, by the
+    hash of ``id_col``; ``left`` and ``right`` name the two blocks that a task
+    compares and ``block`` the row's own. No task holds more than about two blocks.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
-    blocks = F.ceil(F.col("_n") / size).cast("int")
-    dealt = rows.join(counts, keys).withColumn("_g", blocks).withColumn("block", F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.col("_g")).cast("int"))
-    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).drop("_n", "_g", "other")
+    dealt = rows.withColumn("_g", F.greatest(blocks, F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.col("_g")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).drop("_g", "other")
 
 
 def whole_groups(batches: Iterator, keys: list[str]) -> Iterator[tuple]:
@@ -226,9 +275,10 @@ def linked_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     with each other.
     """
     counts = links.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "counts")
     roots = components(links.select("a", "b")).withColumnRenamed("id", "key")
-    placed = classes.select("key", "weight", "first_id").join(roots, "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    lowest = placed.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    placed = materialise(classes.select("key", "weight", "first_id").join(roots, "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    lowest = materialise(placed.groupBy("root").agg(F.min("first_id").alias("class_id")), "lowest")
     return placed.join(lowest, "root").select("key", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
 
 
@@ -245,9 +295,26 @@ def add_by_text(df: DataFrame, function, added: str, keep: list[str], at_once: i
             columns = [batch.column(k) for k in keep] + [pa.array(m, TYPES[x.split()[1]](pa)) for m, x in zip(made, added.split(", "), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
+    ready(df.sparkSession)
     plain = df.select(*carried)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name in keep]
     return plain.mapInArrow(apply, ", ".join([*kept, added]))
 
 
 TYPES = {"string": lambda pa: pa.string(), "double": lambda pa: pa.float64(), "long": lambda pa: pa.int64(), "int": lambda pa: pa.int32(), "boolean": lambda pa: pa.bool_(), "binary": lambda pa: pa.binary()}
+
+
+def arrow_batch(schema: str, columns: list):
+    """A record batch of ``schema`` ("name type, ..."); columns are Arrow arrays, which stay as they are, or sequences. Ids never pass through floats."""
+    import pyarrow as pa
+
+    fields = [x.split() for x in schema.split(", ")]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, TYPES[kind](pa)) for c, (_, kind) in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+
+
+def rows_at(rows):
+    """Row numbers, to take from Arrow columns."""
+    import pyarrow as pa
+
+    return pa.array(rows, pa.int64())

@@ -9,11 +9,11 @@ Pieces of one length are alike, so the plan is made on the number of pieces of
 each length: at most ``capacity`` numbers whatever the corpus, summed on the
 executors. It says for each length which run of ranks goes to which run of
 sequences; every piece then finds its place by its rank among those of its
-length, ranks being dealt by (length, salt) so that a common length is no single
-task's.
+length. Ranks are dealt by (length, salt), a salt for every ``RANKED`` pieces of a
+length, so that no task ranks many more than that.
 
-Null texts are empty documents with only the end id. Repeated rows are packed
-each on their own. An empty table gives no rows. Only doc_id and text are read.
+Null texts are empty documents with only the end id; a null doc_id stays null.
+Repeated rows are packed each on their own. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,16 +23,15 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import materialise
+from civicgrid.llm.common import arrow_batch, materialise, ready, rows_at
 from civicgrid.llm.tokenizing import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-SALTS = 64
+RANKED = 1000
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -101,43 +100,42 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """Encode ``docs`` (doc_id, text), append ``end_id`` and cut what is longer than ``capacity``."""
 
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_up(batches: Iterator) -> Iterator:
         tail, coder, size = np.array([end_id], "<u4").tobytes(), encoder(tokenizer), 4 * capacity
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some, rows = batch.iloc[at : at + 500], []
-                for doc_id, ids in zip(some["doc_id"], coder.encode(list(some["text"])), strict=True):
-                    ids += tail
-                    rows += [(doc_id, k, k * capacity, len(ids[x : x + size]) // 4, zlib.crc32(ids[x : x + size])) for k, x in enumerate(range(0, len(ids), size))]
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+            row, rest = [], []
+            for i, ids in enumerate(coder.encode(batch.column("text").to_pylist())):
+                ids += tail
+                cuts = range(0, len(ids), size)
+                row += [i] * len(cuts)
+                rest += [(k, k * capacity, len(ids[x : x + size]) // 4, zlib.crc32(ids[x : x + size])) for k, x in enumerate(cuts)]
+            yield arrow_batch(PIECES, [batch.column("doc_id").take(rows_at(row)), *zip(*rest, strict=True)] if row else [[]] * 5)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut_up, PIECES)
+    ready(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut_up, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Add sequence_id and offset to ``pieces``, whose ``length`` is 1 to ``capacity``."""
-    keyed = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SALTS)).cast("int"))
-    by_salt = keyed.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     runs = sorted(plan_packing(counts, capacity))
     table = np.array(runs, np.int64).reshape(-1, 5)
+    often = [F.lit(x).cast("long") for length, n in counts.items() if n > RANKED for x in (length, -(-n // RANKED))]
+    salts = F.coalesce(F.try_element_at(F.create_map(*often), F.col("length")), F.lit(1)) if often else F.lit(1)
+    keyed = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), salts).cast("int"))
+    by_salt = keyed.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = by_salt.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "salt")
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look_up(batches: Iterator) -> Iterator:
         keys = table[:, 0] << 44 | table[:, 1]
         for batch in batches:
-            length, rank = batch["length"].to_numpy(np.int64), batch["rank"].to_numpy(np.int64)
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
             run = table[np.searchsorted(keys, length << 44 | rank, "right") - 1]
-            batch["sequence_id"] = run[:, 3] + rank - run[:, 1]
-            batch["offset"] = run[:, 4]
-            batch["doc_id"] = batch["doc_id"].astype("Int64")
-            yield batch[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+            yield arrow_batch(PACKED, [*batch.columns[:5], run[:, 3] + rank - run[:, 1], run[:, 4]])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(look_up, PACKED)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(look_up, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:

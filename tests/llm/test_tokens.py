@@ -19,7 +19,7 @@ BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 @pytest.mark.parametrize("path", [BYTE, WORDS])
 def test_units_give_the_ids_of_whole_texts(path):
     r = random.Random(3)
-    bits = [" ", "  ", "\n", "\t", "a", "B", "é", "́", "'s", "'ll", "1", "23", "!", " ", "　", "<|endoftext|>", "<|startoftext|>", "<", "日本", "ß", "Σ", "ς", "\r", "\x1c", "\x85", "İ", "​", "🎉"]
+    bits = [" ", "  ", " \n", "\n\n", ".\n", "x.\ny", "a,b", "&&&", "Éa", "×", "2a3", "жил", "\u2003", "\u00a0", "日 本", "\n", "\t", "a", "B", "é", "́", "'s", "'ll", "1", "23", "!", " ", "　", "<|endoftext|>", "<|startoftext|>", "<", "日本", "ß", "Σ", "ς", "\r", "\x1c", "\x85", "İ", "​", "🎉"]
     texts = ["".join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(3000)] + [t for _, t, *_ in rows() if t]
     coder = UnitEncoder(path)
     want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
