@@ -3,19 +3,25 @@
 Vectors of one label link at a cosine of ``threshold`` or more, in double precision.
 
 1. Equal vectors of a label are one class, compared once.
-2. Spherical k-means on a bounded sample (``MAX_SAMPLE`` vectors, chosen by a hash)
-   gives at most ``MAX_CENTRES`` centres; each vector belongs to the cell of its
-   nearest centre. Linked vectors x, y are at most r = sqrt(2 - 2 threshold) apart;
-   if they are in cells a and b, x is at most r from the plane between the centres
-   of a and b. So x also visits every later cell to whose plane it is that near,
-   and each linked pair meets in exactly one cell: nothing is lost at the borders.
-3. Cells are dealt in pairs of blocks; a task multiplies two blocks and gives
-   counts and spanning edges. Components come from the edges.
+2. Where more than ``SPLIT`` classes would be compared with each other, spherical
+   k-means on a bounded sample of them gives a centre for every ``CELL`` classes,
+   ``MAX_CENTRES`` at most and none nearer than 2 r (below) to another; each class
+   belongs to the cell of its nearest centre. Cells that are still too large are
+   split in the same way, so that their number grows with the vectors.
+3. Linked vectors x, y are at most r = sqrt(2 - 2 threshold) apart. If they are in
+   cells a and b, one of them is at most r / 2 from the plane between the two
+   centres, and a vector also visits every cell to whose plane it is that near: no
+   pair is lost at a border. Where both would meet in either cell, they count in
+   the lower one.
+4. Cells are dealt in pairs of blocks; a task multiplies two blocks and gives
+   counts and spanning edges. Components come from the edges, and one vector of
+   each is kept.
 
 A vector that is null, zero or holds null or non-finite components, and one of a
-null label, links with nothing; vectors of different lengths don't link. A null
-vec_id is its own component, null. Repeated rows link with each other. An empty
-table gives no rows. Only vec_id, embedding and label are read.
+null label, links with nothing; vectors of different lengths don't link. Labels
+of any plain type are told apart by their text. A null vec_id is its own
+component, null. Repeated rows link with each other. An empty table gives no
+rows. Only vec_id, embedding and label are read.
 """
 
 from __future__ import annotations
@@ -28,14 +34,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import block_pairs, linked_classes, materialise, spanning, whole_groups
+from civicgrid.llm.common import arrow_batch, block_pairs, group_starts, linked_classes, materialise, ready, spanning, whole_groups
 
+#: Sampled vectors for the centres of one cell.
 MAX_SAMPLE = 20_000
 MAX_CENTRES = 1024
 CELL = 1024
+SPLIT = 4 * CELL
 BLOCK = 1024
+LEVELS = 6
+#: Rows that one task assigns to the cells below one cell.
+DEALT = 50_000
 
-UNITS = "vec_id long, label long, dim int, key binary, unit binary"
+UNITS = "vec_id long, label string, key binary, cell binary, unit binary"
+ROWS = "cell binary, key binary, weight long, unit binary, here array<int>, home array<int>, visits array<array<int>>"
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -50,92 +62,160 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def far_apart(centres: np.ndarray, least: float) -> np.ndarray:
+    """The centres that are at least ``least`` from each one kept before: nearer ones would be visited by all of each other's vectors."""
+    kept = [0]
+    for k in range(1, len(centres)):
+        if np.linalg.norm(centres[kept] - centres[k], axis=1).min() >= least:
+            kept.append(k)
+    return centres[kept]
+
+
 def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, length, a key of (label, vector) and the vector at length 1; key is null for what links with nothing."""
+    """vec_id, label, a key of (label, vector), the first cell (label and length) and the vector at length 1; key is null for what links with nothing."""
 
-    def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scale(batches: Iterator) -> Iterator:
         for batch in batches:
-            rows = []
-            for vec_id, label, values in zip(batch["vec_id"], batch["label"], batch["embedding"], strict=True):
+            keys, cells, units = [], [], []
+            labels = batch.column("label").to_pylist()
+            for label, values in zip(labels, batch.column("embedding").to_pylist(), strict=True):
                 v = np.array([np.nan if c is None else c for c in values], np.float64) if values is not None else np.empty(0)
                 size = np.abs(v).max(initial=0.0)
-                if pd.isna(label) or not size or not np.isfinite(v).all():
-                    rows.append((vec_id, None, None, None, None))
+                if label is None or not size or not np.isfinite(v).all():
+                    keys.append(None), cells.append(None), units.append(None)
                 else:
                     scaled = v / size
-                    unit = scaled / np.sqrt((scaled * scaled).sum())
-                    rows.append((vec_id, int(label), len(v), hashlib.blake2b((v + 0.0).tobytes() + b"%d" % int(label), digest_size=16).digest(), unit.tobytes()))
-            out = pd.DataFrame(rows, columns=["vec_id", "label", "dim", "key", "unit"])
-            yield out.astype({"vec_id": "Int64", "label": "Int64", "dim": "Int32"})
-
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(scale, UNITS)
-
-
-def fit_centres(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Centres by vector length, from a sample of at most ``MAX_SAMPLE`` vectors."""
-    most = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    total = classes.count()
-    drawn = classes.filter(F.pmod(F.xxhash64("key", F.lit(13)), F.lit(1_000_003)) < F.lit(1_000_003.0 * min(1.0, 0.8 * MAX_SAMPLE / max(1, total)))) if total > MAX_SAMPLE else classes
-    by_dim: dict[int, list[tuple[bytes, np.ndarray]]] = {}
-    for r in drawn.select("dim", "key", "unit").limit(MAX_SAMPLE).collect():
-        by_dim.setdefault(r["dim"], []).append((bytes(r["key"]), np.frombuffer(r["unit"])))
-    out = {}
-    for dim, rows in by_dim.items():
-        x = np.stack([v for _, v in sorted(rows, key=lambda r: r[0])])
-        out[dim] = spherical_kmeans(x, min(MAX_CENTRES, len(x), max(1, -(-most // CELL))))
-    return out
-
-
-def cells_of(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, home): each row's own cell and the later cells that it visits."""
+                    units.append((scaled / np.sqrt((scaled * scaled).sum())).tobytes())
+                    keys.append(hashlib.blake2b((v + 0.0).tobytes() + label.encode(), digest_size=16).digest())
+                    cells.append(hashlib.blake2b(b"%d " % len(v) + label.encode(), digest_size=16).digest())
+            yield arrow_batch(UNITS, [batch.column("vec_id"), batch.column("label"), keys, cells, units])
+
+    ready(vectors.sparkSession)
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(scale, UNITS)
+
+
+def cells_of(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's own cell, and which cells it visits."""
     near = x @ centres.T
     home = near.argmax(axis=1)
-    apart = np.linalg.norm(centres[home][:, None, :] - centres[None, :, :], axis=2) if len(centres) <= 64 else np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))[home]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))[home]
     gap = near[np.arange(len(x)), home][:, None] - near
-    visits = (gap <= reach * apart + 1e-9) & (np.arange(len(centres))[None, :] > home[:, None])
-    row, cell = np.nonzero(visits)
-    return np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell]), np.concatenate([np.ones(len(x), bool), np.zeros(len(row), bool)])
+    visits = gap <= reach / 2 * apart + 1e-9
+    visits[np.arange(len(x)), home] = False
+    return home, visits
+
+
+def cell_centres(rows: DataFrame, large: DataFrame, reach: float) -> DataFrame:
+    """cell, n and centres of those cells in ``large`` (cell, n) that can be split."""
+    rate = F.least(F.lit(1.0), F.lit(float(MAX_SAMPLE)) / F.col("n"))
+    sample = rows.join(large, "cell").filter(F.pmod(F.xxhash64("key", F.lit(13)), F.lit(1_000_003)) < F.lit(1_000_003) * rate)
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.frombuffer(u) for u in group.sort_values("key")["unit"]])
+        centres = far_apart(spherical_kmeans(x, int(min(MAX_CENTRES, len(x), -(-int(group["n"].iloc[0]) // CELL)))), 2 * reach)
+        return pd.DataFrame({"cell": [group["cell"].iloc[0]], "centres": [centres.tobytes()]}).iloc[: len(centres) - 1]
+
+    return sample.select("cell", "n", "key", "unit").groupBy("cell").applyInPandas(fit, "cell binary, centres binary").join(large, "cell")
+
+
+def split_cells(rows: DataFrame, centres: DataFrame, reach: float) -> DataFrame:
+    """``rows`` of the cells in ``centres`` (cell, n, centres), each in the cells below that it belongs to or visits."""
+    salts = F.ceil(F.col("n") / DEALT).cast("int")
+    columns = [x.split()[0] for x in ROWS.split(", ")]
+    dealt = rows.join(centres.select("cell", "n"), "cell").withColumn("salt", F.pmod(F.xxhash64("key", F.lit(17)), salts).cast("int")).select(*columns, "salt", F.lit(None).cast("binary").alias("centres"))
+    first = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    first = first.select("cell", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in ROWS.split(", ")[1:]], "salt", "centres")
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        below = None
+        for batch in batches:
+            starts = np.append(group_starts(batch, ["cell", "salt"]), len(batch))
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                group = batch.iloc[lo:hi]
+                if group["centres"].iloc[0] is not None:
+                    below = np.frombuffer(group["centres"].iloc[0])
+                    group = group.iloc[1:]
+                for at in range(0, len(group), 256):
+                    some = group.iloc[at : at + 256]
+                    x = np.stack([np.frombuffer(u) for u in some["unit"]])
+                    own, visits = cells_of(x, below.reshape(-1, x.shape[1]), reach)
+                    visits[np.arange(len(x)), own] = True
+                    row, to = np.nonzero(visits)
+                    visits[np.arange(len(x)), own] = False
+                    listed = [np.flatnonzero(v).tolist() for v in visits]
+                    out = some.iloc[row][["key", "weight", "unit"]]
+                    parent, here, home, seen = (some[c].to_numpy()[row] for c in ("cell", "here", "home", "visits"))
+                    out.insert(0, "cell", [hashlib.blake2b(p + b"%d" % t, digest_size=16).digest() for p, t in zip(parent, to.tolist(), strict=True)])
+                    out["here"] = [[*h, t] for h, t in zip(here, to.tolist(), strict=True)]
+                    out["home"] = [[*h, int(own[r])] for h, r in zip(home, row.tolist(), strict=True)]
+                    out["visits"] = [[*[list(v) for v in s], listed[r]] for s, r in zip(seen, row.tolist(), strict=True)]
+                    yield out
+
+    keys = ["cell", "salt"]
+    return dealt.unionByName(first).repartition(*keys).sortWithinPartitions(*keys, F.col("centres").isNull()).mapInPandas(assign, ROWS)
+
+
+def counted_here(here: np.ndarray, home: np.ndarray, visits: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of rows of one cell count in it, by the cells of every level on the way to it.
+
+    ``here``: the cell's number at each level; ``home`` and ``visits``: of each row
+    and level. Two rows at home count; of one at home and a visitor whose home is
+    lower, only if the first doesn't visit that home in its turn.
+    """
+    ok = np.ones(len(i), bool)
+    for level, cell in enumerate(here.tolist()):
+        own = home[:, level]
+        homes, at = np.unique(own, return_inverse=True)
+        seen = np.zeros((len(own), len(homes)), bool)
+        place = {h: k for k, h in enumerate(homes.tolist())}
+        for r, listed in enumerate(visits):
+            for h in listed[level]:
+                if h in place:
+                    seen[r, place[h]] = True
+        one = lambda x, y: (own[x] == cell) & ((own[y] >= cell) | ~seen[x, at[y]])  # noqa: B023, E731
+        ok &= one(i, j) | one(j, i)
+    return ok
 
 
 def vector_classes(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """A row for each vector: vec_id, n_links, component_id (smallest vec_id reached), kept (it is that one)."""
     units = materialise(unit_vectors(vectors), "units")
     whole = units.filter(F.col("key").isNotNull() & F.col("vec_id").isNotNull())
-    classes = materialise(whole.groupBy("key", "label", "dim").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first_id"), F.any_value("unit").alias("unit")), "vector-classes")
-    centres = fit_centres(classes)
-    sent = vectors.sparkSession.sparkContext.broadcast(centres)  # at most MAX_CENTRES vectors for each length
+    classes = materialise(whole.groupBy("key", "cell").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first_id"), F.any_value("unit").alias("unit")), "vector-classes")
     reach = float(np.sqrt(2 - 2 * threshold))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for dim, rows in batch.groupby("dim"):
-                x = np.frombuffer(b"".join(rows["unit"])).reshape(len(rows), -1)
-                for at in range(0, len(rows), 256):
-                    row, cell, home = cells_of(x[at : at + 256], sent.value.get(int(dim), x[:1]), reach)
-                    yield rows.iloc[at + row].assign(cell=cell.astype(np.int32), home=home)[["label", "dim", "cell", "home", "key", "weight", "unit"]]
-
-    cells = classes.select("label", "dim", "key", "weight", "unit").mapInPandas(assign, "label long, dim int, cell int, home boolean, key binary, weight long, unit binary")
-    cells = materialise(cells, "cells")
-    keys = ["label", "dim", "cell", "left", "right"]
-    dealt = block_pairs(cells, ["label", "dim", "cell"], "key", BLOCK).select(*keys, "block", "home", "key", "weight", "unit")
+    none = F.array().cast("array<int>")
+    rows = classes.select("cell", "key", "weight", "unit", none.alias("here"), none.alias("home"), F.array().cast("array<array<int>>").alias("visits"))
+    whole_cells = classes.select("cell").limit(0)
+    for level in range(LEVELS + 1):
+        # tables of their own, so that joins with them may be split where a cell is large
+        sizes = materialise(rows.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+        large = sizes.filter(F.col("n") > SPLIT).join(whole_cells, "cell", "left_anti")
+        if level == LEVELS or large.isEmpty():
+            break
+        centres = materialise(cell_centres(rows, large, reach), "centres")
+        whole_cells = materialise(large.join(centres, "cell", "left_anti").select("cell").union(whole_cells), "whole-cells")
+        kept = rows.join(centres, "cell", "left_anti").select(*[x.split()[0] for x in ROWS.split(", ")])
+        rows = materialise(kept.union(split_cells(rows, centres, reach)), "cells")
+    keys = ["cell", "left", "right"]
+    dealt = block_pairs(rows.join(sizes, "cell"), "key", F.ceil(F.col("n") / BLOCK)).select(*keys, "block", "here", "home", "visits", "key", "weight", "unit")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts in whole_groups(batches, keys):
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
                 group = rows.iloc[lo:hi]
-                x, home, block = np.frombuffer(b"".join(group["unit"])).reshape(hi - lo, -1), group["home"].to_numpy(bool), group["block"].to_numpy()
-                linked = x @ x.T >= threshold
-                linked &= home[:, None] | home[None, :]
-                if (block != block[0]).any():
+                x, block, n = np.stack([np.frombuffer(u) for u in group["unit"]]), group["block"].to_numpy(), hi - lo
+                linked = np.triu(x @ x.T >= threshold, 1)
+                if group["left"].iloc[0] != group["right"].iloc[0]:
                     linked &= block[:, None] != block[None, :]
-                elif group["left"].iloc[0] != group["right"].iloc[0]:
-                    continue  # the other block is empty
-                np.fill_diagonal(linked, False)
-                i, j = np.nonzero(np.triu(linked))
+                i, j = np.nonzero(linked)
+                if len(i) and len(group["here"].iloc[0]):
+                    ok = counted_here(np.array(group["here"].iloc[0]), np.stack(group["home"].to_list()), group["visits"].to_list(), i, j)
+                    i, j = i[ok], j[ok]
                 if len(i):
-                    count, names = linked @ group["weight"].to_numpy(np.int64), group["key"].to_numpy()
+                    weight, names = group["weight"].to_numpy(np.int64), group["key"].to_numpy()
+                    count = (np.bincount(i, weight[j], n) + np.bincount(j, weight[i], n)).astype(np.int64)
                     some = np.flatnonzero(count)
-                    yield pd.DataFrame({"a": names[some], "b": names[spanning(hi - lo, i, j)[some]], "n": count[some]})
+                    yield pd.DataFrame({"a": names[some], "b": names[spanning(n, i, j)[some]], "n": count[some]})
 
     links = materialise(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a binary, b binary, n long"), "vector-links")
     by_key = linked_classes(classes, links)
