@@ -11,7 +11,8 @@ A frame's content: the number n of documents (32 bit), n doc_ids (64 bit), n len
 32 bit), everything little-endian. Readers take the footer, the table and the index, and decompress only the frames
 that hold a requested document.
 
-Null texts are empty documents: only the end id. Repeated doc_ids stay separate documents. Rows of a null doc_id have
+Null texts are empty documents: only the end id. Repeated doc_ids stay separate documents, in the order of a hash of
+their texts, then of the texts, so that every run writes the same bytes. Rows of a null doc_id have
 no place in an order by doc_id and raise no error: they are written first, with id -2**63 as their number, and read
 back as null. An empty table gives no files and no rows. Only doc_id and text are read, so further columns can't clash.
 """
@@ -23,11 +24,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import materialise, shared_path
+from civicgrid.llm.common import arrow_batch, materialise, open_store, ready, shared_path
 from civicgrid.llm.tokenizing import encoder
 
 SKIPPABLE, INDEX_MAGIC, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
@@ -36,7 +36,7 @@ NULL_ID = -(1 << 63)
 _ENTRY, _INDEX = struct.Struct("<III"), struct.Struct("<qqI")
 
 WRITTEN = "file string, part int, frame int, n_docs long, n_tokens long"
-READ = "doc_id long, part int, place long, n_tokens long, ids_crc32 long, ids binary"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
 
 def frame_content(ids: list[int], tokens: list[bytes]) -> bytes:
@@ -135,15 +135,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
     replaces the file by the same bytes.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+    open_store(folder)  # fails before any task does
+
+    def write(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
 
         task, writer, out = TaskContext.get(), None, None
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = open_store(folder)
         part = task.partitionId()
-        name = f"{root}/tokens-{part:06d}.bin"
-        own = f"{name}.{task.taskAttemptId()}"
+        file = f"tokens-{part:06d}.bin"
+        own = f"{root}/{file}.{task.taskAttemptId()}"
         coder = encoder(tokenizer)
         tail = struct.pack("<I", end_id)
         for batch in batches:
@@ -151,56 +152,57 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(own)
                 writer = FrameWriter(out)
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
-                for doc_id, tokens in zip(some["doc_id"], coder.encode(list(some["text"])), strict=True):
-                    writer.add(int(doc_id), tokens + tail)
+            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist()), strict=True):
+                writer.add(doc_id, tokens + tail)
         if writer is not None:
             writer.close()
             out.close()
-            store.move(own, name)
-            n = [x for x in writer.counts]
-            yield pd.DataFrame({"file": name.removeprefix(root + "/"), "part": part, "frame": range(len(n)), "n_docs": [x[0] for x in n], "n_tokens": [x[1] for x in n]})
+            store.move(own, f"{root}/{file}")
+            n = len(writer.counts)
+            yield arrow_batch(WRITTEN, [[file] * n, [part] * n, range(n), [x for x, _ in writer.counts], [x for _, x in writer.counts]])
+
+    ready(docs.sparkSession)
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    ranges = plain.repartitionByRange(partitions, "doc_id", "tie") if partitions else plain.repartitionByRange("doc_id", "tie")
+    return ranges.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text").mapInArrow(write, WRITTEN)
 
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    ranges = plain.repartitionByRange(partitions, "doc_id") if partitions else plain.repartitionByRange("doc_id")
-    return ranges.sortWithinPartitions("doc_id").mapInPandas(write, WRITTEN)
 
+def with_starts(manifest: DataFrame) -> DataFrame:
+    """The manifest's frames with ``start``, the ids in all frames before. A row for each file goes through one task, a file's frames through another."""
+    by_file = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    in_file = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("frame")) - F.col("n_tokens")
+    return manifest.withColumn("in_file", in_file).join(by_file.select("part", "before"), "part").withColumn("start", F.col("before") + F.col("in_file")).drop("before", "in_file")
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """A row for each document of the frames in ``manifest`` (file, part, frame): its place within the frame and its ids."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+def read_token_files(frames: DataFrame, folder: str) -> DataFrame:
+    """A row for each document of ``frames`` (file, frame, start): the ids before it, and its own."""
 
-        store, root = fs.FileSystem.from_uri(folder)
+    def read(batches: Iterator) -> Iterator:
+        store, root = open_store(folder)
         for batch in batches:
-            for file, rows in batch.groupby("file", sort=False):
+            wanted: dict[str, list[tuple[int, int]]] = {}
+            for file, frame, start in zip(*(batch.column(c).to_pylist() for c in ("file", "frame", "start")), strict=True):
+                wanted.setdefault(file, []).append((frame, start))
+            for file, some in wanted.items():
                 with store.open_input_file(f"{root}/{file}") as source:
                     reader = FrameReader(source)
-                    for part, frame in zip(rows["part"], rows["frame"], strict=True):
-                        found = list(reader.frame(int(frame)))
-                        yield pd.DataFrame({
-                            "doc_id": pd.array([None if d == NULL_ID else d for d, _ in found], "Int64"), "part": part, "place": np.arange(len(found)) + (int(frame) << 32),
-                            "n_tokens": [len(t) // 4 for _, t in found], "ids_crc32": [zlib.crc32(t) for _, t in found], "ids": [t for _, t in found],
-                        })
+                    for frame, start in some:
+                        ids, tokens = zip(*reader.frame(frame), strict=True)
+                        sizes = np.array([len(t) // 4 for t in tokens], np.int64)
+                        yield arrow_batch(READ, [[None if d == NULL_ID else d for d in ids], start + np.cumsum(sizes) - sizes, sizes, [zlib.crc32(t) for t in tokens], tokens])
 
-    return manifest.select("file", "part", "frame").mapInPandas(read, READ)
+    ready(frames.sparkSession)
+    return frames.select("file", "frame", "start").mapInArrow(read, READ)
 
 
 def token_digest(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write all of ``docs``, read the files back: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` adds what earlier frames hold, from the manifest (a row for each
-    megabyte), and what stands before the document in its own frame.
+    Where a frame starts stands in the row that its reader gets, from the manifest
+    (a row for each megabyte); the rest the reader counts within the frame.
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "token-files")
     manifest = materialise(write_token_files(docs, tokenizer, folder, end_id), "token-manifest")
-    by_file = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
-    frames = manifest.join(by_file.select("part", "before"), "part").withColumn("frame_start", F.col("before") + F.sum("n_tokens").over(Window.partitionBy("part").orderBy("frame")) - F.col("n_tokens"))
-    dealt = manifest.repartition(spark.sparkContext.defaultParallelism * 4, "part", "frame")
-    back = read_token_files(dealt, folder).drop("ids").withColumn("frame", F.shiftright("place", 32).cast("int"))
-    in_frame = Window.partitionBy("part", "frame").orderBy("place")
-    placed = back.withColumn("in_frame", F.sum("n_tokens").over(in_frame) - F.col("n_tokens")).join(frames.select("part", "frame", "frame_start"), ["part", "frame"])
-    return placed.select("doc_id", (F.col("frame_start") + F.col("in_frame")).alias("start"), "n_tokens", "ids_crc32")
+    frames = with_starts(manifest).repartition(spark.sparkContext.defaultParallelism * 4, "part", "frame")
+    return read_token_files(frames, folder).drop("ids")
