@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from civicgrid.functions import queries as texts
-from civicgrid.operators import aggregates, dedup, listing, merge, records, resolve, serving
+from civicgrid.operators import aggregates, dedup, listing, mentions, merge, records, requests, resolve, serving
 from civicgrid.plans import planning
 from civicgrid.streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (aggregates, listing, planning, merge, texts, resolve, serving, counters, records, dedup):
+for _module in (aggregates, listing, planning, merge, texts, resolve, serving, counters, records, dedup, mentions, requests):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)

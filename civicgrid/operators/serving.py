@@ -137,12 +137,6 @@ def venue_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.join(listed.groupBy("t").agg(F.count("*").alias("df")), "t").groupBy("venue").agg(F.count("*").alias("topics"), F.max("df").alias("widest"))
 
 
-@registry.add(f"""{E} SELECT event_id, NOT (event_type = 'error' OR user_id < 3 OR k >= 95) AS counted FROM ev""")
-def counted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests that count as page views: no failures, bots or odd content."""
-    return events(spark, sf_dir).select("event_id", (~((F.col("event_type") == "error") | (F.col("user_id") < 3) | (F.col("k") >= 95))).alias("counted"))
-
-
 @registry.add(f"""{E}, r AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS down, count(*) FILTER (event_type = 'signup') AS limited, sum(k) AS used FROM ev GROUP BY 1) SELECT user_id, CASE WHEN down > 2 THEN 'down' WHEN limited > 2 THEN 'rate limited' WHEN used > 600 THEN 'quota' END AS reason FROM r""")
 def stop_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a run stopped: down before rate limited before quota, or null."""

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from civicgrid.functions import text as T
-from civicgrid.operators import resolve
+from civicgrid.operators import mentions, resolve
 from civicgrid.operators.serving import collation_key
 
 
@@ -89,8 +89,8 @@ def test_representatives_depend_on_order_and_richness():
 def test_mentions(spark):
     cities = ["Vác", "Vácrátót", "Szentgotthárd", "Budapest"]
     rows = [(1, "Budapest", "A szentgotthárdi kör Szentgotthárdon és Budapesten"), (2, "Vácrátót", "Vácon és Vácrátóton"), (3, "Budapest", "Vácrátóton"), (4, "Budapest", None), (5, None, "Vác")]
-    out = resolve.find_mentions(spark.createDataFrame(rows, "id long, city string, text string"), cities).collect()
-    assert sorted((r["id"], r["mentioned"]) for r in out) == [(1, "Szentgotthárd"), (3, "Vácrátót")]
+    out = mentions.find_mentions(spark.createDataFrame(rows, "key long, city string, description string").withColumn("contact", F.lit("Szentgotthárd")), cities).collect()
+    assert sorted((r["key"], r["mentioned"], r["field"]) for r in out) == [("1", "Szentgotthárd", "description"), ("2", "Szentgotthárd", "contact"), ("3", "Szentgotthárd", "contact"), ("3", "Vácrátót", "description"), ("4", "Szentgotthárd", "contact")]
 
 
 def test_page_score():
