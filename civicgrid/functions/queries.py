@@ -108,7 +108,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add()
 def leader_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People named in free text, one row each."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.leaders("text")).alias("pos", "p"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.leaders(F.col("text"))).alias("pos", "p"))
     return rows.select("conv_id", "turn", "pos", "p.name", "p.role")
 
 

@@ -8,6 +8,7 @@ rarest character there. Only such pairs are compared one by one.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +61,8 @@ def characters(name: Column) -> Column:
     return F.sort_array(F.filter(numbered, lambda x: x["c"] != ""), asc=False)
 
 
-def close_pairs(rows: DataFrame, threshold: float, within: bool) -> DataFrame:
-    """Pairs (a before b by ``ord``) of one city whose ``clean`` names may reach ``threshold``, or of which one holds the other.
+def close_pairs(rows: DataFrame, threshold: float, within: int | None) -> DataFrame:
+    """Pairs (a before b by ``ord``) of one city whose ``clean`` names may reach ``threshold``, or of which one holds the other and both have ``within`` characters.
 
     ``rows``: city, ord, clean and more. Characters shared make at most 2 m / (la + lb);
     a partner of a name of length n has n t / (2 - t) characters at least, so m >= n t / (2 - t).
@@ -73,7 +74,8 @@ def close_pairs(rows: DataFrame, threshold: float, within: bool) -> DataFrame:
     longest = (2 - threshold) / threshold
     found = sides(first, "a").join(sides(first, "b"), ["city", "c"]).filter((F.col("n_a") <= longest * F.col("n_b")) & (F.col("n_b") <= longest * F.col("n_a"))).select("city", "ord_a", "ord_b")
     if within:
-        rarest, every = numbered.filter("pos = 0 AND n > 4"), numbered.filter("n > 4")
+        every = numbered.filter(F.col("n") >= within)
+        rarest = every.filter("pos = 0")
         found = found.union(sides(rarest, "a").join(sides(every, "b"), ["city", "c"]).filter("n_a <= n_b").select("city", "ord_a", "ord_b"))
     pairs = found.filter("ord_a <> ord_b").select("city", F.least("ord_a", "ord_b").alias("ord_a"), F.greatest("ord_a", "ord_b").alias("ord_b")).distinct()
     whole = lambda side: rows.select("city", F.col("ord").alias(f"ord_{side}"), F.struct(*rows.columns).alias(side))
@@ -114,7 +116,7 @@ def community_candidates(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     by_url = url_members(keyed, "topic").select("winner", "loser", F.lit(1.0).alias("similarity"), F.lit("url_match").alias("signal"))
     a, b = F.col("a.clean"), F.col("b.clean")
     same_site = (T.normal_url(F.col("a.website")) == T.normal_url(F.col("b.website"))) & (T.normal_url(F.col("a.website")) != "")
-    pairs = close_pairs(keyed, threshold, True).filter("a.topic <> b.topic").filter(says_something(a, b) & ~same_site)
+    pairs = close_pairs(keyed, threshold, 5).filter("a.topic <> b.topic").filter(says_something(a, b) & ~same_site)
     pairs = pairs.filter(inside(a, b) | (shared_characters(a, b) >= threshold))
     ratio = F.when(inside(a, b), F.lit(0.9)).otherwise(T.sequence_ratio(a, b))
     by_name = decided(pairs.withColumn("ratio", ratio).filter(F.col("ratio") >= threshold), F.col("ratio"), F.lit("fuzzy_name"))
@@ -127,7 +129,7 @@ def venue_candidates(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     by_url = url_members(keyed, None).select("winner", "loser", F.lit(1.0).alias("similarity"), F.lit("url_match").alias("signal"))
     a, b = F.col("a.clean"), F.col("b.clean")
     same_site = (T.normal_url(F.col("a.website")) == T.normal_url(F.col("b.website"))) & (T.normal_url(F.col("a.website")) != "")
-    pairs = close_pairs(keyed, threshold, False).filter(~same_site & (shared_characters(a, b) >= threshold)).withColumn("ratio", T.sequence_ratio(a, b))
+    pairs = close_pairs(keyed, threshold, None).filter(~same_site & (shared_characters(a, b) >= threshold)).withColumn("ratio", T.sequence_ratio(a, b))
     return by_url.unionByName(decided(pairs.filter(F.col("ratio") >= threshold), F.col("ratio"), F.lit("fuzzy_name")))
 
 
@@ -135,11 +137,92 @@ def people_candidates(rows: DataFrame, threshold: float = 0.9, communities: floa
     """People of one city whose names and whose communities' names are alike."""
     keyed = rows.withColumns({"key": T.record_key("p", F.col("name"), F.col("city"), F.col("role"), F.col("community_name")), "ord": F.struct("id"), "rich": richness(rows.columns), "clean": T.strip_articles(F.col("name")), "group": T.strip_articles(F.col("community_name"))}).select("city", "ord", "key", "rich", "clean", "group")
     a, b, x, y = F.col("a.clean"), F.col("b.clean"), F.col("a.group"), F.col("b.group")
-    pairs = close_pairs(keyed, threshold, False).filter((shared_characters(a, b) >= threshold) & (shared_characters(x, y) >= communities))
+    pairs = close_pairs(keyed, threshold, None).filter((shared_characters(a, b) >= threshold) & (shared_characters(x, y) >= communities))
     scored = pairs.withColumns({"ratio": T.sequence_ratio(a, b), "groups": T.sequence_ratio(x, y)}).filter((F.col("ratio") >= threshold) & (F.col("groups") >= communities))
     return decided(scored, F.col("ratio"), F.lit("fuzzy_name"))
 
 
+# inside a pair of city and topic -------------------------------------------------
+
+
+def chosen(group: pd.DataFrame) -> pd.DataFrame:
+    """The places that stand, of rows in order that are alike by ``before`` (places of earlier rows) or by site.
+
+    A row joins the oldest group one of whose standing rows it is like, and stands for it if it is richer.
+    """
+    standing: dict[int, int] = {}
+    rows: list[tuple[int, int]] = []
+    sites: dict[str, set[int]] = {}
+    for place, rich, site, before in group.sort_values("place")[["place", "rich", "site", "before"]].itertuples(index=False):
+        near = {standing[p] for p in before if p in standing} | (sites.get(site, set()) if site else set())
+        number = min(near, default=len(rows))
+        if near and rich <= rows[number][1]:
+            continue
+        if near:
+            gone = rows[number][0]
+            del standing[gone]
+            for held in sites.values():
+                held.discard(number)
+            rows[number] = (place, rich)
+        else:
+            rows.append((place, rich))
+        standing[place] = number
+        if site:
+            sites.setdefault(site, set()).add(number)
+    return pd.DataFrame({"pair": group["pair"].iloc[0], "place": [place for place, _ in rows]})
+
+
+def representatives(rows: DataFrame, threshold: float = 0.88) -> DataFrame:
+    """``rows`` (city, topic, place, name, website and fields) without those that another of the same city and topic stands for.
+
+    Names are compared without articles; only rows that are like another one meet in a task.
+    """
+    pair = F.concat_ws("\x1f", "city", "topic")
+    site = F.regexp_replace(F.coalesce("website", F.lit("")), "/+$", "")
+    keyed = rows.withColumns({"pair": pair, "rich": richness(rows.columns), "site": F.when(F.col("website") != "", site), "clean": T.strip_articles(F.col("name"))})
+    light = keyed.select(F.col("pair").alias("city"), F.col("place").alias("ord"), "clean")
+    a, b = F.col("a.clean"), F.col("b.clean")
+    holds = a.contains(b) | b.contains(a)
+    pairs = close_pairs(light, threshold, 1).filter(holds | (shared_characters(a, b) > threshold))
+    alike = pairs.filter(F.when(holds, F.lit(1.0)).otherwise(T.sequence_ratio(b, a)) > threshold)
+    linked = alike.select(F.col("city").alias("pair"), F.col("b.ord").alias("place"), F.col("a.ord").alias("earlier"))
+    before = linked.groupBy("pair", "place").agg(F.collect_list("earlier").alias("before"))
+    sites = keyed.filter("site IS NOT NULL").groupBy("pair", "site").agg(F.count("*").alias("n")).filter("n > 1").select("pair", "site")
+    ends = linked.select("pair", "place").union(linked.select("pair", F.col("earlier").alias("place"))).union(keyed.join(sites, ["pair", "site"]).select("pair", "place")).distinct()
+    some = keyed.select("pair", "place", F.col("rich").cast("long").alias("rich"), "site").join(ends, ["pair", "place"]).join(before, ["pair", "place"], "left").withColumn("before", F.coalesce("before", F.array().cast("array<long>")))
+    stand = some.groupBy("pair").applyInPandas(chosen, "pair string, place long")
+    gone = ends.join(stand, ["pair", "place"], "left_anti")
+    return keyed.join(gone, ["pair", "place"], "left_anti").select(*rows.columns)
+
+
+def save_pairs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The records of all pairs (key, city, topic, name, hidden and fields) after a run: pairs that came in are replaced by what both have, incoming ones first by key, without duplicates; a record that was hidden stays so."""
+    pairs = incoming.select("city", "topic").distinct()
+    both = stored.join(pairs, ["city", "topic"], "left_semi").withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    last = both.groupBy("key").agg(F.max_by(F.struct(*stored.columns), "_new").alias("r")).select("r.*")
+    placed = last.withColumn("place", F.row_number().over(Window.partitionBy("city", "topic").orderBy("name", "key")).cast("long"))
+    kept = representatives(placed).drop("place")
+    was_hidden = stored.filter("hidden").select("key", F.lit(True).alias("_was"))
+    shown = kept.join(was_hidden, "key", "left").withColumn("hidden", F.coalesce("_was", F.lit(False))).select(*stored.columns)
+    return stored.join(pairs, ["city", "topic"], "left_anti").select(*stored.columns).unionByName(shown)
+
+
+@registry.add()
+def pair_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of each city and topic without duplicates, in order of their names."""
+    rows = records(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("city", "topic").orderBy("name", "id")).cast("long"))
+    return representatives(rows).select("city", "topic", "id", "name")
+
+
+@registry.add()
+def saved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory after a run brought in some pairs anew."""
+    rows = records(spark, sf_dir).withColumn("key", T.record_key("c", F.col("name"), F.col("city"), F.col("topic"))).dropDuplicates(["key"])
+    rows = rows.select("key", "id", "name", "city", "topic", "website", "description", "social_links", "hidden")
+    incoming = rows.filter("id % 3 = 1 AND topic = 'ECONOMY'").withColumns({"website": F.lit("http://new.example"), "hidden": F.lit(False)})
+    return save_pairs(rows.filter("id % 3 <> 2"), incoming).select("key", "id", "hidden", "website")
+
+
 _sig = "CASE WHEN website IS NULL THEN '' ELSE rtrim(lower(website), '/') END"
 _rich = "CAST(coalesce(description, '') <> '' AS INT) + CAST(coalesce(meeting_schedule, '') <> '' AS INT) + CAST(coalesce(location, '') <> '' AS INT) + CAST(coalesce(contact, '') <> '' AS INT) + CAST(coalesce(website, '') <> '' AS INT) + len(social_links)"
 

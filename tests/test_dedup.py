@@ -121,3 +121,39 @@ def test_a_whole_scan_twice_adds_nothing(spark):
     first = dedup.detect_all(none, rows, rows.drop("topic"), persons)
     pairs = lambda df: {(r["entity"], *sorted((r["winner"], r["loser"])), r["resolution"]) for r in df.collect()}
     assert pairs(dedup.detect_all(first, rows, rows.drop("topic"), persons)) == pairs(first) and first.count() > 10
+
+
+def greedy(rows):
+    kept = []
+    for r in rows:
+        for at, k in enumerate(kept):
+            x, y, s, t = articles(r["name"]), articles(k["name"]), (r["website"] or "").rstrip("/"), (k["website"] or "").rstrip("/")
+            if r["website"] and k["website"] and s == t or x and y and (x in y or y in x or ratio(x, y) > 0.88):
+                if rich(r) > rich(k):
+                    kept[at] = r
+                break
+        else:
+            kept.append(r)
+    return {r["id"] for r in kept}
+
+
+def test_representatives_of_pairs(spark):
+    data = groups() + [named(f"name {k % 7}{k % 3}", "Pécs", "run", 5000 + k, website=f"http://w{k % 11}" if k % 2 else None, contact="x" if k % 5 == 0 else None) for k in range(80)]
+    data += [{**r.asDict(), "id": r["id"] + 10_000, "topic": "one"} for r in records(spark, SF).select(*[c.split()[0] for c in SCHEMA.split(", ")]).collect()]
+    want = set()
+    pairs = {}
+    for place, r in enumerate(sorted(data, key=lambda r: (r["name"], r["id"]))):
+        pairs.setdefault((r["city"], r["topic"]), []).append({**r, "place": place})
+    for rows in pairs.values():
+        want |= greedy(rows)
+    flat = [r for rows in pairs.values() for r in rows]
+    out = dedup.representatives(spark.createDataFrame(flat, SCHEMA + ", place long"))
+    assert {r["id"] for r in out.collect()} == want and len(want) < len(data) - 20
+
+
+def test_saving_a_pair(spark):
+    cols = "key string, city string, topic string, name string, website string, social_links array<string>, hidden boolean"
+    stored = spark.createDataFrame([("a", "X", "t", "Alpha club", None, [], True), ("b", "X", "t", "Beta", None, [], False), ("c", "Y", "t", "Gamma", None, [], True)], cols)
+    incoming = spark.createDataFrame([("a", "X", "t", "Alpha club", "http://new", [], False), ("d", "X", "t", "Alpha club house", "http://d", ["http://l"], False)], cols)
+    out = {r["key"]: (r["website"], r["hidden"]) for r in dedup.save_pairs(stored, incoming).collect()}
+    assert out == {"b": (None, False), "c": (None, True), "d": ("http://d", False)}

@@ -1,14 +1,13 @@
 import difflib
 import random
 
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from civicgrid.functions import text as T
-from civicgrid.operators import mentions, resolve
+from civicgrid.operators import mentions, scoring
 from civicgrid.operators.serving import collation_key
 
 
@@ -25,7 +24,9 @@ def test_identity(spark):
     assert len(set(keys)) == 3 and keys[2] == keys[3] and all(k.startswith("c2:") and len(k) == 27 for k in keys)
     slugs = apply(spark, ["Futó Klub!", "東京", "大阪", "Łódź run"], T.slug(x))
     assert slugs[0] == "futo-klub" and slugs[1].startswith("u-") and slugs[1] != slugs[2] and slugs[3].startswith("odz-run-")
-    assert apply(spark, [" Ab  C "], T.canonical_ascii(x)) == ["ab c"]
+    odd = [" Ab  C ", "\x1cA\tB\n", "", "-A--b-", "É-é", "ǅ", "x·y", "ﬁn", "١٢"]
+    assert apply(spark, odd, T.canonical(x)) == [T.canonical_text(v) for v in odd] and apply(spark, odd, T.slug(x)) == [T.slug_text(v) for v in odd]
+    assert [T.slug_text(v) for v in ("É-é", "-A--b-", "ﬁn", "")] == ["e-e", "a-b", "fin", ""] and T.slug_text("x·y") == "xy"
 
 
 def test_cleaning(spark):
@@ -70,8 +71,8 @@ def test_similarity_matches_python(spark):
     ("Anna (Anni Kiss)", [("Anna (Anni Kiss)", "")]),
     ("edző", []), ("", []), (None, []), (" ; ,", []),
 ])
-def test_leaders(field, people):
-    assert T.leader_pairs(field) == people
+def test_leaders(spark, field, people):
+    assert [(p["name"], p["role"]) for p in apply(spark, [field], T.leaders(F.col("x")))[0]] == people
 
 
 def test_page_text_and_diff(spark):
@@ -81,11 +82,6 @@ def test_page_text_and_diff(spark):
     assert sorted(r[0] for r in frame.select(T.line_diff("a", "b")).collect()) == ["+ x", "- b\n+ c"]
 
 
-def test_representatives_depend_on_order_and_richness():
-    group = pd.DataFrame({"city": "c", "topic": "t", "id": [1, 2, 3], "name": ["chess club", "chess", "running"], "rich": [1.0, 5.0, 0.0], "place": [1, 2, 3]})
-    assert resolve.keep_representatives(group)["id"].to_list() == [2, 3]
-
-
 def test_mentions(spark):
     cities = ["Vác", "Vácrátót", "Szentgotthárd", "Budapest"]
     rows = [(1, "Budapest", "A szentgotthárdi kör Szentgotthárdon és Budapesten"), (2, "Vácrátót", "Vácon és Vácrátóton"), (3, "Budapest", "Vácrátóton"), (4, "Budapest", None), (5, None, "Vác")]
@@ -93,13 +89,25 @@ def test_mentions(spark):
     assert sorted((r["key"], r["mentioned"], r["field"]) for r in out) == [("1", "Szentgotthárd", "description"), ("2", "Szentgotthárd", "contact"), ("3", "Szentgotthárd", "contact"), ("3", "Vácrátót", "description"), ("4", "Szentgotthárd", "contact")]
 
 
-def test_page_score():
-    generic = frozenset({"klub", "futoklub"})
+def test_same_names():
+    same = scoring.SameName(frozenset({"futo"}), ("szentendre",))
+    alike = [("Kék Madár", "KEK-MADAR"), ("Kék Madár Klub", "Kék Madár"), ("SV Musterstadt", "SV Musterstadt Verein"), ("Szentendrei Futó Klub", "Szentendrei Futó")]
+    apart = [("Szentendrei", "Szentendrei Klub"), ("Szentendrei Futóklub", "Szentendrei Kajak Klub"), ("Futóklub", "Kék Futóklub"), ("", "Kék"), ("a b", "c d")]
+    assert all(same(a, b) and same(b, a) for a, b in alike) and not any(same(a, b) or same(b, a) for a, b in apart)
+
+
+def test_page_scores(spark):
     names = ["Szentendrei Futóklub", "Kék Madár"]
-    assert resolve.page_score(names, names, generic) == 100
-    assert resolve.page_score(names, names[:1], generic) == 75
-    assert resolve.page_score(names, [], generic) == 20
-    assert resolve.page_score([], ["x"], generic) == 0
-    assert resolve.page_score(names, ["Szentendrei Futoklub", "Szentendrei Futóklub", "Kék Madár Klub"], generic) == 100
-    words = [frozenset({"a1a", "b"}), frozenset({"b"})]
-    assert resolve.most_pairs(words, words, frozenset()) == 2
+    answers = {"all": names, "one": names[:1], "none": [None], "spelled": ["Szentendrei Futoklub", "Szentendrei Futóklub", "Kék Madár Klub"], "crossed": ["Kék Madár Klub", "Kék Madár"]}
+    expected = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)] + [(2, 0, "Kék Madár"), (2, 1, "Kék Madár SE Klub")], "page long, place int, name string")
+    got = spark.createDataFrame([(m, 1, i, n) for m, found in answers.items() for i, n in enumerate(found)] + [("crossed", 2, 0, "Kék Madár"), ("crossed", 2, 1, "Kék Madár Egyesület")], "model string, page long, place int, name string")
+    scores = {(r["model"], r["page"]): r["score"] for r in scoring.page_scores_of(expected, got, scoring.SameName()).collect()}
+    assert scores == {("all", 1): 100, ("one", 1): 75, ("none", 1): 20, ("spelled", 1): 100, ("crossed", 1): 20 + 25 + 15, ("crossed", 2): 100}
+    assert scoring.most_pairs(["Kék Madár", "Kék Madár Klub"], ["Kék Madár Egyesület", "Kék Madár"], scoring.SameName()) == 2
+
+
+def test_few_names_have_only_fixed_generic_words(spark):
+    few = spark.createDataFrame([("alpha beta",)] * 19, "name string")
+    assert {r["token"] for r in scoring.generic_words(few, "name").collect()} == set(scoring.SEED)
+    many = spark.createDataFrame([("alpha beta",)] * 25, "name string")
+    assert {r["token"] for r in scoring.generic_words(many, "name").collect()} == {*scoring.SEED, "alpha", "beta"}
