@@ -318,3 +318,45 @@ def rows_at(rows):
     import pyarrow as pa
 
     return pa.array(rows, pa.int64())
+
+
+#: Bits of a bitmap for each hash, their bounds (powers of two), and those of one of its parts.
+BITS_EACH, LEAST_BITS, MOST_BITS, PART_BITS = 16, 1 << 16, 1 << 26, 1 << 16
+
+
+def bitmap_places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Two bits for each hash, one row for each hash."""
+    return np.stack([hashes & np.uint64(bits - 1), (hashes >> np.uint64(32)) & np.uint64(bits - 1)], axis=1).astype(np.int64)
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """Which ``hash`` values (long) occur, one byte for eight bits: at most ``MOST_BITS`` bits whatever the rows, so that it may go to all tasks.
+
+    Built in parts on the executors. What isn't in it doesn't occur; what is in it may.
+    """
+    import pandas as pd
+
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * hashes.count()).bit_length()))
+
+    def parts(batches: Iterator) -> Iterator:
+        for batch in batches:
+            at = np.unique(bitmap_places(batch["hash"].to_numpy(np.int64).view(np.uint64), bits))
+            yield pd.DataFrame({"part": (at // PART_BITS).astype(np.int32), "bit": (at % PART_BITS).astype(np.int32)})
+
+    def pack(group):
+        held = np.zeros(PART_BITS, np.uint8)
+        held[group["bit"].to_numpy()] = 1
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "bytes": [np.packbits(held, bitorder="little").tobytes()]})
+
+    out = np.zeros(bits // 8, np.uint8)
+    found = hashes.mapInPandas(parts, "part int, bit int").distinct().groupBy("part").applyInPandas(pack, "part int, bytes binary")
+    for r in found.collect():  # at most MOST_BITS / PART_BITS rows
+        at = r["part"] * PART_BITS // 8
+        out[at : at + PART_BITS // 8] = np.frombuffer(r["bytes"], np.uint8)
+    return out
+
+
+def maybe_in(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which unsigned hashes may be in a bitmap."""
+    at = bitmap_places(hashes, 8 * len(held))
+    return ((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)

@@ -4,24 +4,28 @@ Texts are sets of five-word shingles; two link at a Jaccard similarity of
 ``threshold`` or more. Texts of one shingle set are one class, compared once.
 
 1. Every class gets ``BANDS`` x ``ROWS`` MinHash values. Classes that share a
-   band are candidates; a pair at 0.8 shares none of 24 bands of 4 with
-   probability 3e-6, a pair at 0.85 with less than 1e-7.
+   band are candidates, in the first band that they share and nowhere else; a pair
+   at 0.8 shares none of 24 bands of 4 with probability 3e-6, a pair at 0.85 with
+   less than 1e-7.
 2. Candidates compare their MinHash values step by step. With a uniform prior,
-   m matches in n leave the similarity a Beta(m + 1, n - m + 1); a pair goes when
-   its probability of reaching the threshold is below ``TOLERANCE``.
-3. Survivors only join classes into connected candidate sets. In a set, blocks
-   of classes compare their whole shingle sets exactly, each pair once.
+   m matches in n leave the similarity a Beta(m + 1, n - m + 1); a pair is dropped
+   when its probability of reaching the threshold is below ``TOLERANCE``.
+3. Classes of a surviving pair go on, with their shingle sets, to the task of the
+   bucket that the pair was found in. It verifies the surviving pairs exactly, and
+   only these.
 
-Large buckets and sets are split into pairs of blocks, so that no task holds more
-than two blocks; links leave a task as counts and as spanning edges, never as
-all pairs. Members, counts and edges are joined on the executors.
+Buckets are split into pairs of blocks, by rows and by the size of what is
+verified, so that no task holds more than two blocks; links leave a task as
+counts and as spanning edges, never as all pairs. Members, counts and edges are
+joined on the executors.
 
 Result: a row for each row of ``docs``: doc_id, class_id (the smallest doc_id
 that links reach), n_links (other rows linked directly, copies included), kept
 (doc_id = class_id). A text of fewer than five words is one shingle; a null
 text or one without words links with nothing. A row of a null doc_id has class
-and count null and is kept. Repeated rows are copies of each other. An empty
-table gives no rows. Only doc_id and text are read.
+and count null and is kept. Repeated rows are copies of each other. Ids of any
+type that has an order stay as they are. An empty table gives no rows. Only
+doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -32,17 +36,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import WordBatch, block_pairs, chunks, components, materialise, mix, spanning, whole_groups
+from civicgrid.llm.common import WordBatch, add_by_text, arrow_batch, bitmap, block_pairs, chunks, linked_classes, materialise, maybe_in, mix, rows_at, spanning, whole_groups
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
+#: The bits of a bucket that name its band.
+BAND = np.uint64(31)
 TOLERANCE = 1e-7
 STEP = 16
-SIGNATURE_BLOCK, EXACT_BLOCK = 2048, 512
-SMALL_GROUP = 32
+#: Rows of a block, and the shingles of its classes.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+#: Rows of a tile of pairs that are compared at once, and columns of one product.
+TILE, COLUMNS = 512, 4096
 
 _A = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -82,10 +90,11 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
+    """A hash for each band, whose lowest bits are the band's number."""
     out = np.tile(np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(values), 1))
     for r in range(ROWS):
         out = mix(out + values[:, r::ROWS].astype(np.uint64) + np.uint64(r))
-    return out.view(np.int64)
+    return (out & ~BAND | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -115,140 +124,174 @@ def survivors(signatures: np.ndarray, i: np.ndarray, j: np.ndarray, limits: list
     return alive
 
 
-def candidate_links(signatures: np.ndarray, starts: np.ndarray, limits: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what surviving pairs connect, for groups of rows from each start to the next."""
-    sizes, left, right = np.diff(starts), [], []
-    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL_GROUP)]):
-        a, b = np.triu_indices(n, 1)
-        at = starts[:-1][sizes == n][:, None]
-        left.append((at + a).ravel())
-        right.append((at + b).ravel())
-    i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-    parts = [(i[k], j[k]) for lo in range(0, len(i), 200_000) for k in [lo + survivors(signatures, i[lo : lo + 200_000], j[lo : lo + 200_000], limits)]]
-    for g in np.flatnonzero(sizes > SMALL_GROUP):
-        lo, n = starts[g], sizes[g]
-        group = np.arange(n)  # rows of one value are connected already
-        for pivot in range(n):
-            others = np.flatnonzero(group != group[pivot])
-            if not len(others):
-                break
-            got = others[survivors(signatures, np.full(len(others), lo + pivot), lo + others, limits)]
-            if len(got):
-                parts.append((np.full(len(got), lo + pivot), lo + got))
-                group[np.isin(group, group[got])] = group[pivot]
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (i[:0], j[:0])
+def surviving_pairs(bands: np.ndarray, signatures: np.ndarray, of_right: np.ndarray, within: bool, band: int, limits: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Surviving pairs (i, j) of one bucket whose first common band is ``band``, a tile of pairs at a time: ``within`` one block, or across two, ``of_right`` being the rows of the second."""
+    left, right = np.flatnonzero(~of_right | within), np.flatnonzero(of_right)
+    for lo in range(0, len(left), TILE):
+        for at in range(lo if within else 0, len(left) if within else len(right), TILE):
+            a, b = left[lo : lo + TILE], (left if within else right)[at : at + TILE]
+            fresh = np.ones((len(a), len(b)), bool)
+            for k in range(band):
+                fresh &= bands[a, k][:, None] != bands[b, k][None, :]
+            if within and at == lo:
+                fresh = np.triu(fresh, 1)
+            i, j = np.nonzero(fresh)
+            some = survivors(signatures, a[i], b[j], limits)
+            if len(some):
+                yield a[i[some]], b[j[some]]
+
+
+def exact_links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (i, j) of shingle sets reach ``percent``.
+
+    Where few pairs are asked of many rows, each is intersected; else all are
+    counted by products of the rows' indicator vectors, some columns at a time.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    rows = np.unique(np.concatenate([i, j]))
+    if len(i) < 4 * len(rows):
+        common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    else:
+        at = np.full(len(sets), -1)
+        at[rows] = np.arange(len(rows))
+        values, column = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True)
+        row = np.repeat(np.arange(len(rows)), sizes[rows])
+        shared = np.flatnonzero(np.bincount(column)[column] > 1)
+        shared = shared[np.argsort(column[shared], kind="stable")]
+        column, row = np.unique(column[shared], return_inverse=True)[1], row[shared]
+        both = np.zeros((len(rows), len(rows)), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+            part = np.zeros((len(rows), COLUMNS), np.float32)
+            part[row[a:b], column[a:b] - lo] = 1
+            both += part @ part.T
+        common = both[at[i], at[j]].astype(np.int64)
+    return 100 * common >= percent * (sizes[i] + sizes[j] - common)
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, shingle_set, bands and the low 16 bits of each MinHash value."""
+    """doc_id, shingle_set, number of shingles, bands and the low 16 bits of each MinHash value."""
+
+    def signed(texts: list[str | None]) -> tuple[list, ...]:
+        keys, sizes, bands, signatures = [], [], [], []
+        for _, _, encoded in chunks(texts):
+            sets = shingle_sets(encoded)
+            some = [s for s in sets if len(s)]
+            values = minhash(some) if some else np.empty((0, BANDS * ROWS), np.uint32)
+            banded, short = iter(band_keys(values)), iter(mix(values.astype(np.uint64)).astype("<u2"))
+            for s in sets:
+                keys.append(set_key(s))
+                sizes.append(len(s))
+                bands.append(next(banded).tobytes() if len(s) else None)
+                signatures.append(next(short).tobytes() if len(s) else None)
+        return keys, sizes, bands, signatures
+
+    return add_by_text(docs, signed, "shingle_set binary, shingles int, bands binary, signature binary", ["doc_id"], 2000)
+
+
+def banded(classes: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """(key, bucket) of the classes; ``among``: only buckets that a bitmap may hold."""
+    sent = None if among is None else classes.sparkSession.sparkContext.broadcast(among)
+
+    def explode(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lo, hi, encoded in chunks(batch["text"]):
-                sets = shingle_sets(encoded)
-                rows = [k for k, s in enumerate(sets) if len(s)]
-                values = minhash([sets[k] for k in rows]) if rows else np.empty((0, BANDS * ROWS), np.uint32)
-                bands, short = band_keys(values), mix(values.astype(np.uint64)).astype(np.uint16)
-                out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[lo:hi].astype("Int64").to_numpy(), "shingle_set": [set_key(s) for s in sets]})
-                out["bands"], out["signature"] = None, None
-                out["bands"] = pd.Series({k: bands[x] for x, k in enumerate(rows)}, dtype=object).reindex(range(len(sets))).to_numpy()
-                out["signature"] = pd.Series({k: short[x].tobytes() for x, k in enumerate(rows)}, dtype=object).reindex(range(len(sets))).to_numpy()
-                out = out.where(out.notna(), None)
-                yield out
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(signed, "doc_id long, shingle_set binary, bands array<long>, signature binary")
-
-
-def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
-    """Spanning edges (a, b) between classes whose pairs survive."""
-    limits = least_matches(threshold)
-    banded = classes.select("shingle_set", F.explode("bands").alias("bucket"))
-    # the copies of one bucket in other bands have the same members: one of them is enough
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("shingle_set").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(5), "shingle_set")).alias("x")).filter("n > 1")
-    buckets = buckets.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = banded.join(buckets, "bucket").join(classes.select("shingle_set", "signature"), "shingle_set")
-    keys = ["bucket", "left", "right"]
-    dealt = block_pairs(members, ["bucket"], "shingle_set", SIGNATURE_BLOCK).select(*keys, "shingle_set", "signature")
+            buckets = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<i8")
+            row = np.repeat(np.arange(batch.num_rows), BANDS)
+            if sent is not None:
+                some = maybe_in(sent.value, mix(buckets.view(np.uint64)))
+                buckets, row = buckets[some], row[some]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(buckets)], ["key", "bucket"])
 
-    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, starts in whole_groups(batches, keys):
-            signatures = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), -1)
-            i, j = candidate_links(signatures, starts, limits)
-            if len(i):
-                names = rows["shingle_set"].to_numpy()
-                root = spanning(len(rows), i, j)
-                linked = np.flatnonzero(root != np.arange(len(rows)))
-                yield pd.DataFrame({"a": names[root[linked]], "b": names[linked]}).drop_duplicates()
+    return classes.select("key", "bands").mapInArrow(explode, "key binary, bucket long")
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(prune, "a binary, b binary")
 
+def mixed(column: str) -> Column:
+    """A column's 64 bits mixed once more, as bitmaps take them."""
+
+    @F.pandas_udf("long")
+    def apply(values: pd.Series) -> pd.Series:
+        return pd.Series(mix(values.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+    return apply(column)
 
-def exact_links(sets: list[np.ndarray], block: np.ndarray, weight: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weight linked to each row, i, j) over the pairs of a task: across two blocks, or within one."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), sizes)
-    shared = np.flatnonzero(np.bincount(column)[column] > 1)
-    column, row = np.unique(column[shared], return_inverse=True)[1], row[shared]
-    both = np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        a, b = np.searchsorted(column, (lo, lo + 4096))
-        part = np.zeros((n, min(4096, int(column[-1]) + 1 - lo)), np.float32)
-        part[row[a:b], column[a:b] - lo] = 1
-        both += part @ part.T
-    common = both.astype(np.int64)
-    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    if (block != block[0]).any():
-        linked &= block[:, None] != block[None, :]
-    np.fill_diagonal(linked, False)
-    i, j = np.nonzero(np.triu(linked))
-    return linked @ weight, i, j
+
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """(key, bucket, members) for the buckets that may hold a new pair."""
+    # two sums of hashes tell the sets of members apart
+    sums = banded(classes).select("bucket", F.xxhash64("key").alias("x"), F.xxhash64(F.lit(5), "key").alias("y")).groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("members > 1")
+    # where a later band has the same members, all its pairs meet in an earlier one
+    first = sums.groupBy("members", "x", "y").agg(F.min(F.struct(F.col("bucket").bitwiseAND(int(BAND)).alias("band"), "bucket")).alias("b")).select("b.bucket", "members")
+    # a table of its own, so that the join with it may be split where a bucket is very large
+    buckets = materialise(first, "buckets")
+    return banded(classes, bitmap(buckets.select(mixed("bucket").alias("hash")))).join(buckets, "bucket")
 
 
 def similarity_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    percent = round(100 * threshold)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    percent, limits = round(100 * threshold), least_matches(threshold)
+    plain = docs.select("doc_id", "text")
     signed = materialise(signature_rows(plain), "signatures")
     with_set = signed.filter(F.col("doc_id").isNotNull() & F.col("shingle_set").isNotNull())
-    classes = materialise(with_set.groupBy("shingle_set").agg(F.count("*").alias("weight"), F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")), "classes")
-    members = components(candidate_edges(classes, threshold)).withColumnsRenamed({"id": "shingle_set", "root": "candidates"})
-    wanted = members.join(classes.select("shingle_set", "weight", "first_id"), "shingle_set")
+    classes = with_set.groupBy(F.col("shingle_set").alias("key")).agg(F.count("*").alias("weight"), F.min("doc_id").alias("first_id"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
+    classes = materialise(classes, "classes")
+    keys, carried = ["bucket", "left", "right"], ["block", "key", "weight", "bands", "signature"]
+    members = materialise(bucket_members(classes).join(classes.select("key", "weight", "shingles", "bands", "signature"), "key"), "members")
+    sizes = materialise(members.groupBy("bucket").agg(F.sum("shingles").alias("size")), "sizes")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES))
+    dealt = block_pairs(members.join(sizes, "bucket"), "key", blocks).select(*keys, *carried)
+
+    def of_group(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        right = (group["block"] == group["right"]).to_numpy()
+        return np.frombuffer(b"".join(group["bands"]), "<i8").reshape(len(group), BANDS), np.frombuffer(b"".join(group["signature"]), "<u2").reshape(len(group), -1), right, bool(group["left"].iloc[0] == group["right"].iloc[0]), int(group["bucket"].iloc[0]) & int(BAND)
 
-    def with_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in whole_groups(batches, keys):
+            stays = np.zeros(len(rows), bool)
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if hi - lo > 1:
+                    for i, j in surviving_pairs(*of_group(rows.iloc[lo:hi]), limits):
+                        stays[lo + i] = stays[lo + j] = True
+            yield rows[stays]
+
+    schema = "bucket long, left int, right int, block int, key binary, weight long, bands binary, signature binary"
+    kept = materialise(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(prune, schema), "survivors")
+    # texts of classes with survivors are told by a bitmap of bounded size and leave the tasks as shingles; no other text moves
+    wanted = kept.select("key").distinct().join(classes.select("key", "first_id"), "key")
+    held = plain.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("first_id").alias("hash"))))
+
+    def with_shingles(batches: Iterator) -> Iterator:
         for batch in batches:
-            for lo, hi, encoded in chunks(batch["text"]):
+            some = np.flatnonzero(maybe_in(held.value, batch.column("hash").to_numpy().view(np.uint64)))
+            for _, _, encoded in chunks(batch.column("text").take(rows_at(some)).to_pylist()):
                 sets = shingle_sets(encoded)
-                out = batch.iloc[lo:hi][["candidates", "shingle_set", "weight"]].assign(shingles=[s.tobytes() for s in sets])
-                yield out[[set_key(s) == k for s, k in zip(sets, out["shingle_set"], strict=True)]]
+                yield arrow_batch("key binary, shingles binary", [[set_key(s) for s in sets], [s.tobytes() for s in sets]])
 
-    # where rows share a doc_id, only the text of this class counts
-    texts = plain.join(wanted, plain["doc_id"] == wanted["first_id"]).select("candidates", "shingle_set", "weight", "text")
-    whole = materialise(texts.mapInPandas(with_shingles, "candidates binary, shingle_set binary, weight long, shingles binary").dropDuplicates(["shingle_set"]), "shingles")
-    keys = ["candidates", "left", "right"]
-    dealt = block_pairs(whole, ["candidates"], "shingle_set", EXACT_BLOCK).select(*keys, "block", "shingle_set", "weight", "shingles")
+    found = plain.select(F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(with_shingles, "key binary, shingles binary")
+    whole = found.filter(F.col("key").isNotNull()).dropDuplicates(["key"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts in whole_groups(batches, keys):
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                if hi - lo < 2:
-                    continue
                 group = rows.iloc[lo:hi]
+                n, weight = hi - lo, group["weight"].to_numpy(np.int64)
                 sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
-                count, i, j = exact_links(sets, group["block"].to_numpy(), group["weight"].to_numpy(np.int64), percent)
-                if len(i):
-                    names = group["shingle_set"].to_numpy()
-                    some = np.flatnonzero(count)
-                    yield pd.DataFrame({"a": names[some], "b": names[spanning(len(group), i, j)[some]], "n": count[some]})
-
-    links = materialise(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(verify, "a binary, b binary, n long"), "links")
-    counts = links.groupBy(F.col("a").alias("shingle_set")).agg(F.sum("n").alias("n"))
-    roots = components(links.select("a", "b")).withColumnRenamed("id", "shingle_set")
-    placed = classes.select("shingle_set", "weight", "first_id").join(roots, "shingle_set", "left").join(counts, "shingle_set", "left").withColumn("root", F.coalesce("root", "shingle_set"))
-    lowest = placed.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    by_set = placed.join(lowest, "root").select("shingle_set", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+                count, tied = np.zeros(n, np.int64), []
+                for i, j in surviving_pairs(*of_group(group), limits):
+                    linked = exact_links(sets, i, j, percent)
+                    i, j = i[linked], j[linked]
+                    count += (np.bincount(i, weight[j], n) + np.bincount(j, weight[i], n)).astype(np.int64)
+                    root = spanning(n, i, j)
+                    tied.append((np.flatnonzero(root != np.arange(n)), root))
+                some = np.flatnonzero(count)
+                if len(some):
+                    root = spanning(n, np.concatenate([x for x, _ in tied]), np.concatenate([r[x] for x, r in tied]))
+                    names = group["key"].to_numpy()
+                    yield pd.DataFrame({"a": names[some], "b": names[root[some]], "n": count[some]})
+
+    checked = kept.join(whole, "key").repartition(*keys).sortWithinPartitions(*keys)
+    links = materialise(checked.select(*keys, *carried, "shingles").mapInPandas(verify, "a binary, b binary, n long"), "links")
+    by_set = linked_classes(classes, links).withColumnRenamed("key", "shingle_set")
     known = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("shingle_set")).alias("shingle_set"))
     out = known.join(by_set, "shingle_set", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

@@ -58,9 +58,8 @@ def near_copies(seed, n):
 
 
 def test_jaccard_join_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SIGNATURE_BLOCK", 16)
-    monkeypatch.setattr(ngram_join, "EXACT_BLOCK", 8)
-    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "TILE", 5)
     data = [r for r in rows() if r[0] is not None] + near_copies(70, 150)
     got = ngram_join.similarity_classes(documents(spark, data)).collect()
     assert sorted(map(tuple, got)) == jaccard_classes([(d[0], d[1]) for d in data])
@@ -208,8 +207,8 @@ def vector_classes(data, threshold=0.98):
 
 
 def test_vectors_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "CELL", 12)
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
+    for name, value in {"CELL": 6, "SPLIT": 14, "BLOCK": 7, "MAX_CENTRES": 4, "DEALT": 30}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
     r = np.random.default_rng(8)
     data = []
     for i in range(240):
