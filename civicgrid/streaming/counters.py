@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from civicgrid.operators.registry import Registry
 from civicgrid.operators.roles import table
@@ -40,30 +41,65 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> Da
     return source.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("s.end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
 
 
-LEDGER = "event_type string, day string, calls long, value double"
+LEDGER = "provider string, day string, calls long, tokens double, blocked_until double, note string"
 
 
-def quota_ledger(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Calls and tokens by provider, kept in state and started anew with each UTC day.
+def call_events(events: DataFrame) -> DataFrame:
+    """Provider calls of the event log: provider, day, ts, event_id, tokens, blocked_until (seconds) and note."""
+    until = F.when(F.col("event_type") == "error", F.unix_timestamp("ts").cast("double") + 60)
+    return events.select(F.concat(F.lit("p"), F.col("user_id") % 5).alias("provider"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("tokens"), until.alias("blocked_until"), F.when(F.col("event_type") == "error", F.col("event_type")).alias("note"))
 
-    Emits the running counters of a provider's current day after each batch; rows
-    of a day that has ended add nothing.
-    """
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        day, calls, value = state.get if state.exists else ("", 0, 0.0)
-        for batch in batches:
-            for ts, amount in zip(batch["ts"], batch["value"], strict=True):
-                today = ts.strftime("%Y-%m-%d")
-                if today > day:
-                    day, calls, value = today, 0, 0.0
-                if today == day:
-                    calls, value = calls + 1, value + (0.0 if pd.isna(amount) else float(amount))
-        state.update((day, calls, value))
-        yield pd.DataFrame({"event_type": [key[0]], "day": [day], "calls": [calls], "value": [value]})
+def ledger_of(calls: DataFrame) -> DataFrame:
+    """The ledger as a table: calls, tokens, the latest block and the last note of each provider and day."""
+    last = F.max_by("note", F.when(F.col("note").isNotNull(), F.struct("ts", "event_id")))
+    return calls.groupBy("provider", "day").agg(F.count("*").alias("calls"), F.round(F.sum(F.coalesce("tokens", F.lit(0.0))), 6).alias("tokens"), F.max("blocked_until").alias("blocked_until"), last.alias("note"))
+
+
+class Ledger(StatefulProcessor):
+    """Counters of one provider and day, in any order of arrival; state goes a day after the day ended, by event time."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "calls long, tokens double, blocked_until double, note string, noted string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        calls, tokens, blocked, note, noted = self.sums.get() if self.sums.exists() else (0, 0.0, None, None, "")
+        for batch in rows:
+            calls += len(batch)
+            tokens += float(batch["tokens"].fillna(0.0).sum())
+            latest = batch["blocked_until"].max()
+            blocked = blocked if pd.isna(latest) else max(latest, blocked or latest)
+            notes = batch[batch["note"].notna()]
+            if len(notes):
+                when = [f"{t.isoformat()} {e:020d}" for t, e in zip(notes["ts"], notes["event_id"], strict=True)]
+                newest = max(range(len(when)), key=when.__getitem__)
+                if when[newest] > noted:
+                    note, noted = notes["note"].iloc[newest], when[newest]
+        self.sums.update((calls, tokens, blocked, note, noted))
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(int(pd.Timestamp(key[1], tz="UTC").timestamp() * 1000) + 2 * 86_400_000)
+        yield self.row(key, calls, tokens, blocked, note)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.sums.clear()
+        return iter(())
+
+    @staticmethod
+    def row(key, calls, tokens, blocked, note) -> pd.DataFrame:
+        return pd.DataFrame({"provider": [key[0]], "day": [key[1]], "calls": [calls], "tokens": [round(tokens, 6)], "blocked_until": pd.array([blocked], "Float64"), "note": pd.array([note], "string")})
 
-    source = events.withWatermark("ts", late).groupBy("event_type")
-    return source.applyInPandasWithState(advance, LEDGER, "day string, calls long, value double", "update", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def quota_ledger(calls: DataFrame, late: str = "1 day") -> DataFrame:
+    """The ledger of a stream of calls: a row for each provider and day that a batch touches, with its counters so far.
+
+    Every provider and day is a key of its own, so that a batch that holds several days,
+    in whatever order, loses none. Later rows of a key replace earlier ones.
+    """
+    return calls.withWatermark("ts", late).groupBy("provider", "day").transformWithStateInPandas(Ledger(), LEDGER, "update", "eventTime")
 
 
 def log_tail(lines: DataFrame, after: int) -> DataFrame:
@@ -72,14 +108,46 @@ def log_tail(lines: DataFrame, after: int) -> DataFrame:
 
 
 def upsert_into(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink: each batch's snapshot is written under its number, so that a batch that runs again replaces itself."""
+    """A ``foreachBatch`` sink that keeps one table: after each batch a new snapshot holds the batch's rows and all earlier ones of other keys.
+
+    The snapshot's number is the batch's, so that a batch that runs again replaces
+    its own; the last two stay for readers of ``latest_snapshot``.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        spark = batch.sparkSession
+        before = [n for n in snapshots(spark, folder) if n < number]
+        new = batch.dropDuplicates(keys)
+        rows = spark.read.parquet(f"{folder}/snapshot={before[-1]}").join(new.select(*keys), keys, "left_anti").unionByName(new) if before else new
+        rows.write.mode("overwrite").parquet(f"{folder}/snapshot={number}")
+        for old in before[:-1]:
+            _path(spark, f"{folder}/snapshot={old}", lambda fs, p: fs.delete(p, True))
 
     return write
 
 
+def _path(spark: SparkSession, name: str, action):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return action(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
+
+
+def snapshots(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the finished snapshots."""
+
+    def done(fs, path) -> list[int]:
+        found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+        names = [p for p in found if p.getName().startswith("snapshot=")]
+        success = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(p.getName().split("=")[1]) for p in names if fs.exists(success(p, "_SUCCESS")))
+
+    return _path(spark, folder, done)
+
+
+def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that ``upsert_into`` keeps."""
+    return spark.read.parquet(f"{folder}/snapshot={snapshots(spark, folder)[-1]}")
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what there is into a memory table and return it."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
@@ -109,4 +177,19 @@ def visitors_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_visitors(table(spark, sf_dir, "events")).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("visitors"))
 
 
+@registry.add("""WITH c AS (SELECT 'p' || (user_id % 5) AS provider, strftime(ts, '%Y-%m-%d') AS day, ts, event_id, value AS tokens, CASE WHEN event_type = 'error' THEN CAST(floor(epoch(ts)) AS DOUBLE) + 60 END AS blocked, CASE WHEN event_type = 'error' THEN event_type END AS note FROM events)
+SELECT provider, day, count(*) AS calls, round(sum(tokens), 6) AS tokens, max(blocked) AS blocked_until, arg_max(note, ts) FILTER (note IS NOT NULL) AS note FROM c GROUP BY ALL""")
+def provider_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of each provider and day."""
+    return ledger_of(call_events(table(spark, sf_dir, "events")))
+
+
+@registry.add("""SELECT event_id, ts, 'view' AS field FROM events WHERE event_type = 'view' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of the last two days, as a feed's reader gets them."""
+    rows = table(spark, sf_dir, "events")
+    newest = rows.agg(F.max("ts").alias("newest"))
+    return rows.filter("event_type = 'view'").crossJoin(F.broadcast(newest)).filter(F.col("ts") >= F.col("newest") - F.expr("INTERVAL 2 DAYS")).select("event_id", "ts", F.lit("view").alias("field"))  # one row
+
+
 QUERIES, ORACLE = registry.queries, registry.oracle
