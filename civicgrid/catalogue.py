@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from civicgrid.functions import queries as texts
-from civicgrid.operators import aggregates, dedup, lifecycle, listing, mentions, merge, records, requests, scoring, serving
+from civicgrid.operators import admin, aggregates, dedup, lifecycle, listing, mentions, merge, records, requests, scoring, serving
 from civicgrid.plans import passes, planning
 from civicgrid.streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (aggregates, listing, planning, merge, texts, scoring, serving, counters, records, dedup, mentions, requests, lifecycle, passes):
+for _module in (aggregates, listing, planning, merge, texts, scoring, serving, counters, records, dedup, mentions, requests, lifecycle, passes, admin):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)

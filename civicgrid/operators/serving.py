@@ -74,12 +74,6 @@ def first_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("n_name").alias("city")).agg(F.min_by("r_name", "n_nationkey").alias("region"))
 
 
-@registry.add(f"{E} SELECT event_id, CASE WHEN k IS NULL THEN 0 ELSE k END AS found, coalesce(CASE WHEN value > 50 THEN value END, 0.0) AS failed, event_type IN ('click', 'view') AS done FROM ev")
-def pair_log_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log rows of older versions get today's defaults."""
-    return events(spark, sf_dir).select("event_id", F.coalesce("k", F.lit(0)).alias("found"), F.coalesce(F.when(F.col("value") > 50, F.col("value")), F.lit(0.0)).alias("failed"), F.col("event_type").isin("click", "view").alias("done"))
-
-
 @registry.add(f"""{M}, k AS (SELECT id, city, lower(regexp_replace(topic, '[^A-Za-z]', '', 'g')) AS key FROM members), n AS (SELECT city, key, count(*) AS n, min(id) AS id FROM k GROUP BY ALL)
 SELECT o_orderkey AS edit, CASE WHEN n.n = 1 THEN n.id END AS target FROM orders JOIN members m ON m.id = o_custkey LEFT JOIN n ON n.city = m.city AND n.key = lower(regexp_replace(m.topic, '[^A-Za-z]', '', 'g'))""")
 def edit_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,27 +95,6 @@ def model_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auto.unionByName(ranked)
 
 
-@registry.add("""SELECT o_orderkey AS form, CASE WHEN o_orderstatus = 'P' AND o_totalprice < 50000 THEN 'bad type' WHEN o_totalprice < 1000 THEN 'missing' ELSE 'ok' END AS verdict, t AS topic FROM orders, unnest(string_split(o_orderpriority, '-')) u(t)""")
-def form_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each topic of a form, with what is wrong with the form."""
-    verdict = F.when((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") < 50000), "bad type").when(F.col("o_totalprice") < 1000, "missing").otherwise("ok")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("form"), verdict.alias("verdict"), F.explode(F.split("o_orderpriority", "-")).alias("topic"))
-
-
-@registry.add(f"""{E} SELECT user_id AS model, CASE WHEN bool_or(event_type = 'purchase') THEN 'live' WHEN count(*) FILTER (event_type = 'error') >= 3 THEN 'gone' WHEN sum(k) > 400 THEN 'no budget' ELSE 'rate limited' END AS state FROM ev GROUP BY user_id""")
-def fleet_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a probe of each model says about it."""
-    kind = F.col("event_type")
-    state = F.when(F.bool_or(kind == "purchase"), "live").when(F.count_if(kind == "error") >= 3, "gone").when(F.sum("k") > 400, "no budget").otherwise("rate limited")
-    return events(spark, sf_dir).groupBy(F.col("user_id").alias("model")).agg(state.alias("state"))
-
-
-@registry.add("SELECT p_brand AS provider, p_type AS model, p_size AS quality FROM part WHERE p_size > 0 AND (p_retailprice < 1500 OR p_brand = 'Brand#13') AND p_name IS NOT NULL")
-def usable_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models of enabled providers: free ones, and the paid one that is allowed."""
-    return table(spark, sf_dir, "part").filter((F.col("p_size") > 0) & ((F.col("p_retailprice") < 1500) | (F.col("p_brand") == "Brand#13")) & F.col("p_name").isNotNull()).select(F.col("p_brand").alias("provider"), F.col("p_type").alias("model"), F.col("p_size").alias("quality"))
-
-
 @registry.add("SELECT page_id, i AS place, CASE i WHEN 0 THEN 'home' ELSE parts[i] END AS crumb FROM (SELECT page_id, list_filter(string_split(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages), unnest(generate_series(0, len(parts))) g(i)")
 def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps to each page, from the start page on."""
