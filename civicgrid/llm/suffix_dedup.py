@@ -20,6 +20,10 @@ more places, in one document or in several, judged on the input.
    as a whole in every segment that has it; one of its rows goes on, for others
    to be compared with, so that a group has as many rows as different halves.
 
+What is decided where: segments that are equal as a whole, halves that are, and
+the only segment of an anchor are told apart by 64 bits or more of hash and occur
+twice or not; which parts of different segments repeat, the suffix array says.
+
 Null texts are empty; texts shorter than ``length`` keep all. Repeated rows are
 repeats of each other, so both lose what is long enough. An empty table gives no
 rows. Only doc_id and text are read.
@@ -35,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import TYPES, group_starts, materialise, mix, powers, prefix_hash, whole_groups
+from civicgrid.llm.common import TYPES, group_starts, materialise, mix, powers, prefix_hash, ready, whole_groups
 
 LENGTH = 200
 ANCHOR = 48
@@ -367,7 +371,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     for part in found:
         results = results.unionByName(part)
     results = materialise(results, "repeated")
-    return again.join(results, ["anchor", "segment"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
+    return again.join(results, ["anchor", "segment"]).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
