@@ -7,9 +7,11 @@ lower-cased text, letters only.
 
 The models are fitted on a bounded sample: at most ``MAX_TRAIN`` labelled
 documents, the same number for each language where there are so many, chosen by
-a hash of the id. A language outside ``FAMILIES`` is a family of its own.
+a hash of id and text. A language outside ``FAMILIES`` joins the family with the
+most similar mean, from ``KIN`` on, else it is a family of its own.
 
-A null text, or one without any letter, is ``und`` with score 0; so is all when
+Of equal margins the family, and of equal votes the language, that comes first
+by name wins. A null text, or one without any letter, is ``und`` with score 0; so is all when
 no document is labelled. Repeated rows get repeated results; an empty table
 gives no rows. Only the named columns are read, so further columns can't clash.
 """
@@ -22,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicgrid.llm.common import add_by_text, chunks
@@ -33,6 +35,8 @@ ROWS = 256
 BITS = 11
 DIMENSIONS = 1 << BITS
 UNDETERMINED = "und"
+#: Cosine of two languages' mean features from which a language without a known family joins another's.
+KIN = 0.9
 
 #: Families of some languages by their ISO 639-1 codes.
 FAMILIES = {
@@ -89,6 +93,18 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 1
     return w.astype(np.float32), (b - centre @ w).astype(np.float32)
 
 
+def families_of(x: np.ndarray, langs: np.ndarray, languages: list[str], known: dict[str, str]) -> dict[str, str]:
+    """A family for each language: the known one, or that of the most similar language before it in the list or known."""
+    means = {lang: x[langs == lang].mean(axis=0) for lang in languages}
+    means = {lang: m / max(float(np.linalg.norm(m)), 1e-12) for lang, m in means.items()}
+    of = {lang: known[lang] for lang in languages if lang in known}
+    for lang in languages:
+        if lang not in of:
+            alike = max(((float(means[lang] @ means[other]), of[other]) for other in of), default=(0.0, ""))
+            of[lang] = alike[1] if alike[0] >= KIN else f"only {lang}"
+    return of
+
+
 class Hierarchy:
     """The fitted models: one machine for each family against the rest, and one for each pair inside a family."""
 
@@ -96,7 +112,7 @@ class Hierarchy:
         known = FAMILIES if families is None else families
         langs = np.array(langs, object)
         self.languages = sorted(set(langs))
-        of = {lang: known.get(lang, f"only {lang}") for lang in self.languages}
+        of = families_of(x, langs, self.languages, known)
         self.families = sorted(set(of.values()))
         self.members = [[lang for lang in self.languages if of[lang] == f] for f in self.families]
         target = np.array([of[lang] for lang in langs], object)
@@ -139,15 +155,18 @@ class Hierarchy:
 
 
 def training_rows(docs: DataFrame, usable: Column, limit: int = MAX_TRAIN) -> DataFrame:
-    """At most ``limit`` labelled documents, chosen by the hash of their id alike in every language."""
+    """At most ``limit`` labelled documents: of each language the first of a share, by a hash of their id and text."""
     labelled = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return labelled.select("text", "lang").limit(0)
-    share = limit / len(counts)
-    rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, share / n))])
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return labelled.filter(drawn < rate[F.col("lang")]).select("text", "lang").limit(2 * limit)
+    share = max(1, limit // len(counts))
+    # a first cut by rate, three times the share, leaves little to be ranked
+    rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, (3 * share + 100) / n))])
+    turn = F.xxhash64("doc_id", "text", F.lit(11))
+    drawn = labelled.withColumn("turn", turn).filter(F.pmod("turn", F.lit(1_000_003)) / F.lit(1_000_003.0) < rate[F.col("lang")])
+    ranked = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "doc_id", "text")))
+    return ranked.filter(F.col("place") <= share).orderBy("place", "lang").limit(limit).select("text", "lang")
 
 
 def fit(docs: DataFrame, usable: Column, limit: int = MAX_TRAIN) -> Hierarchy:
