@@ -3,15 +3,17 @@
 Of the hashes of every ``K`` consecutive words, the smallest in each run of
 ``WINDOW - K + 1`` is a fingerprint, on both sides. A window of ``WINDOW`` words
 holds exactly one such run, so every shared window shares a fingerprint at the
-same place: nothing that long is missed. Document fingerprints that the
-benchmark also has are extended: the windows around them are compared word for
-word with the item windows. An item with fewer words is one window of its own
-length; its hash is looked up at every word of the documents.
-
-The benchmark's windows go to the tasks in blocks of at most ``BLOCK_WORDS``
-words, each a file in the shared folder, so that a task's memory is bounded
-however large the benchmark; documents are compared where they lie, without a
-shuffle.
+same place: nothing that long is missed. An item with fewer words is one window
+of its own length; its hash stands against that of every run of as many words.
+
+1. The benchmark's fingerprints and windows are tables. A bitmap of the
+   fingerprints' hashes, of bounded size, goes to all tasks, so that documents
+   only hand on fingerprints that the benchmark may have, with the words around.
+2. Fingerprints of both sides are joined by hash.
+3. Hits are extended: the windows around each are compared with the benchmark's
+   windows word for word, by a join on the words themselves.
+4. What is found is summed up for each text, and joined to the documents by a
+   128-bit key of the text. Windows that the same items share are one set of items.
 
 A null text has no words: zero counts, never contaminated. Repeated rows get
 repeated results; rows of one item_id are one item. Null item_ids count as an
@@ -21,31 +23,18 @@ columns are read, so further columns can't clash.
 
 from __future__ import annotations
 
-import hashlib
-import io
-import pickle
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import CHUNK_BYTES, WordBatch, add_by_text, chunks, shared_path
+from civicgrid.llm.common import TYPES, WordBatch, bitmap, chunks, materialise, maybe_in, ready, text_key
 
 WINDOW = 13
 K = 5
-BLOCK_WORDS = 2_000_000
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-_loaded: dict[str, BenchmarkBlock] = {}
-
-
-def words_of(data: bytes) -> list[bytes]:
-    """The words of a UTF-8 text whose A-Z are lower-cased."""
-    return WORD.findall(data.lower())
+#: Words as a pattern that takes A-Z as they stand.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -65,122 +54,124 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(best)
 
 
-class BenchmarkBlock:
-    """Fingerprints and windows of some items."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.window, self.width = window, window - K + 1
-        self.windows: dict[bytes, set[str]] = {}
-        short: dict[int, set[int]] = {}
-        marks: set[int] = set()
-        for item, data in items:
-            words = words_of(data)
-            size = min(window, len(words))
-            if not size:
-                continue
-            for i in range(len(words) - size + 1):
-                self.windows.setdefault(b" ".join(words[i : i + size]), set()).add(item)
-            batch = WordBatch([data])
-            if size < window:
-                short.setdefault(size, set()).update(batch.grams(size)[0].tolist())
-            else:
-                grams = batch.grams(K)[0]
-                marks.update(grams[winnow(grams, self.width)].tolist())
-        self.marks = np.array(sorted(marks), np.uint64)
-        self.short = {n: np.array(sorted(h), np.uint64) for n, h in sorted(short.items())}
-
-    def suspects(self, batch: WordBatch) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(window size, text, first word within the text) of windows that may be the benchmark's."""
-        out = []
-        grams, valid = batch.grams(K)
-        if len(self.marks) and len(grams):
-            # each text's fingerprints depend on its own words: runs across a border are harmless extras
-            at = winnow(np.where(valid, grams, np.uint64(0xFFFFFFFFFFFFFFFF)), self.width)
-            at = at[valid[at] & found(self.marks, grams[at])]
-            starts = np.unique((at[:, None] - np.arange(self.width)).ravel()) if len(at) else at
-            out.append((self.window, *self._inside(batch, starts, self.window)))
-        for size, hashes in self.short.items():
-            grams, valid = batch.grams(size)
-            out.append((size, *self._inside(batch, np.flatnonzero(valid & found(hashes, grams)), size)))
-        return [x for x in out if len(x[1])]
-
-    @staticmethod
-    def _inside(batch: WordBatch, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        starts = starts[(starts >= 0) & (starts + size <= len(batch.hash))]
-        starts = starts[batch.doc[starts] == batch.doc[starts + size - 1]] if len(starts) else starts
-        return batch.doc[starts], starts - batch.first[batch.doc[starts]]
-
-
-def found(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(known) or not len(hashes):
-        return np.zeros(len(hashes), bool)
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return known[at] == hashes
-
-
-def write_blocks(benchmark: DataFrame, folder: str, window: int) -> list[str]:
-    """Index the items in blocks of about ``BLOCK_WORDS`` words, each built and written by a task; returns the files' names."""
-    items = benchmark.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
-    size = items.agg(F.sum(F.length("text") / 5 + 1).alias("n")).first()["n"] or 0
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        name = f"{root}/block-{rows['block'].iloc[0]:06d}"
-        own = f"{name}.{TaskContext.get().taskAttemptId()}"
-        with store.open_output_stream(own) as out:
-            out.write(pickle.dumps(BenchmarkBlock([(i, t.encode("utf-8", "replace")) for i, t in zip(rows["item_id"], rows["text"], strict=True)], window)))
-        store.move(own, name)
-        return pd.DataFrame({"name": [name]})
-
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-int(size) // BLOCK_WORDS)))))
-    return sorted(r["name"] for r in dealt.groupBy("block").applyInPandas(build, "name string").collect())
-
-
-def load(folder: str, name: str) -> BenchmarkBlock:
-    """The worker keeps the last block it used."""
-    if name not in _loaded:
-        from pyarrow import fs
-
-        with fs.FileSystem.from_uri(folder)[0].open_input_stream(name) as source:
-            block = pickle.load(io.BytesIO(source.read()))
-        _loaded.clear()
-        _loaded[name] = block
-    return _loaded[name]
-
-
-def hits(encoded: list[bytes], blocks: Iterator[BenchmarkBlock]) -> list[tuple[int, int, list[str]]]:
-    """(words, hit words, sorted items) of each text."""
-    batch = WordBatch(encoded)
-    hit: dict[int, np.ndarray] = {}
-    items: dict[int, set[str]] = {}
-    texts: dict[int, list[bytes]] = {}
-    for block in blocks:
-        for size, doc, start in block.suspects(batch):
-            for d, s in zip(doc.tolist(), start.tolist(), strict=True):
-                if d not in texts:
-                    texts[d] = words_of(encoded[d])
-                owners = block.windows.get(b" ".join(texts[d][s : s + size]))
-                if owners:
-                    hit.setdefault(d, np.zeros(len(texts[d]), bool))[s : s + size] = True
-                    items.setdefault(d, set()).update(owners)
-    return [(int(n), int(hit[d].sum()) if d in hit else 0, sorted(items.get(d, ()))) for d, n in enumerate(batch.count)]
+def fingerprints(batch: WordBatch, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the fingerprints for windows of ``size`` words: winnowed for full windows, all for short ones."""
+    grams, valid = batch.grams(K if size == window else size)
+    if not len(grams):
+        return np.empty(0, np.int64), grams
+    if size == window:
+        # each text's fingerprints depend on its own words: runs across a border are harmless extras
+        at = winnow(np.where(valid, grams, np.uint64(0xFFFFFFFFFFFFFFFF)), window - K + 1)
+        at = at[valid[at]]
+    else:
+        at = np.flatnonzero(valid)
+    return at, grams[at]
+
+
+def words_of(batch: WordBatch, lo: int, hi: int) -> list[str]:
+    """Lower-cased words ``lo`` to ``hi`` of a batch."""
+    text = batch.low[batch.start[lo] : batch.end[hi - 1]].tobytes().decode("utf-8", "replace") if hi > lo else ""
+    return [w for w in text.split("\0") if w]
+
+
+def benchmark_tables(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fingerprints: size, hash; windows: window, items; sets: items, item_id)."""
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").distinct()
+
+    def index(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for rows in batches:
+            names = rows.column("item_id").to_pylist()
+            for lo, _, encoded in chunks(rows.column("text").to_pylist()):
+                batch, out = WordBatch(encoded), []
+                for d, (n, first) in enumerate(zip(batch.count.tolist(), batch.first.tolist(), strict=False)):
+                    size = min(window, n)
+                    if size:
+                        words = words_of(batch, first, first + n)
+                        own = WordBatch([encoded[d]])
+                        out += [(names[lo + d], size, None, " ".join(words[i : i + size])) for i in range(n - size + 1)]
+                        out += [(names[lo + d], size, h, None) for h in fingerprints(own, size, window)[1].view(np.int64).tolist()]
+                columns = [list(c) for c in zip(*out, strict=True)] if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, TYPES[t](pa)) for c, t in zip(columns, ("string", "int", "long", "string"), strict=True)], ["item_id", "size", "hash", "window"])
+
+    ready(benchmark.sparkSession)
+    rows = materialise(items.mapInArrow(index, "item_id string, size int, hash long, window string"), "benchmark")
+    marks = materialise(rows.filter(F.col("hash").isNotNull()).select("size", "hash").distinct(), "fingerprints")
+    owned = materialise(rows.filter(F.col("window").isNotNull()).select("window", "item_id").distinct(), "owned")
+    both = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("item_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "item_id")).alias("x"))
+    windows = materialise(owned.groupBy("window").agg(F.md5(F.to_json(both)).alias("items")), "windows")
+    shown = windows.groupBy("items").agg(F.min("window").alias("window"))
+    return marks, windows, materialise(owned.join(shown, "window").select("items", "item_id"), "item-sets")
+
+
+def document_hits(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
+    """text key, size, first word and words around of each document fingerprint that the benchmark has."""
+    sizes = sorted(r["size"] for r in marks.select("size").distinct().collect())  # at most ``window`` rows
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(marks.select("hash")))
+
+    def look(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = sent.value
+        for rows in batches:
+            for lo, _, encoded in chunks(rows.column("text").to_pylist()):
+                batch = WordBatch(encoded)
+                row, size_of, hashes, places, around = [], [], [], [], []
+                for size in sizes:
+                    at, found = fingerprints(batch, size, window)
+                    some = np.flatnonzero(maybe_in(held, found)) if len(found) else at[:0]
+                    full = size == window
+                    for p, h in zip(at[some].tolist(), found[some].view(np.int64).tolist(), strict=True):
+                        d = int(batch.doc[p])
+                        a = max(int(batch.first[d]), p - (size - K)) if full else p
+                        b = min(int(batch.first[d + 1]), p + size)
+                        if b - a >= size:
+                            row.append(lo + d), size_of.append(size), hashes.append(h), places.append(a - int(batch.first[d])), around.append(words_of(batch, a, b))
+                if row:
+                    keys = rows.column("text_key").take(pa.array(row, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(size_of, pa.int32()), pa.array(hashes, pa.int64()), pa.array(places, pa.int64()), pa.array(around, pa.list_(pa.string()))], ["text_key", "size", "hash", "at", "words"])
+
+    return docs.select(text_key(F.col("text")).alias("text_key"), "text").mapInArrow(look, "text_key binary, size int, hash long, at long, words array<string>").join(marks, ["size", "hash"])
+
+
+def found_in_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """text_key, n_hit, n_items and items_sha256 of each different text of ``docs`` that holds a window of the benchmark."""
+    marks, windows, sets = benchmark_tables(benchmark, window)
+    hits = document_hits(docs, marks, window)
+    each = F.transform(F.sequence(F.lit(0), F.size("words") - F.col("size")), lambda i: F.struct((F.col("at") + i).alias("start"), F.array_join(F.slice(F.col("words"), i + 1, F.col("size")), " ").alias("window")))
+    places = hits.select("text_key", "size", F.explode(each).alias("w")).select("text_key", "size", "w.start", "w.window").distinct()
+    found = materialise(places.join(windows, "window").select("text_key", "start", "size", "items"), "places")
+    # bounded by the words of a text: distinct places, then distinct words
+    spans = found.select("text_key", "start", "size").distinct().groupBy("text_key").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))).cast("long")
+    items = found.select("text_key", "items").distinct().join(sets, "items").groupBy("text_key").agg(F.sort_array(F.collect_set("item_id")).alias("names"))
+    named = items.select("text_key", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"))
+    return spans.select("text_key", covered.alias("n_hit")).join(named, "text_key")
+
+
+def is_contaminated(n_words: Column, n_hit: Column, share: float) -> Column:
+    return (n_hit > 0) & (round(1 / share) * n_hit >= n_words)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05, keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns of ``docs`` (doc_id) and how many words stand in benchmark windows; contaminated from ``share`` of the words on."""
-    folder = shared_path(docs.sparkSession, "benchmark")
-    names = write_blocks(benchmark, folder, window)
-    one_in = round(1 / share)
-
-    def judge(texts: list[str | None]) -> tuple[list, ...]:
-        found_here = [h for _, _, encoded in chunks(texts, 4 * CHUNK_BYTES) for h in hits(encoded, (load(folder, name) for name in names))]
-        return (
-            [n for n, _, _ in found_here], [h for _, h, _ in found_here], [len(i) for _, _, i in found_here],
-            [hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in found_here], [h > 0 and one_in * h >= n for n, h, _ in found_here],
-        )
-
-    return add_by_text(docs, judge, RESULT, keep or ["doc_id"])
+    keep = keep or ["doc_id"]
+    found = materialise(found_in_texts(docs, benchmark, window), "found")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    counted = docs.select(F.struct(*keep).alias("row"), n_words.alias("n_words"), text_key(F.col("text")).alias("text_key"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return counted.join(found, "text_key", "left").select(
+        "row.*", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), is_contaminated(F.col("n_words"), n_hit, share).alias("contaminated"),
+    )
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
+    """``docs`` without the contaminated ones; only the keys of contaminated texts are joined with them."""
+    found = found_in_texts(docs, benchmark, window).select("text_key", "n_hit")
+    texts = docs.select(text_key(F.col("text")).alias("text_key"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
+    bad = materialise(texts.join(materialise(found, "found"), "text_key").filter(is_contaminated(F.col("n_words"), F.col("n_hit"), share)).select("text_key").distinct(), "contaminated")
+    names = docs.columns
+    row = docs.select(F.struct(*names).alias("row"), text_key(F.col("text")).alias("text_key"))
+    return row.join(bad, "text_key", "left_anti").select("row.*")
