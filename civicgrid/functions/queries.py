@@ -42,6 +42,16 @@ def null_like_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.null_like(kind).alias("kind"))
 
 
+_WORDS = ("Nincs megadva", " N/A ", "nem ismert", "UNKNOWN", "none", "not provided", "Not available", "-", "–", "na", "ismeretlen", "keine Angabe", "unbekannt", "known", "n.a.", "")
+
+
+@registry.add(f"SELECT p_partkey AS id, CASE WHEN p_partkey % 16 >= 13 THEN {list(_WORDS)}[p_partkey % 16 + 1] END AS text FROM part")
+def null_like_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All thirteen words that stand for nothing, and some that don't."""
+    text = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("p_partkey") % 16 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.null_like(text).alias("text"))
+
+
 @registry.add("""WITH t AS (SELECT p_partkey AS id, list_filter(list_transform(string_split(p_type, ' '), lambda x: trim(x)), lambda x: x <> '') AS tags FROM part)
 SELECT id, array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i)[1:8], ',') AS tags FROM t""")
 def tags_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:

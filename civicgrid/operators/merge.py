@@ -36,7 +36,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], prefer_new: list[str
 def source_lists(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
     """Suppliers' parts as ordered lists, from line items of one return flag."""
     rows = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag)
-    return rows.groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_set("l_partkey")).alias("urls"), F.max("l_shipmode" if "l_shipmode" in rows.columns else "l_linestatus").alias("state"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("updated"))
+    return rows.groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_set("l_partkey")).alias("urls"), F.max("l_linestatus").alias("state"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("updated"))
 
 
 def _lists_sql(flag: str) -> str:
@@ -66,7 +66,7 @@ def history_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add("""WITH i AS (SELECT l_suppkey AS city, l_partkey AS id, max(l_quantity) AS q, bool_or(l_returnflag = 'R') AS incoming, bool_or(l_returnflag = 'A' AND l_discount > 0.09) AS was_hidden, bool_or(l_returnflag <> 'R') AS stored FROM lineitem GROUP BY ALL), slice AS (SELECT DISTINCT city FROM i WHERE city <= 50)
-SELECT city, id, CASE WHEN city <= 50 THEN was_hidden ELSE was_hidden END AS hidden FROM i WHERE CASE WHEN city IN (SELECT city FROM slice) THEN incoming ELSE stored END""")
+SELECT city, id, was_hidden AS hidden FROM i WHERE CASE WHEN city IN (SELECT city FROM slice) THEN incoming ELSE stored END""")
 def replace_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In the replaced cities only incoming records stand, still hidden if they were; other cities keep what is stored."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("city"), F.col("l_partkey").alias("id")).agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from civicgrid.operators.ranks import with_places
 from civicgrid.operators.registry import Registry
 from civicgrid.operators.roles import EVENTS_SQL, MEMBERS_SQL, VENUES_SQL, events, members, table, venues
 
@@ -12,15 +13,15 @@ registry = Registry()
 M, E, V = f"WITH {MEMBERS_SQL}", f"WITH {EVENTS_SQL}", f"WITH {VENUES_SQL}"
 
 
-#: Where accented vowels stand, behind all words of the plain vowel (125 to 127 come after z).
-AFTER = {"á": ("a", 127), "é": ("e", 127), "í": ("i", 127), "ó": ("o", 125), "ö": ("o", 126), "ő": ("o", 127), "ú": ("u", 125), "ü": ("u", 126), "ű": ("u", 127)}
+#: How accented vowels are ordered, behind all words of the plain vowel.
+AFTER = {"á": "a\x7f", "é": "e\x7f", "í": "i\x7f", "ó": "o}", "ö": "o~", "ő": "o\x7f", "ú": "u}", "ü": "u~", "ű": "u\x7f"}
 
 
 def collation_key(name: Column) -> Column:
     """Hungarian order: an accented vowel comes after every word of the plain one."""
     key = F.lower(name)
-    for letter, (plain, place) in AFTER.items():
-        key = F.replace(key, F.lit(letter), F.lit(plain + chr(place)))
+    for letter, place in AFTER.items():
+        key = F.replace(key, F.lit(letter), F.lit(place))
     return key
 
 
@@ -28,11 +29,30 @@ def words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
-@registry.add(f"{M} SELECT country, string_agg(CAST(id AS VARCHAR), ',' ORDER BY lower(name), id) AS ids FROM members GROUP BY country")
+#: Vowels that take an accent in the listing's names, by the last digit of the id.
+ACCENTS = {1: ("a", "á"), 2: ("o", "ö"), 3: ("o", "ő"), 4: ("u", "ü"), 5: ("e", "é"), 6: ("i", "í"), 7: ("u", "ű"), 8: ("o", "ó")}
+
+
+def _accented_sql(name: str, number: str) -> str:
+    cases = " ".join(f"WHEN {k} THEN replace({name}, '{a}', '{b}')" for k, (a, b) in ACCENTS.items())
+    return f"CASE {number} % 10 {cases} ELSE {name} END"
+
+
+def _key_sql(name: str) -> str:
+    key = f"lower({name})"
+    for letter, place in AFTER.items():
+        key = f"replace({key}, '{letter}', '{place[0]}' || chr({ord(place[1])}))"
+    return key
+
+
+@registry.add(f"""WITH n AS (SELECT p_partkey AS id, p_brand AS city, {_accented_sql("p_name || ' ' || p_type", 'p_partkey')} AS name FROM part), k AS (SELECT *, {_key_sql('name')} AS k FROM n) SELECT id, city, name, row_number() OVER (ORDER BY city, k, id) AS place FROM k""")
 def collated_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A country's records in the listing's own order."""
-    keyed = members(spark, sf_dir).select("country", F.struct(collation_key(F.col("name")).alias("k"), "id").alias("r"))
-    return keyed.groupBy("country").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["id"].cast("string")), ",").alias("ids"))
+    """Records with accents in their names in the listing's own order."""
+    name = F.concat_ws(" ", "p_name", "p_type")
+    for digit, (plain, accent) in ACCENTS.items():
+        name = F.when(F.col("p_partkey") % 10 == digit, F.replace(F.concat_ws(" ", "p_name", "p_type"), F.lit(plain), F.lit(accent))).otherwise(name)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("city"), name.alias("name"))
+    return with_places(rows, [F.col("city"), collation_key(F.col("name")), F.col("id")]).select("id", "city", "name", "place")
 
 
 @registry.add("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'i cannot|sorry|as an ai') THEN 'refused' WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 60 OR length(text) >= 200 THEN 'ok' ELSE 'short' END AS state, left(split_part(text, '.', 1), 140) AS lead FROM conversations""")

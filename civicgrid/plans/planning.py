@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from civicgrid.operators.registry import Registry
 from civicgrid.operators.roles import EVENTS_SQL, MEMBERS_SQL, events, members, table
+from civicgrid.plans.passes import universe_of
 
 registry = Registry()
 M, E = f"WITH {MEMBERS_SQL}", f"WITH {EVENTS_SQL}"
@@ -23,6 +24,11 @@ def search_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair")).join(lists, "pair", "left").select("pair", F.coalesce("urls", F.array().cast("array<bigint>")).alias("urls"))
 
 
+def listed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as rows: pair, number in the list, url."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("url"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("url"), F.col("p_brand").alias("fingerprint"), F.col("p_size").alias("quality"))
 
@@ -30,18 +36,21 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"WITH {URLS_SQL} SELECT o_orderkey AS pair, count(url) AS urls, count(p_partkey) AS cached, count(*) FILTER (p_brand = '{CURRENT}') AS current FROM orders LEFT JOIN urls ON pair = o_orderkey LEFT JOIN part ON p_partkey = url GROUP BY o_orderkey")
 def pair_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each pair its URLs, those that are cached and those extracted by the current version."""
-    rows = search_urls(spark, sf_dir).select("pair", F.explode_outer("urls").alias("url")).join(pages(spark, sf_dir), "url", "left")
-    return rows.groupBy("pair").agg(F.count("url").alias("urls"), F.count("fingerprint").alias("cached"), F.count_if(F.col("fingerprint") == CURRENT).alias("current"))
+    rows = listed_urls(spark, sf_dir).join(pages(spark, sf_dir), "url", "left").groupBy("pair").agg(F.count("*").alias("urls"), F.count("fingerprint").alias("cached"), F.count_if(F.col("fingerprint") == CURRENT).alias("current"))
+    every = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair")).join(rows, "pair", "left")
+    return every.select("pair", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("urls", "cached", "current")])
 
 
 @registry.add(f"""WITH {URLS_SQL}, t AS (SELECT o_orderkey AS pair, count(url) AS n, count(p_partkey) AS known, coalesce(bool_and(p_brand <= '{CURRENT}') FILTER (p_partkey IS NOT NULL), true) AS ok FROM orders LEFT JOIN urls ON pair = o_orderkey AND pos < {MAX_PAGES} LEFT JOIN part ON p_partkey = url AND p_size > 5 GROUP BY o_orderkey)
 SELECT pair FROM t WHERE n = 0 OR (known > 0 AND ok)""")
 def done_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose known pages are all current: an empty list is done, one without any known page isn't."""
-    rows = search_urls(spark, sf_dir).select("pair", F.posexplode_outer("urls").alias("pos", "url")).filter(F.col("pos").isNull() | (F.col("pos") < MAX_PAGES))
-    known = rows.join(pages(spark, sf_dir).filter("quality > 5"), "url", "left")
-    state = known.groupBy("pair").agg(F.count("url").alias("n"), F.count("fingerprint").alias("known"), F.bool_and(F.when(F.col("fingerprint").isNotNull(), F.col("fingerprint") <= CURRENT)).alias("ok"))
-    return state.filter((F.col("n") == 0) | ((F.col("known") > 0) & F.col("ok"))).select("pair")
+    place = Window.partitionBy("pair").orderBy("number", "url")
+    first = listed_urls(spark, sf_dir).withColumn("n", F.row_number().over(place)).filter(F.col("n") <= MAX_PAGES)
+    known = first.join(pages(spark, sf_dir).filter("quality > 5"), "url", "left")
+    state = known.groupBy("pair").agg(F.count("fingerprint").alias("known"), F.bool_and(F.when(F.col("fingerprint").isNotNull(), F.col("fingerprint") <= CURRENT)).alias("ok"))
+    every = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair")).join(state, "pair", "left")
+    return every.filter(F.col("known").isNull() | ((F.col("known") > 0) & F.col("ok"))).select("pair")
 
 
 @registry.add("""WITH linked AS (SELECT DISTINCT l_suppkey AS city, l_partkey AS page FROM lineitem WHERE l_returnflag = 'R')
@@ -64,11 +73,9 @@ _UNIVERSE_SQL = "u AS (SELECT n_name AS city, topic, n_regionkey FROM nation CRO
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cities x topics, those of the core tier only with the core topics; both dimensions are small by nature and the topics are joined as an array."""
-    topics = table(spark, sf_dir, "customer").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("topics"))
-    cities = table(spark, sf_dir, "nation").agg(F.collect_list(F.struct(F.col("n_name").alias("city"), "n_regionkey")).alias("cities"))
-    rows = cities.withColumn("k", F.lit(1)).join(topics.withColumn("k", F.lit(1)), "k").select(F.explode("cities").alias("c"), "topics").select("c.city", "c.n_regionkey", F.explode("topics").alias("topic"))
-    return rows.filter((F.col("n_regionkey") != 2) | F.col("topic").isin("BUILDING", "MACHINERY")).select("city", "topic")
+    """Cities x topics, those of the core tier only with the core topics."""
+    cities = table(spark, sf_dir, "nation").select(F.col("n_name").alias("city"), F.when(F.col("n_regionkey") == 2, "core").otherwise("full").alias("tier"))
+    return universe_of(cities, table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("topic")).distinct(), ["BUILDING", "MACHINERY"])
 
 
 @registry.add(f"WITH {_UNIVERSE_SQL} SELECT city, topic FROM universe")

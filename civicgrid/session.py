@@ -13,7 +13,9 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 def let_workers_import(spark: SparkSession) -> SparkSession:
     """Put this checkout on the workers' import path.
 
-    Enough where all machines see the checkout; elsewhere install the package or pass it with ``--py-files``.
+    It changes the running context's environment for workers that start from then on, and is meant for sessions on
+    machines that all see the checkout. Elsewhere install the package or pass it with ``--py-files``; the path is then
+    only one more that holds nothing.
     """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -97,6 +97,47 @@ def write_snapshot(df: DataFrame, folder: str) -> str:
     return path
 
 
+def xml_text(column: Column) -> Column:
+    """A text as XML writes it."""
+    for letter, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        column = F.replace(column, F.lit(letter), F.lit(name))
+    return column
+
+
 def sitemap_lines(locations: DataFrame, base: str) -> DataFrame:
-    """One XML line for each location, ready for a text sink."""
-    return locations.select(F.format_string("<url><loc>%s%s</loc><lastmod>%s</lastmod></url>", F.lit(base), "loc", F.date_format("lastmod", "yyyy-MM-dd")).alias("value"))
+    """One XML line for each location, ready for a text sink; the date is left out where none is known."""
+    dated = F.coalesce(F.concat(F.lit("<lastmod>"), F.date_format("lastmod", "yyyy-MM-dd"), F.lit("</lastmod>")), F.lit(""))
+    return locations.select(F.concat(F.lit("<url><loc>"), xml_text(F.concat(F.lit(base), F.col("loc"))), F.lit("</loc>"), dated, F.lit("</url>")).alias("value"))
+
+
+def append_views(folder: str, views: DataFrame) -> None:
+    """Raw page views are appended, partitioned by day; counters are sums over them."""
+    views.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(folder)
+
+
+#: What a configuration has unless it says otherwise.
+DEFAULTS = {"search_ttl_days": 7, "skip_scraped": True, "skip_extracted": True, "extract_concurrency": 1, "search_concurrency": 1, "enrich_communities": True, "max_text_chars": 8000, "max_output_tokens": 1500, "temperature": 0.1}
+
+
+def configuration(spark: SparkSession, cities: dict, topics: dict, settings: dict) -> tuple[DataFrame, DataFrame, dict]:
+    """(cities, topics, settings) of parsed configuration documents, with defaults; in test mode only the cities that it names. Raises for documents of another shape."""
+    for name, document, key in (("cities", cities, "cities"), ("topics", topics, "topics")):
+        if not isinstance(document, dict) or not isinstance(document.get(key), list):
+            raise ValueError(f"{name}: a mapping with a list {key!r} is needed")
+    if not isinstance(settings, dict):
+        raise ValueError("settings: a mapping is needed")
+    pipeline = settings.get("pipeline", {})
+    rows = [(c["name"], c.get("country", ""), str(c["locale"]), c.get("search_variants", [c["name"]]), str(c.get("topic_tier", "full")), k) for k, c in enumerate(cities["cities"])]
+    places = spark.createDataFrame(rows, "city string, country string, locale string, search_variants array<string>, tier string, place int")
+    if pipeline.get("test_mode", False):
+        places = places.filter(F.col("city").isin(pipeline.get("test_cities", [])))
+    terms = spark.createDataFrame([(t["name"], {str(k): list(v) for k, v in t["search_terms"].items()}) for t in topics["topics"]], "topic string, terms map<string,array<string>>")
+    given = {k: v for part in settings.values() if isinstance(part, dict) for k, v in part.items() if v is not None}
+    return places, terms, DEFAULTS | {"core_topics": []} | given
+
+
+def backfilled(pages: DataFrame, document: str, columns: dict[str, str]) -> DataFrame:
+    """``pages`` with ``columns`` (name: type) that they lack or don't have filled, from the JSON ``document`` of each."""
+    have = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    read = {c: F.get_json_object(document, f"$.{c}").try_cast(kind) for c, kind in columns.items()}
+    return pages.withColumns({c: F.coalesce(F.col(c), value) if c in have else value for c, value in read.items()})
