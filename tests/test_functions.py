@@ -78,6 +78,7 @@ def test_leaders(spark, field, people):
 def test_page_text_and_diff(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><p>One &amp; two</p><script>no</script><p> three\n four</p></body></html>"
     assert T.page_text(page) == "One & two\nthree\nfour" and T.page_text(None) is None and T.page_text(page, 500) is None
+    assert T.page_text("<nav>only a menu</nav>", 5) == "only a menu" and T.page_text("<nav>x<p>a < b & c") == "" and T.page_text("a < b <i>c</i><br>d") == "a < b c\nd"
     frame = spark.createDataFrame([("a\nb", "a\nc"), (None, "x")], "a string, b string")
     assert sorted(r[0] for r in frame.select(T.line_diff("a", "b")).collect()) == ["+ x", "- b\n+ c"]
 

@@ -1,6 +1,7 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from civicgrid.sources import readers
@@ -54,5 +55,29 @@ def test_merge_and_snapshot(spark, tmp_path):
 
 
 def test_sitemap_lines(spark):
-    rows = spark.sql("SELECT '/a' AS loc, DATE'2024-01-02' AS lastmod")
-    assert readers.sitemap_lines(rows, "https://x").first()["value"] == "<url><loc>https://x/a</loc><lastmod>2024-01-02</lastmod></url>"
+    rows = spark.sql("SELECT * FROM VALUES ('/a', DATE'2024-01-02'), ('/b?x=<1>&y=\"', NULL) AS t(loc, lastmod)")
+    lines = [r["value"] for r in readers.sitemap_lines(rows, "https://x").collect()]
+    assert lines == ["<url><loc>https://x/a</loc><lastmod>2024-01-02</lastmod></url>", "<url><loc>https://x/b?x=&lt;1&gt;&amp;y=&quot;</loc></url>"]
+
+
+def test_configuration(spark):
+    cities = {"cities": [{"name": "Pécs", "locale": "hu"}, {"name": "Oslo", "locale": False, "country": "NO", "topic_tier": "core"}]}
+    topics = {"topics": [{"name": "run", "search_terms": {"hu": ["futás"], "en": ["running"]}}]}
+    places, terms, settings = readers.configuration(spark, cities, topics, {"cache": {"search_ttl_days": 3}, "pipeline": {"extract_concurrency": None}})
+    assert sorted((r["city"], r["locale"], r["tier"], r["search_variants"]) for r in places.collect()) == [("Oslo", "False", "core", ["Oslo"]), ("Pécs", "hu", "full", ["Pécs"])]
+    assert terms.first()["terms"]["hu"] == ["futás"] and settings["search_ttl_days"] == 3 and settings["extract_concurrency"] == 1
+    test = readers.configuration(spark, cities, topics, {"pipeline": {"test_mode": True, "test_cities": ["Oslo"]}})[0]
+    assert [r["city"] for r in test.collect()] == ["Oslo"]
+    for bad in ([], {"cities": {}}):
+        with pytest.raises(ValueError):
+            readers.configuration(spark, bad, topics, {})
+
+
+def test_backfill_and_views(spark, tmp_path):
+    pages = spark.createDataFrame([('{"model": "m", "n": 3}', None), ('{"n": "x"}', "own"), ("broken", None)], "doc string, model string")
+    out = readers.backfilled(pages, "doc", {"model": "string", "n": "int"})
+    assert [(r["model"], r["n"]) for r in out.collect()] == [("m", 3), ("own", None), (None, None)]
+    views = spark.sql("SELECT TIMESTAMP'2024-01-02 03:00:00' AS ts, 'x' AS path")
+    for _ in range(2):
+        readers.append_views(f"{tmp_path}/views", views)
+    assert spark.read.parquet(f"{tmp_path}/views").filter("day = DATE'2024-01-02'").count() == 2
