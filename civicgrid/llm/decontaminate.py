@@ -29,12 +29,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import TYPES, WordBatch, bitmap, chunks, materialise, maybe_in, ready, text_key
+from civicgrid.llm.common import LOWERED, TYPES, WordBatch, add_by_text, bitmap, chunks, materialise, maybe_in, ready, text_key
 
 WINDOW = 13
 K = 5
-#: Words as a pattern that takes A-Z as they stand.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -105,8 +103,19 @@ def benchmark_tables(benchmark: DataFrame, window: int) -> tuple[DataFrame, Data
     return marks, windows, materialise(owned.join(shown, "window").select("items", "item_id"), "item-sets")
 
 
+def word_counts(texts: list[str | None]) -> tuple[np.ndarray]:
+    """The number of words of each text."""
+    out = []
+    for _, _, encoded in chunks(texts):
+        inside = np.concatenate([[False], LOWERED[np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)] != 0])
+        first = np.flatnonzero(inside[1:] & ~inside[:-1])
+        ends = np.cumsum([len(x) + 1 for x in encoded])
+        out.append(np.diff(np.searchsorted(first, ends), prepend=0))
+    return (np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64),)
+
+
 def document_hits(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
-    """text key, size, first word and words around of each document fingerprint that the benchmark has."""
+    """text key and number of words, size, first word and words around of each document fingerprint that the benchmark has."""
     sizes = sorted(r["size"] for r in marks.select("size").distinct().collect())  # at most ``window`` rows
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(marks.select("hash")))
 
@@ -117,7 +126,7 @@ def document_hits(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
         for rows in batches:
             for lo, _, encoded in chunks(rows.column("text").to_pylist()):
                 batch = WordBatch(encoded)
-                row, size_of, hashes, places, around = [], [], [], [], []
+                row, n_words, size_of, hashes, places, around = [], [], [], [], [], []
                 for size in sizes:
                     at, found = fingerprints(batch, size, window)
                     some = np.flatnonzero(maybe_in(held, found)) if len(found) else at[:0]
@@ -127,27 +136,27 @@ def document_hits(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
                         a = max(int(batch.first[d]), p - (size - K)) if full else p
                         b = min(int(batch.first[d + 1]), p + size)
                         if b - a >= size:
-                            row.append(lo + d), size_of.append(size), hashes.append(h), places.append(a - int(batch.first[d])), around.append(words_of(batch, a, b))
+                            row.append(lo + d), n_words.append(int(batch.count[d])), size_of.append(size), hashes.append(h), places.append(a - int(batch.first[d])), around.append(words_of(batch, a, b))
                 if row:
                     keys = rows.column("text_key").take(pa.array(row, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(size_of, pa.int32()), pa.array(hashes, pa.int64()), pa.array(places, pa.int64()), pa.array(around, pa.list_(pa.string()))], ["text_key", "size", "hash", "at", "words"])
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(n_words, pa.int64()), pa.array(size_of, pa.int32()), pa.array(hashes, pa.int64()), pa.array(places, pa.int64()), pa.array(around, pa.list_(pa.string()))], ["text_key", "n_words", "size", "hash", "at", "words"])
 
-    return docs.select(text_key(F.col("text")).alias("text_key"), "text").mapInArrow(look, "text_key binary, size int, hash long, at long, words array<string>").join(marks, ["size", "hash"])
+    return docs.select(text_key(F.col("text")).alias("text_key"), "text").mapInArrow(look, "text_key binary, n_words long, size int, hash long, at long, words array<string>").join(marks, ["size", "hash"])
 
 
 def found_in_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """text_key, n_hit, n_items and items_sha256 of each different text of ``docs`` that holds a window of the benchmark."""
+    """text_key, n_words, n_hit, n_items and items_sha256 of each different text of ``docs`` that holds a window of the benchmark."""
     marks, windows, sets = benchmark_tables(benchmark, window)
     hits = document_hits(docs, marks, window)
     each = F.transform(F.sequence(F.lit(0), F.size("words") - F.col("size")), lambda i: F.struct((F.col("at") + i).alias("start"), F.array_join(F.slice(F.col("words"), i + 1, F.col("size")), " ").alias("window")))
-    places = hits.select("text_key", "size", F.explode(each).alias("w")).select("text_key", "size", "w.start", "w.window").distinct()
-    found = materialise(places.join(windows, "window").select("text_key", "start", "size", "items"), "places")
+    places = hits.select("text_key", "n_words", "size", F.explode(each).alias("w")).select("text_key", "n_words", "size", "w.start", "w.window").distinct()
+    found = materialise(places.join(windows, "window").select("text_key", "n_words", "start", "size", "items"), "places")
     # bounded by the words of a text: distinct places, then distinct words
-    spans = found.select("text_key", "start", "size").distinct().groupBy("text_key").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = found.select("text_key", "n_words", "start", "size").distinct().groupBy("text_key", "n_words").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))).cast("long")
     items = found.select("text_key", "items").distinct().join(sets, "items").groupBy("text_key").agg(F.sort_array(F.collect_set("item_id")).alias("names"))
     named = items.select("text_key", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"))
-    return spans.select("text_key", covered.alias("n_hit")).join(named, "text_key")
+    return spans.select("text_key", "n_words", covered.alias("n_hit")).join(named, "text_key")
 
 
 def is_contaminated(n_words: Column, n_hit: Column, share: float) -> Column:
@@ -157,9 +166,8 @@ def is_contaminated(n_words: Column, n_hit: Column, share: float) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05, keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns of ``docs`` (doc_id) and how many words stand in benchmark windows; contaminated from ``share`` of the words on."""
     keep = keep or ["doc_id"]
-    found = materialise(found_in_texts(docs, benchmark, window), "found")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    counted = docs.select(F.struct(*keep).alias("row"), n_words.alias("n_words"), text_key(F.col("text")).alias("text_key"))
+    found = materialise(found_in_texts(docs, benchmark, window).drop("n_words"), "found")
+    counted = add_by_text(docs.select(F.struct(*keep).alias("row"), text_key(F.col("text")).alias("text_key"), "text"), word_counts, "n_words long", ["row", "text_key"])
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return counted.join(found, "text_key", "left").select(
         "row.*", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -169,9 +177,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
     """``docs`` without the contaminated ones; only the keys of contaminated texts are joined with them."""
-    found = found_in_texts(docs, benchmark, window).select("text_key", "n_hit")
-    texts = docs.select(text_key(F.col("text")).alias("text_key"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
-    bad = materialise(texts.join(materialise(found, "found"), "text_key").filter(is_contaminated(F.col("n_words"), F.col("n_hit"), share)).select("text_key").distinct(), "contaminated")
+    found = found_in_texts(docs, benchmark, window)
+    bad = materialise(found.filter(is_contaminated(F.col("n_words"), F.col("n_hit"), share)).select("text_key"), "contaminated")
     names = docs.columns
     row = docs.select(F.struct(*names).alias("row"), text_key(F.col("text")).alias("text_key"))
     return row.join(bad, "text_key", "left_anti").select("row.*")
