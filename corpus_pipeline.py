@@ -1,4 +1,11 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Null and empty texts go in the first stage, as texts without a letter. Rows that
+are equal in doc_id and text are one document, which the second stage keeps once;
+rows that only share a doc_id are different documents. A null doc_id stays null
+and never matches another. Further columns of ``docs`` are not read. Stages over
+empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicgrid.llm import decontaminate, language_id, ngram_join, packing, suffix_dedup
-from civicgrid.llm.common import crc_bucket, materialise, table
+from civicgrid.llm.common import crc_bucket, materialise, table, text_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,10 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of similar ones stays, that of the smallest doc_id (none comes last).
 
-    Rows go by a 64-bit hash of doc_id and text: rows of one doc_id may differ in
+    Rows go by a 128-bit hash of doc_id and text: rows of one doc_id may differ in
     text, and rows that are equal in both are one document.
     """
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), *COLUMNS)
+    key = text_key(F.to_json(F.struct("doc_id", "text")))
+    rows = docs.select(key.alias("key"), *COLUMNS)
     classes = ngram_join.similarity_classes(rows.select(F.col("key").alias("doc_id"), "text")).filter("n_links > 0")
     classes = classes.groupBy(F.col("doc_id").alias("key")).agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
     linked = materialise(classes.join(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key"), "linked")
@@ -44,8 +52,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
-    return found.filter(~F.col("contaminated")).select(*COLUMNS)
+    return decontaminate.clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
