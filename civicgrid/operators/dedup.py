@@ -179,13 +179,13 @@ def representatives(rows: DataFrame, threshold: float = 0.88) -> DataFrame:
     """
     pair = F.concat_ws("\x1f", "city", "topic")
     site = F.regexp_replace(F.coalesce("website", F.lit("")), "/+$", "")
-    keyed = rows.withColumns({"pair": pair, "rich": richness(rows.columns), "site": F.when(F.col("website") != "", site), "clean": T.strip_articles(F.col("name"))})
+    keyed = rows.withColumns({"pair": pair, "rich": richness(rows.columns), "site": F.when(F.col("website") != "", site), "clean": T.strip_articles(F.col("name"))}).persist()  # read five times
     light = keyed.select(F.col("pair").alias("city"), F.col("place").alias("ord"), "clean")
     a, b = F.col("a.clean"), F.col("b.clean")
     holds = a.contains(b) | b.contains(a)
     pairs = close_pairs(light, threshold, 1).filter(holds | (shared_characters(a, b) > threshold))
     alike = pairs.filter(F.when(holds, F.lit(1.0)).otherwise(T.sequence_ratio(b, a)) > threshold)
-    linked = alike.select(F.col("city").alias("pair"), F.col("b.ord").alias("place"), F.col("a.ord").alias("earlier"))
+    linked = alike.select(F.col("city").alias("pair"), F.col("b.ord").alias("place"), F.col("a.ord").alias("earlier")).persist()
     before = linked.groupBy("pair", "place").agg(F.collect_list("earlier").alias("before"))
     sites = keyed.filter("site IS NOT NULL").groupBy("pair", "site").agg(F.count("*").alias("n")).filter("n > 1").select("pair", "site")
     ends = linked.select("pair", "place").union(linked.select("pair", F.col("earlier").alias("place"))).union(keyed.join(sites, ["pair", "site"]).select("pair", "place")).distinct()

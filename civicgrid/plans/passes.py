@@ -45,7 +45,7 @@ def coverage(states: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def pair_pages(urls: DataFrame, pages: DataFrame, most: int = MAX_PAGES, least: int = MIN_TEXT) -> DataFrame:
     """The first ``most`` results of each pair (pair, pos, url; an address once) that are cached with a text of ``least`` characters: pair, pos, url, text, fingerprint, records."""
     once = urls.groupBy("pair", "url").agg(F.min("pos").alias("pos"))
-    first = once.withColumn("n", F.row_number().over(Window.partitionBy("pair").orderBy("pos"))).filter(F.col("n") <= most).drop("n")
+    first = once.withColumn("n", F.row_number().over(Window.partitionBy("pair").orderBy("pos", "url"))).filter(F.col("n") <= most).drop("n")
     return first.join(pages.filter(F.length("text") >= least), "url")
 
 
@@ -126,7 +126,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").filter("p_partkey % 7 <> 0").select(k.alias("url"), body.alias("body"))
 
 
-_STATES = f"""u AS (SELECT l_orderkey AS pair, l_partkey AS url, min(l_linenumber * 10 + l_partkey % 10) AS pos FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY pair ORDER BY pos) <= {MAX_PAGES}),
+_STATES = f"""u AS (SELECT l_orderkey AS pair, l_partkey AS url, min(l_linenumber * 10 + l_partkey % 10) AS pos FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY pair ORDER BY pos, url) <= {MAX_PAGES}),
 s AS (SELECT pair, pos, url, p.*, CASE WHEN url % 3 = 1 AND url % 4 > 0 THEN 'hit' WHEN url % 7 = 0 THEN 'deferred' WHEN url % 8 = 1 THEN 'failed' WHEN url % 8 = 2 THEN 'empty' ELSE 'ok' END AS state FROM f JOIN part p ON p_partkey = url WHERE length(p_name) * (url % 5) >= {MIN_TEXT})"""
 
 
