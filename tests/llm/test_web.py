@@ -40,6 +40,19 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.select(*plain).collect())) == sorted(map(tuple, records.select(*plain).collect()))
 
 
+def test_pages_that_never_close_their_tags_take_one_pass():
+    import time
+
+    for piece in ("<head>", "<title>", "<script>", "<!--", "<a ", "<a href=x>", "<html ", "<style x", "</p", "&lt;", " \n ", "<html lang"):
+        for tail in ("", ">"):
+            began = time.process_time()
+            warc.metadata_fields(piece * 40_000 + tail, "")
+            warc.plain_text(piece * 40_000 + tail)
+            assert time.process_time() - began < 5, piece
+    assert warc.plain_text("a<!-- x <b>y</b>") == "a" and warc.plain_text("a<script>x") == "a" and warc.plain_text("<head>x<p>y</p>") == "x\ny"
+    assert warc.plain_text("1 < 2 <b>x</b> 3 < 4") == "1 < 2 x 3 < 4" and warc.plain_text("") == ""
+
+
 def sql_over(rows, sql):
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
