@@ -32,6 +32,7 @@ HEADERS = "Content-Type: text/html; charset=utf-8"
 RECORDS = "source_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, source_headers string, payload_digest string, block_digest string, content_length long, block string"
 
 _GONE = re.compile(r"<!--|<(script|style|noscript|template|head)\b[^>]*>|<!\w[^>]*>", re.I)
+_CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "head")}
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|main|aside|blockquote|pre|hr|dl|dt|dd|form|figure)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
 _TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
@@ -69,7 +70,7 @@ def visible(page: str) -> str:
         elif not name or name in open_ended:
             at = hit.end()
         else:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, hit.end())
+            end = _CLOSED[name].search(page, hit.end())
             if end:
                 at = end.end()
             elif name == "head":  # its tags go, its text stays
@@ -79,9 +80,9 @@ def visible(page: str) -> str:
     return " ".join([*out, page[at:] + rest])
 
 
-def plain_text(page: str) -> str:
-    """Text outside markup, scripts, styles and comments; a line for each block."""
-    marked, rest = tagged(visible(page))
+def plain_text(page: str, shown: str | None = None) -> str:
+    """Text outside markup, scripts, styles and comments (``shown``: the visible page, where it is known); a line for each block."""
+    marked, rest = tagged(visible(page) if shown is None else shown)
     text = _TAG.sub("", _BREAK.sub("\n", marked)) + rest
     return _LINES.sub("\n", _BLANKS.sub(" ", entities.unescape(text))).strip()
 
@@ -90,7 +91,7 @@ def one_line(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def metadata_fields(page: str, headers: str) -> str:
+def metadata_fields(page: str, headers: str, shown: str | None = None) -> str:
     """``name: value`` lines: the first title, the first html tag's language, links in their order, source headers."""
     marked = tagged(page)[0]
     title, lines = _TITLE.search(marked), []
@@ -98,7 +99,7 @@ def metadata_fields(page: str, headers: str) -> str:
         lines.append(f"title: {one_line(marked[title.end() : end.start()])}")
     if (tag := _HTML.search(marked)) and (lang := _LANG.search(tag[0])):
         lines.append(f"language: {lang[1]}")
-    for tag in _ANCHOR.finditer(tagged(visible(page))[0]):
+    for tag in _ANCHOR.finditer(tagged(visible(page) if shown is None else shown)[0]):
         if href := _HREF.search(tag[0]):
             lines.append(f"outlink: {one_line(href[1] or href[2] or href[3] or '')}")
     lines += [f"source-header: {one_line(h)}" for h in headers.splitlines() if h.strip()]
@@ -120,9 +121,10 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
             rows = []
             for source_id, given, uri, date, headers, body in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 body, headers = body or "", headers or ""
+                shown = visible(body)
                 payload = digest(body.encode("utf-8", "replace"))
                 source = given or record_id("response", str(source_id), uri or "", payload)
-                for kind, content, block in (("metadata", "application/warc-fields", metadata_fields(body, headers)), ("conversion", "text/plain", plain_text(body))):
+                for kind, content, block in (("metadata", "application/warc-fields", metadata_fields(body, headers, shown)), ("conversion", "text/plain", plain_text(body, shown))):
                     data = block.encode("utf-8", "replace")
                     rows.append((source_id, kind, record_id(kind, source), source, uri, date, content, headers, payload, digest(data), len(data), block))
             yield arrow_batch(RECORDS, [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 12)
