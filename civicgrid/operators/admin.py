@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civicgrid.functions import text as T
 from civicgrid.operators.directory import RECORDS_SQL, records
 from civicgrid.operators.lifecycle import PG, cached_pages
 from civicgrid.operators.registry import Registry
