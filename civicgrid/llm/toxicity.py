@@ -18,7 +18,6 @@ clash.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
