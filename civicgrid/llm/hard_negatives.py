@@ -116,7 +116,7 @@ def sliced_scores(a: np.ndarray, x: np.ndarray, allowed: np.ndarray, qualify: Ca
 def segments(i: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(anchor, its pairs) of pairs in the order of anchors."""
     names, starts = np.unique(i, return_index=True)
-    for name, lo, hi in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(i)], strict=True):
+    for name, lo, hi in zip(names.tolist(), starts.tolist(), np.append(starts, len(i))[1:].tolist(), strict=True):
         yield name, slice(lo, hi)
 
 
@@ -125,13 +125,14 @@ def nth_largest(values: np.ndarray, n: int):
 
 
 def among_best(n: int) -> Callable:
-    """Intervals that may be among the ``n`` best of their anchor."""
+    """Intervals that may be among the ``n`` best of their anchor that a long holds."""
 
     def qualify(i: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        kept = np.ones(len(i), bool)
+        kept = low < 2**63
         for _, s in segments(i):
-            if s.stop - s.start > n:
-                kept[s] = high[s] >= nth_largest(low[s], n)
+            certain = low[s][high[s] < 2**63]
+            if len(certain) > n:
+                kept[s] &= high[s] >= nth_largest(certain, n)
         return kept
 
     return qualify
@@ -155,7 +156,7 @@ def among_windows(windows: list[list[tuple[int, int]]], n: int) -> Callable:
 def best(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     """Places of the ``n`` best that a long holds: highest score first, then smallest id."""
     fit = np.flatnonzero((scores >= -(2**63)) & (scores < 2**63))
-    return fit[np.lexsort((ids[fit], -scores[fit].astype(np.int64)))[:n]] if len(fit) else fit
+    return fit[np.lexsort((ids[fit], ~scores[fit].astype(np.int64)))[:n]] if len(fit) else fit
 
 
 def window(score: int, at_least: int, at_most: int) -> tuple[int, int]:
