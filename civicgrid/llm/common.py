@@ -17,10 +17,14 @@ CHUNK_BYTES = 500_000
 #: Bytes that Spark puts into one Arrow batch, unless the session says otherwise: whole texts are large rows.
 BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Workers give large arrays back to the system at once: settings of their allocators (glibc's and Arrow's).
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Workers find this package, and no Arrow batch holds many more bytes than ``BATCH_BYTES`` (a session's own setting stands)."""
+    """Workers find this package and keep no memory they don't use, and no Arrow batch holds many more bytes than ``BATCH_BYTES`` (settings that are there stand)."""
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     return let_workers_import(spark)

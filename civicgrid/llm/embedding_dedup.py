@@ -3,19 +3,21 @@
 Vectors of one label link at a cosine of ``threshold`` or more, in double precision.
 
 1. Equal vectors of a label are one class, compared once.
-2. Where more than ``SPLIT`` classes would be compared with each other, spherical
-   k-means on a bounded sample of them gives a centre for every ``CELL`` classes,
-   ``MAX_CENTRES`` at most and none nearer than 2 r (below) to another; each class
-   belongs to the cell of its nearest centre. Cells that are still too large are
-   split in the same way, so that their number grows with the vectors.
+2. Spherical k-means on a bounded sample of a label's classes gives a centre for
+   every ``CELL`` of them, at least two and ``MAX_CENTRES`` at most, none nearer than
+   2 r (below) to another; each class belongs to the cell of its nearest centre. Cells
+   with more than ``SPLIT`` classes are split again in the same way, so that their
+   number grows with the vectors.
 3. Linked vectors x, y are at most r = sqrt(2 - 2 threshold) apart. If they are in
    cells a and b, one of them is at most r / 2 from the plane between the two
    centres, and a vector also visits every cell to whose plane it is that near: no
    pair is lost at a border. Where both would meet in either cell, they count in
    the lower one.
-4. Cells are dealt in pairs of blocks; a task multiplies two blocks and gives
-   counts and spanning edges. Components come from the edges, and one vector of
-   each is kept.
+4. Vectors of a cell that are at most r / 2 from its centre all link with each other:
+   they are the cell's core, and are counted by a sum.
+5. All other pairs of a cell are dealt in pairs of blocks, of which one at least has
+   vectors outside the core; a task multiplies two blocks and gives counts and
+   spanning edges. Components come from the edges, and one vector of each is kept.
 
 A vector that is null, zero or holds null or non-finite components, and one of a
 null label, links with nothing; vectors of different lengths don't link. Labels
@@ -34,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import arrow_batch, block_pairs, group_starts, linked_classes, materialise, ready, spanning, whole_groups
+from civicgrid.llm.common import arrow_batch, group_starts, linked_classes, materialise, ready, spanning, whole_groups
 
 #: Sampled vectors for the centres of one cell.
 MAX_SAMPLE = 20_000
@@ -47,7 +49,7 @@ LEVELS = 6
 DEALT = 50_000
 
 UNITS = "vec_id long, label string, key binary, cell binary, unit binary"
-ROWS = "cell binary, key binary, weight long, unit binary, here array<int>, home array<int>, visits array<array<int>>"
+ROWS = "cell binary, key binary, weight long, unit binary, here array<int>, home array<int>, visits array<array<int>>, core boolean"
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -94,26 +96,27 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(scale, UNITS)
 
 
-def cells_of(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's own cell, and which cells it visits."""
+def cells_of(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's own cell, which cells it visits, and whether it is so near its own centre that all such rows link."""
     near = x @ centres.T
     home = near.argmax(axis=1)
     apart = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))[home]
     gap = near[np.arange(len(x)), home][:, None] - near
     visits = gap <= reach / 2 * apart + 1e-9
     visits[np.arange(len(x)), home] = False
-    return home, visits
+    return home, visits, np.linalg.norm(x - centres[home], axis=1) <= reach / 2 - 1e-9
 
 
-def cell_centres(rows: DataFrame, large: DataFrame, reach: float) -> DataFrame:
-    """cell, n and centres of those cells in ``large`` (cell, n) that can be split."""
+def cell_centres(rows: DataFrame, large: DataFrame, reach: float, least: int) -> DataFrame:
+    """cell, n and centres of those cells in ``large`` (cell, n) that have at least ``least`` centres."""
     rate = F.least(F.lit(1.0), F.lit(float(MAX_SAMPLE)) / F.col("n"))
     sample = rows.join(large, "cell").filter(F.pmod(F.xxhash64("key", F.lit(13)), F.lit(1_000_003)) < F.lit(1_000_003) * rate)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([np.frombuffer(u) for u in group.sort_values("key")["unit"]])
-        centres = far_apart(spherical_kmeans(x, int(min(MAX_CENTRES, len(x), -(-int(group["n"].iloc[0]) // CELL)))), 2 * reach)
-        return pd.DataFrame({"cell": [group["cell"].iloc[0]], "centres": [centres.tobytes()]}).iloc[: len(centres) - 1]
+        wanted = max(2, -(-int(group["n"].iloc[0]) // CELL))
+        centres = far_apart(spherical_kmeans(x, min(MAX_CENTRES, len(x), wanted)), 2 * reach)
+        return pd.DataFrame({"cell": [group["cell"].iloc[0]], "centres": [centres.tobytes()]}).iloc[: len(centres) + 1 - least]
 
     return sample.select("cell", "n", "key", "unit").groupBy("cell").applyInPandas(fit, "cell binary, centres binary").join(large, "cell")
 
@@ -138,7 +141,7 @@ def split_cells(rows: DataFrame, centres: DataFrame, reach: float) -> DataFrame:
                 for at in range(0, len(group), 256):
                     some = group.iloc[at : at + 256]
                     x = np.stack([np.frombuffer(u) for u in some["unit"]])
-                    own, visits = cells_of(x, below.reshape(-1, x.shape[1]), reach)
+                    own, visits, near = cells_of(x, below.reshape(-1, x.shape[1]), reach)
                     visits[np.arange(len(x)), own] = True
                     row, to = np.nonzero(visits)
                     visits[np.arange(len(x)), own] = False
@@ -149,6 +152,7 @@ def split_cells(rows: DataFrame, centres: DataFrame, reach: float) -> DataFrame:
                     out["here"] = [[*h, t] for h, t in zip(here, to.tolist(), strict=True)]
                     out["home"] = [[*h, int(own[r])] for h, r in zip(home, row.tolist(), strict=True)]
                     out["visits"] = [[*[list(v) for v in s], listed[r]] for s, r in zip(seen, row.tolist(), strict=True)]
+                    out["core"] = [bool(near[r]) and a == b for r, a, b in zip(row.tolist(), out["here"], out["home"], strict=True)]
                     yield out
 
     keys = ["cell", "salt"]
@@ -184,20 +188,28 @@ def vector_classes(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     classes = materialise(whole.groupBy("key", "cell").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first_id"), F.any_value("unit").alias("unit")), "vector-classes")
     reach = float(np.sqrt(2 - 2 * threshold))
     none = F.array().cast("array<int>")
-    rows = classes.select("cell", "key", "weight", "unit", none.alias("here"), none.alias("home"), F.array().cast("array<array<int>>").alias("visits"))
+    rows = classes.select("cell", "key", "weight", "unit", none.alias("here"), none.alias("home"), F.array().cast("array<array<int>>").alias("visits"), F.lit(False).alias("core"))
     whole_cells = classes.select("cell").limit(0)
     for level in range(LEVELS + 1):
         # tables of their own, so that joins with them may be split where a cell is large
-        sizes = materialise(rows.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-        large = sizes.filter(F.col("n") > SPLIT).join(whole_cells, "cell", "left_anti")
+        sizes = materialise(rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("core").alias("in_core")).filter("n > 1"), "sizes")
+        large = sizes.filter(F.col("n") > (SPLIT if level else 1)).join(whole_cells, "cell", "left_anti")
         if level == LEVELS or large.isEmpty():
             break
-        centres = materialise(cell_centres(rows, large, reach), "centres")
+        centres = materialise(cell_centres(rows, large, reach, 2 if level else 1), "centres")
         whole_cells = materialise(large.join(centres, "cell", "left_anti").select("cell").union(whole_cells), "whole-cells")
         kept = rows.join(centres, "cell", "left_anti").select(*[x.split()[0] for x in ROWS.split(", ")])
         rows = materialise(kept.union(split_cells(rows, centres, reach)), "cells")
     keys = ["cell", "left", "right"]
-    dealt = block_pairs(rows.join(sizes, "cell"), "key", F.ceil(F.col("n") / BLOCK)).select(*keys, "block", "here", "home", "visits", "key", "weight", "unit")
+    # blocks of the core come first; each meets the blocks outside it, and those meet each other
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    inner, outer = blocks(F.col("in_core")), blocks(F.col("n") - F.col("in_core"))
+    own = lambda n: F.pmod(F.xxhash64("key", F.lit(7)), F.greatest(n, F.lit(1))).cast("int")
+    block = F.when(F.col("core"), own(inner)).otherwise(inner + own(outer))
+    dealt = rows.join(sizes, "cell").withColumn("block", block).filter(outer > 0).withColumn("other", F.explode(F.sequence(F.when(F.col("core"), inner).otherwise(0), inner + outer - 1)))
+    dealt = dealt.select("cell", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "here", "home", "visits", "key", "weight", "unit")
+    cores = rows.filter("core").groupBy("cell").agg(F.sum("weight").alias("all"), F.min("key").alias("b"))
+    core_links = rows.filter("core").join(cores, "cell").select(F.col("key").alias("a"), "b", (F.col("all") - F.col("weight")).alias("n")).filter("n > 0")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts in whole_groups(batches, keys):
@@ -217,7 +229,7 @@ def vector_classes(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
                     some = np.flatnonzero(count)
                     yield pd.DataFrame({"a": names[some], "b": names[spanning(n, i, j)[some]], "n": count[some]})
 
-    links = materialise(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a binary, b binary, n long"), "vector-links")
+    links = materialise(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a binary, b binary, n long").union(core_links), "vector-links")
     by_key = linked_classes(classes, links)
     known = units.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key"))
     out = known.join(by_key, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "vec_id").alias("component_id"))

@@ -206,8 +206,9 @@ def vector_classes(data, threshold=0.98):
     return sorted((d[0], n, root[d[0]], root[d[0]] == d[0]) for d, n in zip(data, count))
 
 
-def test_vectors_against_brute_force(spark, monkeypatch):
-    for name, value in {"CELL": 6, "SPLIT": 14, "BLOCK": 7, "MAX_CENTRES": 4, "DEALT": 30}.items():
+@pytest.mark.parametrize("settings", [{"CELL": 6, "SPLIT": 14, "BLOCK": 7, "MAX_CENTRES": 4, "DEALT": 30}, {}])
+def test_vectors_against_brute_force(spark, monkeypatch, settings):
+    for name, value in settings.items():
         monkeypatch.setattr(embedding_dedup, name, value)
     r = np.random.default_rng(8)
     data = []
@@ -221,6 +222,20 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert embedding_dedup.vector_classes(frame.limit(0)).count() == 0
 
 
+def test_a_tight_cluster_is_counted_by_its_core(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 10)
+    r = np.random.default_rng(9)
+    base = r.normal(size=24)
+    spread = [*[0.001] * 120, *[0.09] * 40, *[2.0] * 60]
+    data = [(i, [float(x) for x in base + r.normal(size=24) * s], 0) for i, s in enumerate(spread)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    compared = []
+    monkeypatch.setattr(embedding_dedup, "materialise", lambda df, name: (compared.append((name, df)), common.materialise(df, name))[1])
+    assert sorted(map(tuple, embedding_dedup.vector_classes(frame).collect())) == vector_classes(data)
+    sizes = [df for name, df in compared if name == "sizes"][-1]
+    assert sizes.agg({"in_core": "sum"}).first()[0] >= 100
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(r.randrange(100, 400), r.randrange(100, 400)) for _ in range(220)]
