@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicgrid.functions.names import LEAST, NameIndex, without_overlaps
 from civicgrid.operators.directory import RECORDS_SQL, records
 from civicgrid.operators.registry import Registry
 from civicgrid.operators.roles import table
@@ -17,51 +19,61 @@ R = f"WITH {RECORDS_SQL}"
 
 #: The texts that are scanned, in this order.
 SCANNED = ("name", "description", "location", "meeting_schedule", "contact", "history", "join_process")
-#: A dictionary of more names than this isn't sent to the tasks in one pattern.
+#: Names that go to all tasks at once; a larger dictionary is scanned in parts.
 MOST_NAMES = 200_000
 
+HITS = "key string, city string, place int, field string, start int, stop int, mentioned string, snippet string, matched string"
 
-def mention_pattern(cities: list[str]) -> re.Pattern[str]:
-    """The longest name first, with an ending of four letters at most."""
-    names = sorted({c.strip() for c in cities if len(c.strip()) >= 3}, key=lambda c: (-len(c), c))
-    return re.compile(rf"(?<!\w)({'|'.join(map(re.escape, names)) or '(?!)'})\w{{0,4}}(?!\w)", re.IGNORECASE)
 
+def name_parts(cities: DataFrame, most: int = MOST_NAMES) -> Iterator[list[str]]:
+    """The different names of a city table (``city``) in parts of about ``most``, dealt by hash; what a part holds goes to all tasks."""
+    names = cities.select(F.trim("city").alias("city")).filter(F.length("city") >= LEAST).distinct()
+    parts = max(1, -(-names.count() // most))
+    for part in range(parts):
+        yield sorted(r["city"] for r in names.filter(F.pmod(F.xxhash64("city"), F.lit(parts)) == part).collect())
 
-def dictionary(cities: DataFrame) -> list[str]:
-    """The names of the city table (``city``), whose size is checked."""
-    names = [r["city"] for r in cities.select("city").filter(F.length("city") >= 3).distinct().limit(MOST_NAMES + 1).collect()]
-    if len(names) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} cities: scan them in parts")
-    return sorted(names)
 
+def name_hits(rows: DataFrame, names: list[str], around: int, alone: bool) -> DataFrame:
+    """Every place where a text of ``rows`` (key, city and texts) has one of ``names``: the longest there and, if they are ``alone``, none that overlaps an earlier one."""
+    fields = [c for c in SCANNED if c in rows.columns]
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = NameIndex(names)
+        for batch in batches:
+            texts = [t for c in fields for t in batch[c]]
+            n, keys, cities, out = len(batch), batch["key"].to_list(), batch["city"].to_list(), []
+            found = index.hits(texts)
+            for k, start, stop, name in without_overlaps(found) if alone else found:
+                text, a, b = texts[k], max(0, start - around), stop + around
+                snippet = "…" * (a > 0) + text[a:b].strip() + "…" * (b < len(text))
+                out.append((keys[k % n], cities[k % n], SCANNED.index(fields[k // n]), fields[k // n], start, stop, name, snippet, text[start:stop]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in HITS.split(", ")])
+
+    return rows.select(F.col("key").cast("string").alias("key"), "city", *fields).filter(F.col("city") != "").mapInPandas(look, HITS)
+
+
+def apart(hits: DataFrame) -> DataFrame:
+    """Hits of several parts of a dictionary without those that overlap an earlier or longer one of their text."""
 
-def find_mentions(rows: DataFrame, cities: list[str], around: int = 60) -> DataFrame:
+    def choose(text: pd.DataFrame) -> pd.DataFrame:
+        found = [(0, s, e, m, k) for k, (s, e, m) in enumerate(zip(text["start"], text["stop"], text["mentioned"], strict=True))]
+        return text.iloc[[k for *_, k in without_overlaps(found)]]
+
+    return hits.groupBy("key", "place").applyInPandas(choose, HITS)
+
+
+def find_mentions(rows: DataFrame, cities: DataFrame | list[str], around: int = 60, most: int = MOST_NAMES) -> DataFrame:
     """key, mentioned, field, snippet and matched text: each other city that a record (key, city and texts) names, where it does so first.
 
-    The own city, and one that it begins with or that begins with it, is no mention.
+    ``cities``: the city table, or the names themselves. The own city, and one that
+    it begins with or that begins with it, is no mention. The key tells records apart.
     """
-    proper = {c.lower(): c for c in cities}
-    fields = [c for c in SCANNED if c in rows.columns]
-
-    def scan(batches):
-        pattern = mention_pattern(cities)
-        for batch in batches:
-            out = []
-            for record in batch.to_dict("records"):
-                home, seen = (record["city"] or "").lower(), set()
-                for field in fields if home else ():
-                    text = record[field] or ""
-                    for hit in pattern.finditer(text):
-                        name = proper.get(hit[1].lower(), hit[1])
-                        low = name.lower()
-                        if name in seen or low.startswith(home) or home.startswith(low):
-                            continue
-                        seen.add(name)
-                        a, b = max(0, hit.start() - around), min(len(text), hit.end() + around)
-                        out.append((record["key"], name, field, ("…" if a else "") + text[a:b].strip() + ("…" if b < len(text) else ""), hit[0]))
-            yield pd.DataFrame(out, columns=["key", "mentioned", "field", "snippet", "matched"])
-
-    return rows.select(F.col("key").cast("string").alias("key"), "city", *fields).mapInPandas(scan, "key string, mentioned string, field string, snippet string, matched string")
+    parts = [cities] if isinstance(cities, list) else list(name_parts(cities, most))
+    hits = reduce(DataFrame.unionByName, [name_hits(rows, names, around, len(parts) == 1) for names in parts])
+    hits = hits if len(parts) == 1 else apart(hits)
+    own, other = F.lower("city"), F.lower("mentioned")
+    first = F.min_by(F.struct("field", "snippet", "matched"), F.struct("place", "start"))
+    return hits.filter(~other.startswith(own) & ~own.startswith(other)).groupBy("key", "mentioned").agg(first.alias("at")).select("key", "mentioned", "at.field", "at.snippet", "at.matched")
 
 
 def with_mentions(known: DataFrame, found: DataFrame) -> DataFrame:
@@ -78,7 +90,7 @@ def dismiss_stale(known: DataFrame, rows: DataFrame) -> DataFrame:
     return known.join(texts, "key", "left").withColumn("resolution", F.when(F.col("resolution").isNull() & stale, "auto_dismissed").otherwise(F.col("resolution"))).select(*known.columns)
 
 
-def scan(known: DataFrame, rows: DataFrame, cities: list[str]) -> DataFrame:
+def scan(known: DataFrame, rows: DataFrame, cities: DataFrame | list[str]) -> DataFrame:
     """The candidates after stale ones are dismissed and new ones come in."""
     return with_mentions(dismiss_stale(known, rows), find_mentions(rows, cities))
 
@@ -112,7 +124,7 @@ m AS (SELECT CAST(id AS VARCHAR) AS key, mentioned, arg_min(field, place) AS fie
 @registry.add(f"{_scan_sql} SELECT * FROM m")
 def mention_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that name another city of the city table in one of their texts."""
-    return find_mentions(_rows(spark, sf_dir), dictionary(_cities(spark, sf_dir))).select("key", "mentioned", "field")
+    return find_mentions(_rows(spark, sf_dir), _cities(spark, sf_dir)).select("key", "mentioned", "field")
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +138,7 @@ SELECT k.key, k.mentioned, CASE WHEN resolution IS NULL AND (x.text IS NULL OR N
 UNION ALL SELECT m.key, m.mentioned, NULL FROM m WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.key = m.key AND k.mentioned = m.mentioned)""")
 def mention_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates after a scan: stale ones dismissed, each pair of record and city once."""
-    return scan(_known(spark, sf_dir), _rows(spark, sf_dir), dictionary(_cities(spark, sf_dir))).select("key", "mentioned", "resolution")
+    return scan(_known(spark, sf_dir), _rows(spark, sf_dir), _cities(spark, sf_dir)).select("key", "mentioned", "resolution")
 
 
 @registry.add("""SELECT conv_id, turn, CASE WHEN i > 0 THEN substr(text, 1, i - 1) ELSE text END AS before, CASE WHEN i > 0 THEN substr(text, i, length(w)) ELSE '' END AS match, CASE WHEN i > 0 THEN substr(text, i + length(w)) ELSE '' END AS after
