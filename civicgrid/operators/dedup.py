@@ -1,13 +1,17 @@
 """Duplicate detection and merging: candidates by address and by name, their state, merged records, edits of identity.
 
 Names are compared inside a city. What may be alike comes from equi-joins that
-lose no pair: two names whose ratio reaches a threshold share so many characters
-that both have one of their rarest few in common; a name inside another has its
-rarest character there. Only such pairs are compared one by one.
+lose no pair: two names whose ratio reaches a threshold share one of the rarest
+pairs of neighbouring characters of both, at about the same place; a name inside
+another has its rarest run of three there. Only such pairs are compared one by one,
+and after a few records changed only pairs with one of them.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,25 +65,91 @@ def characters(name: Column) -> Column:
     return F.sort_array(F.filter(numbered, lambda x: x["c"] != ""), asc=False)
 
 
+def numbered(runs: Column) -> Column:
+    """Each text of an array with how often it occurred before."""
+    return F.transform(runs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(runs, 1, i + 1), lambda y: y == x)).cast("string")))
+
+
+def runs_of(name: Column, q: int) -> Column:
+    """All runs of ``q`` characters of a name that has as many."""
+    return F.when(F.length(name) >= q, F.transform(F.sequence(F.lit(1), F.length(name) - (q - 1)), lambda i: F.substring(name, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+
+
+def by_rarity(names: DataFrame, tokens: str, first: Column) -> DataFrame:
+    """``names`` with the ``first`` of their ``tokens`` in the order of rarity, which is measured over all names."""
+    keys = ["city", "ord"]
+    every = names.select(*keys, first.alias("first"), F.explode(tokens).alias("token"))
+    often = every.groupBy("token").agg(F.count("*").alias("names"))
+    ordered = every.join(often, "token").groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("names", "token"))), F.lit(1), F.max("first")).alias("rare"))
+    return names.join(ordered.select(*keys, F.transform("rare", lambda x: x["token"]).alias("rare")), keys)
+
+
+def signature(tokens: Column) -> Column:
+    """64 bits, of which each text of an array sets one."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+
+
+def met(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    """(city, ord_a, ord_b) of names that share a ``key`` under ``condition`` on l and r; where there are ``changed`` ones, pairs with one of those at least."""
+    same = (F.col("l.city") == F.col("r.city")) & (F.col("l.key") == F.col("r.key"))
+    pair = lambda a, b: a.alias("l").join(b.alias("r"), same).filter(condition & (F.col("l.ord") != F.col("r.ord"))).select(F.col("l.city").alias("city"), F.least("l.ord", "r.ord").alias("ord_a"), F.greatest("l.ord", "r.ord").alias("ord_b"))
+    if "changed" not in left.columns:
+        return pair(left, right)
+    return pair(left.filter("changed"), right).union(pair(left, right.filter("changed")))
+
+
+def meeting_names(rows: DataFrame, threshold: float, within: int | None) -> DataFrame:
+    """(city, ord_a, ord_b) of the names that are worth a comparison: all that ``close_pairs`` gives, and few others.
+
+    A ratio of t needs m >= t s / 2 matching characters, s being both lengths together.
+    The matches form at most s - 2 m + 1 blocks, so at least o = 3 m - s - 1 pairs of
+    neighbours stand in both names. Of n - 1 such pairs, in the order of rarity, the
+    first n - o then hold one that both names have: names meet by these. Of what meets
+    only that is kept whose signatures differ by no more than s - 2 - 2 o bits for
+    pairs of neighbours and s - 2 m for characters. A name inside another has its
+    rarest run of three there.
+    """
+    extra = ["changed"] if "changed" in rows.columns else []
+    two, one = numbered(runs_of(F.col("clean"), 2)), numbered(F.filter(F.split("clean", ""), lambda c: c != ""))
+    light = rows.filter(F.length("clean") > 0).select("city", "ord", "clean", F.length("clean").alias("n"), two.alias("two"), signature(one).alias("letters"), signature(two).alias("runs"), *extra)
+    n, longest = F.col("n"), (2 - threshold) / threshold
+    total = F.col("l.n") + F.col("r.n")
+    matching = F.ceil(threshold * total / 2 - 1e-9)
+    apart = lambda c: F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}")))
+    fits = (F.col("l.n") <= longest * F.col("r.n") + 1e-9) & (F.col("r.n") <= longest * F.col("l.n") + 1e-9) & (apart("letters") <= total - 2 * matching) & (apart("runs") <= total - 2 - 2 * (3 * matching - total - 1))
+    least = F.ceil((n + F.ceil(n * threshold / (2 - threshold) - 1e-9)) * (1.5 * threshold - 1) - 1 - 1e-9).cast("int")
+    carried = ["city", "ord", "n", "letters", "runs", *extra]
+    few = by_rarity(light.filter(least > 0), "two", n - least).withColumn("key", F.explode("rare")).select(*carried, "key")
+    found = [met(few, few, fits)]
+    # names too short for such a pair, and those that they may be like
+    tiny = [k for k in range(1, 60) if (k + math.ceil(k * threshold / (2 - threshold) - 1e-9)) * (1.5 * threshold - 1) <= 1]
+    letters = light.filter(n <= longest * max(tiny, default=0)).withColumn("key", F.explode(F.array_distinct(F.filter(F.split("clean", ""), lambda c: c != "")))).select(*carried, "key")
+    found.append(met(letters, letters, fits))
+    for q in range(min(within, 3), 4) if within else ():
+        every = light.filter(n >= within).withColumn("grams", F.array_distinct(runs_of(F.col("clean"), q)))
+        rarest = by_rarity(every.filter((n == q) if q < 3 else (n >= q)), "grams", F.lit(1)).select(*carried, F.col("rare")[0].alias("key"))
+        found.append(met(rarest, every.withColumn("key", F.explode("grams")).select(*carried, "key"), (F.col("l.n") <= F.col("r.n")) & (F.col("l.letters").bitwiseAND(F.col("r.letters")) == F.col("l.letters"))))
+    return reduce(DataFrame.union, found).distinct()
+
+
 def close_pairs(rows: DataFrame, threshold: float, within: int | None) -> DataFrame:
     """Pairs (a before b by ``ord``) of one city whose ``clean`` names may reach ``threshold``, or of which one holds the other and both have ``within`` characters.
 
-    ``rows``: city, ord, clean and more. Characters shared make at most 2 m / (la + lb);
-    a partner of a name of length n has n t / (2 - t) characters at least, so m >= n t / (2 - t).
+    ``rows``: city, ord, clean and more; with a column ``changed``, only pairs with a changed row.
+    What meets is tested by the pairs of neighbours and the characters that both names have.
     """
-    numbered = rows.filter(F.length("clean") > 0).withColumn("row", F.struct(*rows.columns)).select("city", "ord", "row", F.posexplode(characters(F.col("clean"))).alias("pos", "c"), F.length("clean").alias("n"))
-    few = F.col("n") - F.ceil(F.col("n") * threshold / (2 - threshold)) + 1
-    first = numbered.filter(F.col("pos") < few)
-    sides = lambda df, side: df.select("city", "c", F.col("ord").alias(f"ord_{side}"), F.col("n").alias(f"n_{side}"))
-    longest = (2 - threshold) / threshold
-    found = sides(first, "a").join(sides(first, "b"), ["city", "c"]).filter((F.col("n_a") <= longest * F.col("n_b")) & (F.col("n_b") <= longest * F.col("n_a"))).select("city", "ord_a", "ord_b")
+    pairs = meeting_names(rows, threshold, within)
+    more = rows.withColumns({"_two": numbered(runs_of(F.col("clean"), 2)), "_one": characters(F.col("clean"))})
+    whole = lambda side: more.select("city", F.col("ord").alias(f"ord_{side}"), F.struct(*more.columns).alias(side))
+    both = pairs.join(whole("a"), ["city", "ord_a"]).join(whole("b"), ["city", "ord_b"])
+    lengths = F.length("a.clean") + F.length("b.clean")
+    matching = F.ceil(threshold * lengths / 2 - 1e-9)
+    alike = (F.size(F.array_intersect("a._two", "b._two")) >= 3 * matching - lengths - 1) & (F.size(F.array_intersect("a._one", "b._one")) >= matching)
     if within:
-        every = numbered.filter(F.col("n") >= within)
-        rarest = every.filter("pos = 0")
-        found = found.union(sides(rarest, "a").join(sides(every, "b"), ["city", "c"]).filter("n_a <= n_b").select("city", "ord_a", "ord_b"))
-    pairs = found.filter("ord_a <> ord_b").select("city", F.least("ord_a", "ord_b").alias("ord_a"), F.greatest("ord_a", "ord_b").alias("ord_b")).distinct()
-    whole = lambda side: rows.select("city", F.col("ord").alias(f"ord_{side}"), F.struct(*rows.columns).alias(side))
-    return pairs.join(whole("a"), ["city", "ord_a"]).join(whole("b"), ["city", "ord_b"]).select("city", "a", "b")
+        a, b = F.col("a.clean"), F.col("b.clean")
+        alike = alike | ((F.length(a) >= within) & (F.length(b) >= within) & (a.contains(b) | b.contains(a)))
+    plain = lambda side: F.col(side).dropFields("_two", "_one").alias(side)
+    return both.filter(alike).select("city", plain("a"), plain("b"))
 
 
 def shared_characters(a: Column, b: Column) -> Column:
@@ -88,6 +158,11 @@ def shared_characters(a: Column, b: Column) -> Column:
     return 2 * both / (F.length(a) + F.length(b))
 
 
+def unless(known: Column, value: float, a: Column, b: Column) -> Column:
+    """``value`` where ``known`` holds, else the ratio, which is computed there only."""
+    return F.when(known, F.lit(value)).otherwise(T.sequence_ratio(F.when(~known, a), F.when(~known, b)))
+
+
 def decided(pairs: DataFrame, similarity: Column, signal: Column) -> DataFrame:
     """Candidates: the richer record wins, the first of equals."""
     wins = F.col("a.rich") >= F.col("b.rich")
@@ -109,35 +184,47 @@ def url_members(rows: DataFrame, across: str | None) -> DataFrame:
     return addressed.join(sums, group).filter("key <> winner").select("winner", F.col("key").alias("loser"))
 
 
-def community_candidates(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Communities (id, name, city, topic and fields) of one city and different topics: by address as groups, by name as pairs."""
+def at_addresses(keyed: DataFrame, addresses: DataFrame | None) -> DataFrame:
+    """Rows with one of ``addresses`` (city, url), if there are such."""
+    return keyed if addresses is None else keyed.withColumn("url", T.normal_url(F.col("website"))).join(addresses, ["city", "url"], "left_semi").drop("url")
+
+
+def flagged(keyed: DataFrame, changed: DataFrame | None) -> DataFrame:
+    """Rows told by ``changed`` whether their key is in ``changed``, if there are such."""
+    return keyed if changed is None else keyed.join(changed.select("key", F.lit(True).alias("changed")).distinct(), "key", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+
+
+def community_candidates(rows: DataFrame, threshold: float = 0.85, changed: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
+    """Communities (id, name, city, topic and fields) of one city and different topics: by address as groups, by name as pairs.
+
+    Only pairs with a key of ``changed``, and groups of ``addresses`` (city, url), if these are given.
+    """
     keyed = rows.withColumns({"key": T.record_key("c", F.col("name"), F.col("city"), F.col("topic")), "ord": F.struct("topic", "id"), "rich": richness(rows.columns), "clean": T.strip_articles(without_city(F.col("name"), F.col("city")))})
     keyed = keyed.select("city", "ord", "key", "topic", "rich", "website", "clean")
-    by_url = url_members(keyed, "topic").select("winner", "loser", F.lit(1.0).alias("similarity"), F.lit("url_match").alias("signal"))
+    by_url = url_members(at_addresses(keyed, addresses), "topic").select("winner", "loser", F.lit(1.0).alias("similarity"), F.lit("url_match").alias("signal"))
     a, b = F.col("a.clean"), F.col("b.clean")
     same_site = (T.normal_url(F.col("a.website")) == T.normal_url(F.col("b.website"))) & (T.normal_url(F.col("a.website")) != "")
-    pairs = close_pairs(keyed, threshold, 5).filter("a.topic <> b.topic").filter(says_something(a, b) & ~same_site)
-    pairs = pairs.filter(inside(a, b) | (shared_characters(a, b) >= threshold))
-    ratio = F.when(inside(a, b), F.lit(0.9)).otherwise(T.sequence_ratio(a, b))
+    pairs = close_pairs(flagged(keyed, changed), threshold, 5).filter("a.topic <> b.topic").filter(says_something(a, b) & ~same_site)
+    ratio = unless(inside(a, b), 0.9, a, b)
     by_name = decided(pairs.withColumn("ratio", ratio).filter(F.col("ratio") >= threshold), F.col("ratio"), F.lit("fuzzy_name"))
     return by_url.unionByName(by_name)
 
 
-def venue_candidates(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Venues (id, name, city and fields) of one city: by address as groups, by name as pairs."""
+def venue_candidates(rows: DataFrame, threshold: float = 0.85, changed: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
+    """Venues (id, name, city and fields) of one city: by address as groups, by name as pairs; ``changed`` and ``addresses`` as for communities."""
     keyed = rows.withColumns({"key": T.record_key("v", F.col("name"), F.col("city")), "ord": F.struct("id"), "rich": richness(rows.columns), "clean": T.strip_articles(F.col("name"))}).select("city", "ord", "key", "rich", "website", "clean")
-    by_url = url_members(keyed, None).select("winner", "loser", F.lit(1.0).alias("similarity"), F.lit("url_match").alias("signal"))
+    by_url = url_members(at_addresses(keyed, addresses), None).select("winner", "loser", F.lit(1.0).alias("similarity"), F.lit("url_match").alias("signal"))
     a, b = F.col("a.clean"), F.col("b.clean")
     same_site = (T.normal_url(F.col("a.website")) == T.normal_url(F.col("b.website"))) & (T.normal_url(F.col("a.website")) != "")
-    pairs = close_pairs(keyed, threshold, None).filter(~same_site & (shared_characters(a, b) >= threshold)).withColumn("ratio", T.sequence_ratio(a, b))
+    pairs = close_pairs(flagged(keyed, changed), threshold, None).filter(~same_site).withColumn("ratio", T.sequence_ratio(a, b))
     return by_url.unionByName(decided(pairs.filter(F.col("ratio") >= threshold), F.col("ratio"), F.lit("fuzzy_name")))
 
 
-def people_candidates(rows: DataFrame, threshold: float = 0.9, communities: float = 0.7) -> DataFrame:
-    """People of one city whose names and whose communities' names are alike."""
+def people_candidates(rows: DataFrame, threshold: float = 0.9, communities: float = 0.7, changed: DataFrame | None = None) -> DataFrame:
+    """People of one city whose names and whose communities' names are alike; ``changed`` as for communities."""
     keyed = rows.withColumns({"key": T.record_key("p", F.col("name"), F.col("city"), F.col("role"), F.col("community_name")), "ord": F.struct("id"), "rich": richness(rows.columns), "clean": T.strip_articles(F.col("name")), "group": T.strip_articles(F.col("community_name"))}).select("city", "ord", "key", "rich", "clean", "group")
     a, b, x, y = F.col("a.clean"), F.col("b.clean"), F.col("a.group"), F.col("b.group")
-    pairs = close_pairs(keyed, threshold, None).filter((shared_characters(a, b) >= threshold) & (shared_characters(x, y) >= communities))
+    pairs = close_pairs(flagged(keyed, changed), threshold, None).filter(shared_characters(x, y) >= communities)
     scored = pairs.withColumns({"ratio": T.sequence_ratio(a, b), "groups": T.sequence_ratio(x, y)}).filter((F.col("ratio") >= threshold) & (F.col("groups") >= communities))
     return decided(scored, F.col("ratio"), F.lit("fuzzy_name"))
 
@@ -183,8 +270,7 @@ def representatives(rows: DataFrame, threshold: float = 0.88) -> DataFrame:
     light = keyed.select(F.col("pair").alias("city"), F.col("place").alias("ord"), "clean")
     a, b = F.col("a.clean"), F.col("b.clean")
     holds = a.contains(b) | b.contains(a)
-    pairs = close_pairs(light, threshold, 1).filter(holds | (shared_characters(a, b) > threshold))
-    alike = pairs.filter(F.when(holds, F.lit(1.0)).otherwise(T.sequence_ratio(b, a)) > threshold)
+    alike = close_pairs(light, threshold, 1).filter(unless(holds, 1.0, b, a) > threshold)
     linked = alike.select(F.col("city").alias("pair"), F.col("b.ord").alias("place"), F.col("a.ord").alias("earlier")).persist()
     before = linked.groupBy("pair", "place").agg(F.collect_list("earlier").alias("before"))
     sites = keyed.filter("site IS NOT NULL").groupBy("pair", "site").agg(F.count("*").alias("n")).filter("n > 1").select("pair", "site")
@@ -224,21 +310,21 @@ def saved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _sig = "CASE WHEN website IS NULL THEN '' ELSE rtrim(lower(website), '/') END"
-_rich = "CAST(coalesce(description, '') <> '' AS INT) + CAST(coalesce(meeting_schedule, '') <> '' AS INT) + CAST(coalesce(location, '') <> '' AS INT) + CAST(coalesce(contact, '') <> '' AS INT) + CAST(coalesce(website, '') <> '' AS INT) + len(social_links)"
+RICH_SQL = "CAST(coalesce(description, '') <> '' AS INT) + CAST(coalesce(meeting_schedule, '') <> '' AS INT) + CAST(coalesce(location, '') <> '' AS INT) + CAST(coalesce(contact, '') <> '' AS INT) + CAST(coalesce(website, '') <> '' AS INT) + len(social_links)"
 
 
 def _visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).filter(~F.col("hidden"))
 
 
-@registry.add(f"{R} SELECT id, {_rich} AS richness FROM records")
+@registry.add(f"{R} SELECT id, {RICH_SQL} AS richness FROM records")
 def record_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much each record tells."""
     rows = records(spark, sf_dir)
     return rows.select("id", richness(rows.columns).cast("long").alias("richness"))
 
 
-@registry.add(f"""{R}, k AS (SELECT id, city, topic, trim({_sig}) AS url, {_rich} AS rich FROM records WHERE NOT hidden), g AS (SELECT *, count(DISTINCT topic) OVER (PARTITION BY city, url) AS topics, first_value(id) OVER (PARTITION BY city, url ORDER BY rich DESC, topic, id) AS winner FROM k WHERE url NOT IN ('', 'n/a'))
+@registry.add(f"""{R}, k AS (SELECT id, city, topic, trim({_sig}) AS url, {RICH_SQL} AS rich FROM records WHERE NOT hidden), g AS (SELECT *, count(DISTINCT topic) OVER (PARTITION BY city, url) AS topics, first_value(id) OVER (PARTITION BY city, url ORDER BY rich DESC, topic, id) AS winner FROM k WHERE url NOT IN ('', 'n/a'))
 SELECT city, url, winner, id AS loser FROM g WHERE topics > 1 AND id <> winner""")
 def dup_candidates_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of one city and address under different topics, each with the richest of them."""
@@ -301,7 +387,7 @@ def still_valid(candidates: DataFrame, rows: DataFrame, threshold: float = 0.85)
     site = T.normal_url(F.col("winner_row.website"))
     worth = says_something(a, b) & (inside(a, b) | (shared_characters(a, b) >= threshold))
     asked = both.withColumns({"_a": F.when(worth, a), "_b": F.when(worth, b)})
-    alike = F.when(inside(F.col("_a"), F.col("_b")), F.lit(0.9)).otherwise(T.sequence_ratio(F.col("_a"), F.col("_b"))) >= threshold
+    alike = unless(inside(F.col("_a"), F.col("_b")), 0.9, F.col("_a"), F.col("_b")) >= threshold
     valid = F.col("winner_row").isNotNull() & F.col("loser_row").isNotNull() & ((F.col("signal") == "manual") | F.when(F.col("signal") == "url_match", (site == T.normal_url(F.col("loser_row.website"))) & (site != "")).otherwise(alike))
     return asked.withColumn("resolution", F.when(F.col("resolution").isNull() & ~F.coalesce(valid, F.lit(False)), "auto_dismissed").otherwise(F.col("resolution"))).select(*candidates.columns)
 
@@ -434,7 +520,7 @@ def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_entities(rows, merges, ["source_urls", "social_links"], ["website", "description"]).select("key", "website", "description", joined("source_urls"), joined("social_links"))
 
 
-_key = lambda n, c, t: f"'c2:' || left(sha256(lower(regexp_replace(trim({n}), '\\s+', ' ', 'g')) || chr(31) || lower({c}) || chr(31) || lower({t})), 24)"
+key_sql = lambda n, c, t: f"'c2:' || left(sha256(lower(regexp_replace(trim({n}), '\\s+', ' ', 'g')) || chr(31) || lower({c}) || chr(31) || lower({t})), 24)"
 
 
 def _by_identity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -446,9 +532,9 @@ def _by_identity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return one.select("key", "id", "name", "city", "topic", "source_url", "source_urls", "hidden"), edits
 
 
-@registry.add(f"""{R}, k AS (SELECT *, {_key('name', 'city', 'topic')} AS key FROM records), o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) = 1),
+@registry.add(f"""{R}, k AS (SELECT *, {key_sql('name', 'city', 'topic')} AS key FROM records), o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) = 1),
 e AS (SELECT key, id, ['wrong_city', 'wrong_topic', 'name_correction', 'archive', 'typo'][id % 5 + 1] AS change, CASE id % 5 WHEN 0 THEN 'Brand#7' WHEN 1 THEN 'ECONOMY' ELSE 'small ring' END AS value, name, city, topic FROM o WHERE id % 40 < 5),
-n AS (SELECT key, change, CASE change WHEN 'wrong_city' THEN {_key('name', 'value', 'topic')} WHEN 'wrong_topic' THEN {_key('name', 'city', 'value')} WHEN 'name_correction' THEN {_key('value', 'city', 'topic')} ELSE key END AS new_key FROM e)
+n AS (SELECT key, change, CASE change WHEN 'wrong_city' THEN {key_sql('name', 'value', 'topic')} WHEN 'wrong_topic' THEN {key_sql('name', 'city', 'value')} WHEN 'name_correction' THEN {key_sql('value', 'city', 'topic')} ELSE key END AS new_key FROM e)
 SELECT key, change, CASE WHEN change = 'typo' THEN 'unsupported' WHEN new_key <> key AND new_key IN (SELECT key FROM o) THEN 'merged' ELSE 'ok' END AS state FROM n""")
 def edit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What approved edits come to."""

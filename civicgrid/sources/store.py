@@ -37,6 +37,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, for what is read several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Files:
     """What a store needs of Hadoop's file systems."""
 
@@ -84,6 +91,10 @@ class Files:
         self.fs.delete(self.path(name), True)
 
 
+class Superseded(Exception):
+    """Another writer published a version in between."""
+
+
 @dataclass
 class Version:
     """One version: where each bucket is, and how far each stream has come."""
@@ -92,6 +103,7 @@ class Version:
     keys: list[str]
     schema: str
     buckets: int
+    by: list[str]
     places: dict[str, str] = field(default_factory=dict)
     streams: dict[str, int] = field(default_factory=dict)
 
@@ -106,10 +118,10 @@ class BucketedStore:
         self.spark, self.files = spark, Files(spark, folder)
 
     @classmethod
-    def create(cls, spark: SparkSession, folder: str, schema: StructType, keys: list[str], buckets: int = 64) -> BucketedStore:
-        """An empty store; a bucket should hold some 100 MB of the rows that are to come."""
+    def create(cls, spark: SparkSession, folder: str, schema: StructType, keys: list[str], buckets: int = 64, by: list[str] | None = None) -> BucketedStore:
+        """An empty store; a bucket should hold some 100 MB of the rows that are to come. ``by``: those of the keys that buckets go by, so that all rows of one value are in one."""
         store = cls(spark, folder)
-        if not store._publish(Version(0, keys, schema.json(), buckets)):
+        if not store._publish(Version(0, keys, schema.json(), buckets, by or keys)):
             raise FileExistsError(folder)
         return store
 
@@ -137,11 +149,12 @@ class BucketedStore:
         return self._at(self.version(number))
 
     def lookup(self, wanted: DataFrame, number: int | None = None) -> DataFrame:
-        """The rows of the keys in ``wanted``, from their buckets only."""
+        """The rows of the keys in ``wanted``, or of the values that buckets go by if it has only those, from their buckets only."""
         version = self.version(number)
-        keys = self._typed(wanted.select(*version.keys), version, version.keys).distinct()
+        columns = version.keys if set(version.keys) <= set(wanted.columns) else version.by
+        keys = self._typed(wanted, version, columns).distinct()
         asked = self._touched(keys, version)
-        same = [F.col(f"w.{k}").eqNullSafe(F.col(f"r.{k}")) for k in version.keys]
+        same = [F.col(f"w.{k}").eqNullSafe(F.col(f"r.{k}")) for k in columns]
         return self._at(version, asked).alias("r").join(keys.alias("w"), same, "left_semi")
 
     def changes(self, before: int, after: int) -> DataFrame:
@@ -157,7 +170,7 @@ class BucketedStore:
 
     @staticmethod
     def _bucket(version: Version) -> Column:
-        return F.pmod(F.xxhash64(*version.keys), F.lit(version.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*version.by), F.lit(version.buckets)).cast("int")
 
     def _touched(self, keys: DataFrame, version: Version) -> list[int]:
         return sorted(r[0] for r in keys.select(self._bucket(version)).distinct().collect())  # at most one row for each bucket
@@ -169,13 +182,14 @@ class BucketedStore:
 
     def upsert(self, batch: DataFrame, order: Column | None = None, stream: str = "", batch_id: int | None = None) -> Version:
         """Insert or replace the rows of ``batch``."""
-        return self._write(batch, F.lit(False), order, stream, batch_id)
+        return self.apply(batch, F.lit(False), order, stream, batch_id)
 
     def delete(self, keys: DataFrame, stream: str = "", batch_id: int | None = None) -> Version:
         """Remove the rows of the keys in ``keys``."""
-        return self._write(keys, F.lit(True), None, stream, batch_id)
+        return self.apply(keys, F.lit(True), None, stream, batch_id)
 
-    def _write(self, batch: DataFrame, gone: Column, order: Column | None, stream: str, batch_id: int | None) -> Version:
+    def apply(self, batch: DataFrame, gone: Column, order: Column | None = None, stream: str = "", batch_id: int | None = None, after: int | None = None) -> Version:
+        """Remove the keys of rows that are ``gone`` and insert or replace the others; raises ``Superseded`` where that can't follow version ``after`` directly, if one is named."""
         base = self.version()
         schema = StructType.fromJson(json.loads(base.schema))
         columns = schema.names
@@ -195,11 +209,13 @@ class BucketedStore:
             while True:
                 if batch_id is not None and base.streams.get(stream, -1) >= batch_id:
                     return base
+                if after is not None and base.number != after:
+                    raise Superseded(f"version {base.number} came after {after}")
                 if written is None:
                     written = self._merged(last, touched, base)
                 places = {b: p for b, p in base.places.items() if int(b) not in touched} | written
                 streams = base.streams | ({stream: batch_id} if batch_id is not None else {})
-                new = Version(base.number + 1, base.keys, base.schema, base.buckets, places, streams)
+                new = Version(base.number + 1, base.keys, base.schema, base.buckets, base.by, places, streams)
                 if self._publish(new):
                     return new
                 before, base = base, self.version()
