@@ -14,6 +14,8 @@ from civicgrid.operators.directory import PEOPLE_SQL, RECORDS_SQL, people, recor
 from civicgrid.operators.records import SEPARATOR, clean_people, joined, known_text
 from civicgrid.operators.registry import Registry
 from civicgrid.operators.roles import table
+from civicgrid.sources.pages import pages_by_urls, write_pages
+from civicgrid.sources.store import scratch
 
 registry = Registry()
 R, P = f"WITH {RECORDS_SQL}", f"WITH {PEOPLE_SQL}"
@@ -121,6 +123,15 @@ def page_lookup(spark: SparkSession, sf_dir: str, url: str = "http://src.example
     return cached_pages(spark, sf_dir).filter(F.col("url_hash") == T.url_hash(F.lit(url))).select("url", "city", "data.raw_text")
 
 
+@registry.add(f"{PG} SELECT url, city, topic, raw_text FROM pages_of WHERE k IN (11, 30, 77)")
+def clustered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages of a cache whose files lie in the order of their hash."""
+    pages = cached_pages(spark, sf_dir).select("url_hash", "url", "city", "topic", "data.raw_text", "data.scraped_at")
+    folder = scratch(spark, "pages")
+    write_pages(pages, folder, 4, 100_000)
+    return pages_by_urls(spark, folder, [f"http://src.example/{k}" for k in (11, 30, 77)]).select("url", "city", "topic", "raw_text")
+
+
 @registry.add(f"""{R}, {PEOPLE_SQL} SELECT 'community' AS entity, id, name FROM records WHERE id = 7 UNION ALL SELECT 'venue', id, name FROM records WHERE left(sha256(lower(name) || '|' || lower(city)), 12) = (SELECT left(sha256(lower(name) || '|' || lower(city)), 12) FROM records WHERE id = 8) UNION ALL SELECT 'person', id, name FROM people WHERE id = 9""")
 def entity_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three kinds of records by their keys."""

@@ -58,6 +58,28 @@ def page_states(found: DataFrame, current: str, answers: DataFrame) -> DataFrame
     return asked.withColumns({"state": F.coalesce(state, F.lit("deferred")), "body": F.when(F.coalesce(hit, F.lit(False)), F.col("records")).otherwise(F.col("body"))})
 
 
+#: How often a pair's pages are offered that had no turn.
+ROUNDS = 3
+
+
+def after_rounds(pages: DataFrame, answers: DataFrame, stops: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``pages`` (pair, url) with what came of at most ``rounds`` rounds: state, attempt, body and the reason of a stop.
+
+    ``answers``: pair, url, attempt and body, null where the attempt failed; ``stops``: pair,
+    attempt and reason, of rounds after which nothing could go on. A round takes what no
+    round before has answered. A page is ``done``, or ``failed`` if its answer is none, or
+    ``stopped`` if it had no turn before its pair stopped; ``deferred`` if it never had one
+    though the pair went on to the end. Later answers of a page don't count.
+    """
+    ended = stops.filter(F.col("attempt") <= rounds).groupBy("pair").agg(F.min(F.struct("attempt", "reason")).alias("end"))
+    held = pages.select("pair", "url").distinct().join(ended, "pair", "left").withColumn("last", F.coalesce("end.attempt", F.lit(rounds)))
+    told = answers.groupBy("pair", "url").agg(F.min(F.struct("attempt", F.col("body").isNull().alias("failed"), "body")).alias("a"))
+    both = held.join(told, ["pair", "url"], "left")
+    answered = F.coalesce(F.col("a.attempt") <= F.col("last"), F.lit(False))
+    state = F.when(answered, F.when(F.col("a.failed"), "failed").otherwise("done")).when(F.col("end").isNotNull(), "stopped").otherwise("deferred")
+    return both.select("pair", "url", state.alias("state"), F.when(answered, F.col("a.attempt")).alias("attempt"), F.when(answered, F.col("a.body")).alias("body"), F.when(~answered, F.col("end.reason")).alias("reason"))
+
+
 def extracted(states: DataFrame) -> DataFrame:
     """Valid, joinable records of the usable pages that are sure enough: pair, url and the record's fields."""
     rows = output_rows(states.filter(F.col("state").isin("hit", "ok")).select("pair", "url", "city", "topic", "body"), "communities")
@@ -154,6 +176,19 @@ def full_pass_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("key", "name", "city", "topic", "website")
 
 
+@registry.add("""WITH p AS (SELECT DISTINCT l_orderkey AS pair, l_partkey AS url FROM lineitem), a AS (SELECT l_orderkey AS pair, l_partkey AS url, l_linenumber % 4 + 1 AS attempt, CASE WHEN l_returnflag <> 'R' THEN 'answer ' || l_suppkey END AS body FROM lineitem WHERE l_linenumber % 5 > 0),
+e AS (SELECT o_orderkey AS pair, o_orderkey % 5 + 1 AS attempt, o_orderstatus AS reason FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 < 3), f AS (SELECT pair, url, min({'n': attempt, 'failed': body IS NULL, 'body': body}) AS a FROM a GROUP BY ALL),
+j AS (SELECT p.pair, p.url, f.a, e.attempt AS stop, e.reason, f.a IS NOT NULL AND f.a.n <= coalesce(e.attempt, 3) AS answered FROM p LEFT JOIN f ON f.pair = p.pair AND f.url = p.url LEFT JOIN e ON e.pair = p.pair)
+SELECT pair, url, CASE WHEN answered THEN CASE WHEN a.failed THEN 'failed' ELSE 'done' END WHEN stop IS NOT NULL THEN 'stopped' ELSE 'deferred' END AS state, CASE WHEN answered THEN a.n END AS attempt, CASE WHEN answered THEN a.body END AS body, CASE WHEN NOT answered THEN reason END AS reason FROM j""")
+def extraction_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three rounds over the pages of each pair come to, where some pairs stop early."""
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    pages = items.select(F.col("l_orderkey").alias("pair"), F.col("l_partkey").alias("url"))
+    answers = items.filter("l_linenumber % 5 > 0").select(F.col("l_orderkey").alias("pair"), F.col("l_partkey").alias("url"), (F.col("l_linenumber") % 4 + 1).cast("long").alias("attempt"), F.when(F.col("l_returnflag") != "R", F.concat(F.lit("answer "), "l_suppkey")).alias("body"))
+    stops = orders.filter("o_orderkey % 3 = 0 AND o_orderkey % 5 < 3").select(F.col("o_orderkey").alias("pair"), (F.col("o_orderkey") % 5 + 1).alias("attempt"), F.col("o_orderstatus").alias("reason"))
+    return after_rounds(pages, answers, stops)
+
+
 @registry.add("""WITH r AS (SELECT p_partkey AS key, CASE p_partkey % 3 WHEN 0 THEN 'own' END AS website, CASE p_partkey % 5 WHEN 0 THEN 'desk' ELSE '' END AS contact FROM part), e AS (SELECT l_partkey AS key, l_linenumber - 1 AS pos, CASE WHEN l_discount > 0.05 THEN 'http://' || l_suppkey END AS website, CASE WHEN l_tax > 0.04 THEN 'tel ' || l_suppkey END AS contact, l_orderkey, l_suppkey, l_quantity FROM lineitem WHERE l_linenumber <= 3),
 h AS (SELECT key, arg_min({'w': website, 'c': contact}, pos * 1000000000000 + l_orderkey * 1000000 + l_suppkey * 100 + l_quantity) AS b FROM e WHERE pos < 2 AND (website IS NOT NULL OR contact IS NOT NULL) GROUP BY key)
 SELECT r.key, coalesce(website, b.w) AS website, CASE WHEN contact <> '' THEN contact ELSE coalesce(b.c, contact) END AS contact FROM r LEFT JOIN h ON h.key = r.key""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,14 +35,44 @@ def search_results(responses: DataFrame, body: str = "body", keep: list[str] | N
     return items.filter((F.col("i.type") == "organic") & (F.coalesce("i.url", F.lit("")) != "")).select(*keep, "pos", "i.url", "i.title", F.col("i.description").alias("snippet"))
 
 
-def log_lines(spark: SparkSession, path: str, level: str | None = None, needle: str | None = None, limit: int = 500) -> DataFrame:
-    """The newest ``limit`` lines (1 to 5000) of rotated JSON-lines logs that match, oldest first."""
-    rows = spark.read.schema("seq long, ts timestamp, level string, event string, extra map<string,string>").option("mode", "DROPMALFORMED").json(path)
+LOG = "seq long, ts timestamp, level string, event string, extra map<string,string>"
+
+
+def matching_lines(rows: DataFrame, level: str | None, needle: str | None) -> DataFrame:
+    """Log lines of a level with a text anywhere in them."""
     if level:
         rows = rows.filter(F.upper("level") == level.upper())
-    if needle:
-        rows = rows.filter(F.contains(F.lower(F.to_json(F.struct("*"))), F.lit(needle.lower())))
-    return rows.orderBy(F.desc("ts"), F.desc("seq")).limit(min(max(limit, 1), 5000)).orderBy("ts", "seq")
+    return rows.filter(F.contains(F.lower(F.to_json(F.struct("*"))), F.lit(needle.lower()))) if needle else rows
+
+
+def rotated_files(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files at ``path`` from the newest on: a log without a number first, then its rotations by their numbers; of several logs those of one age together."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    ages: dict[int, list[str]] = {}
+    for name in (s.getPath().toString() for s in found):
+        number = re.search(r"\.(\d+)(\.gz)?$", name)
+        ages.setdefault(int(number[1]) if number else 0, []).append(name)
+    return [sorted(ages[age]) for age in sorted(ages)]
+
+
+def log_lines(spark: SparkSession, path: str, level: str | None = None, needle: str | None = None, limit: int = 500) -> DataFrame:
+    """The newest ``limit`` lines (1 to 5000) of rotated JSON-lines logs that match, oldest first.
+
+    Files are read from the newest on, twice as many at each step, until they hold as many
+    lines: a rotated file has no line that is newer than one of a file after it. Where one
+    log's lines overlap another's, only those of the same number of rotations are compared.
+    """
+    limit, files, step, rows = min(max(limit, 1), 5000), rotated_files(spark, path), 1, None
+    while files:
+        some, files = [f for age in files[:step] for f in age], files[step:]
+        read = spark.read.schema(LOG).option("mode", "DROPMALFORMED").json(some)
+        older = matching_lines(read, level, needle).orderBy(F.desc("ts"), F.desc("seq")).limit(limit)
+        found = older.collect()  # at most 5000 lines, which are the result
+        rows, limit, step = (rows or []) + found, limit - len(found), 2 * step
+        if limit <= 0:
+            break
+    return spark.createDataFrame(rows or [], LOG).orderBy("ts", "seq")
 
 
 def log_text(event: Column, extra: Column) -> Column:
