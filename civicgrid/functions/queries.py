@@ -27,12 +27,12 @@ def entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record keys of name, city and topic; the names here are ASCII, so SQL can check them."""
     rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.select(F.col("c_custkey").alias("id"), T.record_key("c", F.col("c_name"), F.col("n_name"), F.col("c_mktsegment")).alias("record_key"))
+    return T.with_record_key(rows, "c", ["c_name", "n_name", "c_mktsegment"], "record_key").select(F.col("c_custkey").alias("id"), "record_key")
 
 
 @registry.add("SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.slug(F.col("p_name")).alias("slug"))
+    return T.split_by_letters(table(spark, sf_dir, "part"), T.slug, ["p_name"], lambda rows, way: rows.select(F.col("p_partkey").alias("id"), way(F.col("p_name")).alias("slug")))
 
 
 @registry.add("SELECT event_id, CASE WHEN lower(trim(event_type)) NOT IN ('error', 'n/a', 'none') THEN event_type END AS kind FROM events")

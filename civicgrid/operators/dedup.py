@@ -20,6 +20,7 @@ from civicgrid.functions import text as T
 from civicgrid.operators.directory import PEOPLE_SQL, RECORDS_SQL, people, records
 from civicgrid.operators.records import SEPARATOR, joined, known_text
 from civicgrid.operators.registry import Registry
+from civicgrid.sources.store import settled
 
 registry = Registry()
 R, P = f"WITH {RECORDS_SQL}", f"WITH {PEOPLE_SQL}"
@@ -199,8 +200,8 @@ def community_candidates(rows: DataFrame, threshold: float = 0.85, changed: Data
 
     Only pairs with a key of ``changed``, and groups of ``addresses`` (city, url), if these are given.
     """
-    keyed = rows.withColumns({"key": T.record_key("c", F.col("name"), F.col("city"), F.col("topic")), "ord": F.struct("topic", "id"), "rich": richness(rows.columns), "clean": T.strip_articles(without_city(F.col("name"), F.col("city")))})
-    keyed = keyed.select("city", "ord", "key", "topic", "rich", "website", "clean")
+    keyed = T.with_record_key(rows, "c", ["name", "city", "topic"]).withColumns({"ord": F.struct("topic", "id"), "rich": richness(rows.columns), "clean": T.strip_articles(without_city(F.col("name"), F.col("city")))})
+    keyed = settled(keyed.select("city", "ord", "key", "topic", "rich", "website", "clean"), "names")  # read several times
     by_url = url_members(at_addresses(keyed, addresses), "topic").select("winner", "loser", F.lit(1.0).alias("similarity"), F.lit("url_match").alias("signal"))
     a, b = F.col("a.clean"), F.col("b.clean")
     same_site = (T.normal_url(F.col("a.website")) == T.normal_url(F.col("b.website"))) & (T.normal_url(F.col("a.website")) != "")
@@ -212,7 +213,8 @@ def community_candidates(rows: DataFrame, threshold: float = 0.85, changed: Data
 
 def venue_candidates(rows: DataFrame, threshold: float = 0.85, changed: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
     """Venues (id, name, city and fields) of one city: by address as groups, by name as pairs; ``changed`` and ``addresses`` as for communities."""
-    keyed = rows.withColumns({"key": T.record_key("v", F.col("name"), F.col("city")), "ord": F.struct("id"), "rich": richness(rows.columns), "clean": T.strip_articles(F.col("name"))}).select("city", "ord", "key", "rich", "website", "clean")
+    keyed = T.with_record_key(rows, "v", ["name", "city"]).withColumns({"ord": F.struct("id"), "rich": richness(rows.columns), "clean": T.strip_articles(F.col("name"))})
+    keyed = settled(keyed.select("city", "ord", "key", "rich", "website", "clean"), "names")  # read several times
     by_url = url_members(at_addresses(keyed, addresses), None).select("winner", "loser", F.lit(1.0).alias("similarity"), F.lit("url_match").alias("signal"))
     a, b = F.col("a.clean"), F.col("b.clean")
     same_site = (T.normal_url(F.col("a.website")) == T.normal_url(F.col("b.website"))) & (T.normal_url(F.col("a.website")) != "")
@@ -222,7 +224,8 @@ def venue_candidates(rows: DataFrame, threshold: float = 0.85, changed: DataFram
 
 def people_candidates(rows: DataFrame, threshold: float = 0.9, communities: float = 0.7, changed: DataFrame | None = None) -> DataFrame:
     """People of one city whose names and whose communities' names are alike; ``changed`` as for communities."""
-    keyed = rows.withColumns({"key": T.record_key("p", F.col("name"), F.col("city"), F.col("role"), F.col("community_name")), "ord": F.struct("id"), "rich": richness(rows.columns), "clean": T.strip_articles(F.col("name")), "group": T.strip_articles(F.col("community_name"))}).select("city", "ord", "key", "rich", "clean", "group")
+    keyed = T.with_record_key(rows, "p", ["name", "city", "role", "community_name"]).withColumns({"ord": F.struct("id"), "rich": richness(rows.columns), "clean": T.strip_articles(F.col("name")), "group": T.strip_articles(F.col("community_name"))})
+    keyed = settled(keyed.select("city", "ord", "key", "rich", "clean", "group"), "names")  # read several times
     a, b, x, y = F.col("a.clean"), F.col("b.clean"), F.col("a.group"), F.col("b.group")
     pairs = close_pairs(flagged(keyed, changed), threshold, None).filter(shared_characters(x, y) >= communities)
     scored = pairs.withColumns({"ratio": T.sequence_ratio(a, b), "groups": T.sequence_ratio(x, y)}).filter((F.col("ratio") >= threshold) & (F.col("groups") >= communities))
@@ -303,7 +306,7 @@ def pair_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add()
 def saved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The directory after a run brought in some pairs anew."""
-    rows = records(spark, sf_dir).withColumn("key", T.record_key("c", F.col("name"), F.col("city"), F.col("topic"))).dropDuplicates(["key"])
+    rows = T.with_record_key(records(spark, sf_dir), "c", ["name", "city", "topic"]).dropDuplicates(["key"])
     rows = rows.select("key", "id", "name", "city", "topic", "website", "description", "social_links", "hidden")
     incoming = rows.filter("id % 3 = 1 AND topic = 'ECONOMY'").withColumns({"website": F.lit("http://new.example"), "hidden": F.lit(False)})
     return save_pairs(rows.filter("id % 3 <> 2"), incoming).select("key", "id", "hidden", "website")
@@ -394,7 +397,7 @@ def still_valid(candidates: DataFrame, rows: DataFrame, threshold: float = 0.85)
 
 def detect_all(known: DataFrame, communities: DataFrame, venues: DataFrame, persons: DataFrame) -> DataFrame:
     """The candidates table after a scan: stale ones dismissed, then what the three detectors find brought in."""
-    keyed = communities.select(T.record_key("c", F.col("name"), F.col("city"), F.col("topic")).alias("key"), "name", "city", "website")
+    keyed = T.with_record_key(communities, "c", ["name", "city", "topic"]).select("key", "name", "city", "website")
     kept = still_valid(known.filter("entity = 'community'"), keyed).unionByName(known.filter("entity <> 'community'"))
     found = [df.withColumn("entity", F.lit(e)) for e, df in (("community", community_candidates(communities)), ("venue", venue_candidates(venues)), ("person", people_candidates(persons)))]
     every = found[0].unionByName(found[1]).unionByName(found[2]).withColumn("id", F.lit(None).cast("long"))
@@ -524,7 +527,7 @@ key_sql = lambda n, c, t: f"'c2:' || left(sha256(lower(regexp_replace(trim({n}),
 
 
 def _by_identity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = records(spark, sf_dir).withColumn("key", T.record_key("c", F.col("name"), F.col("city"), F.col("topic")))
+    rows = T.with_record_key(records(spark, sf_dir), "c", ["name", "city", "topic"])
     one = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter("n = 1").drop("n")
     value = F.when(F.col("id") % 5 == 0, "Brand#7").when(F.col("id") % 5 == 1, "ECONOMY").otherwise("small ring")
     change = F.element_at(F.array(*map(F.lit, ("wrong_city", "wrong_topic", "name_correction", "archive", "typo"))), (F.col("id") % 5 + 1).cast("int"))

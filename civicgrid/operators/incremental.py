@@ -111,7 +111,7 @@ COLUMNS = ["city", "key", "id", "name", "topic", "website", "description", "meet
 
 def saved_store(spark: SparkSession, sf_dir: str) -> BucketedStore:
     """The directory in a store: a first version, a second one after a run that changes addresses and hides records, a third one without some."""
-    rows = records(spark, sf_dir).withColumn("key", T.record_key("c", F.col("name"), F.col("city"), F.col("topic")))
+    rows = T.with_record_key(records(spark, sf_dir), "c", ["name", "city", "topic"])
     first = rows.groupBy("key").agg(F.min_by(F.struct(*[c for c in COLUMNS if c != "key"]), "id").alias("r")).select("key", "r.*").select(*COLUMNS)
     store = BucketedStore.create(spark, scratch(spark, "directory"), first.schema, ["city", "key"], 16, ["city"])
     first = settled(first, "records")

@@ -7,15 +7,18 @@ goes to a small matching in Python.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from civicgrid.functions import text as T
 from civicgrid.operators.registry import Registry
 from civicgrid.operators.roles import table
+from civicgrid.sources.store import settled
 
 registry = Registry()
 
@@ -42,8 +45,13 @@ def generic_words(names: DataFrame, column: str, share: float = 0.1) -> DataFram
     return seed.union(document_frequency(names, column).filter(F.col("df") >= max(2, int(n * share))).select("token")).distinct()
 
 
-def words(name: str) -> list[str]:
-    return [t for t in re.split("[^a-z0-9]+", T.fold_accents(name)) if t]
+#: Names, and pairs of names, of which a worker remembers what it found: directories repeat them.
+REMEMBERED = 1 << 16
+
+
+@lru_cache(REMEMBERED)
+def words(name: str) -> tuple[str, ...]:
+    return tuple(t for t in re.split("[^a-z0-9]+", T.fold_accents(name)) if t)
 
 
 class SameName:
@@ -71,9 +79,13 @@ class SameName:
         return not rest or all(map(self.says_nothing, rest)) and self.says_enough(name, small)
 
 
-def most_pairs(left: list[str], right: list[str], same: SameName) -> int:
+def most_pairs(left: list[str], right: list[str], same: Callable[[str, str], bool]) -> int:
     """Size of a maximum matching of two lists of names."""
     fits = [[j for j, b in enumerate(right) if same(a, b)] for a in left]
+    # where no name has a choice, the names that have a partner are the matching
+    wanted = [f[0] for f in fits if f]
+    if all(len(f) < 2 for f in fits) and len(set(wanted)) == len(wanted):
+        return len(wanted)
     partner: dict[int, int] = {}
 
     def free(i: int, tried: set[int]) -> bool:
@@ -90,35 +102,41 @@ def most_pairs(left: list[str], right: list[str], same: SameName) -> int:
 def pair_counter(same: SameName):
     @F.pandas_udf(LongType())
     def count(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([0 if a is None or b is None else most_pairs(list(a), list(b), same) for a, b in zip(left, right, strict=True)], dtype="int64")
+        known = lru_cache(REMEMBERED)(same)
+        return pd.Series([0 if a is None or b is None else most_pairs(a.tolist(), b.tolist(), known) for a, b in zip(left, right, strict=True)], dtype="int64")
 
     return count
 
 
-def distinct_names(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The first spelling (by ``place``) of each name of a list: ``keys``, name_key, name."""
-    keyed = rows.withColumn("name_key", T.match_key(T.folded("name")))
-    return keyed.groupBy(*keys, "name_key").agg(F.min_by("name", "place").alias("name"))
+def keyed_names(*lists: DataFrame) -> DataFrame:
+    """name and name_key of the different names in some lists: each is folded once, however many rows have it."""
+    names = settled(reduce(DataFrame.union, [rows.select("name").filter("name IS NOT NULL").distinct() for rows in lists]).distinct(), "names")
+    return settled(T.split_by_letters(names, T.name_key, ["name"], lambda df, way: df.select("name", way(F.col("name")).alias("name_key"))), "name-keys")
 
 
 def page_scores_of(expected: DataFrame, got: DataFrame, same: SameName) -> DataFrame:
     """page, model and score for each answered page: 20, 50 x recall and 30 x precision.
 
     ``expected``: page, place, name; ``got``: model, page, place, name, a row of a null
-    name for an answer without any. Both lists count each name once. Where all names
-    of a side have their equal on the other, the matching is known; only other
-    pages are matched by ``same``.
+    name for an answer without any. Both lists count each name once, as it is spelled
+    first. Where all names of a side have their equal on the other, the matching is
+    known; only other pages are matched by ``same``. All lists of a page meet once.
     """
-    want = distinct_names(expected, ["page"])
-    answers = got.select("model", "page").distinct()
-    have = distinct_names(got.filter(F.col("name").isNotNull()), ["model", "page"])
-    asked = answers.join(want, "page").withColumn("wanted", F.lit(True))
-    both = asked.join(have.withColumnRenamed("name", "found"), ["model", "page", "name_key"], "full_outer")
-    sides = both.groupBy("model", "page").agg(F.count("name").alias("n_want"), F.count("found").alias("n_got"), F.count_if(F.col("name").isNotNull() & F.col("found").isNotNull()).alias("equal"), F.sort_array(F.collect_list("name")).alias("left"), F.sort_array(F.collect_list("found")).alias("right"))
-    zero = F.lit(0).cast("long")
-    counts = answers.join(sides, ["model", "page"], "left").withColumns({c: F.coalesce(c, zero) for c in ("n_want", "n_got", "equal")})
+    columns = ["page", "model", "place", "name"]
+    both = expected.withColumn("model", F.lit(None).cast(got.schema["model"].dataType)).select(*columns).unionByName(got.select(*columns))
+    lists = both.join(keyed_names(expected, got), "name", "left").groupBy("page").agg(F.sort_array(F.collect_list(F.struct("place", "model", "name_key", "name"))).alias("all"))
+    each = lists.withColumn("model", F.explode(F.array_distinct(F.filter(F.transform("all", lambda x: x["model"]), lambda m: m.isNotNull()))))
+
+    def first(wanted) -> Column:
+        """The first spelling of each name among some of a page's names."""
+        some = F.filter("all", lambda x: wanted(x) & x["name_key"].isNotNull())
+        return F.filter(some, lambda x, i: F.array_position(F.transform(some, lambda y: y["name_key"]), x["name_key"]) == i + 1)
+
+    named = each.select("model", "page", first(lambda x: x["model"].isNull()).alias("want"), first(lambda x: x["model"] == F.col("model")).alias("have"))
+    part = lambda side, field: F.transform(side, lambda x: x[field])
+    counts = named.select("model", "page", F.size("want").cast("long").alias("n_want"), F.size("have").cast("long").alias("n_got"), F.size(F.array_intersect(part("want", "name_key"), part("have", "name_key"))).cast("long").alias("equal"), part("want", "name").alias("left"), part("have", "name").alias("right"))
     open_sides = F.col("equal") < F.least("n_want", "n_got")
-    counts = counts.withColumns({c: F.when(open_sides, F.col(c)) for c in ("left", "right")})
+    counts = counts.withColumns({c: F.when(open_sides, F.sort_array(c)) for c in ("left", "right")})
     pairs = F.when(open_sides, pair_counter(same)("left", "right")).otherwise(F.col("equal"))
     recall = F.try_divide(pairs, F.col("n_want"))
     precision = F.least(F.lit(1.0), F.coalesce(F.try_divide(pairs, F.col("n_got")), F.lit(0.0)))
@@ -157,15 +175,17 @@ def generic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as pages, their parts as names; each return flag is a model that found what it returned, A in capitals."""
+    """Orders as pages, their parts as names; each return flag is a model that found what it returned: A in capitals, N some in a longer form, R some in two words."""
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     name = F.concat(F.lit("Team "), F.replace("p_brand", F.lit("Brand#"), F.lit("no")), F.lit(" "), F.chr(F.col("l_partkey") % 26 + 97), F.lit("ab"))
     rows = items.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("place"), name.alias("name"), F.col("l_returnflag").alias("model"))
-    return rows.select("page", "place", "name"), rows.select("model", "page", "place", F.when(F.col("model") == "A", F.upper("name")).otherwise(F.col("name")).alias("name"))
+    longer = F.when((F.col("model") == "N") & (F.col("place") % 2 == 0), F.concat("name", F.lit(" Sportverein"))).when((F.col("model") == "R") & (F.col("place") % 3 == 0), F.concat(F.lit("The-"), "name")).otherwise(F.col("name"))
+    return rows.select("page", "place", "name"), rows.select("model", "page", "place", F.when(F.col("model") == "A", F.upper("name")).otherwise(longer).alias("name"))
 
 
-_PAIRS = """WITH i AS (SELECT l_orderkey AS page, l_returnflag AS model, 'team ' || replace(p_brand, 'Brand#', 'no') || ' ' || chr(CAST(l_partkey % 26 + 97 AS INTEGER)) || 'ab' AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
-w AS (SELECT page, count(DISTINCT name) AS n FROM i GROUP BY page), g AS (SELECT model, page, count(DISTINCT name) AS n FROM i GROUP BY ALL), s AS (SELECT model, g.page, 20 + 50 * g.n / w.n + 30 AS score FROM g JOIN w ON w.page = g.page)"""
+_PAIRS = """WITH i AS (SELECT l_orderkey AS page, l_returnflag AS model, 'team ' || replace(p_brand, 'Brand#', 'no') || ' ' || chr(CAST(l_partkey % 26 + 97 AS INTEGER)) || 'ab' AS name, CASE WHEN l_returnflag = 'N' AND l_linenumber % 2 = 0 THEN 'longer' WHEN l_returnflag = 'R' AND l_linenumber % 3 = 0 THEN 'other' ELSE '' END AS form FROM lineitem JOIN part ON l_partkey = p_partkey),
+w AS (SELECT page, count(DISTINCT name) AS n FROM i GROUP BY page), g AS (SELECT model, page, count(DISTINCT name || form) AS n, count(DISTINCT name) FILTER (form <> 'other') AS pairs FROM i GROUP BY ALL),
+s AS (SELECT model, g.page, 20 + 50 * pairs / w.n + 30 * least(1.0, pairs / g.n) AS score FROM g JOIN w ON w.page = g.page)"""
 
 
 @registry.add(f"{_PAIRS} SELECT model, page, CAST(score AS DOUBLE) AS score FROM s")

@@ -106,7 +106,7 @@ def full_pass(urls: DataFrame, pages: DataFrame, stored: DataFrame, current: str
     """
     states = page_states(pair_pages(urls, pages), current, answers)
     rows = extracted(states)
-    keyed = rows.withColumns({"key": T.record_key("c", F.col("name"), F.col("city"), F.col("topic")), "hidden": F.lit(False)})
+    keyed = T.with_record_key(rows, "c", ["name", "city", "topic"]).withColumn("hidden", F.lit(False))
     one = keyed.groupBy("key").agg(F.min_by(F.struct(*[c for c in keyed.columns if c != "key"]), "url").alias("r")).select("key", "r.*")
     if helpers is not None:
         one = first_help(one, helpers)
