@@ -8,15 +8,18 @@ its stored results.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicgrid.functions import text as T
 from civicgrid.operators.dedup import save_pairs
-from civicgrid.operators.records import clean_communities, output_rows, output_state
+from civicgrid.operators.lifecycle import leaders_as_people, upsert_records, without_stale_leaders
+from civicgrid.operators.records import clean_communities, clean_people, clean_venues, joined, output_rows, output_state
 from civicgrid.operators.registry import Registry
 from civicgrid.operators.roles import table
+from civicgrid.sources.store import settled
 
 registry = Registry()
 MAX_PAGES = 3
@@ -81,10 +84,16 @@ def after_rounds(pages: DataFrame, answers: DataFrame, stops: DataFrame, rounds:
 
 
 def extracted(states: DataFrame) -> DataFrame:
-    """Valid, joinable records of the usable pages that are sure enough: pair, url and the record's fields."""
-    rows = output_rows(states.filter(F.col("state").isin("hit", "ok")).select("pair", "url", "city", "topic", "body"), "communities")
-    valid = clean_communities(rows.withColumns({"source_url": F.col("url"), "source_urls": F.array("url")}))
-    return valid.filter(F.col("joinable") & (F.coalesce("confidence", F.lit(0.0)) >= CONFIDENCE))
+    """Valid, joinable records of the usable pages: pair, url, the page's state and the record's fields."""
+    rows = output_rows(states.filter(F.col("state").isin("hit", "ok")).select("pair", "url", "city", "topic", "state", "body"), "communities")
+    valid = clean_communities(rows.withColumns({"source_url": F.col("url").cast("string"), "source_urls": F.array(F.col("url").cast("string"))}))
+    return valid.filter("joinable")
+
+
+def needs_help(record: str = "") -> Column:
+    """A record is worth a search of its own: sure enough, and with neither address nor contact nor links."""
+    empty = lambda c: F.coalesce(F.col(f"{record}{c}"), F.lit("")) == ""
+    return (F.coalesce(F.col(f"{record}confidence"), F.lit(0.0)) >= CONFIDENCE) & empty("website") & empty("contact") & (F.coalesce(F.size(f"{record}social_links"), F.lit(0)) <= 0)
 
 
 def first_help(records: DataFrame, results: DataFrame) -> DataFrame:
@@ -99,18 +108,85 @@ def first_help(records: DataFrame, results: DataFrame) -> DataFrame:
     return both.withColumns(filled).select(*records.columns)
 
 
-def full_pass(urls: DataFrame, pages: DataFrame, stored: DataFrame, current: str, answers: DataFrame, helpers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(the directory after the pass, its page states): pages of the pairs, extraction through the cache, gates, perhaps enrichment, saving.
+@dataclass
+class Directory:
+    """The tables that a pass reads and writes anew."""
+
+    communities: DataFrame
+    venues: DataFrame
+    people: DataFrame
+    pages: DataFrame
+
+
+#: What each kind of extraction leaves on its page.
+MARKS = {"communities": "fingerprint", "venues": "venue_fingerprint", "persons": "person_fingerprint"}
+
+
+def due_pages(states: DataFrame, named: DataFrame, kind: str, current: dict[str, str], answers: dict[str, DataFrame]) -> DataFrame:
+    """Pages (once each) with a community whose ``kind`` isn't extracted under the current fingerprint, with the answer's body and state."""
+    once = states.select("url", "city", "topic", MARKS[kind]).dropDuplicates(["url"]).join(named.select("url").distinct(), "url", "left_semi")
+    due = once.filter(~F.coalesce(F.col(MARKS[kind]) == current[kind], F.lit(False)))
+    return due.join(answers[kind].select("url", "body"), "url").withColumn("state", output_state(F.col("body"), kind))
+
+
+def one_of_each(rows: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
+    """``rows`` with their record key, the one of the first address for each."""
+    keyed = T.with_record_key(rows, prefix, columns)
+    others = [c for c in keyed.columns if c != "key"]
+    return keyed.groupBy("key").agg(F.min_by(F.struct(*others), F.struct("source_url", "name")).alias("r")).select("key", "r.*")
+
+
+def fitted(rows: DataFrame, like: DataFrame) -> DataFrame:
+    return rows.select(*[c for c in like.columns if c in rows.columns])
+
+
+def sourced(pages: DataFrame, kind: str) -> DataFrame:
+    """The items of the pages' usable answers, each with its page as source."""
+    rows = output_rows(pages.filter(F.col("state") == "ok").select("url", "city", "topic", "body"), kind)
+    return rows.withColumns({"source_url": F.col("url").cast("string"), "source_urls": F.array(F.col("url").cast("string"))})
 
-    Without ``helpers`` it is the pass over cached pages alone, which enriches nothing.
+
+def full_pass(urls: DataFrame, old: Directory, current: dict[str, str], answers: dict[str, DataFrame], now: str, helpers: DataFrame | None = None) -> tuple[Directory, DataFrame]:
+    """(the directory after the pass, the states of its pages).
+
+    The pages of the pairs are extracted through the cache. Joinable records stay; new
+    ones that are sure enough and lack something are helped by ``helpers``, without which
+    it is the pass over cached pages alone. Pages that name a community give venues and
+    people. Leaders that communities name replace those of earlier passes: all leaders of
+    a community that names some, else only those that a leader field gave. ``current``
+    and ``answers`` (url, body) go by communities, venues and persons.
     """
-    states = page_states(pair_pages(urls, pages), current, answers)
-    rows = extracted(states)
-    keyed = T.with_record_key(rows, "c", ["name", "city", "topic"]).withColumn("hidden", F.lit(False))
-    one = keyed.groupBy("key").agg(F.min_by(F.struct(*[c for c in keyed.columns if c != "key"]), "url").alias("r")).select("key", "r.*")
+    states = settled(page_states(pair_pages(urls, old.pages), current["communities"], answers["communities"]), "states")
+    records = settled(extracted(states), "records")
+    venue_pages, people_pages = (due_pages(states, records, kind, current, answers) for kind in ("venues", "persons"))
+    found = one_of_each(records, "c", ["name", "city", "topic"]).withColumn("hidden", F.lit(False))
     if helpers is not None:
-        one = first_help(one, helpers)
-    return save_pairs(stored, one.select(*[c for c in stored.columns if c in one.columns])), states
+        wanting = (F.col("state") == "ok") & needs_help()
+        found = settled(found, "found")
+        found = first_help(found.filter(wanting), helpers).unionByName(found.filter(~wanting))
+    venues = one_of_each(clean_venues(sourced(venue_pages, "venues")), "v", ["name", "city"])
+    identity = ["name", "city", "role", "community_name"]
+    people = one_of_each(clean_people(sourced(people_pages, "persons")).withColumn("origin", F.lit(None).cast("string")), "p", identity)
+    leaders = one_of_each(leaders_as_people(records), "p", identity)
+    with_people = upsert_records(old.people, fitted(people, old.people), now)
+    named = records.select("city", F.col("name").alias("community_name")).distinct()
+    leading = leaders.select("city", "community_name").distinct()
+    cleared = without_stale_leaders(without_stale_leaders(with_people, leading), named.join(leading, ["city", "community_name"], "left_anti"), True)
+    done = {kind: pages.filter(F.col("state").isin("ok", "empty")).select("url").distinct().withColumn(f"_{kind}", F.lit(True)) for kind, pages in (("communities", states), ("venues", venue_pages), ("persons", people_pages))}
+    marked = old.pages
+    for kind, urls_done in done.items():
+        marked = marked.join(urls_done, "url", "left").withColumn(MARKS[kind], F.when(F.col(f"_{kind}"), current[kind]).otherwise(F.col(MARKS[kind])))
+    after = Directory(save_pairs(old.communities, fitted(found, old.communities)), upsert_records(old.venues, fitted(venues, old.venues), now), upsert_records(cleared, fitted(leaders, old.people), now), marked.select(*old.pages.columns))
+    return after, states
+
+
+def record_pass(key: str, old: Directory, current: dict[str, str], answers: dict[str, DataFrame], now: str) -> tuple[Directory, DataFrame]:
+    """A pass over the sources of one community alone, whose pages are extracted again whatever their cache holds."""
+    sources = old.communities.filter(F.col("key") == key).select(F.col("key").alias("pair"), F.posexplode(F.array_distinct(F.concat(F.array("source_url"), F.coalesce("source_urls", F.array().cast("array<string>"))))).alias("pos", "url"))
+    urls = sources.select("pair", "pos", F.col("url").cast(old.pages.schema["url"].dataType).alias("url"))
+    fresh = old.pages.join(urls.select("url").distinct().withColumn("_again", F.lit(True)), "url", "left")
+    forced = fresh.withColumns({m: F.when(F.col("_again").isNull(), F.col(m)) for m in MARKS.values()}).select(*old.pages.columns)
+    return full_pass(urls, Directory(old.communities, old.venues, old.people, forced), current, answers, now)
 
 
 def enrichment_batch(rows: DataFrame, results: DataFrame, limit: int, valid: Callable[[Column, Column], Column]) -> DataFrame:
@@ -125,55 +201,110 @@ def enrichment_batch(rows: DataFrame, results: DataFrame, limit: int, valid: Cal
 
 # the given tables in these roles ------------------------------------------------
 
-CURRENT = "fp1"
+CURRENT = {"communities": "fp1", "venues": "vf1", "persons": "pf1"}
+NOW = "2026-02-01"
 
 
 def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("pair"), (F.col("l_linenumber") * 10 + F.col("l_partkey") % 10).alias("pos"), F.col("l_partkey").alias("url"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair"), (F.col("l_linenumber") * 10 + F.col("l_partkey") % 10).alias("pos"), F.col("l_partkey").alias("url"))
 
 
 def _body(name: Column, tag: str) -> Column:
-    item = F.struct(name.alias("name"), (F.col("p_size") % 10 / 10 + 0.1).alias("confidence"), (F.col("p_partkey") % 6 > 0).alias("joinable"), F.lit(tag).alias("fee"))
+    item = F.struct(name.alias("name"), (F.col("p_size") % 10 / 10 + 0.1).alias("confidence"), (F.col("p_partkey") % 6 > 0).alias("joinable"), F.lit(tag).alias("fee"), F.when(F.col("p_partkey") % 5 < 2, F.concat(F.lit("Éva Nagy; Bo "), F.initcap(F.element_at(F.split("p_name", " "), 1)))).alias("leader"))
     return F.to_json(F.struct(F.array(item).alias("communities")))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(k.alias("url"), F.col("p_brand").alias("city"), F.col("p_type").alias("topic"), F.repeat("p_name", (k % 5).cast("int")).alias("text"), F.concat(F.lit("fp"), k % 3).alias("fingerprint"), F.when(k % 4 > 0, _body(F.concat(F.lit("Cached "), "p_name"), "old")).alias("records"))
+    return table(spark, sf_dir, "part").select(k.alias("url"), F.col("p_brand").alias("city"), F.col("p_type").alias("topic"), F.repeat("p_name", (k % 5).cast("int")).alias("text"), F.concat(F.lit("fp"), k % 3).alias("fingerprint"), F.when(k % 4 > 0, _body(F.concat(F.lit("Cached "), "p_name"), "old")).alias("records"), F.when(k % 5 == 0, "vf1").when(k % 5 == 1, "vf0").alias("venue_fingerprint"), F.when(k % 6 == 1, "pf1").alias("person_fingerprint"))
 
 
-def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
+def _answers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     body = F.when(k % 8 == 1, "oops").when(k % 8 == 2, "{}").otherwise(_body(F.concat(F.lit("New "), "p_name"), "new"))
-    return table(spark, sf_dir, "part").filter("p_partkey % 7 <> 0").select(k.alias("url"), body.alias("body"))
+    said = lambda text, n: F.concat(F.lit(text), F.col("p_size") % n)
+    venues = F.to_json(F.struct(F.array(F.struct(said("Hall ", 5).alias("name"), F.concat(F.lit("Main street "), k).alias("address")), F.struct(said("Yard ", 3).alias("name"), F.lit("n/a").alias("address"))).alias("venues")))
+    persons = F.to_json(F.struct(F.array(F.struct(said("Ana Kis ", 4).alias("name"), F.lit("coach").alias("role"), F.concat(F.lit("New "), "p_name").alias("community_name")), F.struct(F.lit("Solo").alias("name"), F.lit("coach").alias("role"), F.lit("x").alias("community_name")), F.struct(F.lit("Ede Tar").alias("name"), F.lit("leader").alias("role"), F.concat(F.lit("New "), "p_name").alias("community_name"))).alias("persons")))
+    return {
+        "communities": part.filter("p_partkey % 7 <> 0").select(k.alias("url"), body.alias("body")),
+        "venues": part.filter("p_partkey % 9 <> 0").select(k.alias("url"), F.when(k % 10 == 3, "oops").otherwise(venues).alias("body")),
+        "persons": part.filter("p_partkey % 10 <> 0").select(k.alias("url"), persons.alias("body")),
+    }
+
+
+def _directory(spark: SparkSession, sf_dir: str) -> Directory:
+    """What earlier passes left: some of the same communities, hidden or not, halls of some cities, leaders of some communities."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    none, links = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    sources = F.array(F.concat(F.lit("old "), k))
+    kept = part.filter("p_partkey % 3 = 0").select(F.concat(F.lit("New "), "p_name").alias("name"), F.col("p_brand").alias("city"), F.col("p_type").alias("topic"), F.lit("http://kept.example").alias("website"), none.alias("contact"), links.alias("social_links"), k.cast("string").alias("source_url"), sources.alias("source_urls"), (k % 2 == 0).alias("hidden"))
+    communities = one_of_each(kept, "c", ["name", "city", "topic"])
+    halls = part.filter("p_size % 5 < 3").select(F.concat(F.lit("Hall "), F.col("p_size") % 5).alias("name"), F.col("p_brand").alias("city"), F.lit("kept").alias("address"), F.concat(F.lit("old "), k).alias("source_url"), sources.alias("source_urls"), F.lit("2025").alias("updated_at"))
+    leaders = part.filter("p_partkey % 4 = 0").select(F.lit("Old Leader").alias("name"), F.col("p_brand").alias("city"), F.when(k % 12 == 0, "coach").otherwise("leader").alias("role"), F.concat(F.lit("New "), "p_name").alias("community_name"), F.when(k % 8 == 0, "leader_field").alias("origin"), none.alias("bio"), F.concat(F.lit("old "), k).alias("source_url"), sources.alias("source_urls"), F.lit("2025").alias("updated_at"))
+    venues, people = one_of_each(halls, "v", ["name", "city"]), one_of_each(leaders, "p", ["name", "city", "role", "community_name"])
+    return Directory(communities, venues, people, _pages(spark, sf_dir))
+
+
+def _passed(spark: SparkSession, sf_dir: str) -> Directory:
+    k = F.col("p_partkey")
+    helpers = table(spark, sf_dir, "part").select(F.concat(F.lit("New "), "p_name").alias("name"), F.col("p_brand").alias("city"), F.col("p_type").alias("topic"), (k % 3).alias("pos"), F.lit("http://help.example").alias("website"), F.lit(None).cast("string").alias("contact"), F.lit(None).cast("array<string>").alias("social_links"))
+    helpers = T.with_record_key(helpers, "c", ["name", "city", "topic"]).drop("name", "city", "topic")
+    return full_pass(_urls(spark, sf_dir), _directory(spark, sf_dir), CURRENT, _answers(spark, sf_dir), NOW, helpers)[0]
 
 
-_STATES = f"""u AS (SELECT l_orderkey AS pair, l_partkey AS url, min(l_linenumber * 10 + l_partkey % 10) AS pos FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY pair ORDER BY pos, url) <= {MAX_PAGES}),
+_STATES = f"""u AS (SELECT l_orderkey AS pair, l_partkey AS url, min(l_linenumber * 10 + l_partkey % 10) AS pos FROM lineitem GROUP BY 1, 2), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY pair ORDER BY pos, url) <= {MAX_PAGES}),
 s AS (SELECT pair, pos, url, p.*, CASE WHEN url % 3 = 1 AND url % 4 > 0 THEN 'hit' WHEN url % 7 = 0 THEN 'deferred' WHEN url % 8 = 1 THEN 'failed' WHEN url % 8 = 2 THEN 'empty' ELSE 'ok' END AS state FROM f JOIN part p ON p_partkey = url WHERE length(p_name) * (url % 5) >= {MIN_TEXT})"""
 
 
 @registry.add(f"WITH {_STATES} SELECT pair, pos, url, state FROM s")
 def extraction_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each page of a run: from the cache, extracted, empty, failed or deferred."""
-    states = page_states(pair_pages(_urls(spark, sf_dir), _pages(spark, sf_dir)), CURRENT, _answers(spark, sf_dir))
+    states = page_states(pair_pages(_urls(spark, sf_dir), _pages(spark, sf_dir)), CURRENT["communities"], _answers(spark, sf_dir)["communities"])
     return states.select("pair", F.col("pos").cast("long").alias("pos"), "url", "state")
 
 
-@registry.add(f"""WITH {_STATES} SELECT pair, url, CASE state WHEN 'hit' THEN 'Cached ' ELSE 'New ' END || p_name AS name, p_brand AS city, p_type AS topic, CASE state WHEN 'hit' THEN 'old' ELSE 'new' END AS fee FROM s WHERE state IN ('hit', 'ok') AND url % 6 > 0 AND p_size % 10 / 10 + 0.1 >= {CONFIDENCE}""")
+@registry.add(f"""WITH {_STATES} SELECT pair, url, CASE state WHEN 'hit' THEN 'Cached ' ELSE 'New ' END || p_name AS name, p_brand AS city, p_type AS topic, CASE state WHEN 'hit' THEN 'old' ELSE 'new' END AS fee FROM s WHERE state IN ('hit', 'ok') AND url % 6 > 0""")
 def gated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of the same run that pass its gates."""
-    states = page_states(pair_pages(_urls(spark, sf_dir), _pages(spark, sf_dir)), CURRENT, _answers(spark, sf_dir))
+    states = page_states(pair_pages(_urls(spark, sf_dir), _pages(spark, sf_dir)), CURRENT["communities"], _answers(spark, sf_dir)["communities"])
     return extracted(states).select("pair", "url", "name", "city", "topic", "fee")
 
 
 @registry.add()
 def full_pass_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The directory after a full pass."""
-    columns = "key string, name string, city string, topic string, website string, contact string, social_links array<string>, source_url string, hidden boolean"
-    stored = spark.createDataFrame([], columns)
-    helpers = table(spark, sf_dir, "part").select(T.record_key("c", F.concat(F.lit("New "), "p_name"), F.col("p_brand"), F.col("p_type")).alias("key"), (F.col("p_partkey") % 3).alias("pos"), F.lit("http://help.example").alias("website"), F.lit(None).cast("string").alias("contact"), F.lit(None).cast("array<string>").alias("social_links"))
-    after, _ = full_pass(_urls(spark, sf_dir), _pages(spark, sf_dir), stored, CURRENT, _answers(spark, sf_dir), helpers)
-    return after.select("key", "name", "city", "topic", "website")
+    """The communities after a full pass."""
+    return _passed(spark, sf_dir).communities.select("key", "name", "city", "topic", "website", "hidden")
+
+
+_NAMED = f"""{_STATES}, c AS (SELECT url, CASE state WHEN 'hit' THEN 'Cached ' ELSE 'New ' END || p_name AS name, p_brand AS city, p_type AS topic, any_value(p_name) AS p_name FROM s WHERE state IN ('hit', 'ok') AND url % 6 > 0 GROUP BY ALL), n AS (SELECT DISTINCT url FROM c)"""
+
+
+@registry.add(f"""WITH {_NAMED}, p AS (SELECT p_partkey AS url, p_brand AS city, p_size FROM part WHERE p_partkey IN (FROM n) AND p_partkey % 5 <> 0 AND p_partkey % 9 <> 0 AND p_partkey % 10 <> 3),
+i AS (SELECT 'Hall ' || (p_size % 5) AS name, city, 'Main street ' || url AS address, CAST(url AS VARCHAR) AS url FROM p UNION ALL SELECT 'Yard ' || (p_size % 3), city, NULL, CAST(url AS VARCHAR) FROM p), w AS (SELECT name, city, min(url) AS url, arg_min(struct_pack(a := address), url).a AS address FROM i GROUP BY ALL),
+o AS (SELECT 'Hall ' || (p_size % 5) AS name, p_brand AS city, min('old ' || p_partkey) AS url FROM part WHERE p_size % 5 < 3 GROUP BY ALL)
+SELECT coalesce(w.name, o.name) AS name, coalesce(w.city, o.city) AS city, CASE WHEN w.name IS NULL THEN 'kept' ELSE w.address END AS address, concat_ws(' | ', w.url, o.url) AS source_urls, CASE WHEN w.name IS NULL THEN '2025' ELSE '{NOW}' END AS updated_at FROM w FULL OUTER JOIN o ON o.name = w.name AND o.city = w.city""")
+def full_pass_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The venues after the same pass: those of pages that name a community join the stored ones."""
+    return _passed(spark, sf_dir).venues.select("name", "city", "address", joined("source_urls"), "updated_at")
+
+
+@registry.add(f"""WITH {_NAMED}, p AS (SELECT p_partkey AS url, p_brand AS city, p_size, p_name FROM part WHERE p_partkey IN (FROM n) AND p_partkey % 6 <> 1 AND p_partkey % 10 <> 0),
+e AS (SELECT DISTINCT 'Ana Kis ' || (p_size % 4) AS name, city, 'coach' AS role, 'New ' || p_name AS community_name FROM p UNION SELECT 'Ede Tar', city, 'leader', 'New ' || p_name FROM p),
+l AS (SELECT DISTINCT unnest(['Éva Nagy', 'Bo ' || upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2)]) AS name, city, 'leader' AS role, name AS community_name FROM c WHERE url % 5 < 2),
+o AS (SELECT 'Old Leader' AS name, p_brand AS city, CASE WHEN p_partkey % 12 = 0 THEN 'coach' ELSE 'leader' END AS role, 'New ' || p_name AS community_name, arg_min(struct_pack(a := CASE WHEN p_partkey % 8 = 0 THEN 'leader_field' END), 'old ' || p_partkey).a AS origin FROM part WHERE p_partkey % 4 = 0 GROUP BY ALL),
+b AS (SELECT name, city, role, community_name, NULL AS origin FROM e UNION ALL SELECT name, city, role, community_name, origin FROM o),
+k AS (SELECT * FROM b WHERE NOT (role = 'leader' AND (city, community_name) IN (SELECT (city, community_name) FROM l)) AND NOT (role = 'leader' AND origin IS NOT DISTINCT FROM 'leader_field' AND (city, community_name) IN (SELECT (city, name) FROM c)))
+SELECT * FROM k UNION ALL SELECT name, city, role, community_name, 'leader_field' FROM l""")
+def full_pass_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The people after the same pass: those of pages, and the leaders that communities name."""
+    return _passed(spark, sf_dir).people.select("name", "city", "role", "community_name", "origin")
+
+
+@registry.add(f"""WITH {_NAMED}, d AS (SELECT DISTINCT url FROM s WHERE state IN ('ok', 'empty')) SELECT p_partkey AS url, CASE WHEN p_partkey IN (FROM d) THEN 'fp1' ELSE 'fp' || (p_partkey % 3) END AS fingerprint,
+CASE WHEN p_partkey % 5 = 0 OR (p_partkey IN (FROM n) AND p_partkey % 9 <> 0 AND p_partkey % 10 <> 3) THEN 'vf1' WHEN p_partkey % 5 = 1 THEN 'vf0' END AS venue_fingerprint, CASE WHEN p_partkey % 6 = 1 OR (p_partkey IN (FROM n) AND p_partkey % 10 <> 0) THEN 'pf1' END AS person_fingerprint FROM part""")
+def full_pass_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page cache after the same pass: what was extracted is marked, what failed is tried again."""
+    return _passed(spark, sf_dir).pages.select("url", *MARKS.values())
 
 
 @registry.add("""WITH p AS (SELECT DISTINCT l_orderkey AS pair, l_partkey AS url FROM lineitem), a AS (SELECT l_orderkey AS pair, l_partkey AS url, l_linenumber % 4 + 1 AS attempt, CASE WHEN l_returnflag <> 'R' THEN 'answer ' || l_suppkey END AS body FROM lineitem WHERE l_linenumber % 5 > 0),
