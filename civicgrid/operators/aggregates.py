@@ -297,11 +297,12 @@ def covered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(spark, sf_dir).filter("score > 0").select("city", "topic").distinct()
 
 
-@registry.add(f"{C} SELECT city, topic, count(*) AS n, max(length(trim(description))) < 500 AS thin, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM communities WHERE NOT hidden GROUP BY ALL")
+@registry.add(f"{C} SELECT city, topic, id, count(*) OVER (PARTITION BY city, topic) AS n, max(length(trim(description))) OVER (PARTITION BY city, topic) < 500 AS thin FROM communities WHERE NOT hidden")
 def sitemap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with their records in order, and whether all of them are thin: one grouped query for the whole sitemap."""
+    """The records of the whole sitemap, each with how many its pair has and whether all of them are thin."""
     rows = communities(spark, sf_dir, text=True).filter(visible()).select("id", "city", "topic", F.length(F.trim("description")).alias("size"))
-    return rows.groupBy("city", "topic").agg(F.count("*").alias("n"), (F.max("size") < 500).alias("thin"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
+    groups = rows.groupBy("city", "topic").agg(F.count("*").alias("n"), (F.max("size") < 500).alias("thin"))
+    return rows.select("city", "topic", "id").join(groups, ["city", "topic"])
 
 
 @registry.add(f"{M} SELECT coalesce(city, 'all') AS city, coalesce(topic, 'all') AS topic, count(*) AS n FROM members GROUP BY CUBE (city, topic)")

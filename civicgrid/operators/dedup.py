@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicgrid.functions import text as T
+from civicgrid.operators.components import components
 from civicgrid.operators.directory import PEOPLE_SQL, RECORDS_SQL, people, records
 from civicgrid.operators.records import SEPARATOR, joined, known_text
 from civicgrid.operators.registry import Registry
@@ -265,21 +266,25 @@ def chosen(group: pd.DataFrame) -> pd.DataFrame:
 def representatives(rows: DataFrame, threshold: float = 0.88) -> DataFrame:
     """``rows`` (city, topic, place, name, website and fields) without those that another of the same city and topic stands for.
 
-    Names are compared without articles; only rows that are like another one meet in a task.
+    Names are compared without articles. A task gets the rows that chains of likeness or of one site connect.
     """
     pair = F.concat_ws("\x1f", "city", "topic")
     site = F.regexp_replace(F.coalesce("website", F.lit("")), "/+$", "")
-    keyed = rows.withColumns({"pair": pair, "rich": richness(rows.columns), "site": F.when(F.col("website") != "", site), "clean": T.strip_articles(F.col("name"))}).persist()  # read five times
+    keyed = rows.withColumns({"pair": pair, "rich": richness(rows.columns), "site": F.when(F.col("website") != "", site), "clean": T.strip_articles(F.col("name"))})
+    keyed = settled(keyed, "named-rows")  # read several times
     light = keyed.select(F.col("pair").alias("city"), F.col("place").alias("ord"), "clean")
     a, b = F.col("a.clean"), F.col("b.clean")
     holds = a.contains(b) | b.contains(a)
     alike = close_pairs(light, threshold, 1).filter(unless(holds, 1.0, b, a) > threshold)
-    linked = alike.select(F.col("city").alias("pair"), F.col("b.ord").alias("place"), F.col("a.ord").alias("earlier")).persist()
+    linked = settled(alike.select(F.col("city").alias("pair"), F.col("b.ord").alias("place"), F.col("a.ord").alias("earlier")), "alike")
     before = linked.groupBy("pair", "place").agg(F.collect_list("earlier").alias("before"))
-    sites = keyed.filter("site IS NOT NULL").groupBy("pair", "site").agg(F.count("*").alias("n")).filter("n > 1").select("pair", "site")
-    ends = linked.select("pair", "place").union(linked.select("pair", F.col("earlier").alias("place"))).union(keyed.join(sites, ["pair", "site"]).select("pair", "place")).distinct()
+    sites = keyed.filter("site IS NOT NULL").groupBy("pair", "site").agg(F.count("*").alias("n"), F.min("place").alias("earlier")).filter("n > 1")
+    by_site = keyed.join(sites, ["pair", "site"]).select("pair", "place", "earlier")
+    links = linked.select("pair", "place", "earlier").union(by_site)
+    groups = components(links.select(F.struct("pair", "place").alias("a"), F.struct("pair", F.col("earlier").alias("place")).alias("b")))
+    ends = settled(groups.select("id.pair", "id.place", F.col("root.place").alias("group")), "groups")
     some = keyed.select("pair", "place", F.col("rich").cast("long").alias("rich"), "site").join(ends, ["pair", "place"]).join(before, ["pair", "place"], "left").withColumn("before", F.coalesce("before", F.array().cast("array<long>")))
-    stand = some.groupBy("pair").applyInPandas(chosen, "pair string, place long")
+    stand = some.groupBy("pair", "group").applyInPandas(chosen, "pair string, place long")
     gone = ends.join(stand, ["pair", "place"], "left_anti")
     return keyed.join(gone, ["pair", "place"], "left_anti").select(*rows.columns)
 
@@ -467,6 +472,18 @@ def merge_entities(rows: DataFrame, merges: DataFrame, lists: list[str], texts:
     return kept.withColumns({**filled, **unions}).select(*rows.columns)
 
 
+def resolve_edits(edits: DataFrame, rows: DataFrame) -> DataFrame:
+    """``edits`` (name, city, topic of the record that was shown, and more) with the ``key`` of the record that they mean, of ``rows`` (key, name, city, topic).
+
+    That is the record of this identity, else the only one whose name and city agree by their match keys, else none.
+    """
+    exact = T.with_record_key(edits.drop("key"), "c", ["name", "city", "topic"], "_exact").join(rows.select(F.col("key").alias("_exact"), F.lit(True).alias("_there")), "_exact", "left")
+    loose = lambda df: T.split_by_letters(df, T.match_key, ["name", "city"], lambda part, way: part.withColumns({"_name": way(F.col("name")), "_city": way(F.col("city"))}))
+    only = loose(rows.select("key", "name", "city")).groupBy("_name", "_city").agg(F.count("*").alias("_n"), F.min("key").alias("_only")).filter("_n = 1").drop("_n")
+    both = loose(exact).join(only, ["_name", "_city"], "left")
+    return both.select(*[c for c in edits.columns if c != "key"], F.when(F.col("_there"), F.col("_exact")).otherwise(F.col("_only")).alias("key"))
+
+
 IDENTITY = {"wrong_city": "city", "wrong_topic": "topic", "name_correction": "name"}
 
 
@@ -531,7 +548,7 @@ def _by_identity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     one = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter("n = 1").drop("n")
     value = F.when(F.col("id") % 5 == 0, "Brand#7").when(F.col("id") % 5 == 1, "ECONOMY").otherwise("small ring")
     change = F.element_at(F.array(*map(F.lit, ("wrong_city", "wrong_topic", "name_correction", "archive", "typo"))), (F.col("id") % 5 + 1).cast("int"))
-    edits = one.filter("id % 40 < 5").withColumn("e", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id"))).select("key", change.alias("change"), value.alias("value"))
+    edits = one.filter("id % 40 < 5").select("key", change.alias("change"), value.alias("value"))
     return one.select("key", "id", "name", "city", "topic", "source_url", "source_urls", "hidden"), edits
 
 
@@ -544,4 +561,16 @@ def edit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_edits(*_by_identity(spark, sf_dir))[1]
 
 
+@registry.add(f"""{R}, k AS (SELECT *, {key_sql('name', 'city', 'topic')} AS key FROM records), o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) = 1),
+e AS (SELECT id AS edit, CASE WHEN id % 3 = 0 THEN upper(replace(name, ' ', '-')) ELSE name END AS name, city, CASE WHEN id % 2 = 0 THEN topic ELSE 'moved' END AS topic FROM o WHERE id % 4 < 3), x AS (SELECT *, {key_sql('name', 'city', 'topic')} AS exact FROM e),
+m AS (SELECT lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) AS n, lower(regexp_replace(city, '[^A-Za-z0-9]', '', 'g')) AS c, min(key) AS only FROM o GROUP BY ALL HAVING count(*) = 1)
+SELECT edit, CASE WHEN o.key IS NOT NULL THEN o.key ELSE m.only END AS key FROM x LEFT JOIN o ON o.key = exact LEFT JOIN m ON m.n = lower(regexp_replace(x.name, '[^A-Za-z0-9]', '', 'g')) AND m.c = lower(regexp_replace(x.city, '[^A-Za-z0-9]', '', 'g'))""")
+def resolved_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that edits mean, some of which were renamed or moved since."""
+    one = _by_identity(spark, sf_dir)[0]
+    name = F.when(F.col("id") % 3 == 0, F.upper(F.replace("name", F.lit(" "), F.lit("-")))).otherwise(F.col("name"))
+    edits = one.filter("id % 4 < 3").select(F.col("id").alias("edit"), name.alias("name"), "city", F.when(F.col("id") % 2 == 0, F.col("topic")).otherwise("moved").alias("topic"))
+    return resolve_edits(edits, one).select("edit", "key")
+
+
 QUERIES, ORACLE = registry.queries, registry.oracle

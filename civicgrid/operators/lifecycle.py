@@ -180,6 +180,19 @@ def invalidated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("url_hash", "data.extract_fingerprint", F.when(F.col("data.records").isNotNull(), F.size("data.records")).cast("long").alias("n_records"), F.length("data.raw_text").alias("n_text"), "data.person_fingerprint")
 
 
+@registry.add(f"""{PG} SELECT url_hash, CASE WHEN k % 5 = 1 THEN 'fp new' ELSE extract_fingerprint END AS extract_fingerprint, CASE WHEN k % 5 = 1 THEN 1 ELSE n_records END AS n_records, CASE WHEN k % 4 = 2 THEN 'helper' WHEN k % 5 <> 1 THEN enrich_model END AS enrich_model,
+  CASE WHEN k % 4 = 2 THEN (CASE WHEN k % 5 = 1 THEN 0 ELSE k % 7 END) + 1 WHEN k % 5 <> 1 THEN k % 7 END AS enrich_count, CASE WHEN k % 3 = 1 THEN 'pf new' ELSE person_fingerprint END AS person_fingerprint, CASE WHEN k % 3 = 1 THEN 'Ana Kis' WHEN k % 3 = 0 THEN p_name END AS person FROM pages_of""")
+def cache_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after the writes of each stage: an extraction, which empties what enrichment left; people; marks of enrichment, which count on."""
+    pages = cached_pages(spark, sf_dir)
+    number = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+    part = lambda df, n, rest, *fields: df.filter(number % n == rest).select("url_hash", F.struct(*fields).alias("data"))
+    saved = update_documents(pages, part(pages, 5, 1, F.array(F.lit("one")).alias("records"), F.lit("fp new").alias("extract_fingerprint")), ("enrich_model", "enrich_count"))
+    saved = update_documents(saved, part(saved, 3, 1, F.array(F.lit("Ana Kis")).alias("persons"), F.lit("pf new").alias("person_fingerprint")))
+    saved = update_documents(saved, part(saved, 4, 2, F.lit("helper").alias("enrich_model"), (F.coalesce("data.enrich_count", F.lit(0)) + 1).alias("enrich_count")))
+    return saved.select("url_hash", "data.extract_fingerprint", F.size("data.records").cast("long").alias("n_records"), "data.enrich_model", F.col("data.enrich_count").cast("long").alias("enrich_count"), "data.person_fingerprint", F.get("data.persons", F.lit(0)).alias("person"))
+
+
 # records ----------------------------------------------------------------------
 
 

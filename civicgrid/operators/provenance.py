@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicgrid.functions import text as T
 from civicgrid.operators.directory import RECORDS_SQL, records
 from civicgrid.operators.lifecycle import PG, cached_pages
 from civicgrid.operators.records import SEPARATOR, joined, known_text
+from civicgrid.operators.ranks import with_places
 from civicgrid.operators.registry import Registry
 from civicgrid.operators.roles import table
 
@@ -128,4 +129,26 @@ def slug_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cities_by_slug(rows)
 
 
+def related(rows: DataFrame, most: int = 6) -> DataFrame:
+    """city, place, name and total: the first ``most`` visible communities of each city, as a page of a venue or a person there shows them, and how many there are: the limit is the block's."""
+    named = rows.filter(~F.coalesce("hidden", F.lit(False)) & (F.trim("name") != "") & (F.trim("city") != ""))
+    first = named.withColumn("place", F.row_number().over(Window.partitionBy("city").orderBy("name", "id"))).filter(F.col("place") <= most)
+    return first.join(named.groupBy("city").agg(F.count("*").alias("total")), "city").select("city", F.col("place").cast("long").alias("place"), "id", "name", "total")
+
+
+@registry.add(f"WITH {RECORDS_SQL} SELECT city, row_number() OVER (PARTITION BY city ORDER BY name, id) AS place, id, name, count(*) OVER (PARTITION BY city) AS total FROM records WHERE NOT hidden QUALIFY place <= 6")
+def related_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages of venues and people show of their city."""
+    return related(records(spark, sf_dir))
+
+
+@registry.add(f"WITH {RECORDS_SQL}, n AS (SELECT id, CASE id % 3 WHEN 0 THEN translate(name, 'aeou', 'áéöü') WHEN 1 THEN upper(name) ELSE name END AS name FROM records) SELECT id, row_number() OVER (ORDER BY strip_accents(lower(name)), id) AS place FROM n")
+def folded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of names in one order, whatever their case and accents."""
+    k = F.col("id") % 3
+    rows = records(spark, sf_dir).select("id", F.when(k == 0, F.translate("name", "aeou", "áéöü")).when(k == 1, F.upper("name")).otherwise(F.col("name")).alias("name"))
+    folded = T.split_by_letters(rows, T.folded, ["name"], lambda df, way: df.select("id", way(F.col("name")).alias("folded")))
+    return with_places(folded, [F.col("folded"), F.col("id")]).select("id", "place")
+
+
 QUERIES, ORACLE = registry.queries, registry.oracle

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicgrid.sources.store import settled
+
 
 def with_places(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``rows`` with ``place`` from 1 on: ranges of the order are ranked by themselves, after the rows in earlier ranges.
@@ -13,7 +15,7 @@ def with_places(rows: DataFrame, order: list[Column]) -> DataFrame:
     """
     names = [f"_o{k}" for k in range(len(order))]
     keyed = rows.withColumns(dict(zip(names, order, strict=True)))
-    ranged = keyed.repartitionByRange(*names).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = settled(keyed.repartitionByRange(*names).withColumn("_part", F.spark_partition_id()), "ranges")  # read twice
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*names))

@@ -151,9 +151,9 @@ ODD = {"Brand#10": "oops {", "Brand#11": "[1]", "Brand#12": "{}", "Brand#13": '{
 
 
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An output for each city and shelf (id % 50): records as JSON, some fields as lists or objects, some outputs malformed."""
+    """An output for each city and 100 numbers (a shelf): records as JSON, some fields as lists or objects, some outputs malformed."""
     item = F.struct("id", "name", "website", "tags", F.struct(F.col("id").alias("from")).alias("fee"), F.array("topic", "city").alias("history"), F.when(F.col("id") % 4 == 0, F.lit("")).otherwise(F.col("topic")).alias("language"), (F.col("id") % 10 / 10).alias("confidence"), F.when(F.col("id") % 3 == 0, F.lit(False)).alias("joinable"))
-    rows = records(spark, sf_dir).groupBy("city", (F.col("id") % 50).alias("shelf")).agg(F.sort_array(F.collect_list(item)).alias("communities"))
+    rows = records(spark, sf_dir).groupBy("city", F.floor(F.col("id") / 100).alias("shelf")).agg(F.sort_array(F.collect_list(item)).alias("communities"))
     body = F.to_json(F.struct("communities"))
     for city, text in ODD.items():
         body = F.when(F.col("city") == city, F.lit(text)).otherwise(body)
@@ -163,7 +163,7 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _odd = ", ".join(f"'{c}'" for c in ODD)
 
 
-@registry.add(f"""{R} SELECT id % 50 AS shelf, city, row_number() OVER (PARTITION BY city, id % 50 ORDER BY id) - 1 AS pos, name, website, '{{"from":' || id || '}}' AS fee, topic || ', ' || city AS history, CASE WHEN id % 4 <> 0 THEN topic END AS language,
+@registry.add(f"""{R} SELECT id // 100 AS shelf, city, row_number() OVER (PARTITION BY city, id // 100 ORDER BY id) - 1 AS pos, name, website, '{{"from":' || id || '}}' AS fee, topic || ', ' || city AS history, CASE WHEN id % 4 <> 0 THEN topic END AS language,
   array_to_string(tags, '{SEPARATOR}') AS tags, (id % 10) / 10 AS confidence, id % 3 <> 0 AS joinable FROM records WHERE city NOT IN ({_odd})""")
 def model_output_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed rows from model output."""
@@ -171,7 +171,7 @@ def model_output_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("shelf", "city", F.col("pos").cast("long").alias("pos"), "name", "website", "fee", "history", "language", joined("tags"), "confidence", "joinable")
 
 
-@registry.add(f"""{R} SELECT DISTINCT city, id % 50 AS shelf, CASE city WHEN 'Brand#10' THEN 'invalid' WHEN 'Brand#11' THEN 'not an object' WHEN 'Brand#12' THEN 'empty' WHEN 'Brand#13' THEN 'no key' WHEN 'Brand#14' THEN 'not a list' ELSE 'ok' END AS state FROM records""")
+@registry.add(f"""{R} SELECT DISTINCT city, id // 100 AS shelf, CASE city WHEN 'Brand#10' THEN 'invalid' WHEN 'Brand#11' THEN 'not an object' WHEN 'Brand#12' THEN 'empty' WHEN 'Brand#13' THEN 'no key' WHEN 'Brand#14' THEN 'not a list' ELSE 'ok' END AS state FROM records""")
 def model_output_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which outputs can be used."""
     return model_outputs(spark, sf_dir).select("city", "shelf", output_state(F.col("body"), "communities").alias("state"))

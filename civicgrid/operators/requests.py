@@ -100,7 +100,7 @@ def public_url(url: Column) -> Column:
     named = host.contains(".") & (host != "localhost") & ~F.exists(F.array(*map(F.lit, LOCAL)), lambda e: host.endswith(e))
     in_range = (port == "") | (port.rlike("^[0-9]{1,5}$") & port.try_cast("int").between(1, 65535))
     ok = (F.length(url).between(1, 2048)) & ~url.rlike(r"[\s\x00-\x1f]") & (scheme != "") & (host != "") & ~net.contains("@") & in_range
-    return F.coalesce(ok & F.when(literal, global_address(host)).otherwise(named), F.lit(False))
+    return F.coalesce(ok & F.when(literal, global_address(F.when(literal, host))).otherwise(named), F.lit(False))
 
 
 _HOSTS = ("a.example", "localhost", "10.0.0.8", "8.8.8.8", "u:p@b.example", "c.example:80", "d.example:99999", "e", "f.local", "[::1]", "[2001:4860:4860::8888]", "G.Example.", "h.example:x")

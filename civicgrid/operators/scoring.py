@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from civicgrid.functions import text as T
+from civicgrid.operators.directory import RECORDS_SQL, records
 from civicgrid.operators.registry import Registry
 from civicgrid.operators.roles import table
 from civicgrid.sources.store import settled
@@ -38,11 +39,16 @@ def document_frequency(names: DataFrame, column: str) -> DataFrame:
 
 def generic_words(names: DataFrame, column: str, share: float = 0.1) -> DataFrame:
     """Words that say nothing: the fixed ones and, from 20 names on, those in a tenth of the names, in two at least."""
-    n = names.count()
+    n = names.agg(F.count("*").alias("n"))
     seed = names.sparkSession.createDataFrame([(w,) for w in SEED], "token string")
-    if n < FEW_NAMES:
-        return seed
-    return seed.union(document_frequency(names, column).filter(F.col("df") >= max(2, int(n * share))).select("token")).distinct()
+    often = document_frequency(names, column).crossJoin(F.broadcast(n))  # one row
+    common = often.filter((F.col("n") >= FEW_NAMES) & (F.col("df") >= F.greatest(F.lit(2), F.floor(F.col("n") * share))))
+    return seed.union(common.select("token")).distinct()
+
+
+def corpus_names(rows: DataFrame, limit: int = 40_000) -> DataFrame:
+    """key and name of the first ``limit`` visible records (key, name, hidden) in the order of their keys: the same sample whatever order rows are stored in."""
+    return rows.filter(~F.coalesce("hidden", F.lit(False)) & (F.col("name") != "")).orderBy("key").limit(limit).select("key", "name")
 
 
 #: Names, and pairs of names, of which a worker remembers what it found: directories repeat them.
@@ -209,4 +215,11 @@ def score_job_pages(spark: SparkSession, sf_dir: str, pages: int = 100, locale:
     return rows.filter(F.col("n") <= clamped(pages)).select(F.col("p_brand").alias("provider"), F.col("p_partkey").alias("page"))
 
 
+@registry.add(f"WITH {RECORDS_SQL} SELECT 'k' || left(sha256(CAST(id AS VARCHAR)), 8) AS key, name FROM records WHERE NOT hidden AND name <> '' ORDER BY key LIMIT 500")
+def corpus_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of 500 names in the order of their keys: the limit is the feature."""
+    rows = records(spark, sf_dir).withColumn("key", F.concat(F.lit("k"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 8)))
+    return corpus_names(rows, 500)
+
+
 QUERIES, ORACLE = registry.queries, registry.oracle

@@ -65,8 +65,27 @@ def attribution_with_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"WITH {URLS_SQL} SELECT pair, pos, url, p_brand AS fingerprint FROM urls JOIN part ON p_partkey = url WHERE p_size > 10")
 def ordered_pair_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached pages of each pair at their places in its list."""
-    rows = search_urls(spark, sf_dir).select("pair", F.posexplode("urls").alias("pos", "url"))
-    return rows.join(pages(spark, sf_dir).filter("quality > 10"), "url").select("pair", F.col("pos").cast("long").alias("pos"), "url", "fingerprint")
+    place = F.row_number().over(Window.partitionBy("pair").orderBy("number", "url")) - 1
+    rows = listed_urls(spark, sf_dir).withColumn("pos", place.cast("long"))
+    return rows.join(pages(spark, sf_dir).filter("quality > 10"), "url").select("pair", "pos", "url", "fingerprint")
+
+
+def cached_pages_of(pairs: DataFrame, searched: DataFrame, listed: DataFrame, cached: DataFrame) -> DataFrame:
+    """pair, pos, url of the cached pages of ``pairs`` (pair): of those that were ``searched`` (pair) the pages in their list (pair, pos, url), in its order; of the others those that the cache (url, pair) has under the pair itself, without an order."""
+    known = cached.filter(F.col("url").isNotNull())
+    from_list = listed.join(pairs, "pair", "left_semi").join(searched, "pair", "left_semi").join(known.select("url"), "url")
+    own = known.join(pairs, "pair", "left_semi").join(searched, "pair", "left_anti")
+    return from_list.select("pair", "pos", "url").unionByName(own.select("pair", F.lit(None).cast(from_list.schema["pos"].dataType).alias("pos"), "url"))
+
+
+@registry.add(f"WITH {URLS_SQL} SELECT pair, pos, url FROM urls JOIN part ON p_partkey = url WHERE p_size > 10 AND pair % 10 <> 0 UNION ALL SELECT o_orderkey, NULL, p_partkey FROM orders JOIN part ON p_partkey % 997 = o_orderkey WHERE p_size > 10 AND o_orderkey % 10 = 0")
+def pages_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached pages of each pair; pairs that were never searched have those that name them."""
+    place = F.row_number().over(Window.partitionBy("pair").orderBy("number", "url")) - 1
+    listed = listed_urls(spark, sf_dir).withColumn("pos", place.cast("long"))
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair"))
+    cached = pages(spark, sf_dir).filter("quality > 10").select("url", (F.col("url") % 997).alias("pair"))
+    return cached_pages_of(pairs, pairs.filter("pair % 10 <> 0"), listed, cached)
 
 
 _UNIVERSE_SQL = "u AS (SELECT n_name AS city, topic, n_regionkey FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS topic FROM customer)), universe AS (SELECT city, topic FROM u WHERE n_regionkey <> 2 OR topic IN ('BUILDING', 'MACHINERY'))"

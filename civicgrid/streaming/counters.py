@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from civicgrid.operators.registry import Registry
 from civicgrid.operators.roles import table
+from civicgrid.sources.store import BucketedStore
 
 registry = Registry()
 
@@ -107,45 +108,25 @@ def log_tail(lines: DataFrame, after: int) -> DataFrame:
     return lines.filter(F.col("event_id") > after)
 
 
-def upsert_into(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that keeps one table: after each batch a new snapshot holds the batch's rows and all earlier ones of other keys.
+def upsert_into(folder: str, keys: list[str], order: Column | None = None, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that keeps one table: a batch replaces the rows of its keys, and rewrites only their buckets.
 
-    The snapshot's number is the batch's, so that a batch that runs again replaces
-    its own; the last two stay for readers of ``latest_snapshot``.
+    Of several rows of a key in a batch the last by ``order`` counts. A batch that runs again changes nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [n for n in snapshots(spark, folder) if n < number]
-        new = batch.dropDuplicates(keys)
-        rows = spark.read.parquet(f"{folder}/snapshot={before[-1]}").join(new.select(*keys), keys, "left_anti").unionByName(new) if before else new
-        rows.write.mode("overwrite").parquet(f"{folder}/snapshot={number}")
-        for old in before[:-1]:
-            _path(spark, f"{folder}/snapshot={old}", lambda fs, p: fs.delete(p, True))
+        store = BucketedStore(spark, folder)
+        if not store.numbers():
+            store = BucketedStore.create(spark, folder, batch.schema, keys, buckets)
+        store.upsert(batch, order, "batches", number)
 
     return write
 
 
-def _path(spark: SparkSession, name: str, action):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-    return action(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
-
-
-def snapshots(spark: SparkSession, folder: str) -> list[int]:
-    """The numbers of the finished snapshots."""
-
-    def done(fs, path) -> list[int]:
-        found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
-        names = [p for p in found if p.getName().startswith("snapshot=")]
-        success = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(p.getName().split("=")[1]) for p in names if fs.exists(success(p, "_SUCCESS")))
-
-    return _path(spark, folder, done)
-
-
-def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+def kept_table(spark: SparkSession, folder: str) -> DataFrame:
     """The table that ``upsert_into`` keeps."""
-    return spark.read.parquet(f"{folder}/snapshot={snapshots(spark, folder)[-1]}")
+    return BucketedStore(spark, folder).read()
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:

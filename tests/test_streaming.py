@@ -41,7 +41,7 @@ def test_tail_and_batch_sink(spark, tmp_path):
     stream = S.log_tail(arriving(spark, tmp_path), 900)
     sink = S.upsert_into(f"{tmp_path}/out", ["event_id"])
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    rows = S.latest_snapshot(spark, f"{tmp_path}/out")
+    rows = S.kept_table(spark, f"{tmp_path}/out")
     assert rows.count() == spark.read.parquet(f"{SF}/events.parquet").filter(F.col("event_id") > 900).count()
 
 
@@ -51,5 +51,5 @@ def test_a_key_of_two_batches_stands_once(spark, tmp_path):
         batch = spark.createDataFrame(rows, "k int, v string")
         sink(batch, number)
         sink(batch, number)  # runs again
-    assert sorted(map(tuple, S.latest_snapshot(spark, f"{tmp_path}/out").collect())) == [(1, "a"), (2, "c"), (3, "e")]
-    assert S.snapshots(spark, f"{tmp_path}/out") == [1, 2]
+    assert sorted(map(tuple, S.kept_table(spark, f"{tmp_path}/out").collect())) == [(1, "a"), (2, "c"), (3, "e")]
+    assert S.BucketedStore(spark, f"{tmp_path}/out").version().number == 3
