@@ -14,6 +14,7 @@ from civicgrid.session import local_session
 HEADLINE = [
     "city_topic_counts", "quality_profile", "activity_timeline_daily", "daily_summary_pivot", "outclick_top", "traffic_by_day", "top_cities_per_country", "keyword_search", "pair_states", "done_pairs",
     "attribution_with_remainder", "search_union_dedup", "upsert_merge", "history_diff", "candidate_pairs", "sitemap_groups", "ledger_rollup", "dup_candidates_url", "page_scores", "window_sessions",
+    "dup_candidates_fuzzy", "saved_pairs", "mention_scan", "upserted_records",
 ]
 
 

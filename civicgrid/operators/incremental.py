@@ -54,12 +54,17 @@ def refreshed_candidates_of(found: DataFrame, store: BucketedStore, before: int,
 # counts, sums and distinct values ----------------------------------------------
 
 
-def contributions(changes: DataFrame, group: list[str], sums: list[str], counted: Callable[[str], Column] = shown) -> DataFrame:
+#: What is summed up: columns by their names, or names with what a row (``old`` or ``new``) adds.
+Sums = list[str] | dict[str, Callable[[str], Column]]
+
+
+def contributions(changes: DataFrame, group: list[str], sums: Sums, counted: Callable[[str], Column] = shown) -> DataFrame:
     """What ``changes`` (old, new) add to the count ``n`` and to ``sums`` of each ``group``: old rows count against, new ones for it.
 
     A null counts as nothing in a sum.
     """
-    sides = [changes.filter(counted(side)).select(*[F.col(f"{side}.{g}").alias(g) for g in group], F.lit(sign).cast("long").alias("n"), *[(F.coalesce(F.col(f"{side}.{s}"), F.lit(0)) * sign).alias(s) for s in sums]) for side, sign in (("old", -1), ("new", 1))]
+    of = sums if isinstance(sums, dict) else {s: lambda side, s=s: F.col(f"{side}.{s}") for s in sums}
+    sides = [changes.filter(counted(side)).select(*[F.col(f"{side}.{g}").alias(g) for g in group], F.lit(sign).cast("long").alias("n"), *[(F.coalesce(value(side), F.lit(0)) * sign).alias(s) for s, value in of.items()]) for side, sign in (("old", -1), ("new", 1))]
     both = sides[0].unionByName(sides[1])
     return both.groupBy(*group).agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sums])
 
@@ -71,11 +76,11 @@ class MaintainedAggregate:
     the stream ``rows`` in the aggregate's manifest: a delta counts once.
     """
 
-    def __init__(self, rows: BucketedStore, totals: BucketedStore, group: list[str], sums: list[str], counted: Callable[[str], Column] = shown):
+    def __init__(self, rows: BucketedStore, totals: BucketedStore, group: list[str], sums: Sums, counted: Callable[[str], Column] = shown):
         self.rows, self.totals, self.group, self.sums, self.counted = rows, totals, group, sums, counted
 
     @classmethod
-    def create(cls, rows: BucketedStore, folder: str, group: list[str], sums: list[str], buckets: int = 16, counted: Callable[[str], Column] = shown) -> MaintainedAggregate:
+    def create(cls, rows: BucketedStore, folder: str, group: list[str], sums: Sums, buckets: int = 16, counted: Callable[[str], Column] = shown) -> MaintainedAggregate:
         start = contributions(rows.changes(0, 0), group, sums, counted)
         return cls(rows, BucketedStore.create(rows.spark, folder, start.schema, group, buckets), group, sums, counted)
 
@@ -164,6 +169,31 @@ def maintained_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_counts(kept.read(), ["city"])
 
 
+def _known(side: str, field: str) -> Column:
+    return (F.coalesce(F.col(f"{side}.{field}"), F.lit("")) != "").cast("long")
+
+
+#: What a profile of records counts.
+PROFILE = {
+    "has_website": lambda side: _known(side, "website"),
+    "has_contact": lambda side: _known(side, "contact"),
+    "has_description": lambda side: (F.length(F.col(f"{side}.description")) > 20).cast("long"),
+    "has_any": lambda side: F.greatest(*[_known(side, f) for f in ("website", "contact", "description")]),
+    "links": lambda side: F.size(f"{side}.social_links").cast("long"),
+}
+
+
+@registry.add(f"""{_SAVED} SELECT city, count(*) AS n, count(*) FILTER (coalesce(website, '') <> '') AS has_website, count(*) FILTER (coalesce(contact, '') <> '') AS has_contact, count(*) FILTER (length(description) > 20) AS has_description,
+  count(*) FILTER (coalesce(website, '') <> '' OR coalesce(contact, '') <> '' OR coalesce(description, '') <> '') AS has_any, CAST(sum(len(social_links)) AS BIGINT) AS links FROM saved WHERE NOT hidden GROUP BY city""")
+def maintained_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How complete each city's visible records are, kept up to date from the changes."""
+    kept = MaintainedAggregate.create(saved_store(spark, sf_dir), scratch(spark, "profile"), ["city"], PROFILE)
+    kept.refresh(1)
+    kept.refresh(2)
+    kept.refresh()
+    return kept.read()
+
+
 def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = saved_store(spark, sf_dir)
     found = settled(dedup.community_candidates(store.read(1).filter(~F.col("hidden"))), "found")
