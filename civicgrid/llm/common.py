@@ -17,8 +17,8 @@ CHUNK_BYTES = 500_000
 #: Bytes that Spark puts into one Arrow batch, unless the session says otherwise: whole texts are large rows.
 BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Workers give large arrays back to the system at once: settings of their allocators (glibc's and Arrow's).
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Workers give large arrays back to the system at once, and keep no more than some MB otherwise: settings of their allocators (glibc's and Arrow's).
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ready(spark: SparkSession) -> SparkSession:
