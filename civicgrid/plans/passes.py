@@ -307,7 +307,7 @@ def full_pass_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _passed(spark, sf_dir).pages.select("url", *MARKS.values())
 
 
-@registry.add("""WITH p AS (SELECT DISTINCT l_orderkey AS pair, l_partkey AS url FROM lineitem), a AS (SELECT l_orderkey AS pair, l_partkey AS url, l_linenumber % 4 + 1 AS attempt, CASE WHEN l_returnflag <> 'R' THEN 'answer ' || l_suppkey END AS body FROM lineitem WHERE l_linenumber % 5 > 0),
+@registry.add("""WITH p AS (SELECT DISTINCT l_orderkey AS pair, l_partkey AS url FROM lineitem), a AS (SELECT l_orderkey AS pair, l_partkey AS url, CAST(l_linenumber % 4 + 1 AS BIGINT) AS attempt, CASE WHEN l_returnflag <> 'R' THEN 'answer ' || l_suppkey END AS body FROM lineitem WHERE l_linenumber % 5 > 0),
 e AS (SELECT o_orderkey AS pair, o_orderkey % 5 + 1 AS attempt, o_orderstatus AS reason FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 < 3), f AS (SELECT pair, url, min({'n': attempt, 'failed': body IS NULL, 'body': body}) AS a FROM a GROUP BY ALL),
 j AS (SELECT p.pair, p.url, f.a, e.attempt AS stop, e.reason, f.a IS NOT NULL AND f.a.n <= coalesce(e.attempt, 3) AS answered FROM p LEFT JOIN f ON f.pair = p.pair AND f.url = p.url LEFT JOIN e ON e.pair = p.pair)
 SELECT pair, url, CASE WHEN answered THEN CASE WHEN a.failed THEN 'failed' ELSE 'done' END WHEN stop IS NOT NULL THEN 'stopped' ELSE 'deferred' END AS state, CASE WHEN answered THEN a.n END AS attempt, CASE WHEN answered THEN a.body END AS body, CASE WHEN NOT answered THEN reason END AS reason FROM j""")
