@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,6 +32,12 @@ def ready(spark: SparkSession) -> SparkSession:
     return let_workers_import(spark)
 
 
+def release() -> None:
+    """Give back to the system what this worker's allocator holds free, as a task ends; does nothing where it can't be asked."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -245,6 +253,8 @@ def whole_groups(batches: Iterator, keys: list[str]) -> Iterator[tuple]:
         rest = rows.iloc[starts[-1] :].reset_index(drop=True) if len(rows) else rows
     if rest is not None and len(rest):
         yield rest, np.append(group_starts(rest, keys), len(rest))
+    rest = None
+    release()
 
 
 def group_starts(rows, keys: list[str]) -> np.ndarray:
@@ -298,6 +308,7 @@ def add_by_text(df: DataFrame, function, added: str, keep: list[str], at_once: i
             made = function(batch.column("text").to_pylist())
             columns = [batch.column(k) for k in keep] + [pa.array(m, TYPES[x.split()[1]](pa)) for m, x in zip(made, added.split(", "), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
+        release()
 
     ready(df.sparkSession)
     plain = df.select(*carried)

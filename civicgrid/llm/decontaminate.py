@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import LOWERED, TYPES, WordBatch, add_by_text, bitmap, chunks, materialise, maybe_in, ready, text_key
+from civicgrid.llm.common import LOWERED, TYPES, WordBatch, add_by_text, bitmap, chunks, materialise, maybe_in, ready, release, text_key
 
 WINDOW = 13
 K = 5
@@ -140,6 +140,7 @@ def document_hits(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
                 if row:
                     keys = rows.column("text_key").take(pa.array(row, pa.int64()))
                     yield pa.RecordBatch.from_arrays([keys, pa.array(n_words, pa.int64()), pa.array(size_of, pa.int32()), pa.array(hashes, pa.int64()), pa.array(places, pa.int64()), pa.array(around, pa.list_(pa.string()))], ["text_key", "n_words", "size", "hash", "at", "words"])
+        release()
 
     return docs.select(text_key(F.col("text")).alias("text_key"), "text").mapInArrow(look, "text_key binary, n_words long, size int, hash long, at long, words array<string>").join(marks, ["size", "hash"])
 

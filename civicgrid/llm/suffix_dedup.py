@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicgrid.llm.common import TYPES, group_starts, materialise, mix, powers, prefix_hash, whole_groups
+from civicgrid.llm.common import TYPES, group_starts, materialise, mix, powers, prefix_hash, release, whole_groups
 
 LENGTH = 200
 ANCHOR = 48
@@ -266,6 +266,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                     held, size = [], 0
             if held:
                 yield pd.DataFrame(dict(zip(NAMES, map(np.concatenate, zip(*held, strict=True)), strict=True)))
+        release()
 
     return docs.mapInPandas(cut_up, ANCHORED)
 
@@ -398,6 +399,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | Non
             types = [TYPES[x.split()[1]](pa) for x in made.split(", ")]
             arrays = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *arrays], ["row", *[x.split()[0] for x in made.split(", ")]])
+        release()
 
     row = marked.schema["row"].dataType.simpleString()
     return marked.mapInArrow(remove, f"row {row}, {made}").select("row.*", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256")
