@@ -236,57 +236,69 @@ def people_candidates(rows: DataFrame, threshold: float = 0.9, communities: floa
 # inside a pair of city and topic -------------------------------------------------
 
 
-def chosen(group: pd.DataFrame) -> pd.DataFrame:
-    """The places that stand, of rows in order that are alike by ``before`` (places of earlier rows) or by site.
+def passed_over(group: pd.DataFrame) -> pd.DataFrame:
+    """The places that another row stands for, of rows in order that are alike by name or by site.
 
-    A row joins the oldest group one of whose standing rows it is like, and stands for it if it is richer.
+    A row joins the oldest group whose standing row it is like, and stands for it if it
+    is richer. One row of each name has ``near``: the earlier names that the name is like.
     """
-    standing: dict[int, int] = {}
-    rows: list[tuple[int, int]] = []
+    like = {name: near for name, near in zip(group["clean"], group["near"], strict=True) if near is not None}
+    standing: list[tuple[int, int, str, str | None]] = []
+    names: dict[str, set[int]] = {}
     sites: dict[str, set[int]] = {}
-    for place, rich, site, before in group.sort_values("place")[["place", "rich", "site", "before"]].itertuples(index=False):
-        near = {standing[p] for p in before if p in standing} | (sites.get(site, set()) if site else set())
-        number = min(near, default=len(rows))
-        if near and rich <= rows[number][1]:
+    gone = []
+    for place, rich, name, site in group.sort_values("place")[["place", "rich", "clean", "site"]].itertuples(index=False):
+        near = set().union(*(names[x] for x in like.get(name, ()) if x in names), sites.get(site, ()) if site else ())
+        number = min(near, default=len(standing))
+        if near and rich <= standing[number][1]:
+            gone.append(place)
             continue
         if near:
-            gone = rows[number][0]
-            del standing[gone]
-            for held in sites.values():
-                held.discard(number)
-            rows[number] = (place, rich)
+            other, _, named, at = standing[number]
+            gone.append(other)
+            names[named].discard(number)
+            if at:
+                sites[at].discard(number)
+            standing[number] = (place, rich, name, site)
         else:
-            rows.append((place, rich))
-        standing[place] = number
+            standing.append((place, rich, name, site))
+        names.setdefault(name, set()).add(number)
         if site:
             sites.setdefault(site, set()).add(number)
-    return pd.DataFrame({"pair": group["pair"].iloc[0], "place": [place for place, _ in rows]})
+    return pd.DataFrame({"pair": group["pair"].iloc[0], "place": pd.Series(gone, dtype="int64")})
 
 
 def representatives(rows: DataFrame, threshold: float = 0.88) -> DataFrame:
     """``rows`` (city, topic, place, name, website and fields) without those that another of the same city and topic stands for.
 
-    Names are compared without articles. A task gets the rows that chains of likeness or of one site connect.
+    Names are compared without articles, each different one once however many rows have
+    it. A task gets the rows that chains of likeness or of one site connect. Tables of
+    rows are joined by merges: they are small as files, but not in memory.
     """
     pair = F.concat_ws("\x1f", "city", "topic")
     site = F.regexp_replace(F.coalesce("website", F.lit("")), "/+$", "")
     keyed = rows.withColumns({"pair": pair, "rich": richness(rows.columns), "site": F.when(F.col("website") != "", site), "clean": T.strip_articles(F.col("name"))})
     keyed = settled(keyed, "named-rows")  # read several times
-    light = keyed.select(F.col("pair").alias("city"), F.col("place").alias("ord"), "clean")
-    a, b = F.col("a.clean"), F.col("b.clean")
-    holds = a.contains(b) | b.contains(a)
-    alike = close_pairs(light, threshold, 1).filter(unless(holds, 1.0, b, a) > threshold)
-    linked = settled(alike.select(F.col("city").alias("pair"), F.col("b.ord").alias("place"), F.col("a.ord").alias("earlier")), "alike")
-    before = linked.groupBy("pair", "place").agg(F.collect_list("earlier").alias("before"))
-    sites = keyed.filter("site IS NOT NULL").groupBy("pair", "site").agg(F.count("*").alias("n"), F.min("place").alias("earlier")).filter("n > 1")
-    by_site = keyed.join(sites, ["pair", "site"]).select("pair", "place", "earlier")
-    links = linked.select("pair", "place", "earlier").union(by_site)
-    groups = components(links.select(F.struct("pair", "place").alias("a"), F.struct("pair", F.col("earlier").alias("place")).alias("b")))
-    ends = settled(groups.select("id.pair", "id.place", F.col("root.place").alias("group")), "groups")
-    some = keyed.select("pair", "place", F.col("rich").cast("long").alias("rich"), "site").join(ends, ["pair", "place"]).join(before, ["pair", "place"], "left").withColumn("before", F.coalesce("before", F.array().cast("array<long>")))
-    stand = some.groupBy("pair", "group").applyInPandas(chosen, "pair string, place long")
-    gone = ends.join(stand, ["pair", "place"], "left_anti")
-    return keyed.join(gone, ["pair", "place"], "left_anti").select(*rows.columns)
+    names = keyed.filter(F.length("clean") > 0).groupBy("pair", "clean").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    light = names.select(F.col("pair").alias("city"), F.col("clean").alias("ord"), "clean")
+    close = close_pairs(light, threshold, 1).select(F.col("city").alias("pair"), F.col("a.clean").alias("a"), F.col("b.clean").alias("b"))
+    both_ways = close.union(close.select("pair", "b", "a"))  # either may come first
+    a, b = F.col("a"), F.col("b")
+    alike = settled(both_ways.filter(unless(a.contains(b) | b.contains(a), 1.0, b, a) > threshold), "alike")
+    near = names.select("pair", "clean", F.col("clean").alias("earlier")).union(alike.select("pair", F.col("b").alias("clean"), F.col("a").alias("earlier"))).groupBy("pair", "clean").agg(F.collect_list("earlier").alias("near"))
+    # names and sites as ends of links; a row without a name is at its site only
+    named, at = F.struct("pair", F.lit("n").alias("kind"), F.col("clean").alias("text")), F.struct("pair", F.lit("s").alias("kind"), F.col("site").alias("text"))
+    shared = keyed.filter("site <> ''").groupBy("pair", "site").agg(F.count("*").alias("n")).filter("n > 1")
+    sited = keyed.filter("site <> ''").groupBy("pair", "site", "clean").agg(F.lit(1).alias("one")).join(shared.hint("merge"), ["pair", "site"])
+    by_name = alike.select(F.struct("pair", F.lit("n").alias("kind"), F.col("a").alias("text")).alias("a"), F.struct("pair", F.lit("n").alias("kind"), F.col("b").alias("text")).alias("b"))
+    links = by_name.union(sited.select(F.when(F.length("clean") > 0, named).otherwise(at), at)).union(names.filter("n > 1").select(named, named))
+    ends = components(links).select("id.pair", "id.kind", "id.text", F.col("root").alias("group"))
+    held = lambda kind, column: ends.filter(F.col("kind") == kind).select("pair", F.col("text").alias(column), "group")
+    some = keyed.select("pair", "place", F.col("rich").cast("long").alias("rich"), "clean", "site")
+    grouped = some.filter(F.length("clean") > 0).join(held("n", "clean").hint("merge"), ["pair", "clean"]).unionByName(some.filter(F.coalesce(F.length("clean"), F.lit(0)) == 0).join(held("s", "site").hint("merge"), ["pair", "site"]))
+    told = grouped.join(names.join(near.hint("merge"), ["pair", "clean"]).select("pair", "place", "near").hint("merge"), ["pair", "place"], "left")
+    gone = told.groupBy("pair", "group").applyInPandas(passed_over, "pair string, place long")
+    return keyed.join(gone.hint("merge"), ["pair", "place"], "left_anti").select(*rows.columns)
 
 
 def save_pairs(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -157,3 +157,12 @@ def test_saving_a_pair(spark):
     incoming = spark.createDataFrame([("a", "X", "t", "Alpha club", "http://new", [], False), ("d", "X", "t", "Alpha club house", "http://d", ["http://l"], False)], cols)
     out = {r["key"]: (r["website"], r["hidden"]) for r in dedup.save_pairs(stored, incoming).collect()}
     assert out == {"b": (None, False), "c": (None, True), "d": ("http://d", False)}
+
+
+def test_copies_of_a_name_are_compared_once(spark, monkeypatch):
+    names = ["Futók", "Futók Köre", "Sakk"]
+    rows = [named(names[k % 3], "Pécs", "run", k, website=f"http://w{k}" if k % 4 == 0 else None) | {"place": k} for k in range(300)]
+    compared, close = [], dedup.close_pairs
+    monkeypatch.setattr(dedup, "close_pairs", lambda frame, *more: compared.append(frame.count()) or close(frame, *more))
+    out = dedup.representatives(spark.createDataFrame(rows, SCHEMA + ", place long"))
+    assert {r["id"] for r in out.collect()} == greedy(rows) and compared == [3]
