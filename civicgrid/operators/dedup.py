@@ -165,11 +165,60 @@ def unless(known: Column, value: float, a: Column, b: Column) -> Column:
     return F.when(known, F.lit(value)).otherwise(T.sequence_ratio(F.when(~known, a), F.when(~known, b)))
 
 
-def decided(pairs: DataFrame, similarity: Column, signal: Column) -> DataFrame:
-    """Candidates: the richer record wins, the first of equals."""
+def each_record(keyed: DataFrame) -> DataFrame:
+    """``keyed`` records (city, clean, key, rich, ord, url and more) with themselves as their first and last one."""
+    own = F.array(F.struct("ord", "url"))
+    return keyed.withColumns({"first": own, "last": own}).drop("ord", "url")
+
+
+def as_classes(keyed: DataFrame) -> DataFrame:
+    """``keyed`` records that differ by ``ord`` and ``url`` alone as one row each, with the first and last of them and the first and last at another address than those.
+
+    A pair of two classes' records in one order at different addresses exists only if one of these makes it.
+    """
+    same = [c for c in keyed.columns if c not in ("ord", "url")]
+    sites = keyed.groupBy(*same, "url").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
+    place = lambda *order: F.row_number().over(Window.partitionBy(*same).orderBy(*order))
+    ends = [sites.withColumn("n", place(order)).filter("n <= 2").select(*same, F.struct(F.col(c).alias("ord"), "url").alias("end"), F.lit(c == "low").alias("low")) for c, order in (("low", F.col("low")), ("high", F.desc("high")))]
+    held = lambda low: F.collect_list(F.when(F.col("low") == low, F.col("end")))
+    return ends[0].union(ends[1]).groupBy(*same).agg(held(True).alias("first"), held(False).alias("last"))
+
+
+def as_units(keyed: DataFrame, more: list[str], copies: bool) -> DataFrame:
+    """What is paired: records, or classes of them; written, as both sides of pairs read it."""
+    url = T.normal_url(F.col("website")) if "website" in keyed.columns else F.lit("")
+    columns = ["city", "clean", "key", "rich", *more, *(["changed"] if "changed" in keyed.columns else [])]
+    light = keyed.select(*columns, "ord", F.coalesce(url, F.lit("")).alias("url"))
+    return each_record(light) if copies else settled(as_classes(light), "classes")
+
+
+def name_pairs(units: DataFrame, threshold: float, within: int | None) -> DataFrame:
+    """(city, one, other, ratio): different names of one city whose ratio reaches ``threshold`` in that order, and each name with itself; with ``within`` one that holds the other counts 0.9."""
+    flags = [F.max("changed").alias("changed")] if "changed" in units.columns else []
+    names = units.filter(F.length("clean") > 0).groupBy("city", "clean").agg(F.first("clean").alias("ord"), *flags)
+    names = settled(names.select("city", "ord", "clean", *(["changed"] if flags else [])), "different-names")
+    close = settled(close_pairs(names, threshold, within).select("city", F.col("a.clean").alias("one"), F.col("b.clean").alias("other")), "close-names")
+    itself = names.filter("changed") if flags else names
+    every = close.union(close.select("city", "other", "one")).union(itself.select("city", "clean", "clean"))
+    a, b = F.col("one"), F.col("other")
+    ratio = unless(inside(a, b), 0.9, a, b) if within else T.sequence_ratio(a, b)
+    return every.withColumn("ratio", ratio).filter(F.col("ratio") >= threshold)
+
+
+def paired(units: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs a, b of units with names of a pair in ``names`` that have a record of a before one of b, both not at one address; with ``changed``, those with a changed one."""
+    side = lambda s, name: units.select("city", F.col("clean").alias(name), F.struct(*[c for c in units.columns if c != "city"]).alias(s))
+    both = names.join(side("a", "one"), ["city", "one"]).join(side("b", "other").hint("merge"), ["city", "other"])
+    meet = F.exists("a.first", lambda x: F.exists("b.last", lambda y: (x["ord"] < y["ord"]) & ((x["url"] != y["url"]) | (x["url"] == ""))))
+    return both.filter(meet & (F.col("a.changed") | F.col("b.changed")) if "changed" in units.columns else meet)
+
+
+def decided(pairs: DataFrame, copies: bool) -> DataFrame:
+    """Candidates: the richer record wins, the first of equals; without ``copies`` each once."""
     wins = F.col("a.rich") >= F.col("b.rich")
-    pick = lambda first, f: F.when(wins, F.col(f"{first[0]}.{f}")).otherwise(F.col(f"{first[1]}.{f}"))
-    return pairs.select(pick("ab", "key").alias("winner"), pick("ba", "key").alias("loser"), F.round(similarity, 4).alias("similarity"), signal.alias("signal"))
+    pick = lambda first: F.when(wins, F.col(f"{first[0]}.key")).otherwise(F.col(f"{first[1]}.key"))
+    out = pairs.select(pick("ab").alias("winner"), pick("ba").alias("loser"), F.round("ratio", 4).alias("similarity"), F.lit("fuzzy_name").alias("signal"))
+    return out if copies else out.distinct()
 
 
 def url_members(rows: DataFrame, across: str | None) -> DataFrame:
@@ -196,41 +245,45 @@ def flagged(keyed: DataFrame, changed: DataFrame | None) -> DataFrame:
     return keyed if changed is None else keyed.join(changed.select("key", F.lit(True).alias("changed")).distinct(), "key", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
 
 
-def community_candidates(rows: DataFrame, threshold: float = 0.85, changed: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
+def community_candidates(rows: DataFrame, threshold: float = 0.85, changed: DataFrame | None = None, addresses: DataFrame | None = None, copies: bool = True) -> DataFrame:
     """Communities (id, name, city, topic and fields) of one city and different topics: by address as groups, by name as pairs.
 
-    Only pairs with a key of ``changed``, and groups of ``addresses`` (city, url), if these are given.
+    Only pairs with a key of ``changed``, and groups of ``addresses`` (city, url), if these are given. Records of one key
+    are copies: without ``copies`` a candidate stands once for all pairs of those of its keys, and work goes with
+    different names and keys instead of all such pairs.
     """
     keyed = T.with_record_key(rows, "c", ["name", "city", "topic"]).withColumns({"ord": F.struct("topic", "id"), "rich": richness(rows.columns), "clean": T.strip_articles(without_city(F.col("name"), F.col("city")))})
     keyed = settled(keyed.select("city", "ord", "key", "topic", "rich", "website", "clean"), "names")  # read several times
     by_url = url_members(at_addresses(keyed, addresses), "topic").select("winner", "loser", F.lit(1.0).alias("similarity"), F.lit("url_match").alias("signal"))
-    a, b = F.col("a.clean"), F.col("b.clean")
-    same_site = (T.normal_url(F.col("a.website")) == T.normal_url(F.col("b.website"))) & (T.normal_url(F.col("a.website")) != "")
-    pairs = close_pairs(flagged(keyed, changed), threshold, 5).filter("a.topic <> b.topic").filter(says_something(a, b) & ~same_site)
-    ratio = unless(inside(a, b), 0.9, a, b)
-    by_name = decided(pairs.withColumn("ratio", ratio).filter(F.col("ratio") >= threshold), F.col("ratio"), F.lit("fuzzy_name"))
-    return by_url.unionByName(by_name)
+    units = as_units(flagged(keyed, changed), ["topic"], copies)
+    names = name_pairs(units, threshold, 5).filter(says_something(F.col("one"), F.col("other")))
+    by_name = decided(paired(units, names).filter("a.topic <> b.topic"), copies)
+    return (by_url if copies else by_url.distinct()).unionByName(by_name)
 
 
-def venue_candidates(rows: DataFrame, threshold: float = 0.85, changed: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
-    """Venues (id, name, city and fields) of one city: by address as groups, by name as pairs; ``changed`` and ``addresses`` as for communities."""
+def venue_candidates(rows: DataFrame, threshold: float = 0.85, changed: DataFrame | None = None, addresses: DataFrame | None = None, copies: bool = True) -> DataFrame:
+    """Venues (id, name, city and fields) of one city: by address as groups, by name as pairs; ``changed``, ``addresses`` and ``copies`` as for communities."""
     keyed = T.with_record_key(rows, "v", ["name", "city"]).withColumns({"ord": F.struct("id"), "rich": richness(rows.columns), "clean": T.strip_articles(F.col("name"))})
     keyed = settled(keyed.select("city", "ord", "key", "rich", "website", "clean"), "names")  # read several times
     by_url = url_members(at_addresses(keyed, addresses), None).select("winner", "loser", F.lit(1.0).alias("similarity"), F.lit("url_match").alias("signal"))
-    a, b = F.col("a.clean"), F.col("b.clean")
-    same_site = (T.normal_url(F.col("a.website")) == T.normal_url(F.col("b.website"))) & (T.normal_url(F.col("a.website")) != "")
-    pairs = close_pairs(flagged(keyed, changed), threshold, None).filter(~same_site).withColumn("ratio", T.sequence_ratio(a, b))
-    return by_url.unionByName(decided(pairs.filter(F.col("ratio") >= threshold), F.col("ratio"), F.lit("fuzzy_name")))
+    units = as_units(flagged(keyed, changed), [], copies)
+    by_name = decided(paired(units, name_pairs(units, threshold, None)), copies)
+    return (by_url if copies else by_url.distinct()).unionByName(by_name)
 
 
-def people_candidates(rows: DataFrame, threshold: float = 0.9, communities: float = 0.7, changed: DataFrame | None = None) -> DataFrame:
-    """People of one city whose names and whose communities' names are alike; ``changed`` as for communities."""
+def people_candidates(rows: DataFrame, threshold: float = 0.9, communities: float = 0.7, changed: DataFrame | None = None, copies: bool = True) -> DataFrame:
+    """People of one city whose names and whose communities' names are alike; ``changed`` and ``copies`` as for communities."""
     keyed = T.with_record_key(rows, "p", ["name", "city", "role", "community_name"]).withColumns({"ord": F.struct("id"), "rich": richness(rows.columns), "clean": T.strip_articles(F.col("name")), "group": T.strip_articles(F.col("community_name"))})
     keyed = settled(keyed.select("city", "ord", "key", "rich", "clean", "group"), "names")  # read several times
-    a, b, x, y = F.col("a.clean"), F.col("b.clean"), F.col("a.group"), F.col("b.group")
-    pairs = close_pairs(flagged(keyed, changed), threshold, None).filter(shared_characters(x, y) >= communities)
-    scored = pairs.withColumns({"ratio": T.sequence_ratio(a, b), "groups": T.sequence_ratio(x, y)}).filter((F.col("ratio") >= threshold) & (F.col("groups") >= communities))
-    return decided(scored, F.col("ratio"), F.lit("fuzzy_name"))
+    units = as_units(flagged(keyed, changed), ["group"], copies)
+    names = settled(name_pairs(units, threshold, None), "alike-names")
+    pairs = paired(units, names)
+    groups = ["x", "y"]
+    met = units.select("city", F.col("clean").alias("one"), F.col("group").alias("x")).distinct().join(names, ["city", "one"]).select("city", "other", "x").distinct()
+    both = met.join(units.select("city", F.col("clean").alias("other"), F.col("group").alias("y")).distinct(), ["city", "other"]).select(*groups).distinct()
+    x, y = F.col("x"), F.col("y")
+    alike = both.filter(shared_characters(x, y) >= communities).filter(T.sequence_ratio(x, y) >= communities)
+    return decided(pairs.withColumns({"x": F.col("a.group"), "y": F.col("b.group")}).join(alike, groups, "left_semi"), copies)
 
 
 # inside a pair of city and topic -------------------------------------------------
@@ -357,7 +410,7 @@ def dup_candidates_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add()
 def dup_candidates_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates among communities."""
-    return community_candidates(_visible(spark, sf_dir).select("id", "name", "city", "topic", "website", *RICH_FIELDS[:4], "social_links"))
+    return community_candidates(_visible(spark, sf_dir).select("id", "name", "city", "topic", "website", *RICH_FIELDS[:4], "social_links"), copies=False)
 
 
 @registry.add()
@@ -416,7 +469,7 @@ def detect_all(known: DataFrame, communities: DataFrame, venues: DataFrame, pers
     """The candidates table after a scan: stale ones dismissed, then what the three detectors find brought in."""
     keyed = T.with_record_key(communities, "c", ["name", "city", "topic"]).select("key", "name", "city", "website")
     kept = still_valid(known.filter("entity = 'community'"), keyed).unionByName(known.filter("entity <> 'community'"))
-    found = [df.withColumn("entity", F.lit(e)) for e, df in (("community", community_candidates(communities)), ("venue", venue_candidates(venues)), ("person", people_candidates(persons)))]
+    found = [df.withColumn("entity", F.lit(e)) for e, df in (("community", community_candidates(communities, copies=False)), ("venue", venue_candidates(venues, copies=False)), ("person", people_candidates(persons, copies=False)))]
     every = found[0].unionByName(found[1]).unionByName(found[2]).withColumn("id", F.lit(None).cast("long"))
     return with_candidates(kept, every)
 

@@ -8,6 +8,7 @@ those rows touch; nothing reads the whole store again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,8 +197,9 @@ def maintained_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = saved_store(spark, sf_dir)
-    found = settled(dedup.community_candidates(store.read(1).filter(~F.col("hidden"))), "found")
-    return refreshed_candidates_of(found, store, 1, 3, dedup.community_candidates)
+    find = partial(dedup.community_candidates, copies=False)
+    found = settled(find(store.read(1).filter(~F.col("hidden"))), "found")
+    return refreshed_candidates_of(found, store, 1, 3, find)
 
 
 @registry.add(f"""{_SAVED}, k AS (SELECT key, id, city, topic, trim(rtrim(lower(coalesce(website, '')), '/')) AS url, {dedup.RICH_SQL} AS rich FROM saved WHERE NOT hidden),

@@ -166,3 +166,15 @@ def test_copies_of_a_name_are_compared_once(spark, monkeypatch):
     monkeypatch.setattr(dedup, "close_pairs", lambda frame, *more: compared.append(frame.count()) or close(frame, *more))
     out = dedup.representatives(spark.createDataFrame(rows, SCHEMA + ", place long"))
     assert {r["id"] for r in out.collect()} == greedy(rows) and compared == [3]
+
+
+@pytest.mark.parametrize("kind", ["community", "venue", "person"])
+def test_copies_give_each_candidate_once(spark, kind):
+    names = ["Futók Köre", "Futók Körei", "Aurora énekkar", "Auróra énekkar", "Sakk"]
+    sites = [None, "http://a.example", "http://b.example/"]
+    rows = [named(names[k % 5], "Pécs", f"t{k % 3}", k * 37 % 101, website=sites[k % 7 % 3], contact="x" if k % 11 == 0 else None) | {"role": f"r{k % 2}", "community_name": ["runners one", "runners two", "choir"][k % 3]} for k in range(100)]
+    rows += [named(n, "Vác", f"t{k}", i, website=w) | {"role": "r", "community_name": "c"} for i, (n, k, w) in enumerate([("Alpha club", 0, "http://s"), ("Alpha clubs", 1, "http://s"), ("Alpha clubs", 1, "http://t"), ("Beta circle", 0, "http://u"), ("Beta circles", 1, "http://u"), ("Beta circle", 0, "http://u")], 200)]
+    find = {"community": dedup.community_candidates, "venue": dedup.venue_candidates, "person": dedup.people_candidates}[kind]
+    frame = spark.createDataFrame(rows, SCHEMA + ", role string, community_name string")
+    every, once = find(frame).collect(), find(frame, copies=False).collect()
+    assert sorted(set(map(tuple, every))) == sorted(map(tuple, once)) and 5 < len(once) < len(every)
