@@ -416,7 +416,7 @@ def dup_candidates_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add()
 def dup_candidates_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates among venues."""
-    return venue_candidates(_visible(spark, sf_dir).select("id", "name", "city", "website", *RICH_FIELDS[:4], "social_links"))
+    return venue_candidates(_visible(spark, sf_dir).select("id", "name", "city", "website", *RICH_FIELDS[:4], "social_links"), copies=False)
 
 
 @registry.add()
