@@ -422,7 +422,7 @@ def dup_candidates_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add()
 def person_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates among people."""
-    return people_candidates(people(spark, sf_dir))
+    return people_candidates(people(spark, sf_dir), copies=False)
 
 
 # the state of candidates ------------------------------------------------------
