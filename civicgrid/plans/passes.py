@@ -97,11 +97,14 @@ def needs_help(record: str = "") -> Column:
 
 
 def first_help(records: DataFrame, results: DataFrame) -> DataFrame:
-    """``records`` (key, website, contact, social_links) with what the first helpful of their two best results (key, pos, website, contact, social_links) adds: only fields that are empty are filled."""
+    """``records`` (key, website, contact, social_links) with what the first helpful of their two best results (key, pos, website, contact, social_links) adds: only fields that are empty are filled.
+
+    Results are in order of ``place`` if they have that column, else of ``pos``.
+    """
     links = F.coalesce("social_links", F.array().cast("array<string>"))
     known = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     helps = results.filter("pos < 2").withColumn("social_links", links).filter(known("website") | known("contact") | (F.size("social_links") > 0))
-    best = helps.groupBy("key").agg(F.min_by(F.struct("website", "contact", "social_links"), "pos").alias("e"))
+    best = helps.groupBy("key").agg(F.min_by(F.struct("website", "contact", "social_links"), "place" if "place" in results.columns else "pos").alias("e"))
     both = records.join(best, "key", "left")
     filled = {c: F.when(~known(c) & (F.coalesce(F.col(f"e.{c}"), F.lit("")) != ""), F.col(f"e.{c}")).otherwise(F.col(c)) for c in ("website", "contact")}
     filled["social_links"] = F.when((F.coalesce(F.size("social_links"), F.lit(0)) <= 0) & F.col("e").isNotNull(), F.col("e.social_links")).otherwise(F.col("social_links"))
@@ -329,7 +332,7 @@ def record_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(k.alias("key"), F.when(k % 3 == 0, "own").alias("website"), F.when(k % 5 == 0, "desk").otherwise("").alias("contact"), F.array().cast("array<string>").alias("social_links"))
     items = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
     place = (F.col("l_linenumber") - 1) * F.lit(1000000000000) + F.col("l_orderkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_quantity")
-    results = items.select(F.col("l_partkey").alias("key"), F.when(F.col("l_discount") > 0.05, F.concat(F.lit("http://"), "l_suppkey")).alias("website"), F.when(F.col("l_tax") > 0.04, F.concat(F.lit("tel "), "l_suppkey")).alias("contact"), F.lit(None).cast("array<string>").alias("social_links"), (place / F.lit(1000000000000)).alias("pos"))
+    results = items.select(F.col("l_partkey").alias("key"), F.when(F.col("l_discount") > 0.05, F.concat(F.lit("http://"), "l_suppkey")).alias("website"), F.when(F.col("l_tax") > 0.04, F.concat(F.lit("tel "), "l_suppkey")).alias("contact"), F.lit(None).cast("array<string>").alias("social_links"), (F.col("l_linenumber") - 1).alias("pos"), place.alias("place"))
     return first_help(rows, results).select("key", "website", "contact")
 
 
