@@ -152,12 +152,23 @@ def admin_search(spark: SparkSession, sf_dir: str, query: str = "RING", limit: i
     return rows.filter(holds(F.col("name"), query) if len(query) >= 2 else F.lit(False)).orderBy("name", "id").limit(limit)
 
 
+#: Parts that the communities of one name in a city are dealt into.
+SPREAD = 64
+
+
 def of_venues(venues: DataFrame, communities: DataFrame) -> DataFrame:
-    """venue, community: those that a venue (id, name, city, community_ids) lists and that are visible, else those of its city whose location holds its name."""
+    """venue, community: those that a venue (id, name, city, community_ids) lists and that are visible, else those of its city whose location holds its name.
+
+    A location is searched once for each different name of its city's venues. What is found is
+    dealt out before it meets the venues, so that no task gets all pairs of a city.
+    """
     visible = communities.filter(~F.col("hidden"))
     listed = venues.select(F.col("id").alias("venue"), F.explode("community_ids").alias("community")).distinct().join(visible.select(F.col("id").alias("community")), "community").select("venue", "community")
     rest = venues.join(listed.select(F.col("venue").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("venue"), "city", F.lower("name").alias("_name"))
-    near = rest.join(visible.select(F.col("id").alias("community"), "city", F.lower("location").alias("_where")), "city").filter(F.contains("_where", F.col("_name")))
+    names = rest.select("city", "_name").distinct()
+    told = visible.select(F.col("id").alias("community"), "city", F.lower("location").alias("_where")).join(names, "city").filter(F.contains("_where", F.col("_name")))
+    dealt = told.withColumn("_part", F.pmod(F.xxhash64("community"), F.lit(SPREAD)).cast("int")).drop("_where")
+    near = dealt.join(rest.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).hint("merge"), ["city", "_name", "_part"])
     return listed.unionByName(near.select("venue", "community"))
 
 
