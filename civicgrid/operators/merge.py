@@ -83,15 +83,23 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.agg(state.alias("state"), F.max("l_quantity").alias("similarity"))
 
 
+def merged_counts(lists: DataFrame, merges: DataFrame) -> DataFrame:
+    """id and the number of different urls of each id in ``lists`` (id, url), after the lists of ``merges`` (id, winner) joined those of winners that have one.
+
+    Which winners count is found among the merges: the moved urls of a winner never meet in one task.
+    """
+    known = lists.select(F.col("id").alias("winner")).distinct()
+    moved = lists.join(merges.join(known, "winner", "left_semi"), "id").select(F.col("winner").alias("id"), "url")
+    return lists.unionByName(moved).distinct().groupBy("id").agg(F.count("url").alias("n_urls"))
+
+
 @registry.add("""WITH l AS (SELECT l_suppkey AS id, list_sort(list(DISTINCT l_partkey)) AS urls FROM lineitem GROUP BY 1), m AS (SELECT s_suppkey AS loser, s_nationkey AS winner FROM supplier WHERE s_suppkey > 25), w AS (SELECT winner, list_sort(list_distinct(flatten(list(urls)))) AS more FROM m JOIN l ON l.id = m.loser GROUP BY winner)
 SELECT l.id, l.id IN (SELECT loser FROM m) AS hidden, len(CASE WHEN more IS NULL THEN urls ELSE list_distinct(list_concat(urls, more)) END) AS n_urls FROM l LEFT JOIN w ON w.winner = l.id""")
 def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losers are hidden and their URLs join their winner's."""
     lists = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("url")).distinct()
     merges = table(spark, sf_dir, "supplier").filter("s_suppkey > 25").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("winner"))
-    moved = lists.join(merges, "id").select(F.col("winner").alias("id"), "url")
-    counts = lists.unionByName(moved.join(lists.select("id").distinct(), "id", "left_semi")).groupBy("id").agg(F.countDistinct("url").alias("n_urls"))
-    return counts.join(merges.select("id", F.lit(True).alias("lost")), "id", "left").select("id", F.coalesce("lost", F.lit(False)).alias("hidden"), "n_urls")
+    return merged_counts(lists, merges).join(merges.select("id", F.lit(True).alias("lost")), "id", "left").select("id", F.coalesce("lost", F.lit(False)).alias("hidden"), "n_urls")
 
 
 @registry.add("SELECT s_suppkey AS id, coalesce(nullif(trim(s_name), ''), 'unnamed') AS name, coalesce(CASE WHEN s_acctbal >= 0 THEN s_acctbal END, best) AS balance FROM supplier JOIN (SELECT s_nationkey AS k, max(s_acctbal) AS best FROM supplier GROUP BY 1) ON k = s_nationkey")
