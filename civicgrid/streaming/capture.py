@@ -25,6 +25,8 @@ registry = Registry()
 
 CREATED = "__created__"
 CHANGES = "key string, at timestamp, seq long, field string, old_value string, new_value string"
+#: States that are written by one call.
+TOGETHER = 10_000
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -48,7 +50,12 @@ def history_of(rows: DataFrame, fields: list[str], label: str) -> DataFrame:
 
 
 class Capture(StatefulProcessor):
-    """One record: the states that wait, and the last one that was compared."""
+    """One record: the states that wait, and the last one that was compared.
+
+    What waits is read and written as a whole, at most once for each batch that brings or
+    ends something: a state costs no call of its own. A key's timer is that of its earliest
+    waiting state.
+    """
 
     def __init__(self, fields: list[str]):
         self.fields = fields
@@ -57,31 +64,46 @@ class Capture(StatefulProcessor):
         self.handle = handle
         columns = ", ".join(f"f{k} string" for k in range(len(self.fields)))
         self.last = handle.getValueState("last", columns)
-        self.waiting = handle.getMapState("waiting", "at long, seq long", f"label string, {columns}")
+        self.waiting = handle.getListState("waiting", f"at long, seq long, label string, {columns}")
+
+    def wake(self, at: int) -> None:
+        self.handle.registerTimer(-(-at // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = ["label", *(f"f{k}" for k in range(len(self.fields)))]
+        names, earliest = ["label", *(f"f{k}" for k in range(len(self.fields)))], None
         for batch in rows:
-            micros = batch["at"].astype("datetime64[us]").astype("int64")
-            for at, seq, *values in zip(micros.tolist(), batch["seq"].tolist(), *(batch[n] for n in names), strict=True):
-                self.waiting.updateValue((at, seq), tuple(None if pd.isna(v) else v for v in values))
-                self.handle.registerTimer(-(-at // 1000))
+            micros = batch["at"].astype("datetime64[us]").astype("int64").tolist()
+            if micros:
+                texts = [batch[n].astype(object).where(batch[n].notna(), None).tolist() for n in names]
+                self.waiting.appendList(list(zip(micros, batch["seq"].tolist(), *texts, strict=True)))
+                earliest = min(micros) if earliest is None else min(earliest, *micros)
+        if earliest is not None:
+            self.wake(earliest)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        due = sorted(at for at in self.waiting.keys() if at[0] <= passed)
+        due, left = {}, []
+        for at, seq, *values in self.waiting.get() if self.waiting.exists() else ():
+            if at <= passed:
+                due[at, seq] = values
+            else:
+                left.append((at, seq, *values))
+        if not due:
+            return
         out, last = [], self.last.get() if self.last.exists() else None
-        for at, seq in due:
-            label, *now = self.waiting.getValue((at, seq))
-            self.waiting.removeKey((at, seq))
+        for (at, seq), (label, *now) in sorted(due.items(), key=lambda d: d[0]):
             if last is None:
                 out.append((key[0], at, seq, CREATED, None, label))
             else:
                 out += [(key[0], at, seq, f, a, b) for f, a, b in zip(self.fields, last, now, strict=True) if a != b]
             last = tuple(now)
-        if due:
-            self.last.update(last)
+        self.last.update(last)
+        self.waiting.clear()
+        for k in range(0, len(left), TOGETHER):
+            self.waiting.appendList(left[k : k + TOGETHER])
+        if left:
+            self.wake(min(r[0] for r in left))
         if out:
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
             yield frame.assign(at=pd.to_datetime(frame["at"], unit="us", utc=True).astype("datetime64[us, UTC]").dt.tz_localize(None), old_value=frame["old_value"].astype("string"), new_value=frame["new_value"].astype("string"))
