@@ -119,15 +119,23 @@ def as_text(item: Column, field: str) -> Column:
     return known_text(F.coalesce(F.array_join(listed, ", "), F.try_variant_get(item, f"$.{field}", "string")))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for each row, however often ``use`` names it and whatever Spark puts in its place."""
+    return F.transform(F.array(value), use)[0]
+
+
 def output_state(body: Column, kind: str) -> Column:
     """``ok``, ``empty`` (an object without anything), or why the output is unavailable: such pages are tried again and never stored as empty."""
-    parsed = F.try_parse_json(body)
-    inside = F.try_variant_get(parsed, f"$.{kind}", "variant")
-    return (
-        F.when(parsed.isNull(), "invalid").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not an object")
-        .when(F.try_variant_get(parsed, "$", "map<string,variant>").isNull(), "not an object").when(F.size(F.try_variant_get(parsed, "$", "map<string,variant>")) == 0, "empty")
-        .when(inside.isNull(), "no key").when(F.try_variant_get(parsed, f"$.{kind}", "array<variant>").isNull(), "not a list").otherwise("ok")
-    )
+
+    def state(parsed: Column) -> Column:
+        inside = F.try_variant_get(parsed, f"$.{kind}", "variant")
+        return (
+            F.when(parsed.isNull(), "invalid").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not an object")
+            .when(F.try_variant_get(parsed, "$", "map<string,variant>").isNull(), "not an object").when(F.size(F.try_variant_get(parsed, "$", "map<string,variant>")) == 0, "empty")
+            .when(inside.isNull(), "no key").when(F.try_variant_get(parsed, f"$.{kind}", "array<variant>").isNull(), "not a list").otherwise("ok")
+        )
+
+    return once(F.try_parse_json(body), state)
 
 
 def output_rows(outputs: DataFrame, kind: str, body: str = "body") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from civicgrid.functions import text as T
 from civicgrid.operators.dedup import save_pairs
 from civicgrid.operators.lifecycle import leaders_as_people, upsert_records, without_stale_leaders
-from civicgrid.operators.records import clean_communities, clean_people, clean_venues, joined, output_rows, output_state
+from civicgrid.operators.records import clean_communities, clean_people, clean_venues, joined, once, output_rows, output_state
 from civicgrid.operators.registry import Registry
 from civicgrid.operators.roles import table
 from civicgrid.sources.store import settled
@@ -45,19 +45,23 @@ def coverage(states: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return states.join(done.select(*keys, F.lit(True).alias("_d")).distinct(), keys, "left").withColumn("is_done", F.coalesce("_d", F.lit(False))).drop("_d")
 
 
-def pair_pages(urls: DataFrame, pages: DataFrame, most: int = MAX_PAGES, least: int = MIN_TEXT) -> DataFrame:
-    """The first ``most`` results of each pair (pair, pos, url; an address once) that are cached with a text of ``least`` characters: pair, pos, url, text, fingerprint, records."""
-    once = urls.groupBy("pair", "url").agg(F.min("pos").alias("pos"))
-    first = once.withColumn("n", F.row_number().over(Window.partitionBy("pair").orderBy("pos", "url"))).filter(F.col("n") <= most).drop("n")
-    return first.join(pages.filter(F.length("text") >= least), "url")
+def first_results(urls: DataFrame, most: int = MAX_PAGES) -> DataFrame:
+    """The first ``most`` results of each pair: pair, pos, url, an address once. Rows are dealt out by pair alone, once for both steps."""
+    once = urls.repartition("pair").groupBy("pair", "url").agg(F.min("pos").alias("pos"))
+    return once.withColumn("n", F.row_number().over(Window.partitionBy("pair").orderBy("pos", "url"))).filter(F.col("n") <= most).select("pair", "pos", "url")
+
+
+def offered(first: DataFrame, pages: DataFrame, least: int = MIN_TEXT) -> DataFrame:
+    """Cached pages (url, text, fingerprint, records) of these results with a text of ``least`` characters, once for all pairs that found them."""
+    return pages.filter(F.length("text") >= least).join(first.select("url").distinct(), "url", "left_semi")
 
 
 def page_states(found: DataFrame, current: str, answers: DataFrame) -> DataFrame:
-    """``found`` pages with ``state`` and ``body``: ``hit`` where the cache holds records of the current fingerprint, else ``ok``, ``empty``, ``failed`` (an answer that can't be used) or ``deferred`` (no answer yet)."""
+    """``found`` pages with ``state`` and ``body``, which no pair changes: ``hit`` where the cache holds records of the current fingerprint, else ``ok``, ``empty``, ``failed`` (an answer that can't be used) or ``deferred`` (no answer yet)."""
     hit = (F.col("fingerprint") == current) & F.col("records").isNotNull()
     asked = found.join(answers.select("url", "body"), "url", "left")
-    told = output_state(F.col("body"), "communities")
-    state = F.when(hit, "hit").when(F.col("body").isNull(), "deferred").when(told.isin("ok", "empty"), told).otherwise("failed")
+    told = once(output_state(F.col("body"), "communities"), lambda t: F.when(t.isin("ok", "empty"), t).otherwise("failed"))
+    state = F.when(hit, "hit").when(F.col("body").isNull(), "deferred").otherwise(told)
     return asked.withColumns({"state": F.coalesce(state, F.lit("deferred")), "body": F.when(F.coalesce(hit, F.lit(False)), F.col("records")).otherwise(F.col("body"))})
 
 
@@ -84,8 +88,8 @@ def after_rounds(pages: DataFrame, answers: DataFrame, stops: DataFrame, rounds:
 
 
 def extracted(states: DataFrame) -> DataFrame:
-    """Valid, joinable records of the usable pages: pair, url, the page's state and the record's fields."""
-    rows = output_rows(states.filter(F.col("state").isin("hit", "ok")).select("pair", "url", "city", "topic", "state", "body"), "communities")
+    """Valid, joinable records of the usable pages: url, the page's state and the record's fields."""
+    rows = output_rows(states.filter(F.col("state").isin("hit", "ok")).select("url", "city", "topic", "state", "body"), "communities")
     valid = clean_communities(rows.withColumns({"source_url": F.col("url").cast("string"), "source_urls": F.array(F.col("url").cast("string"))}))
     return valid.filter("joinable")
 
@@ -149,38 +153,68 @@ def sourced(pages: DataFrame, kind: str) -> DataFrame:
     return rows.withColumns({"source_url": F.col("url").cast("string"), "source_urls": F.array(F.col("url").cast("string"))})
 
 
+class Extraction:
+    """What a pass over the pages of the pairs (``urls``) takes from them, through the cache.
+
+    A page is read once, however many pairs found it. The tables are made when they are
+    asked for, so that none waits for another that it doesn't need. ``current`` and
+    ``answers`` (url, body) go by communities, venues and persons.
+    """
+
+    def __init__(self, urls: DataFrame, old: Directory, current: dict[str, str], answers: dict[str, DataFrame], now: str, helpers: DataFrame | None = None):
+        self.old, self.current, self.now, self.helpers = old, current, now, helpers
+        self.first = first_results(urls)
+        self.states = settled(page_states(offered(self.first, old.pages), current["communities"], answers["communities"]), "states")
+        self.records = settled(extracted(self.states), "records")
+        self.venue_pages, self.people_pages = (due_pages(self.states, self.records, kind, current, answers) for kind in ("venues", "persons"))
+
+    def pair_states(self) -> DataFrame:
+        """The pages of each pair: pair, pos, url, the page's columns, state and body."""
+        return self.first.join(self.states, "url")
+
+    def communities(self) -> DataFrame:
+        """Found communities replace those of their pairs; new ones that are sure enough and lack something are helped."""
+        found = one_of_each(self.records, "c", ["name", "city", "topic"]).withColumn("hidden", F.lit(False))
+        if self.helpers is not None:
+            wanting = (F.col("state") == "ok") & needs_help()
+            found = settled(found, "found")
+            found = first_help(found.filter(wanting), self.helpers).unionByName(found.filter(~wanting))
+        return save_pairs(self.old.communities, fitted(found, self.old.communities))
+
+    def venues(self) -> DataFrame:
+        venues = one_of_each(clean_venues(sourced(self.venue_pages, "venues")), "v", ["name", "city"])
+        return upsert_records(self.old.venues, fitted(venues, self.old.venues), self.now)
+
+    def people(self) -> DataFrame:
+        """Leaders that communities name replace those of earlier passes: all leaders of a community that names some, else only those that a leader field gave."""
+        identity = ["name", "city", "role", "community_name"]
+        people = one_of_each(clean_people(sourced(self.people_pages, "persons")).withColumn("origin", F.lit(None).cast("string")), "p", identity)
+        leaders = one_of_each(leaders_as_people(self.records), "p", identity)
+        with_people = upsert_records(self.old.people, fitted(people, self.old.people), self.now)
+        named = self.records.select("city", F.col("name").alias("community_name")).distinct()
+        leading = leaders.select("city", "community_name").distinct()
+        cleared = without_stale_leaders(without_stale_leaders(with_people, leading), named.join(leading, ["city", "community_name"], "left_anti"), True)
+        return upsert_records(cleared, fitted(leaders, self.old.people), self.now)
+
+    def pages(self) -> DataFrame:
+        """The page cache with the marks of what was extracted."""
+        done = {kind: pages.filter(F.col("state").isin("ok", "empty")).select("url").distinct().withColumn(f"_{kind}", F.lit(True)) for kind, pages in (("communities", self.states), ("venues", self.venue_pages), ("persons", self.people_pages))}
+        marked = self.old.pages
+        for kind, urls_done in done.items():
+            marked = marked.join(urls_done, "url", "left").withColumn(MARKS[kind], F.when(F.col(f"_{kind}"), self.current[kind]).otherwise(F.col(MARKS[kind])))
+        return marked.select(*self.old.pages.columns)
+
+
 def full_pass(urls: DataFrame, old: Directory, current: dict[str, str], answers: dict[str, DataFrame], now: str, helpers: DataFrame | None = None) -> tuple[Directory, DataFrame]:
     """(the directory after the pass, the states of its pages).
 
     The pages of the pairs are extracted through the cache. Joinable records stay; new
     ones that are sure enough and lack something are helped by ``helpers``, without which
     it is the pass over cached pages alone. Pages that name a community give venues and
-    people. Leaders that communities name replace those of earlier passes: all leaders of
-    a community that names some, else only those that a leader field gave. ``current``
-    and ``answers`` (url, body) go by communities, venues and persons.
+    people.
     """
-    states = settled(page_states(pair_pages(urls, old.pages), current["communities"], answers["communities"]), "states")
-    records = settled(extracted(states), "records")
-    venue_pages, people_pages = (due_pages(states, records, kind, current, answers) for kind in ("venues", "persons"))
-    found = one_of_each(records, "c", ["name", "city", "topic"]).withColumn("hidden", F.lit(False))
-    if helpers is not None:
-        wanting = (F.col("state") == "ok") & needs_help()
-        found = settled(found, "found")
-        found = first_help(found.filter(wanting), helpers).unionByName(found.filter(~wanting))
-    venues = one_of_each(clean_venues(sourced(venue_pages, "venues")), "v", ["name", "city"])
-    identity = ["name", "city", "role", "community_name"]
-    people = one_of_each(clean_people(sourced(people_pages, "persons")).withColumn("origin", F.lit(None).cast("string")), "p", identity)
-    leaders = one_of_each(leaders_as_people(records), "p", identity)
-    with_people = upsert_records(old.people, fitted(people, old.people), now)
-    named = records.select("city", F.col("name").alias("community_name")).distinct()
-    leading = leaders.select("city", "community_name").distinct()
-    cleared = without_stale_leaders(without_stale_leaders(with_people, leading), named.join(leading, ["city", "community_name"], "left_anti"), True)
-    done = {kind: pages.filter(F.col("state").isin("ok", "empty")).select("url").distinct().withColumn(f"_{kind}", F.lit(True)) for kind, pages in (("communities", states), ("venues", venue_pages), ("persons", people_pages))}
-    marked = old.pages
-    for kind, urls_done in done.items():
-        marked = marked.join(urls_done, "url", "left").withColumn(MARKS[kind], F.when(F.col(f"_{kind}"), current[kind]).otherwise(F.col(MARKS[kind])))
-    after = Directory(save_pairs(old.communities, fitted(found, old.communities)), upsert_records(old.venues, fitted(venues, old.venues), now), upsert_records(cleared, fitted(leaders, old.people), now), marked.select(*old.pages.columns))
-    return after, states
+    run = Extraction(urls, old, current, answers, now, helpers)
+    return Directory(run.communities(), run.venues(), run.people(), run.pages()), run.pair_states()
 
 
 def record_pass(key: str, old: Directory, current: dict[str, str], answers: dict[str, DataFrame], now: str) -> tuple[Directory, DataFrame]:
@@ -248,11 +282,11 @@ def _directory(spark: SparkSession, sf_dir: str) -> Directory:
     return Directory(communities, venues, people, _pages(spark, sf_dir))
 
 
-def _passed(spark: SparkSession, sf_dir: str) -> Directory:
+def _pass(spark: SparkSession, sf_dir: str) -> Extraction:
     k = F.col("p_partkey")
     helpers = table(spark, sf_dir, "part").select(F.concat(F.lit("New "), "p_name").alias("name"), F.col("p_brand").alias("city"), F.col("p_type").alias("topic"), (k % 3).alias("pos"), F.lit("http://help.example").alias("website"), F.lit(None).cast("string").alias("contact"), F.lit(None).cast("array<string>").alias("social_links"))
     helpers = T.with_record_key(helpers, "c", ["name", "city", "topic"]).drop("name", "city", "topic")
-    return full_pass(_urls(spark, sf_dir), _directory(spark, sf_dir), CURRENT, _answers(spark, sf_dir), NOW, helpers)[0]
+    return Extraction(_urls(spark, sf_dir), _directory(spark, sf_dir), CURRENT, _answers(spark, sf_dir), NOW, helpers)
 
 
 _STATES = f"""u AS (SELECT l_orderkey AS pair, l_partkey AS url, min(l_linenumber * 10 + l_partkey % 10) AS pos FROM lineitem GROUP BY 1, 2), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY pair ORDER BY pos, url) <= {MAX_PAGES}),
@@ -262,21 +296,23 @@ s AS (SELECT pair, pos, url, p.*, CASE WHEN url % 3 = 1 AND url % 4 > 0 THEN 'hi
 @registry.add(f"WITH {_STATES} SELECT pair, pos, url, state FROM s")
 def extraction_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each page of a run: from the cache, extracted, empty, failed or deferred."""
-    states = page_states(pair_pages(_urls(spark, sf_dir), _pages(spark, sf_dir)), CURRENT["communities"], _answers(spark, sf_dir)["communities"])
-    return states.select("pair", F.col("pos").cast("long").alias("pos"), "url", "state")
+    first = first_results(_urls(spark, sf_dir))
+    states = page_states(offered(first, _pages(spark, sf_dir)), CURRENT["communities"], _answers(spark, sf_dir)["communities"])
+    return first.join(states.select("url", "state"), "url").select("pair", F.col("pos").cast("long").alias("pos"), "url", "state")
 
 
 @registry.add(f"""WITH {_STATES} SELECT pair, url, CASE state WHEN 'hit' THEN 'Cached ' ELSE 'New ' END || p_name AS name, p_brand AS city, p_type AS topic, CASE state WHEN 'hit' THEN 'old' ELSE 'new' END AS fee FROM s WHERE state IN ('hit', 'ok') AND url % 6 > 0""")
 def gated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of the same run that pass its gates."""
-    states = page_states(pair_pages(_urls(spark, sf_dir), _pages(spark, sf_dir)), CURRENT["communities"], _answers(spark, sf_dir)["communities"])
-    return extracted(states).select("pair", "url", "name", "city", "topic", "fee")
+    first = first_results(_urls(spark, sf_dir))
+    states = page_states(offered(first, _pages(spark, sf_dir)), CURRENT["communities"], _answers(spark, sf_dir)["communities"])
+    return first.join(extracted(states), "url").select("pair", "url", "name", "city", "topic", "fee")
 
 
 @registry.add()
 def full_pass_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The communities after a full pass."""
-    return _passed(spark, sf_dir).communities.select("key", "name", "city", "topic", "website", "hidden")
+    return _pass(spark, sf_dir).communities().select("key", "name", "city", "topic", "website", "hidden")
 
 
 _NAMED = f"""{_STATES}, c AS (SELECT url, CASE state WHEN 'hit' THEN 'Cached ' ELSE 'New ' END || p_name AS name, p_brand AS city, p_type AS topic, any_value(p_name) AS p_name FROM s WHERE state IN ('hit', 'ok') AND url % 6 > 0 GROUP BY ALL), n AS (SELECT DISTINCT url FROM c)"""
@@ -288,7 +324,7 @@ o AS (SELECT 'Hall ' || (p_size % 5) AS name, p_brand AS city, min('old ' || p_p
 SELECT coalesce(w.name, o.name) AS name, coalesce(w.city, o.city) AS city, CASE WHEN w.name IS NULL THEN 'kept' ELSE w.address END AS address, concat_ws(' | ', w.url, o.url) AS source_urls, CASE WHEN w.name IS NULL THEN '2025' ELSE '{NOW}' END AS updated_at FROM w FULL OUTER JOIN o ON o.name = w.name AND o.city = w.city""")
 def full_pass_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The venues after the same pass: those of pages that name a community join the stored ones."""
-    return _passed(spark, sf_dir).venues.select("name", "city", "address", joined("source_urls"), "updated_at")
+    return _pass(spark, sf_dir).venues().select("name", "city", "address", joined("source_urls"), "updated_at")
 
 
 @registry.add(f"""WITH {_NAMED}, p AS (SELECT p_partkey AS url, p_brand AS city, p_size, p_name FROM part WHERE p_partkey IN (FROM n) AND p_partkey % 6 <> 1 AND p_partkey % 10 <> 0),
@@ -300,14 +336,14 @@ k AS (SELECT * FROM b WHERE NOT (role = 'leader' AND (city, community_name) IN (
 SELECT * FROM k UNION ALL SELECT name, city, role, community_name, 'leader_field' FROM l""")
 def full_pass_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The people after the same pass: those of pages, and the leaders that communities name."""
-    return _passed(spark, sf_dir).people.select("name", "city", "role", "community_name", "origin")
+    return _pass(spark, sf_dir).people().select("name", "city", "role", "community_name", "origin")
 
 
 @registry.add(f"""WITH {_NAMED}, d AS (SELECT DISTINCT url FROM s WHERE state IN ('ok', 'empty')) SELECT p_partkey AS url, CASE WHEN p_partkey IN (FROM d) THEN 'fp1' ELSE 'fp' || (p_partkey % 3) END AS fingerprint,
 CASE WHEN p_partkey % 5 = 0 OR (p_partkey IN (FROM n) AND p_partkey % 9 <> 0 AND p_partkey % 10 <> 3) THEN 'vf1' WHEN p_partkey % 5 = 1 THEN 'vf0' END AS venue_fingerprint, CASE WHEN p_partkey % 6 = 1 OR (p_partkey IN (FROM n) AND p_partkey % 10 <> 0) THEN 'pf1' END AS person_fingerprint FROM part""")
 def full_pass_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page cache after the same pass: what was extracted is marked, what failed is tried again."""
-    return _passed(spark, sf_dir).pages.select("url", *MARKS.values())
+    return _pass(spark, sf_dir).pages().select("url", *MARKS.values())
 
 
 @registry.add("""WITH p AS (SELECT DISTINCT l_orderkey AS pair, l_partkey AS url FROM lineitem), a AS (SELECT l_orderkey AS pair, l_partkey AS url, CAST(l_linenumber % 4 + 1 AS BIGINT) AS attempt, CASE WHEN l_returnflag <> 'R' THEN 'answer ' || l_suppkey END AS body FROM lineitem WHERE l_linenumber % 5 > 0),

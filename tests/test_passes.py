@@ -89,3 +89,25 @@ def test_one_record_again(spark):
     assert {r["name"]: r["contact"] for r in after.communities.collect()} == {"Aurora": "new tel", "Gone Club": None, "Elsewhere": None}
     assert "Gym" in {r["name"] for r in after.venues.collect()}
     assert after.communities.filter(F.col("hidden")).count() == 1
+
+
+def test_a_page_is_read_once_for_all_pairs(spark, monkeypatch):
+    kept = {}
+    settled = passes.settled
+    monkeypatch.setattr(passes, "settled", lambda df, name: kept.setdefault(name, settled(df, name)))
+    pages = [page("hit", fp="c2", records=body("communities", item("Bikers"))), page("new"), page("never found")]
+    urls = [(f"k{n}", pos, url) for n in range(40) for pos, url in enumerate(["hit", "new", "hit"])]
+    answers = {"communities": [("new", body("communities", item("Choir"), item("Chess"))), ("never found", body("communities", item("Never read")))], "venues": [], "persons": []}
+    _, states = passes.full_pass(spark.createDataFrame(urls, "pair string, pos int, url string"), directory(spark, pages), CURRENT, {k: spark.createDataFrame(v, "url string, body string") for k, v in answers.items()}, NOW)
+    assert sorted((r["url"], r["state"]) for r in kept["states"].collect()) == [("hit", "hit"), ("new", "ok")]
+    assert sorted((r["url"], r["name"]) for r in kept["records"].collect()) == [("hit", "Bikers"), ("new", "Chess"), ("new", "Choir")]
+    assert sorted((r["pair"], r["pos"], r["url"], r["state"]) for r in states.collect()) == sorted((f"k{n}", pos, url, state) for n in range(40) for pos, url, state in ((0, "hit", "hit"), (1, "new", "ok")))
+
+
+def test_marks_of_pages_wait_for_no_other_table(spark, monkeypatch):
+    def unwanted(*_):
+        raise AssertionError("made for nothing")
+
+    for name in ("save_pairs", "upsert_records", "first_help"):
+        monkeypatch.setattr(passes, name, unwanted)
+    assert passes.QUERIES["full_pass_pages"](spark, "/root/testdata/sf0.001").count() == 200
