@@ -1,7 +1,8 @@
 """Duplicate detection and merging: candidates by address and by name, their state, merged records, edits of identity.
 
 Names are compared inside a city. What may be alike comes from equi-joins that
-lose no pair: two names whose ratio reaches a threshold share one of the rarest
+lose no pair: two names whose ratio reaches a threshold are the same text after a few
+deletions in both, which short names meet by; long ones share one of the rarest
 pairs of neighbouring characters of both, at about the same place; a name inside
 another has its rarest run of three there. Only such pairs are compared one by one,
 and after a few records changed only pairs with one of them.
@@ -32,6 +33,8 @@ GENERIC = (
     "group", "club", "community", "circle", "association", "society", "színpad", "táncstúdió", "stúdió", "studio", "idősek klubja", "nyugdíjasklub", "ifjúsági kör",
 )
 RICH_FIELDS = ("description", "meeting_schedule", "location", "contact", "website")
+#: Names of a length meet by deletions if no partner's length takes more of them in either name, and names of ``LONG`` characters never.
+DELETIONS, LONG = 500, 64
 
 
 def richness(columns: list[str]) -> Column:
@@ -100,8 +103,51 @@ def met(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     return pair(left.filter("changed"), right).union(pair(left, right.filter("changed")))
 
 
+def lengths_by_deletions(rows: DataFrame, threshold: float) -> tuple[list[int], dict[int, list[tuple[int, int]]]]:
+    """(lengths of names with partners that deletions don't find, ``LONG`` for all from there; by length the lengths of partners to be found by deletions, with those from the name itself)."""
+    there = {r[0] for r in rows.select(F.least(F.length("clean"), F.lit(LONG))).distinct().collect()} - {None, 0}  # LONG numbers at most
+    common = lambda n, m: math.ceil(threshold * (n + m) / 2 - 1e-9)
+    partners = {n: [m for m in there - {LONG} if common(n, m) <= min(n, m)] for n in there - {LONG}}
+    few = lambda n, m: max(math.comb(k, k - common(n, m)) for k in (n, m)) <= DELETIONS
+    meets_long = lambda n: LONG in there and n * (2 - threshold) / threshold + 1e-9 >= LONG
+    short = [n for n in sorted(partners) if not meets_long(n) and all(few(n, m) for m in partners[n])]
+    return sorted(there - set(short)), {n: found for n, ms in partners.items() if (found := [(m, n - common(n, m)) for m in ms if n in short or m in short])}
+
+
+def shortened(name: Column, k: int) -> Column:
+    """The different texts that ``k`` deletions leave of a name."""
+    found = F.array(F.struct(name.alias("text"), F.lit(1).alias("at")))
+    without = lambda text, j: F.struct(F.concat(F.substring(text, F.lit(1), j - 1), F.substring(text, j + 1, F.length(text))).alias("text"), j.alias("at"))
+    for _ in range(k):  # from left to right; past the end nothing goes
+        found = F.flatten(F.transform(found, lambda v: F.transform(F.sequence(v["at"], F.greatest(v["at"], F.length(v["text"]))), lambda j: without(v["text"], j))))
+    return F.array_distinct(F.filter(F.transform(found, lambda v: v["text"]), lambda x: F.length(x) == F.length(name) - k))
+
+
+def by_deletions(rows: DataFrame, partners: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """(city, ord_a, ord_b) of the names with ``partners`` that share as many characters in one order as their ratio needs.
+
+    Names of n and m characters meet by the texts of that many characters that are left
+    of both, so that no pair is lost and none that meets shares fewer.
+    """
+    kinds = F.create_map(*[x for n, found in partners.items() for x in (F.lit(n), F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("k")) for m, k in found]))])
+    extra = ["changed"] if "changed" in rows.columns else []
+    dealt = rows.select("city", "ord", "clean", F.length("clean").alias("n"), *extra).filter(F.col("n").isin(*partners)).withColumn("kind", F.explode(F.element_at(kinds, F.col("n"))))
+    texts = reduce(lambda other, k: F.when(F.col("kind.k") == k, shortened(F.col("clean"), k)).otherwise(other), sorted({k for found in partners.values() for _, k in found}), F.array().cast("array<string>"))
+    m = F.col("kind.m")
+    keyed = dealt.withColumn("text", F.explode(texts)).select("city", "ord", "n", m.alias("m"), F.xxhash64(F.least("n", m), F.greatest("n", m), "text").alias("key"), *extra)
+    once = (F.col("l.n") < F.col("r.n")) | (F.col("l.ord") < F.col("r.ord"))
+    return met(keyed.filter("n <= m"), keyed.filter("n >= m").hint("merge"), once).distinct()  # many texts from small files
+
+
 def meeting_names(rows: DataFrame, threshold: float, within: int | None) -> DataFrame:
-    """(city, ord_a, ord_b) of the names that are worth a comparison: all that ``close_pairs`` gives, and few others.
+    """(city, ord_a, ord_b) of the names that are worth a comparison: all that ``close_pairs`` gives, and few others."""
+    long, partners = lengths_by_deletions(rows, threshold)
+    found = ([by_deletions(rows, partners)] if partners else []) + ([by_runs(rows, threshold, within, long)] if long or within else [])
+    return reduce(DataFrame.union, found or [met(*[rows.withColumn("key", F.lit(0))] * 2, F.lit(False))]).distinct()
+
+
+def by_runs(rows: DataFrame, threshold: float, within: int | None, long: list[int]) -> DataFrame:
+    """(city, ord_a, ord_b) of the names of ``long`` lengths that are worth a comparison, and of those with a name inside another.
 
     A ratio of t needs m >= t s / 2 matching characters, s being both lengths together.
     The matches form at most s - 2 m + 1 blocks, so at least o = 3 m - s - 1 pairs of
@@ -121,11 +167,12 @@ def meeting_names(rows: DataFrame, threshold: float, within: int | None) -> Data
     fits = (F.col("l.n") <= longest * F.col("r.n") + 1e-9) & (F.col("r.n") <= longest * F.col("l.n") + 1e-9) & (apart("letters") <= total - 2 * matching) & (apart("runs") <= total - 2 - 2 * (3 * matching - total - 1))
     least = F.ceil((n + F.ceil(n * threshold / (2 - threshold) - 1e-9)) * (1.5 * threshold - 1) - 1 - 1e-9).cast("int")
     carried = ["city", "ord", "n", "letters", "runs", *extra]
-    few = by_rarity(light.filter(least > 0), "two", n - least).withColumn("key", F.explode("rare")).select(*carried, "key")
+    others = light.filter(F.least(n, F.lit(LONG)).isin(*long))
+    few = by_rarity(others.filter(least > 0), "two", n - least).withColumn("key", F.explode("rare")).select(*carried, "key")
     found = [met(few, few, fits)]
     # names too short for such a pair, and those that they may be like
     tiny = [k for k in range(1, 60) if (k + math.ceil(k * threshold / (2 - threshold) - 1e-9)) * (1.5 * threshold - 1) <= 1]
-    letters = light.filter(n <= longest * max(tiny, default=0)).withColumn("key", F.explode(F.array_distinct(F.filter(F.split("clean", ""), lambda c: c != "")))).select(*carried, "key")
+    letters = others.filter(n <= longest * max(tiny, default=0)).withColumn("key", F.explode(F.array_distinct(F.filter(F.split("clean", ""), lambda c: c != "")))).select(*carried, "key")
     found.append(met(letters, letters, fits))
     for q in range(min(within, 3), 4) if within else ():
         every = light.filter(n >= within).withColumn("grams", F.array_distinct(runs_of(F.col("clean"), q)))
@@ -138,20 +185,23 @@ def close_pairs(rows: DataFrame, threshold: float, within: int | None) -> DataFr
     """Pairs (a before b by ``ord``) of one city whose ``clean`` names may reach ``threshold``, or of which one holds the other and both have ``within`` characters.
 
     ``rows``: city, ord, clean and more; with a column ``changed``, only pairs with a changed row.
-    What meets is tested by the pairs of neighbours and the characters that both names have.
+    What meets by runs is tested by the pairs of neighbours and the characters that both names have.
     """
-    pairs = meeting_names(rows, threshold, within)
+    long, partners = lengths_by_deletions(rows, threshold)
     more = rows.withColumns({"_two": numbered(runs_of(F.col("clean"), 2)), "_one": characters(F.col("clean"))})
-    whole = lambda side: more.select("city", F.col("ord").alias(f"ord_{side}"), F.struct(*more.columns).alias(side))
-    both = pairs.join(whole("a"), ["city", "ord_a"]).join(whole("b"), ["city", "ord_b"])
-    lengths = F.length("a.clean") + F.length("b.clean")
-    matching = F.ceil(threshold * lengths / 2 - 1e-9)
-    alike = (F.size(F.array_intersect("a._two", "b._two")) >= 3 * matching - lengths - 1) & (F.size(F.array_intersect("a._one", "b._one")) >= matching)
-    if within:
-        a, b = F.col("a.clean"), F.col("b.clean")
-        alike = alike | ((F.length(a) >= within) & (F.length(b) >= within) & (a.contains(b) | b.contains(a)))
-    plain = lambda side: F.col(side).dropFields("_two", "_one").alias(side)
-    return both.filter(alike).select("city", plain("a"), plain("b"))
+    whole = lambda side, df: df.select("city", F.col("ord").alias(f"ord_{side}"), F.struct(*df.columns).alias(side)).hint("merge")
+    joined = lambda pairs, df: pairs.join(whole("a", df), ["city", "ord_a"]).join(whole("b", df), ["city", "ord_b"])
+    a, b = F.col("a.clean"), F.col("b.clean")
+    held = (F.length(a) >= within) & (F.length(b) >= within) & (a.contains(b) | b.contains(a)) if within else F.lit(False)
+    found = [joined(by_deletions(rows, partners), rows).filter(~held).select("city", "a", "b")] if partners else []
+    if long or within or not partners:
+        lengths = F.length(a) + F.length(b)
+        matching = F.ceil(threshold * lengths / 2 - 1e-9)
+        alike = (F.size(F.array_intersect("a._two", "b._two")) >= 3 * matching - lengths - 1) & (F.size(F.array_intersect("a._one", "b._one")) >= matching)
+        both_long = F.least(F.length(a), F.lit(LONG)).isin(*long) & F.least(F.length(b), F.lit(LONG)).isin(*long)  # others are found above
+        plain = lambda side: F.col(side).dropFields("_two", "_one").alias(side)
+        found.append(joined(by_runs(rows, threshold, within, long), more).filter((both_long & alike) | held).select("city", plain("a"), plain("b")))
+    return reduce(DataFrame.union, found)
 
 
 def shared_characters(a: Column, b: Column) -> Column:
@@ -193,13 +243,15 @@ def as_units(keyed: DataFrame, more: list[str], copies: bool) -> DataFrame:
 
 
 def name_pairs(units: DataFrame, threshold: float, within: int | None) -> DataFrame:
-    """(city, one, other, ratio): different names of one city whose ratio reaches ``threshold`` in that order, and each name with itself; with ``within`` one that holds the other counts 0.9."""
+    """(city, one, other, ratio): different names of one city whose ratio reaches ``threshold`` in that order, if a record of one is before one of the other, and each name with itself; with ``within`` one that holds the other counts 0.9."""
     flags = [F.max("changed").alias("changed")] if "changed" in units.columns else []
-    names = units.filter(F.length("clean") > 0).groupBy("city", "clean").agg(F.first("clean").alias("ord"), *flags)
-    names = settled(names.select("city", "ord", "clean", *(["changed"] if flags else [])), "different-names")
-    close = settled(close_pairs(names, threshold, within).select("city", F.col("a.clean").alias("one"), F.col("b.clean").alias("other")), "close-names")
+    ends = [F.min(F.array_min(F.transform("first", lambda x: x["ord"]))).alias("low"), F.max(F.array_max(F.transform("last", lambda x: x["ord"]))).alias("high")]
+    names = units.filter(F.length("clean") > 0).groupBy("city", "clean").agg(F.first("clean").alias("ord"), *ends, *flags)
+    names = settled(names.select("city", "ord", "clean", "low", "high", *(["changed"] if flags else [])), "different-names")
+    close = settled(close_pairs(names, threshold, within).select("city", "a", "b"), "close-names")
     itself = names.filter("changed") if flags else names
-    every = close.union(close.select("city", "other", "one")).union(itself.select("city", "clean", "clean"))
+    order = lambda a, b: close.filter(F.col(f"{a}.low") < F.col(f"{b}.high")).select("city", F.col(f"{a}.clean").alias("one"), F.col(f"{b}.clean").alias("other"))
+    every = order("a", "b").union(order("b", "a")).union(itself.select("city", "clean", "clean"))
     a, b = F.col("one"), F.col("other")
     ratio = unless(inside(a, b), 0.9, a, b) if within else T.sequence_ratio(a, b)
     return every.withColumn("ratio", ratio).filter(F.col("ratio") >= threshold)
@@ -276,14 +328,8 @@ def people_candidates(rows: DataFrame, threshold: float = 0.9, communities: floa
     keyed = T.with_record_key(rows, "p", ["name", "city", "role", "community_name"]).withColumns({"ord": F.struct("id"), "rich": richness(rows.columns), "clean": T.strip_articles(F.col("name")), "group": T.strip_articles(F.col("community_name"))})
     keyed = settled(keyed.select("city", "ord", "key", "rich", "clean", "group"), "names")  # read several times
     units = as_units(flagged(keyed, changed), ["group"], copies)
-    names = settled(name_pairs(units, threshold, None), "alike-names")
-    pairs = paired(units, names)
-    groups = ["x", "y"]
-    met = units.select("city", F.col("clean").alias("one"), F.col("group").alias("x")).distinct().join(names, ["city", "one"]).select("city", "other", "x").distinct()
-    both = met.join(units.select("city", F.col("clean").alias("other"), F.col("group").alias("y")).distinct(), ["city", "other"]).select(*groups).distinct()
-    x, y = F.col("x"), F.col("y")
-    alike = both.filter(shared_characters(x, y) >= communities).filter(T.sequence_ratio(x, y) >= communities)
-    return decided(pairs.withColumns({"x": F.col("a.group"), "y": F.col("b.group")}).join(alike, groups, "left_semi"), copies)
+    pairs = paired(units, name_pairs(units, threshold, None))
+    return decided(pairs.filter(T.sequence_ratio(F.col("a.group"), F.col("b.group")) >= communities), copies)
 
 
 # inside a pair of city and topic -------------------------------------------------
